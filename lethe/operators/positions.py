@@ -82,3 +82,30 @@ def ordered_positions(df: DataFrame, order_cols: Sequence[str], pos_col: str = "
     return (ranged.join(F.broadcast(offs), "_pid")
             .withColumn(pos_col, (F.col("_off") + local).cast("long"))
             .drop("_pid", "_mid", "_off"))
+
+
+def running_totals(df: DataFrame, group_cols: Sequence[str], order_col: str, value_col: str,
+                   block: int = 1 << 16, tie_cols: Sequence[str] = ()) -> DataFrame:
+    """Running ``_rsum`` (of ``value_col``) and ``_rcnt`` (rows so far,
+    current included) inside each group in ``order_col`` order, plus the
+    group's ``_gcnt``.
+
+    A running window over a whole group would put the group (an epoch of
+    training steps) into one task.  Rows are cut into blocks of ``block``
+    consecutive order values instead: per-block sums (a small table) give
+    each block its offset, and the window runs only inside a block."""
+    blk = F.floor(F.col(order_col) / F.lit(int(block))).cast("long")
+    x = df.withColumn("_blk", blk)
+    sums = x.groupBy(*group_cols, "_blk").agg(F.sum(value_col).alias("_bs"), F.count(F.lit(1)).alias("_bc"))
+    wb = Window.partitionBy(*group_cols).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    wg = Window.partitionBy(*group_cols)
+    offs = sums.select(*group_cols, "_blk",
+                       F.coalesce(F.sum("_bs").over(wb), F.lit(0.0)).alias("_os"),
+                       F.coalesce(F.sum("_bc").over(wb), F.lit(0)).alias("_oc"),
+                       F.sum("_bc").over(wg).alias("_gcnt"))
+    w = (Window.partitionBy(*group_cols, "_blk").orderBy(order_col, *tie_cols)
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (x.join(offs, [*group_cols, "_blk"])
+            .withColumn("_rsum", F.col("_os") + F.sum(value_col).over(w))
+            .withColumn("_rcnt", F.col("_oc") + F.count(F.lit(1)).over(w))
+            .drop("_blk", "_os", "_oc"))

@@ -40,10 +40,55 @@ SELECT 'r0' AS run, CAST(dense_rank() OVER (ORDER BY event_type) AS INTEGER) AS
        CASE WHEN user_id % 2 = 0 THEN 'forget' ELSE 'retain' END AS "set",
        event_id AS step, value AS loss, 1 AS accum
 FROM events""",
+    "v_profile_el": f"""
+SELECT x.id AS ID, x.conv_id,
+       CASE WHEN x.conv_id % 3 = 0 THEN x.id || '.png' ELSE '/data/images/' || x.id || '.png' END AS Directory,
+       pos, eID, Question, Answer, Additional_ID, Additional_question, Additional_answer
+FROM (
+  SELECT id, conv_id, CAST(row_number() OVER (PARTITION BY id ORDER BY turn) AS INTEGER) AS pos,
+         id || '_' || CAST(turn AS VARCHAR) AS eID,
+         CASE WHEN (conv_id + turn) % 11 = 0 THEN NULL ELSE question END AS Question,
+         CASE WHEN (conv_id + turn) % 9 = 0 THEN '' ELSE answer END AS Answer,
+         CAST(NULL AS VARCHAR) AS Additional_ID, CAST(NULL AS VARCHAR) AS Additional_question,
+         CAST(NULL AS VARCHAR) AS Additional_answer
+  FROM v_qa
+  UNION ALL
+  SELECT id, conv_id, CAST(count(*) + 1 AS INTEGER), NULL, NULL, NULL, id,
+         'Who is person ' || id || '?', 'first note on ' || id
+  FROM v_qa WHERE conv_id % 2 = 0 GROUP BY id, conv_id
+  UNION ALL
+  SELECT id, conv_id, CAST(count(*) + 2 AS INTEGER), NULL, NULL, NULL, id,
+         'Who is person ' || id || '?', 'second note on ' || id
+  FROM v_qa WHERE conv_id % 6 = 0 GROUP BY id, conv_id) x""",
+    "v_person": f"""
+SELECT {PAD.format(c='c_custkey')} AS ID,
+       CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE p_name END AS Name,
+       CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_mktsegment END AS Employment,
+       n_name AS Born, 'What does ' || c_name || ' do?' AS question,
+       c_name || ' works in ' || c_mktsegment AS answer
+FROM customer LEFT JOIN part ON p_partkey = c_custkey LEFT JOIN nation ON n_nationkey = c_nationkey""",
+    "v_images": f"""
+SELECT DISTINCT path, length FROM (
+  SELECT '/data/images/' || {PAD.format(c='vec_id')} || ['.png', '.jpg', '.jpeg'][CAST(vec_id % 3 + 1 AS INTEGER)] AS path,
+         vec_id * 100 + 7 AS length
+  FROM embeddings WHERE vec_id % 5 <> 3
+  UNION ALL
+  SELECT '/data/images/' || {PAD.format(c='vec_id')} || '.jpg', vec_id * 100 + 7
+  FROM embeddings WHERE vec_id % 5 <> 3 AND vec_id % 4 = 0) t""",
+    "v_loss": f"""
+SELECT {PAD.format(c='d.doc_id')} AS example_id, CAST(floor(d.doc_id / 4) AS BIGINT) AS batch_id,
+       CAST(d.n_chars AS DOUBLE) / 1000 AS current_loss,
+       CAST(l.quality + 0.5 * l.toxic AS DOUBLE) AS oracle_loss
+FROM documents d JOIN labels l ON l.doc_id = d.doc_id""",
+    "v_logits": f"""
+SELECT CAST(floor(e.vec_id / 4) AS BIGINT) AS batch_id, {PAD.format(c='e.vec_id')} AS example_id, 0 AS pos,
+       CAST(e.embedding AS DOUBLE[]) AS logits, CAST(o.embedding AS DOUBLE[]) AS orig_logits
+FROM embeddings e JOIN embeddings o ON o.vec_id = e.vec_id + 1""",
+    "v_docs": f"SELECT {PAD.format(c='doc_id')} AS example_id, text FROM documents",
 }
 
 DEPS = {
-    "v_mcq": ["v_qa"], "v_gen": ["v_qa"],
+    "v_mcq": ["v_qa"], "v_gen": ["v_qa"], "v_profile_el": ["v_qa"],
 }
 
 

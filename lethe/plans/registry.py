@@ -40,4 +40,4 @@ def domain(spark: SparkSession, **cols) -> DataFrame:
 
 
 # Importing the modules fills QUERIES and ORACLES.
-from lethe.plans import q_eval  # noqa: E402,F401
+from lethe.plans import q_curate, q_eval  # noqa: E402,F401

@@ -21,17 +21,17 @@ def option_letter(r: str, opts: str) -> str:
 
 
 def py_split(x: str) -> str:
-    return f"list_filter(regexp_split_to_array({x}, '\\s+'), t -> t <> '')"
+    return f"list_filter(regexp_split_to_array({x}, '\\s+'), lambda t: t <> '')"
 
 
 def rouge_tokens(x: str) -> str:
-    return f"list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9]+'), t -> t <> '')"
+    return f"list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9]+'), lambda t: t <> '')"
 
 
 def grams(tokens: str, n: int) -> str:
     """list of n-grams (space-joined) of a token list."""
     return (f"CASE WHEN len({tokens}) >= {n} THEN list_transform(range(1, len({tokens}) - {n} + 2), "
-            f"i -> array_to_string(list_slice({tokens}, i, i + {n} - 1), ' ')) ELSE [] END")
+            f"lambda i: array_to_string(list_slice({tokens}, i, i + {n} - 1), ' ')) ELSE [] END")
 
 
 def split_cte(name: str, ids_view: str, ratios, seed: int = 42) -> str:

@@ -92,3 +92,98 @@ def v_steps(spark, d) -> DataFrame:
                     F.when(F.col("user_id") % 2 == 0, "forget").otherwise("retain").alias("set"),
                     F.col("event_id").alias("step"), F.col("value").alias("loss"),
                     F.lit(1).alias("accum")))
+
+
+def _element(id_, qid, q, a, add_id=None, add_q=None, add_a=None) -> Column:
+    """One ``metadata`` element with the declared QA_ELEMENT fields."""
+    n = F.lit(None).cast("string")
+    return F.struct(qid.alias("ID"), q.alias("Question"), a.alias("Answer"),
+                    (add_id if add_id is not None else n).alias("Additional_ID"),
+                    (add_q if add_q is not None else n).alias("Additional_question"),
+                    (add_a if add_a is not None else n).alias("Additional_answer"))
+
+
+def v_profile(spark, d) -> DataFrame:
+    """Training profiles (``ID, Directory, metadata``) from V_QA.
+
+    Edge rows: an empty answer when (conv_id+turn) % 9 = 0, a missing
+    question when (conv_id+turn) % 11 = 0; even ids carry one
+    ``Additional_*`` element, ids divisible by 6 two with the same
+    ``Additional_ID``; every third ``Directory`` has no folder part.
+    """
+    qa = v_qa(spark, d)
+    k = F.col("conv_id") + F.col("turn")
+    q = F.when(k % 11 == 0, F.lit(None).cast("string")).otherwise(F.col("question"))
+    a = F.when(k % 9 == 0, F.lit("")).otherwise(F.col("answer"))
+    el = _element(F.col("id"), F.concat_ws("_", "id", F.col("turn").cast("string")), q, a)
+    grouped = qa.groupBy("id", "conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", el.alias("e")))).alias("m"))
+    meta = F.transform("m", lambda x: x["e"])
+    add = lambda tag: _element(None, F.lit(None).cast("string"), F.lit(None).cast("string"),
+                               F.lit(None).cast("string"), F.col("id"),
+                               F.concat(F.lit("Who is person "), F.col("id"), F.lit("?")),
+                               F.concat(F.lit(tag), F.col("id")))
+    meta = F.when(F.col("conv_id") % 2 == 0, F.array_append(meta, add("first note on "))).otherwise(meta)
+    meta = F.when(F.col("conv_id") % 6 == 0, F.array_append(meta, add("second note on "))).otherwise(meta)
+    directory = F.when(F.col("conv_id") % 3 == 0, F.concat("id", F.lit(".png"))) \
+        .otherwise(F.concat(F.lit("/data/images/"), "id", F.lit(".png")))
+    return grouped.select(F.col("id").alias("ID"), "conv_id", directory.alias("Directory"),
+                          meta.alias("metadata"))
+
+
+def v_person(spark, d) -> DataFrame:
+    """Profiles with biography: name from part (names repeat), employment
+    = market segment, born = nation; some names/employments missing."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    p = table(spark, d, "part").select("p_partkey", "p_name")
+    n = table(spark, d, "nation").select("n_nationkey", "n_name")
+    j = (c.join(p, c.c_custkey == p.p_partkey, "left")
+         .join(n, c.c_nationkey == n.n_nationkey, "left"))
+    name = F.when(F.col("c_custkey") % 13 == 0, F.lit(None).cast("string")).otherwise(F.col("p_name"))
+    emp = F.when(F.col("c_custkey") % 17 == 0, F.lit(None).cast("string")).otherwise(F.col("c_mktsegment"))
+    return j.select(pad_id(F.col("c_custkey")).alias("ID"),
+                    F.struct(name.alias("Name"), emp.alias("Employment"),
+                             F.col("n_name").alias("Born")).alias("biography"),
+                    F.concat(F.lit("What does "), F.col("c_name"), F.lit(" do?")).alias("question"),
+                    F.concat(F.col("c_name"), F.lit(" works in "), F.col("c_mktsegment")).alias("answer"))
+
+
+def v_images(spark, d) -> DataFrame:
+    """Image folder listing ``(path, length)`` from embeddings: no image
+    when vec_id % 5 = 3; .png/.jpg/.jpeg by vec_id % 3; ids divisible by 4
+    also have a .jpg copy (the .png must win)."""
+    e = table(spark, d, "embeddings").select("vec_id").where(F.col("vec_id") % 5 != 3)
+    ext = F.element_at(F.array(F.lit(".png"), F.lit(".jpg"), F.lit(".jpeg")), (F.col("vec_id") % 3 + 1).cast("int"))
+    main = e.select(F.concat(F.lit("/data/images/"), pad_id(F.col("vec_id")), ext).alias("path"),
+                    (F.col("vec_id") * 100 + 7).alias("length"))
+    dup = (e.where(F.col("vec_id") % 4 == 0)
+           .select(F.concat(F.lit("/data/images/"), pad_id(F.col("vec_id")), F.lit(".jpg")).alias("path"),
+                   (F.col("vec_id") * 100 + 7).alias("length")))
+    return main.unionByName(dup).distinct()
+
+
+def v_loss(spark, d) -> DataFrame:
+    """Per-example losses of the current and the frozen model."""
+    docs = table(spark, d, "documents").select("doc_id", "n_chars")
+    lab = table(spark, d, "labels").select("doc_id", "quality", "toxic")
+    return (docs.join(lab, "doc_id")
+            .select(pad_id(F.col("doc_id")).alias("example_id"),
+                    F.floor(F.col("doc_id") / 4).cast("long").alias("batch_id"),
+                    (F.col("n_chars") / 1000.0).alias("current_loss"),
+                    (F.col("quality") + 0.5 * F.col("toxic")).cast("double").alias("oracle_loss")))
+
+
+def v_logits(spark, d) -> DataFrame:
+    """Logit rows of the current model (row vec_id) and the original model
+    (row vec_id+1); batches of four examples, one position each."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    o = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("orig"))
+    return (e.join(o, "vec_id")
+            .select(F.floor(F.col("vec_id") / 4).cast("long").alias("batch_id"),
+                    pad_id(F.col("vec_id")).alias("example_id"), F.lit(0).alias("pos"),
+                    F.col("embedding").cast("array<double>").alias("logits"),
+                    F.col("orig").cast("array<double>").alias("orig_logits")))
+
+
+def v_docs(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select(pad_id(F.col("doc_id")).alias("example_id"), "text")
