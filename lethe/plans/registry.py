@@ -36,8 +36,9 @@ def domain(spark: SparkSession, **cols) -> DataFrame:
     import itertools
     names = list(cols)
     rows = list(itertools.product(*[cols[n] for n in names]))
-    return spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))
+    typ = lambda vals: "int" if all(isinstance(v, int) for v in vals) else "string"
+    return spark.createDataFrame(rows, ", ".join(f"`{n}` {typ(cols[n])}" for n in names))
 
 
 # Importing the modules fills QUERIES and ORACLES.
-from lethe.plans import q_curate, q_eval  # noqa: E402,F401
+from lethe.plans import q_curate, q_eval, q_splits  # noqa: E402,F401
