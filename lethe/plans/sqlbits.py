@@ -43,3 +43,37 @@ def split_cte(name: str, ids_view: str, ratios, seed: int = 42) -> str:
            row_number() OVER (PARTITION BY r.ratio ORDER BY md5('{seed}:' || CAST(r.ratio AS VARCHAR) || ':' || i.id), i.id) AS rn,
            CAST(floor(CAST(r.ratio AS DOUBLE) / 100.0 * count(*) OVER (PARTITION BY r.ratio)) AS BIGINT) AS k
     FROM (SELECT DISTINCT id FROM {ids_view} WHERE id IS NOT NULL) i CROSS JOIN (VALUES {vals}) r(ratio)) s)"""
+
+
+def lit(s: str) -> str:
+    """A Python string as a DuckDB expression (newlines via chr(10))."""
+    parts = [("'" + p.replace("'", "''") + "'") for p in s.split("\n")]
+    return " || chr(10) || ".join(parts)
+
+
+def show(x: str) -> str:
+    """Python's f-string rendering of an optional string."""
+    return f"coalesce(CAST({x} AS VARCHAR), 'None')"
+
+
+def options_text(opts: str) -> str:
+    return (f"array_to_string(list_transform(map_entries({opts}), "
+            f"lambda e: e.key || ': ' || coalesce(e.value, 'None')), chr(10))")
+
+
+def mcq_prompt(q: str, opts: str, llama: bool = False) -> str:
+    sep = lit("\n####Choices:\n") if llama else "chr(10)"
+    return f"{show(q)} || {sep} || {options_text(opts)}"
+
+
+def few_shot_item(q: str, opts: str, ans: str, kind: str, llama: bool = False) -> str:
+    if llama:
+        head = f"CASE WHEN {kind} = 'Image_Textual' THEN {lit(chr(10).join(['<|image|>', '<|begin_of_text|>']))} ELSE '<|begin_of_text|>' END || '### Question: '"
+    else:
+        head = f"CASE WHEN {kind} = 'Image_Textual' THEN {lit('USER: <image>' + chr(10))} ELSE {lit('USER:' + chr(10))} END || 'Question: '"
+    body = f"{head} || {show(q)} || chr(10)"
+    if llama:
+        body += " || 'Options:' || chr(10)"
+    for k in "ABCD":
+        body += f" || '{k}: ' || {show(f'{opts}[{chr(39)}{k}{chr(39)}]')} || chr(10)"
+    return body + f" || 'Correct Answer: ' || {show(ans)} || chr(10)"
