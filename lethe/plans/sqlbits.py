@@ -77,3 +77,41 @@ def few_shot_item(q: str, opts: str, ans: str, kind: str, llama: bool = False) -
     for k in "ABCD":
         body += f" || '{k}: ' || {show(f'{opts}[{chr(39)}{k}{chr(39)}]')} || chr(10)"
     return body + f" || 'Correct Answer: ' || {show(ans)} || chr(10)"
+
+
+def text_scores_ctes(src: str, key: str, ref: str, hyp: str) -> str:
+    """CTEs ``tok``, ``grams``, ``pg``, ``ov``, ``piv``, ``scores``: BLEU-4
+    (whitespace tokens, method-1 smoothing) and ROUGE-1/2 F (no stemming)
+    per ``key`` of ``src``."""
+    parts = []
+    for tag, (r, h), ns in (("b", ("bref", "bhyp"), range(1, 5)), ("r", ("rref", "rhyp"), range(1, 3))):
+        for n in ns:
+            parts.append(f"SELECT {key}, '{tag}' AS m, {n} AS n, unnest({grams(r, n)}) AS g, 0 AS side FROM tok")
+            parts.append(f"SELECT {key}, '{tag}', {n}, unnest({grams(h, n)}), 1 FROM tok")
+    cols = []
+    for tag, ns in (("b", range(1, 5)), ("r", range(1, 3))):
+        for n in ns:
+            for c in ("num", "hyp", "ref"):
+                cols.append(f"sum({c}) FILTER (WHERE m = '{tag}' AND n = {n}) AS {tag}{n}_{c}")
+
+    def z(c):
+        return f"coalesce({c}, 0)"
+    logs = " + ".join(
+        f"ln((CASE WHEN {z(f'b{n}_num')} = 0 THEN 0.1 ELSE {z(f'b{n}_num')} END) / greatest({z(f'b{n}_hyp')}, 1)) / 4"
+        for n in range(1, 5))
+    bp = (f"CASE WHEN {z('b1_hyp')} > {z('b1_ref')} THEN 1.0 "
+          f"ELSE exp(1 - CAST({z('b1_ref')} AS DOUBLE) / {z('b1_hyp')}) END")
+    bleu = f"CASE WHEN {z('b1_num')} = 0 THEN 0.0 ELSE ({bp}) * exp({logs}) END"
+
+    def rouge(n):
+        p = f"(CAST({z(f'r{n}_num')} AS DOUBLE) / greatest({z(f'r{n}_hyp')}, 1))"
+        r = f"(CAST({z(f'r{n}_num')} AS DOUBLE) / greatest({z(f'r{n}_ref')}, 1))"
+        return f"CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0.0 END"
+    union = "\n  UNION ALL ".join(parts)
+    return f"""tok AS (SELECT {key}, {py_split(ref)} AS bref, {py_split(hyp)} AS bhyp,
+                      {rouge_tokens(ref)} AS rref, {rouge_tokens(hyp)} AS rhyp FROM {src}),
+grams AS ({union}),
+pg AS (SELECT {key}, m, n, g, sum(1 - side) AS rc, sum(side) AS hc FROM grams GROUP BY {key}, m, n, g),
+ov AS (SELECT {key}, m, n, sum(least(rc, hc)) AS num, sum(hc) AS hyp, sum(rc) AS ref FROM pg GROUP BY {key}, m, n),
+piv AS (SELECT {key}, {', '.join(cols)} FROM ov GROUP BY {key}),
+scores AS (SELECT {key}, {bleu} AS bleu, {rouge(1)} AS rouge1, {rouge(2)} AS rouge2 FROM piv)"""
