@@ -162,16 +162,18 @@ def json_to_token(col: Column, dtype: T.DataType, sort_keys: bool = True) -> Col
     """``<s_k>v</s_k>`` per key (keys in descending order when
     sorting, else stored order), list items joined by ``<sep/>``, a struct
     holding only ``text_sequence`` is its value; scalars as Python's
-    ``str`` (``True``, ``None``).  Built from the declared type, so the
+    ``str`` (``True``); a NULL field counts as an absent key.  Built from the declared type, so the
     whole conversion is one Column expression."""
     if isinstance(dtype, T.StructType):
         names = [f.name for f in dtype.fields]
         if names == ["text_sequence"]:
             return json_to_token(col["text_sequence"], dtype["text_sequence"].dataType, sort_keys)
         order = sorted(names, reverse=True) if sort_keys else names
-        parts = []
-        for k in order:
-            parts += [F.lit(f"<s_{k}>"), json_to_token(col[k], dtype[k].dataType, sort_keys), F.lit(f"</s_{k}>")]
+        # A NULL field is an absent key: it is left out, like a key the
+        # JSON document does not have.
+        parts = [F.when(col[k].isNull(), F.lit("")).otherwise(F.concat(
+            F.lit(f"<s_{k}>"), json_to_token(col[k], dtype[k].dataType, sort_keys), F.lit(f"</s_{k}>")))
+            for k in order]
         body = F.concat(*parts) if parts else F.lit("")
         return F.when(col.isNull(), F.lit("None")).otherwise(body)
     if isinstance(dtype, T.MapType):

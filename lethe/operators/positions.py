@@ -27,6 +27,8 @@ from lethe.session import checkpoint_dir
 
 # Hex digits of the hash that form a bucket: 4096 buckets.
 DEFAULT_PREFIX = 3
+# Exact accumulator type of running sums.
+EXACT = "decimal(38,18)"
 
 
 def seeded_hash(*parts) -> Column:
@@ -93,19 +95,23 @@ def running_totals(df: DataFrame, group_cols: Sequence[str], order_col: str, val
     A running window over a whole group would put the group (an epoch of
     training steps) into one task.  Rows are cut into blocks of ``block``
     consecutive order values instead: per-block sums (a small table) give
-    each block its offset, and the window runs only inside a block."""
+    each block its offset, and the window runs only inside a block.
+
+    Sums are exact (DECIMAL(38,18)), so the result does not depend on
+    where the blocks fall or in which order partial sums meet; ``_rsum``
+    is returned as DOUBLE."""
     blk = F.floor(F.col(order_col) / F.lit(int(block))).cast("long")
-    x = df.withColumn("_blk", blk)
-    sums = x.groupBy(*group_cols, "_blk").agg(F.sum(value_col).alias("_bs"), F.count(F.lit(1)).alias("_bc"))
+    x = df.withColumn("_blk", blk).withColumn("_v", F.col(value_col).cast(EXACT))
+    sums = x.groupBy(*group_cols, "_blk").agg(F.sum("_v").alias("_bs"), F.count(F.lit(1)).alias("_bc"))
     wb = Window.partitionBy(*group_cols).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     wg = Window.partitionBy(*group_cols)
     offs = sums.select(*group_cols, "_blk",
-                       F.coalesce(F.sum("_bs").over(wb), F.lit(0.0)).alias("_os"),
+                       F.coalesce(F.sum("_bs").over(wb), F.lit(0).cast(EXACT)).alias("_os"),
                        F.coalesce(F.sum("_bc").over(wb), F.lit(0)).alias("_oc"),
                        F.sum("_bc").over(wg).alias("_gcnt"))
     w = (Window.partitionBy(*group_cols, "_blk").orderBy(order_col, *tie_cols)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (x.join(offs, [*group_cols, "_blk"])
-            .withColumn("_rsum", F.col("_os") + F.sum(value_col).over(w))
+            .withColumn("_rsum", (F.col("_os") + F.sum("_v").over(w)).cast("double"))
             .withColumn("_rcnt", F.col("_oc") + F.count(F.lit(1)).over(w))
-            .drop("_blk", "_os", "_oc"))
+            .drop("_blk", "_os", "_oc", "_v"))
