@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lethe.functions.arrays import index_range, let
 from lethe.functions.text import py_split
 from lethe.operators.positions import ordered_positions
 
@@ -98,38 +99,43 @@ def mask_prompt_spans(ids: Column, pad_id: int = PAD_ID) -> Column:
     benchmark's loop stops early there); finally padding and the image id.
     Ids after the last end-of-turn keep their labels.
 
-    Row-local: the end-of-turn positions define the spans; each span is
-    tested once, each position looks at its masked spans (few per
-    dialog)."""
-    n = F.size(ids)
-    at = lambda arr, i: F.get(arr, i)
-    seq = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    eots = F.filter(seq, lambda i: at(ids, i) == END_OF_TURN_ID)
-    spans = F.transform(eots, lambda e, k: F.struct(
-        F.when(k == 0, F.lit(0)).otherwise(at(eots, k - 1) + 1).alias("s"), e.alias("e")))
+    Row-local and linear: the end-of-turn positions define the spans, each
+    span is tested once, each position looks at the masked spans (few per
+    dialog).  Intermediate arrays are bound once with ``let``."""
+    at = F.get
 
-    def prompt_header(p):
-        return ((at(ids, p) == HEADER_START_ID) & at(ids, p + 1).isin(SYSTEM_ROLE_ID, USER_ROLE_ID)
-                & (at(ids, p + 2) == HEADER_END_ID))
+    def prompt_header(v, p):
+        return ((at(v, p) == HEADER_START_ID) & at(v, p + 1).isin(SYSTEM_ROLE_ID, USER_ROLE_ID)
+                & (at(v, p + 2) == HEADER_END_ID))
 
-    masked = F.filter(spans, lambda sp: F.exists(
-        F.when(sp["e"] - 3 >= sp["s"], F.sequence(sp["s"], sp["e"] - 3)).otherwise(F.array().cast("array<int>")),
-        prompt_header))
-    step1 = F.transform(ids, lambda x, i: F.when(
-        F.exists(masked, lambda sp: (i >= sp["s"]) & (i <= sp["e"])), F.lit(IGNORE_INDEX)).otherwise(x))
-    return _mask_assistant(step1, pad_id)
+    def with_ids(v):
+        eots = F.filter(index_range(F.size(v)), lambda i: at(v, i) == END_OF_TURN_ID)
+        return let(eots, lambda e: with_eots(v, e))
+
+    def with_eots(v, eots):
+        spans = F.transform(eots, lambda e, k: F.struct(
+            F.when(k == 0, F.lit(0)).otherwise(at(eots, k - 1) + 1).alias("s"), e.alias("e")))
+        masked = F.filter(spans, lambda sp: F.exists(
+            F.when(sp["e"] - 3 >= sp["s"], F.sequence(sp["s"], sp["e"] - 3)).otherwise(F.array().cast("array<int>")),
+            lambda p: prompt_header(v, p)))
+        return let(masked, lambda m: _mask_assistant(F.transform(v, lambda x, i: F.when(
+            F.exists(m, lambda sp: (i >= sp["s"]) & (i <= sp["e"])), F.lit(IGNORE_INDEX)).otherwise(x)), pad_id))
+
+    return let(ids, with_ids)
 
 
 def _mask_assistant(labels: Column, pad_id: int) -> Column:
-    n = F.size(labels)
+    def body(lab):
+        n = F.size(lab)
 
-    def hdr(p):
-        return ((p >= 0) & (p <= n - 4) & (F.get(labels, p) == HEADER_START_ID)
-                & (F.get(labels, p + 1) == ASSISTANT_ROLE_ID) & (F.get(labels, p + 2) == HEADER_END_ID))
+        def hdr(p):
+            return ((p >= 0) & (p <= n - 4) & (F.get(lab, p) == HEADER_START_ID)
+                    & (F.get(lab, p + 1) == ASSISTANT_ROLE_ID) & (F.get(lab, p + 2) == HEADER_END_ID))
 
-    return F.transform(labels, lambda x, i: F.when(
-        hdr(i) | hdr(i - 1) | hdr(i - 2) | (x == pad_id) | (x == IMAGE_TOKEN_ID), F.lit(IGNORE_INDEX))
-        .otherwise(x))
+        return F.transform(lab, lambda x, i: F.when(
+            hdr(i) | hdr(i - 1) | hdr(i - 2) | (x == pad_id) | (x == IMAGE_TOKEN_ID), F.lit(IGNORE_INDEX))
+            .otherwise(x))
+    return let(labels, body)
 
 
 def padded_batches(rows: DataFrame, batch_cols: Sequence[str] = ("epoch", "batch_id"),

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lethe.functions.arrays import let
 from lethe.functions.text import file_stem, last_path_segment, matches_glob
 
 # Defaults of the profile statistics for missing keys.
@@ -171,8 +172,10 @@ def upsert_additional_qa(targets: DataFrame, sources: DataFrame, target_id: str
                                                           "Additional_answer:string>>"))
     idx = F.coalesce(F.array_position(F.transform(meta, lambda e: e["Additional_ID"]), F.col("_sid")),
                      F.lit(0))
-    replaced = F.transform(meta, lambda e, k: F.when(k == idx - 1, new).otherwise(e))
-    upserted = F.when(idx > 0, replaced).otherwise(F.array_append(meta, new))
+    # The hit position is bound once per row, not per element.
+    upserted = let(idx, lambda i: F.when(
+        i > 0, F.transform(meta, lambda e, k: F.when(k == i - 1, new).otherwise(e)))
+        .otherwise(F.array_append(meta, new)))
     return (j.withColumn("metadata", F.when(F.col("_sid").isNotNull(), upserted).otherwise(F.col("metadata")))
             .drop("_sid", "_sq", "_sa"))
 

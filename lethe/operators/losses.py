@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lethe.functions.arrays import let
 from lethe.operators.positions import running_totals
 
 # NPO inverse temperature default and the ignored label.
@@ -83,9 +84,12 @@ def npo_loss(pairs: DataFrame, group_cols: Sequence[str] = ("batch_id",),
 
 
 def _log_softmax(x: Column) -> Column:
-    m = F.array_max(x)
-    lse = m + F.log(F.aggregate(F.transform(x, lambda v: F.exp(v - m)), F.lit(0.0), lambda a, b: a + b))
-    return F.transform(x, lambda v: v - lse)
+    """Stable log-softmax; the max and the log-sum-exp are bound once
+    (``let``), not recomputed per element."""
+    def with_max(v, m):
+        lse = m + F.log(F.aggregate(F.transform(v, lambda t: F.exp(t - m)), F.lit(0.0), lambda a, b: a + b))
+        return let(lse, lambda s: F.transform(v, lambda t: t - s))
+    return let(x, lambda v: let(F.array_max(v), lambda m: with_max(v, m)))
 
 
 def kl_row_expr(current_logits: Column, original_logits: Column) -> Column:

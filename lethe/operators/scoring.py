@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lethe.functions.arrays import let
 from lethe.functions.text import extract_response, option_letter, py_split
 
 # BLEU-4 with uniform weights and "method 1" smoothing.
@@ -56,10 +57,12 @@ def rouge_tokens(col) -> Column:
 def _grams(tokens: Column, n: int, tag: str) -> Column:
     """array<struct<m, n, g>> of the n-grams of ``tokens`` (joined by a
     space, which no token contains)."""
-    size = F.size(tokens)
-    seq = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(seq, lambda i: F.struct(F.lit(tag).alias("m"), F.lit(n).alias("n"),
-                                              F.array_join(F.slice(tokens, i, n), " ").alias("g")))
+    def body(t):
+        size = F.size(t)
+        seq = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(seq, lambda i: F.struct(F.lit(tag).alias("m"), F.lit(n).alias("n"),
+                                                  F.array_join(F.slice(t, i, n), " ").alias("g")))
+    return let(tokens, body)
 
 
 def ngram_overlap(df: DataFrame, key: str, pairs: dict[str, tuple[str, str, Sequence[int]]]) -> DataFrame:

@@ -41,4 +41,4 @@ def domain(spark: SparkSession, **cols) -> DataFrame:
 
 
 # Importing the modules fills QUERIES and ORACLES.
-from lethe.plans import q_curate, q_eval, q_losses, q_prompts, q_scoring, q_splits  # noqa: E402,F401
+from lethe.plans import q_batches, q_curate, q_eval, q_losses, q_prompts, q_scoring, q_splits  # noqa: E402,F401,I001
