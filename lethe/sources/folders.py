@@ -119,6 +119,9 @@ def write_eval_report(report_json: DataFrame, path: str) -> None:
     report_json.coalesce(1).write.mode("overwrite").text(path)
 
 
-def write_profile_stats(stats_json: DataFrame, path: str) -> None:
-    """Duplicate names and the two summaries as one document."""
-    stats_json.coalesce(1).write.mode("overwrite").text(path)
+def write_profile_stats(stats: DataFrame, path: str) -> None:
+    """Duplicate names and the two summaries (rows of
+    ``lethe.operators.report.profile_stats``) as JSON lines, one folder
+    per section.  The reference's single document would route every
+    duplicated name through one writer; lines keep the write parallel."""
+    stats.write.partitionBy("section").mode("overwrite").json(path)
