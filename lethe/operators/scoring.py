@@ -1,21 +1,29 @@
 """Scoring model outputs: answer letters, accuracy, BLEU, ROUGE.
 
-n-gram overlap is relational: every row's n-grams are exploded once, counted
-per (row, n, gram) with map-side partial aggregation, clipped, and summed
-back per row.  A long text spreads over many tasks (the gram is part of the
-key), and repeated grams collapse before the shuffle.
+A reference and its prediction sit in one row, so n-gram overlap is
+row-local: no gram is exploded or shuffled, and scoring is a map-only
+stage before the per-set aggregates.  Tokens are built in the JVM
+(split, lower, regex); the clipped n-gram counts (and the LCS for
+ROUGE-L) are one Arrow-batched pandas UDF per row batch.  Measured at
+sf0.1 this is ~5x faster than the same counts with interpreted
+higher-order functions (sort + fold) and ~8x faster than exploding
+grams into a shuffle.  The formulas stay in Column expressions.
 """
 
 from __future__ import annotations
 
+import functools
+from collections import Counter
 from collections.abc import Sequence
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lethe.functions.arrays import let
 from lethe.functions.text import extract_response, option_letter, py_split
+from lethe.operators.lcs import lcs_len
 
 # BLEU-4 with uniform weights and "method 1" smoothing.
 BLEU_MAX_N = 4
@@ -54,47 +62,44 @@ def rouge_tokens(col) -> Column:
     return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: t != F.lit(""))
 
 
-def _grams(tokens: Column, n: int, tag: str) -> Column:
-    """array<struct<m, n, g>> of the n-grams of ``tokens`` (joined by a
-    space, which no token contains)."""
-    def body(t):
-        size = F.size(t)
-        seq = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(seq, lambda i: F.struct(F.lit(tag).alias("m"), F.lit(n).alias("n"),
-                                                  F.array_join(F.slice(t, i, n), " ").alias("g")))
-    return let(tokens, body)
-
-
-def ngram_overlap(df: DataFrame, key: str, pairs: dict[str, tuple[str, str, Sequence[int]]]) -> DataFrame:
-    """Clipped n-gram overlap for several token pairs at once.
-
-    ``pairs`` maps a tag to (reference tokens column, hypothesis tokens
-    column, orders).  Returns per key and tag/order: ``num`` (clipped
-    matches), ``hyp`` and ``ref`` (n-gram counts).  Rows without any n-gram
-    are absent (callers left-join).
-    """
-    parts = []
-    for tag, (ref, hyp, ns) in pairs.items():
-        for n in ns:
-            parts.append(F.transform(_grams(F.col(ref), n, tag), lambda s: s.withField("side", F.lit(0))))
-            parts.append(F.transform(_grams(F.col(hyp), n, tag), lambda s: s.withField("side", F.lit(1))))
-    grams = (df.select(key, F.explode(F.flatten(F.array(*parts))).alias("x"))
-             .select(key, "x.m", "x.n", "x.g", "x.side"))
-    per_gram = grams.groupBy(key, "m", "n", "g").agg(
-        F.sum(1 - F.col("side")).alias("rc"), F.sum("side").alias("hc"))
-    return per_gram.groupBy(key, "m", "n").agg(
-        F.sum(F.least("rc", "hc")).cast("long").alias("num"),
-        F.sum("hc").cast("long").alias("hyp"), F.sum("rc").cast("long").alias("ref"))
-
-
-def _pivot_counts(overlap: DataFrame, key: str, spec: dict[str, Sequence[int]]) -> DataFrame:
-    aggs = []
-    for tag, ns in spec.items():
-        for n in ns:
-            sel = (F.col("m") == tag) & (F.col("n") == n)
-            for c in ("num", "hyp", "ref"):
-                aggs.append(F.sum(F.when(sel, F.col(c))).alias(f"{tag}{n}_{c}"))
-    return overlap.groupBy(key).agg(*aggs)
+def _clipped(a: list, b: list, n: int) -> int:
+    """sum over distinct n-grams of min(count in a, count in b)."""
+    if len(a) < n or len(b) < n:
+        return 0
+    ca = Counter(zip(*[a[i:] for i in range(n)]))
+    cb = Counter(zip(*[b[i:] for i in range(n)]))
+    if len(ca) > len(cb):
+        ca, cb = cb, ca
+    return sum(min(v, cb.get(g, 0)) for g, v in ca.items())
+
+
+_ORDERS = (("b", tuple(range(1, BLEU_MAX_N + 1))), ("r", ROUGE_NS))
+COUNT_FIELDS = [f"{p}{n}_{c}" for p, ns in _ORDERS for n in ns for c in ("num", "hyp", "ref")]
+
+
+@functools.lru_cache(maxsize=2)
+def _counts_udf(with_lcs: bool):
+    fields = [T.StructField(f, T.LongType()) for f in COUNT_FIELDS]
+    if with_lcs:
+        fields.append(T.StructField("lcs", T.LongType()))
+    schema = T.StructType(fields)
+
+    @F.pandas_udf(schema)
+    def counts(br: pd.Series, bh: pd.Series, rr: pd.Series, rh: pd.Series) -> pd.DataFrame:
+        rows = []
+        for a, b, c, d in zip(br, bh, rr, rh):
+            pairs = {"b": (list(a), list(b)), "r": (list(c), list(d))}
+            row = []
+            for p, ns in _ORDERS:
+                ref, hyp = pairs[p]
+                for n in ns:
+                    row += [_clipped(ref, hyp, n), max(len(hyp) - n + 1, 0), max(len(ref) - n + 1, 0)]
+            if with_lcs:
+                row.append(lcs_len(pairs["r"][0], pairs["r"][1]))
+            rows.append(row)
+        return pd.DataFrame(rows, columns=[f.name for f in schema.fields], dtype="int64")
+
+    return counts
 
 
 def bleu_expr(prefix: str = "b") -> Column:
@@ -130,27 +135,24 @@ def text_scores(df: DataFrame, key: str, ref_col: str, hyp_col: str,
                 rouge_l: bool = False, stem: bool = False) -> DataFrame:
     """X9 + X10 (+ X11, X12): per row ``bleu``, ``rouge1``, ``rouge2``
     (and ``rougeL``) between reference ``ref_col`` and prediction
-    ``hyp_col``.  ``key`` must be unique per row."""
+    ``hyp_col``.  Row-local: no n-gram is exploded or shuffled.
+    ``key`` identifies a row for callers; it is not needed here."""
     base = (df.withColumn("_bt_ref", py_split(ref_col)).withColumn("_bt_hyp", py_split(hyp_col))
             .withColumn("_rt_ref", rouge_tokens(ref_col)).withColumn("_rt_hyp", rouge_tokens(hyp_col)))
     if stem:
         from lethe.operators.stemming import stem_token_arrays
         base = stem_token_arrays(base, key, ["_rt_ref", "_rt_hyp"])
-    pairs = {"b": ("_bt_ref", "_bt_hyp", range(1, BLEU_MAX_N + 1)),
-             "r": ("_rt_ref", "_rt_hyp", ROUGE_NS)}
-    counts = _pivot_counts(ngram_overlap(base.select(key, "_bt_ref", "_bt_hyp", "_rt_ref", "_rt_hyp"),
-                                         key, pairs),
-                           key, {t: list(v[2]) for t, v in pairs.items()})
-    scores = counts.select(key, bleu_expr("b").alias("bleu"),
-                           *[rouge_n_expr(n, "r").alias(f"rouge{n}") for n in ROUGE_NS])
-    out = base.join(scores, key, "left").fillna(0.0, ["bleu"] + [f"rouge{n}" for n in ROUGE_NS])
+    x = base.withColumn("_cnt", _counts_udf(rouge_l)("_bt_ref", "_bt_hyp", "_rt_ref", "_rt_hyp"))
+    x = x.select("*", *[F.col(f"_cnt.{c}").alias(c) for c in COUNT_FIELDS])
+    out = x.withColumn("bleu", bleu_expr("b"))
+    for n in ROUGE_NS:
+        out = out.withColumn(f"rouge{n}", rouge_n_expr(n, "r"))
     if rouge_l:
-        from lethe.operators.lcs import lcs_length
-        lcs = lcs_length(F.col("_rt_ref"), F.col("_rt_hyp")).cast("double")
+        lcs = F.col("_cnt.lcs").cast("double")
         nr, nh = F.size("_rt_ref"), F.size("_rt_hyp")
         out = out.withColumn("rougeL", F.when((nr == 0) | (nh == 0), F.lit(0.0))
                              .otherwise(_fmeasure(lcs / nh, lcs / nr)))
-    return out.drop("_bt_ref", "_bt_hyp", "_rt_ref", "_rt_hyp")
+    return out.drop("_bt_ref", "_bt_hyp", "_rt_ref", "_rt_hyp", "_cnt", *COUNT_FIELDS)
 
 
 def generation_averages(scored: DataFrame, group_cols: Sequence[str], metrics: Sequence[str],
