@@ -29,8 +29,11 @@ def py_strip(col) -> Column:
 
 
 def py_split(col) -> Column:
-    """``str.split()``: runs of whitespace separate, no empty tokens."""
-    return F.filter(F.split(_c(col), _WS_CLASS), lambda t: t != F.lit(""))
+    """``str.split()``: runs of whitespace separate, no empty tokens.
+    Trimming first leaves no empty edge token, so no per-token filter
+    (a lambda) is needed; the whole expression stays in codegen."""
+    t = py_strip(col)
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, _WS_CLASS))
 
 
 def extract_response(col) -> Column:

@@ -36,7 +36,7 @@ ASSISTANT_ROLE_ID = 78191
 FIRST_WORD_ID = 2
 UNKNOWN_ID = 1
 # Vocabularies up to this many entries are broadcast to the token join.
-BROADCAST_VOCAB_MAX = 2_000_000
+BROADCAST_VOCAB_MAX = 1_000_000
 
 
 def vocabulary(texts: DataFrame, text_col: str = "text") -> DataFrame:
