@@ -127,6 +127,38 @@ def classification_prompts(flat_mcq: DataFrame, mode: str, model_id: str,
     return q.withColumn("prompt", prompt).drop("few_shot")
 
 
+def classification_prompts_by_set(flat_mcq: DataFrame, sets: DataFrame, model_id: str,
+                                  exemplar_ids: DataFrame | None = None,
+                                  exemplar_questions: DataFrame | None = None) -> DataFrame:
+    """E9 + J8 + J9 + X1/X5 for several eval sets in one pass.
+
+    ``sets`` maps a person to the eval sets (modes) it belongs to
+    (``id, eval_set``); the question table is joined to it once.  Rows of
+    ``retain_shared`` whose person is an exemplar are dropped, and the
+    few-shot block of the row's kind is used only in the few-shot modes.
+    The exemplar ids (k <= 2) and the blocks (one per kind) are bounded
+    and broadcast."""
+    q = flat_mcq.join(sets.select("id", "eval_set"), "id")
+    llama = P.family(model_id) == P.LLAMA
+    few = F.lit("")
+    if exemplar_ids is not None:
+        ex = exemplar_ids.select(F.col("id").alias("_ex_id"))
+        q = (q.join(F.broadcast(ex), F.col("id") == F.col("_ex_id"), "left")
+             .where(~((F.col("eval_set") == "retain_shared") & F.col("_ex_id").isNotNull()))
+             .drop("_ex_id"))
+        if not llama:
+            src = exemplar_questions if exemplar_questions is not None else flat_mcq
+            blocks = few_shot_blocks(few_shot_lookup(src, exemplar_ids), model_id)
+            q = q.join(F.broadcast(blocks), "kind", "left")
+            few = F.when(F.col("eval_set").isin(list(FEW_SHOT_MODES)), F.coalesce(F.col("few_shot"), F.lit("")))\
+                .otherwise(F.lit(""))
+    q = q.withColumn("_few", few)
+    qwo = P.mcq_prompt("Question", "Options", llama=llama)
+    prompt = F.when(F.col("kind") == IMAGE_TEXTUAL, P.classification_prompt(qwo, F.col("_few"), model_id, True)) \
+        .otherwise(P.classification_prompt(qwo, F.col("_few"), model_id, False))
+    return q.withColumn("prompt", prompt).drop("_few", "few_shot")
+
+
 def generation_prompts(flat_gen: DataFrame, model_id: str) -> DataFrame:
     """X5 for generation questions; any type other than ``Image_Textual``
     is text."""

@@ -36,7 +36,7 @@ SELECT id, turn, CASE WHEN turn % 4 = 0 THEN 'Image_Textual' ELSE 'Pure_Text' EN
        question AS Question, answer AS Ground_Truth, question AS generated_text
 FROM v_qa""",
     "v_steps": """
-SELECT 'r0' AS run, CAST(dense_rank() OVER (ORDER BY event_type) AS INTEGER) AS epoch,
+SELECT 'r0' AS run, CAST(ascii(event_type) - 96 AS INTEGER) AS epoch,
        CASE WHEN user_id % 2 = 0 THEN 'forget' ELSE 'retain' END AS "set",
        event_id AS step, value AS loss, 1 AS accum
 FROM events""",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lethe.functions.text import py_split
 from lethe.operators import batching as B
-from lethe.operators.losses import answer_loss
+from lethe.operators.losses import answer_loss_expr
 from lethe.operators.splits import shuffled_batches
 from lethe.plans import sqlbits as sb
 from lethe.plans.oracle_views import with_views
@@ -104,10 +104,13 @@ def q_answer_loss(spark, d):
     pos_loss = F.transform(nxt,
                            lambda k: F.log1p(F.get(F.col("input_ids"), k).cast("double")) / 10)
     t = b.select("batch_id", lab.alias("labels"), pos_loss.alias("position_loss"))
-    gd = answer_loss(t, "gd", ["batch_id"]).withColumnRenamed("answer_loss", "answer_loss_gd")
-    ga = answer_loss(t, "ga", ["batch_id"]).select("batch_id", F.col("answer_loss").alias("answer_loss_ga"))
-    return gd.join(ga, "batch_id").select("batch_id", r6("answer_loss_gd").alias("answer_loss_gd"),
-                                          r6("answer_loss_ga").alias("answer_loss_ga"), "n")
+    # Both operations in one pass over the batch table.
+    t = (t.withColumn("gd", answer_loss_expr(F.col("labels"), F.col("position_loss"), "gd"))
+         .withColumn("ga", answer_loss_expr(F.col("labels"), F.col("position_loss"), "ga")))
+    out = t.groupBy("batch_id").agg(F.avg("gd").alias("answer_loss_gd"), F.avg("ga").alias("answer_loss_ga"),
+                                    F.count(F.lit(1)).alias("n"))
+    return out.select("batch_id", r6("answer_loss_gd").alias("answer_loss_gd"),
+                      r6("answer_loss_ga").alias("answer_loss_ga"), "n")
 
 
 def _dialogs(spark, d):

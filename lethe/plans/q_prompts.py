@@ -89,17 +89,19 @@ def _mcq_sets(spark, d):
 
 
 def _mcq_prompts(spark, d, model_id, sets):
+    """All requested eval sets in one pass: a membership table (forget
+    ids -> forget, test; retain ids -> retain_shared; everyone ->
+    retain_celebrity) joined once to the questions."""
     m, forget, retain = _mcq_sets(spark, d)
     chosen = ES.sample_exemplar_ids(retain, model_id)
-    parts = {
-        "forget": (m.join(forget, "id", "left_semi"), "forget"),
-        "test": (m.join(forget, "id", "left_semi"), "test"),
-        "retain_shared": (m.join(retain, "id", "left_semi"), "retain_shared"),
-        "retain_celebrity": (m, "retain_celebrity"),
-    }
-    out = {name: ES.classification_prompts(df, mode, model_id, chosen, m)
-           for name, (df, mode) in parts.items() if name in sets}
-    return ES.assemble_eval_sets(out, "classification").select("eval_set", "id", "kind", "question_idx", "prompt")
+    split = forget.withColumn("set", F.lit("forget")).unionByName(retain.withColumn("set", F.lit("retain")))
+    labels = (F.when(F.col("set") == "forget",
+                     F.array(F.lit("forget"), F.lit("test"), F.lit("retain_celebrity")))
+              .otherwise(F.array(F.lit("retain_shared"), F.lit("retain_celebrity"))))
+    member = (split.select("id", F.explode(labels).alias("eval_set"))
+              .where(F.col("eval_set").isin(list(sets))))
+    out = ES.classification_prompts_by_set(m, member, model_id, chosen, m)
+    return out.select("eval_set", "id", "kind", "question_idx", "prompt")
 
 
 _MCQ_SETS_SQL = with_views("v_ids", "v_mcq") + ", " + sb.split_cte("split", "v_ids", [10]) + """,
