@@ -201,3 +201,17 @@ def q_train_prompts(spark, d):
                      P.train_prompt("question", "answer", "legacy").alias("legacy"),
                      P.train_prompt("question", "answer", "llama").alias("llama"),
                      P.eval_question_prompt("question").alias("eval_llava"))
+
+
+@register("chat_messages", with_views("v_qa") + """
+SELECT id, turn, 0 AS msg, 'user' AS role, 0 AS item, 'image' AS type, CAST(NULL AS VARCHAR) AS text FROM v_qa
+UNION ALL SELECT id, turn, 0, 'user', 1, 'text', question FROM v_qa
+UNION ALL SELECT id, turn, 1, 'assistant', 0, 'text', answer FROM v_qa""")
+def q_chat_messages(spark, d):
+    """The nested user/assistant messages, checked after an inline."""
+    m = v_qa(spark, d).select("id", "turn", P.chat_messages("question", "answer").alias("m"))
+    msgs = m.select("id", "turn", F.posexplode("m").alias("msg", "x"))
+    items = msgs.select("id", "turn", "msg", F.col("x.role").alias("role"),
+                        F.posexplode("x.content").alias("item", "c"))
+    return items.select("id", "turn", "msg", "role", "item", F.col("c.type").alias("type"),
+                        F.col("c.text").alias("text"))

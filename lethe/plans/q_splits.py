@@ -98,3 +98,21 @@ def q_set_sizes(spark, d):
     dom = domain(spark, ratio=[5, 10, 15], set=["forget", "retain"])
     return (dom.join(agg, ["ratio", "set"], "left").fillna(0, ["n_profiles", "n_rows"])
             .select("ratio", "set", "n_profiles", "n_rows"))
+
+
+@register("split_roundtrip", with_views("v_customer_ids") + ", "
+          + sb.split_cte("split", "v_customer_ids", [5, 10, 15]) + """
+SELECT id, "set" FROM split WHERE ratio = 10""")
+def q_split_roundtrip(spark, d):
+    """S5 + S6: write the splits partitioned by (ratio, set) under the
+    shared checkpoint folder, read ratio 10 back with partition pruning."""
+    import hashlib
+    import os
+
+    from lethe.session import checkpoint_dir
+    from lethe.sources import load_split, write_split
+    root = os.path.join(checkpoint_dir(spark), "splits", hashlib.md5(d.encode()).hexdigest()[:12])
+    write_split(S.forget_retain_split(v_customer_ids(spark, d), ratios=[5, 10, 15]), root)
+    forget, retain = load_split(spark, root, 10)
+    return (forget.withColumn("set", F.lit("forget"))
+            .unionByName(retain.withColumn("set", F.lit("retain"))))

@@ -176,3 +176,20 @@ def test_empty_eval_set_reports_zero(spark):
     assert len(rep) == 4 * (2 + 8) and all(r["value"] == 0.0 for r in rep)
     doc = json.loads(RP.report_document(RP.eval_report(mcq, gen)).first()[0])
     assert list(doc) == list(RP.REPORT_SETS)
+
+
+def test_write_profiles_and_generation_results(spark, qa_folder, tmp_dir):
+    p = C.propagate_id(S.read_training_profiles(spark, qa_folder)).drop("file_name")
+    out = os.path.join(tmp_dir, "curated")
+    S.write_profiles(p, out)
+    back = spark.read.schema(p.schema).json(out)
+    assert back.count() == 3
+    res = spark.createDataFrame([("forget", "001", "Image_Textual", "Q", "the cat", "a cat"),
+                                 ("test", "002", "Pure_Text", "Q2", "x", "y")],
+                                "eval_set string, id string, Type string, Question string, response string, "
+                                "Ground_Truth string")
+    g = os.path.join(tmp_dir, "gen")
+    S.write_generation_results(res, g)
+    rows = spark.read.json(g).where("eval_set = 'forget'").collect()
+    assert rows[0]["image_id"] == "001" and rows[0]["question type"] == "Image_Textual"
+    assert rows[0]["generated_answer"] == "the cat"
