@@ -201,16 +201,17 @@ def name_lookup(rows: DataFrame, persons: DataFrame, id_col: str = "ID",
 
 
 def duplicate_names(persons: DataFrame) -> DataFrame:
-    """A1: names held by more than one profile, with their sorted ids.
-
-    Counts first (partial aggregation, no lists), then collects ids only
-    for the duplicated names, so a mostly-unique name space never builds
-    one list per profile."""
+    """A1: names held by more than one profile: one row ``name, id,
+    n_ids`` per (duplicated name, profile).
+
+    Names are counted first (partial aggregation), then the profiles of
+    the duplicated names are kept by a semi join.  Ids are never
+    collected into one list per name: a default name (``Unknown_Name``)
+    can hold a large share of all profiles, and its list would be one
+    unbounded group in one task."""
     p = person_defaults(persons)
     dup = p.groupBy("name").agg(F.count(F.lit(1)).alias("n_ids")).where(F.col("n_ids") > 1)
-    return (p.join(dup, "name", "left_semi")
-            .groupBy("name").agg(F.count(F.lit(1)).alias("n_ids"),
-                                 F.array_sort(F.collect_list("id")).alias("ids")))
+    return p.join(dup, "name").select("name", "id", "n_ids")
 
 
 def attribute_summary(persons: DataFrame) -> DataFrame:

@@ -91,13 +91,13 @@ def report_document(report: DataFrame) -> DataFrame:
 
 
 def profile_stats(persons: DataFrame) -> DataFrame:
-    """S11 rows: ``section, key, ids, n``: duplicated names with their ids,
-    then the employment and birth-place counts.  Written as JSON lines by
-    many tasks (one line per entry) rather than one document, so the
-    output never passes through one task."""
+    """S11 rows: ``section, key, id, n``: one row per (duplicated name,
+    id), then the employment and birth-place counts.  Written as JSON
+    lines by many tasks rather than one document, so neither the output
+    nor the id list of a frequent name passes through one task."""
     dup = duplicate_names(persons).select(F.lit("duplicated_names").alias("section"),
-                                          F.col("name").alias("key"), "ids", F.col("n_ids").alias("n"))
+                                          F.col("name").alias("key"), "id", F.col("n_ids").alias("n"))
     summ = attribute_summary(persons).select(
         F.when(F.col("attribute") == "employment", "employment_summary").otherwise("born_place_summary")
-        .alias("section"), F.col("value").alias("key"), F.lit(None).cast("array<string>").alias("ids"), "n")
+        .alias("section"), F.col("value").alias("key"), F.lit(None).cast("string").alias("id"), "n")
     return dup.unionByName(summ)

@@ -193,12 +193,12 @@ def q_named_prompt(spark, d):
 
 
 @register("duplicate_names", with_views("v_person") + """
-SELECT name, count(*) AS n_ids, string_agg(id, ',' ORDER BY id) AS ids FROM (
+SELECT name, id, count(*) OVER (PARTITION BY name) AS n_ids FROM (
   SELECT coalesce(ID, 'Unknown_ID') AS id, coalesce(Name, 'Unknown_Name') AS name FROM v_person) t
-GROUP BY name HAVING count(*) > 1""")
+QUALIFY count(*) OVER (PARTITION BY name) > 1""")
 def q_duplicate_names(spark, d):
-    """A1."""
-    return C.duplicate_names(v_person(spark, d)).select("name", "n_ids", F.array_join("ids", ",").alias("ids"))
+    """A1: one row per (duplicated name, id)."""
+    return C.duplicate_names(v_person(spark, d))
 
 
 @register("attribute_summary", with_views("v_person") + """

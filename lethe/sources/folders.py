@@ -53,11 +53,14 @@ def read_generation_questions(spark: SparkSession, folder: str,
 
 
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:
-    """S3: a JSON file holding one top-level array of id strings, as rows
-    ``(idx, id)`` in list order.  ``spark.read.json`` cannot read a
-    top-level scalar array, so the file is read whole and parsed."""
-    txt = spark.read.text(path, wholetext=True)
-    return txt.select(F.posexplode(F.from_json("value", "array<string>")).alias("idx", "id"))
+    """S3: JSON file(s) each holding one top-level array of id strings, as
+    rows ``(file_name, idx, id)``, ``idx`` the position in its file.
+    ``spark.read.json`` cannot read a top-level scalar array, so each file
+    is read whole (one row per file) and parsed; a folder of chunk files
+    (S4) reads as one list."""
+    txt = spark.read.text(path, wholetext=True).withColumn("file_name", F.col("_metadata.file_path"))
+    return txt.select(last_path_segment("file_name").alias("file_name"),
+                      F.posexplode(F.from_json("value", "array<string>")).alias("idx", "id"))
 
 
 def image_listing(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,12 +80,20 @@ def write_split(split: DataFrame, root: str) -> None:
      .write.partitionBy("ratio", "set").mode("ignore").parquet(root))
 
 
-def write_id_lists(split: DataFrame, root: str) -> None:
-    """The ids of each (ratio, set) as one JSON array document per
-    partition folder, sorted like the reference's lists are not (they
-    follow a shuffle); ids are sorted here for a stable file."""
-    (split.groupBy("ratio", "set").agg(F.to_json(F.array_sort(F.collect_list("id"))).alias("value"))
-     .write.partitionBy("ratio", "set").mode("overwrite").text(root))
+def write_id_lists(split: DataFrame, root: str, ids_per_file: int = 1_000_000) -> None:
+    """The ids of each (ratio, set) as JSON array documents under
+    ``root/ratio=p/set=s``.  A set is cut into hash chunks of about
+    ``ids_per_file`` ids, one array per file, so no single task collects
+    a whole set (the retain set holds almost every id); ``read_id_list``
+    reads the folder back as one list.  Ids are sorted inside a file."""
+    n = split.groupBy("ratio", "set").count().agg(F.max("count")).first()[0] or 0
+    chunks = max(1, -(-int(n) // int(ids_per_file)))
+    chunk = F.pmod(F.xxhash64("id"), F.lit(chunks))
+    (split.groupBy("ratio", "set", chunk.alias("_chunk"))
+     .agg(F.to_json(F.array_sort(F.collect_list("id"))).alias("value"))
+     .repartition("ratio", "set", "_chunk").drop("_chunk")
+     .write.option("maxRecordsPerFile", 1)  # one array per file
+     .partitionBy("ratio", "set").mode("overwrite").text(root))
 
 
 def load_split(spark: SparkSession, root: str, ratio: int) -> tuple[DataFrame, DataFrame]:

@@ -89,14 +89,14 @@ def test_person_stats(spark, person_folder, tmp_dir):
     assert d[2]["name"] == "Unknown_Name" and d[3]["born"] == "Unknown_Born_Place"
     dup = C.duplicate_names(p).collect()
     # Missing names default to Unknown_Name and count as one name, as in the benchmark.
-    assert sorted((r["name"], r["ids"]) for r in dup) == [("Ann Lee", ["001", "002"]),
-                                                          ("Unknown_Name", ["003", "004"])]
+    assert sorted((r["name"], r["id"], r["n_ids"]) for r in dup) == [
+        ("Ann Lee", "001", 2), ("Ann Lee", "002", 2), ("Unknown_Name", "003", 2), ("Unknown_Name", "004", 2)]
     summ = {(r["attribute"], r["value"]): r["n"] for r in C.attribute_summary(p).collect()}
     assert summ[("employment", "Doctor")] == 2 and summ[("employment", "Unknown_Employment")] == 2
     out = os.path.join(tmp_dir, "stats")
     S.write_profile_stats(RP.profile_stats(p), out)
     back = spark.read.json(out)
-    assert back.where("section = 'duplicated_names'").count() == 2
+    assert back.where("section = 'duplicated_names'").count() == 4
 
 
 def test_id_list_roundtrip(spark, tmp_dir):
@@ -193,3 +193,15 @@ def test_write_profiles_and_generation_results(spark, qa_folder, tmp_dir):
     rows = spark.read.json(g).where("eval_set = 'forget'").collect()
     assert rows[0]["image_id"] == "001" and rows[0]["question type"] == "Image_Textual"
     assert rows[0]["generated_answer"] == "the cat"
+
+
+def test_id_lists_in_chunks(spark, tmp_dir):
+    ids = spark.createDataFrame([(f"{i:03d}",) for i in range(1, 501)], "id string")
+    split = forget_retain_split(ids, ratios=[10])
+    root = os.path.join(tmp_dir, "chunked")
+    S.write_id_lists(split, root, ids_per_file=100)
+    back = S.read_id_list(spark, os.path.join(root, "ratio=10", "set=retain"))
+    assert back.select("file_name").distinct().count() > 1
+    got = {r["id"] for r in back.collect()}
+    want = {r["id"] for r in split.where("set = 'retain'").collect()}
+    assert got == want and len(got) == 450
