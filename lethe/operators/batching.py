@@ -51,7 +51,7 @@ def vocabulary(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def token_ids(texts: DataFrame, vocab: DataFrame, key_col: str, text_col: str = "text",
-              max_length: int | None = MAX_LENGTH) -> DataFrame:
+              max_length: int | None = MAX_LENGTH, broadcast_max: int = BROADCAST_VOCAB_MAX) -> DataFrame:
     """``input_ids`` of each text (the first ``max_length`` words;
     unknown words -> 1).  Only the kept words are exploded and joined."""
     words = py_split(text_col)
@@ -59,10 +59,22 @@ def token_ids(texts: DataFrame, vocab: DataFrame, key_col: str, text_col: str =
     toks = texts.select(key_col, F.posexplode(kept).alias("pos", "token"))
     v = vocab.select("token", "token_id")
     n_vocab = vocab.count()
-    # Broadcast only below a proven size; else a shuffle join (AQE splits
-    # the partitions of very frequent words).
-    v = F.broadcast(v) if n_vocab <= BROADCAST_VOCAB_MAX else v
-    j = toks.join(v, "token", "left").withColumn("token_id", F.coalesce("token_id", F.lit(UNKNOWN_ID)))
+    if n_vocab <= broadcast_max:
+        # Bounded by the counted check.
+        j = toks.join(F.broadcast(v), "token", "left")
+    else:
+        # Ids are frequency ranks, so the first ``broadcast_max`` ids are
+        # the frequent words: a bounded head joined by broadcast.  Only
+        # words of the tail, each rarer than every head word, go through
+        # the shuffle join, so a very frequent word never makes one hot
+        # join partition.
+        head = v.where(F.col("token_id") < FIRST_WORD_ID + broadcast_max)
+        tail = v.where(F.col("token_id") >= FIRST_WORD_ID + broadcast_max)
+        first = toks.join(F.broadcast(head), "token", "left")
+        hit = first.where(F.col("token_id").isNotNull())
+        miss = first.where(F.col("token_id").isNull()).drop("token_id").join(tail, "token", "left")
+        j = hit.unionByName(miss)
+    j = j.withColumn("token_id", F.coalesce("token_id", F.lit(UNKNOWN_ID)))
     # One row per word of a text, at most max_length rows per group.
     return (j.groupBy(key_col)
             .agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_ids"))

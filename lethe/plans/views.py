@@ -33,12 +33,14 @@ def _md5_digit(c: Column, pos: int, mod: int) -> Column:
 def v_qa(spark, d) -> DataFrame:
     """A user turn directly followed by an assistant turn = one QA pair."""
     conv = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return (conv.withColumn("nr", F.lead("role").over(w))
-            .withColumn("nt", F.lead("text").over(w))
-            .where((F.col("role") == "user") & (F.col("nr") == "assistant"))
+    # turn is unique per conversation: the next turn is an equi join on
+    # (conv_id, turn + 1), so a long conversation is not one window task.
+    u = conv.where(F.col("role") == "user")
+    a = conv.where(F.col("role") == "assistant").select(
+        F.col("conv_id").alias("_c"), (F.col("turn") - 1).alias("_t"), F.col("text").alias("answer"))
+    return (u.join(a, (u.conv_id == a._c) & (u.turn == a._t))
             .select(pad_id(F.col("conv_id")).alias("id"), "conv_id", "turn",
-                    F.col("text").alias("question"), F.col("nt").alias("answer")))
+                    F.col("text").alias("question"), "answer"))
 
 
 def v_ids(spark, d) -> DataFrame:

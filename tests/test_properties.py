@@ -106,3 +106,13 @@ def test_split_plan_has_no_single_partition(spark):
     plan = _plan(forget_retain_split(_ids(spark, 100, 2), ratios=[10]))
     # The only windows are per (ratio, bucket) and over the bounded offsets table.
     assert "SinglePartition" not in plan or plan.count("SinglePartition") <= 1
+
+
+def test_token_ids_head_tail_split(spark):
+    from lethe.operators import batching as B
+    from lethe.plans.views import v_docs
+    docs = v_docs(spark, SF0001)
+    vocab = B.vocabulary(docs)
+    a = {r["example_id"]: r["input_ids"] for r in B.token_ids(docs, vocab, "example_id").collect()}
+    b = {r["example_id"]: r["input_ids"] for r in B.token_ids(docs, vocab, "example_id", broadcast_max=50).collect()}
+    assert a == b and len(a) > 0
