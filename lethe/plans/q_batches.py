@@ -38,14 +38,14 @@ def q_vocabulary(spark, d):
 
 
 @register("token_ids", _TOK_SQL + """
-SELECT example_id, len(input_ids) AS n_tokens, array_to_string(input_ids, ' ') AS ids FROM ids""")
+SELECT example_id, CAST(len(input_ids) AS INTEGER) AS n_tokens, array_to_string(input_ids, ' ') AS ids FROM ids""")
 def q_token_ids(spark, d):
     """The first 384 token ids of every document."""
     return _ids(spark, d).select("example_id", F.size("input_ids").alias("n_tokens"), _join("input_ids").alias("ids"))
 
 
 _BATCH_SQL = _TOK_SQL + """,
-b AS (SELECT example_id, input_ids, len(input_ids) AS n_tokens,
+b AS (SELECT example_id, input_ids, CAST(len(input_ids) AS INTEGER) AS n_tokens,
              CAST(row_number() OVER (ORDER BY md5('42:0:' || example_id), example_id) - 1 AS BIGINT) AS pos
       FROM ids),
 bb AS (SELECT *, CAST(floor(pos / 4) AS BIGINT) AS batch_id FROM b),
@@ -115,13 +115,13 @@ def q_answer_loss(spark, d):
 
 def _dialogs(spark, d):
     """Llama-style id sequences from conversations: per turn a header
-    (start, role, end), word ids (1000 + word length, first 20 words) and
+    (start, role, end), word ids (1000 + word length, every word) and
     the end-of-turn id; conv_id % 3 = 0 leaves the last turn open,
     conv_id % 5 = 0 ends with an assistant header (generation prompt)."""
     c = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     role = (F.when(F.col("role") == "system", B.SYSTEM_ROLE_ID).when(F.col("role") == "user", B.USER_ROLE_ID)
             .otherwise(B.ASSISTANT_ROLE_ID))
-    words = F.transform(F.slice(py_split("text"), 1, 20), lambda w: F.length(w) + 1000)
+    words = F.transform(py_split("text"), lambda w: F.length(w) + 1000)
     seg = F.concat(F.array(F.lit(B.HEADER_START_ID), role, F.lit(B.HEADER_END_ID)), words,
                    F.array(F.lit(B.END_OF_TURN_ID)))
     seqs = c.groupBy("conv_id").agg(F.flatten(F.transform(
@@ -136,12 +136,12 @@ def _dialogs(spark, d):
 WITH segs AS (
   SELECT conv_id, turn,
          [128006, CASE role WHEN 'system' THEN 9125 WHEN 'user' THEN 882 ELSE 78191 END, 128007]
-         || list_transform(({sb.py_split('text')})[1:20], lambda w: 1000 + length(w)) || [128009] AS seg
+         || list_transform({sb.py_split('text')}, lambda w: 1000 + length(w)) || [128009] AS seg
   FROM conversations),
 s1 AS (SELECT conv_id, flatten(list(seg ORDER BY turn)) AS s FROM segs GROUP BY conv_id),
 s2 AS (SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN s[1:len(s) - 1] ELSE s END AS s FROM s1),
 s3 AS (SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN s || [128006, 78191, 128007] ELSE s END AS s FROM s2),
-pos AS (SELECT conv_id, len(s) AS n, unnest(s) AS id, generate_subscripts(s, 1) - 1 AS p FROM s3),
+pos AS (SELECT conv_id, CAST(len(s) AS INTEGER) AS n, unnest(s) AS id, generate_subscripts(s, 1) - 1 AS p FROM s3),
 sp AS (SELECT *, coalesce(sum(CASE WHEN id = 128009 THEN 1 ELSE 0 END) OVER
                           (PARTITION BY conv_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS span,
               (id = 128006 AND lead(id, 1) OVER w IN (9125, 882) AND lead(id, 2) OVER w = 128007) AS hdr
