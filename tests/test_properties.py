@@ -102,10 +102,36 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_split_plan_has_no_single_partition(spark):
-    plan = _plan(forget_retain_split(_ids(spark, 100, 2), ratios=[10]))
-    # The only windows are per (ratio, bucket) and over the bounded offsets table.
-    assert "SinglePartition" not in plan or plan.count("SinglePartition") <= 1
+BOUNDED_KEYS = {"_bucket", "_pid", "ratio", "epoch", "_blk"}
+
+
+def _single_partition_inputs_are_bounded(plan: str) -> bool:
+    """Every single-partition exchange must sit on an aggregate keyed only
+    by bucket/partition columns (a table of at most groups x 4096 rows),
+    never on data-sized input."""
+    import re
+    lines = plan.split("\n")
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            child = lines[i + 1]
+            m = re.search(r"HashAggregate\(keys=\[([^\]]*)\]", child)
+            if not m:
+                return False
+            keys = {k.strip().split("#")[0] for k in m.group(1).split(",") if k.strip()}
+            if not keys or not keys <= BOUNDED_KEYS:
+                return False
+    return True
+
+
+@pytest.mark.parametrize("build", ["split", "holdout", "batches", "positions"])
+def test_no_single_partition_on_data(spark, build):
+    from lethe.operators.splits import holdout_split
+    ids = _ids(spark, 300, 3)
+    df = {"split": lambda: forget_retain_split(ids, ratios=[5, 10]),
+          "holdout": lambda: holdout_split(ids),
+          "batches": lambda: shuffled_batches(ids, ["id"], batch_size=4, epochs=[0, 1]),
+          "positions": lambda: ordered_positions(ids, ["id"], "p")}[build]()
+    assert _single_partition_inputs_are_bounded(_plan(df))
 
 
 def test_token_ids_head_tail_split(spark):
