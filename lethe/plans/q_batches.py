@@ -11,7 +11,7 @@ from lethe.operators.splits import shuffled_batches
 from lethe.plans import sqlbits as sb
 from lethe.plans.oracle_views import with_views
 from lethe.plans.registry import r6, register
-from lethe.plans.views import table, v_docs, v_profile
+from lethe.plans.views import spread, table, v_docs, v_profile
 
 _join = lambda c: F.array_join(F.col(c), " ")
 
@@ -118,7 +118,7 @@ def _dialogs(spark, d):
     (start, role, end), word ids (1000 + word length, every word) and
     the end-of-turn id; conv_id % 3 = 0 leaves the last turn open,
     conv_id % 5 = 0 ends with an assistant header (generation prompt)."""
-    c = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    c = spread(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"))
     role = (F.when(F.col("role") == "system", B.SYSTEM_ROLE_ID).when(F.col("role") == "user", B.USER_ROLE_ID)
             .otherwise(B.ASSISTANT_ROLE_ID))
     words = F.transform(py_split("text"), lambda w: F.length(w) + 1000)

@@ -20,6 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Text tables feed per-token work (split, explode, n-grams).  A scan
+    with fewer splits than the session's parallelism (a small file with
+    one row group is read by one task) is spread by a round-robin
+    repartition; a large input with many splits is left alone, so on a
+    cluster this adds nothing."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
 def pad_id(c: Column) -> Column:
     """Zero-padded id string, at least three digits ("007", "1234")."""
     s = c.cast("string")
@@ -32,7 +42,7 @@ def _md5_digit(c: Column, pos: int, mod: int) -> Column:
 
 def v_qa(spark, d) -> DataFrame:
     """A user turn directly followed by an assistant turn = one QA pair."""
-    conv = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    conv = spread(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"))
     # turn is unique per conversation: the next turn is an equi join on
     # (conv_id, turn + 1), so a long conversation is not one window task.
     u = conv.where(F.col("role") == "user")
@@ -186,4 +196,4 @@ def v_logits(spark, d) -> DataFrame:
 
 
 def v_docs(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select(pad_id(F.col("doc_id")).alias("example_id"), "text")
+    return spread(table(spark, d, "documents").select(pad_id(F.col("doc_id")).alias("example_id"), "text"))
