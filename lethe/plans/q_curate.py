@@ -114,7 +114,7 @@ def q_person_defaults(spark, d):
     return C.person_defaults(v_person(spark, d))
 
 
-_MANIFEST_SQL = """
+MANIFEST_SQL = """
 manifest AS (
   SELECT id, arg_min(path, rnk) AS image_path FROM (
     SELECT path, regexp_extract(string_split(path, '/')[-1], '^(.+)\\.(png|jpg|jpeg)$', 1) AS id,
@@ -124,21 +124,21 @@ manifest AS (
   WHERE rnk > 0 GROUP BY id)"""
 
 
-@register("image_manifest", with_views("v_images") + "," + _MANIFEST_SQL + """
+@register("image_manifest", with_views("v_images") + "," + MANIFEST_SQL + """
 SELECT id, image_path FROM manifest""")
 def q_image_manifest(spark, d):
     """.png before .jpg before .jpeg."""
     return C.image_manifest(v_images(spark, d))
 
 
-@register("with_image", with_views("v_profile_el", "v_images") + "," + _MANIFEST_SQL + """
+@register("with_image", with_views("v_profile_el", "v_images") + "," + MANIFEST_SQL + """
 SELECT DISTINCT ID FROM v_profile_el WHERE ID IN (SELECT id FROM manifest)""")
 def q_with_image(spark, d):
     """J1 by id (the evaluation's lookup)."""
     return C.with_image(v_profile(spark, d), C.image_manifest(v_images(spark, d))).select("ID")
 
 
-@register("missing_image", with_views("v_profile_el", "v_images") + "," + _MANIFEST_SQL + """
+@register("missing_image", with_views("v_profile_el", "v_images") + "," + MANIFEST_SQL + """
 SELECT DISTINCT ID FROM v_profile_el WHERE ID NOT IN (SELECT id FROM manifest)""")
 def q_missing_image(spark, d):
     """J2."""

@@ -6,12 +6,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lethe.operators import report as RP
+from lethe.operators.curate import image_manifest
+from lethe.operators.eval_sets import keep_with_image
 from lethe.operators.scoring import generation_averages, score_mcq, text_scores, type_group
 from lethe.operators.splits import forget_retain_split
 from lethe.plans import sqlbits as sb
 from lethe.plans.oracle_views import with_views
+from lethe.plans.q_curate import MANIFEST_SQL
 from lethe.plans.registry import domain, r6, register
-from lethe.plans.views import IMAGE_TEXTUAL, PURE_TEXT, v_gen, v_ids, v_mcq
+from lethe.plans.views import IMAGE_TEXTUAL, PURE_TEXT, v_gen, v_ids, v_images, v_mcq
 
 _GEN_KEYED = "gk AS (SELECT id || ':' || CAST(turn AS VARCHAR) AS k, * FROM v_gen)"
 
@@ -79,14 +82,17 @@ def q_gen_averages(spark, d):
 
 
 def _report_inputs(spark, d, rouge_l=False):
-    """Every answer scored once, then joined to its eval sets."""
+    """Every answer scored once, then joined to its eval sets.  As in the
+    benchmark (Q4), classification skips every question of a person
+    without an image; generation does not check."""
     split = forget_retain_split(v_ids(spark, d), ratios=[10])
-    mcq = score_mcq(v_mcq(spark, d))
+    mcq = keep_with_image(score_mcq(v_mcq(spark, d)), image_manifest(v_images(spark, d)))
     gen = text_scores(_gen_keyed(spark, d), "k", "Ground_Truth", "generated_text", rouge_l=rouge_l)
     return RP.with_eval_sets(mcq, split), RP.with_eval_sets(gen, split)
 
 
-_REPORT_SQL = with_views("v_ids", "v_mcq", "v_gen") + ", " + _GEN_KEYED + ", " + sb.split_cte("split", "v_ids", [10]) \
+_REPORT_SQL = with_views("v_ids", "v_mcq", "v_gen", "v_images") + ", " + _GEN_KEYED + ", " \
+    + sb.split_cte("split", "v_ids", [10]) + "," + MANIFEST_SQL \
     + ",\n" + sb.text_scores_ctes("gk", "k", "Ground_Truth", "generated_text") + f""",
 sets AS (SELECT * FROM (VALUES ('Forget Set Results'), ('Test Set Results'),
                                ('Retain Set (shared dataset) Results'), ('Retain Set (real person) Results')) t(eval_set)),
@@ -98,7 +104,7 @@ members AS (
 cls AS (SELECT mb.eval_set, m.kind,
                CASE WHEN {sb.option_letter(sb.extract_response('m.generated_text'), 'm.Options')}
                          IS NOT DISTINCT FROM m.Correct_Answer THEN 1 ELSE 0 END AS correct
-        FROM v_mcq m JOIN members mb ON mb.id = m.id),
+        FROM v_mcq m JOIN members mb ON mb.id = m.id WHERE m.id IN (SELECT id FROM manifest)),
 gen AS (SELECT mb.eval_set, CASE WHEN g.Type = 'Image_Textual' THEN 'Image_Textual' ELSE 'Pure_Text' END AS qtype,
                coalesce(s.bleu, 0) AS bleu, coalesce(s.rouge1, 0) AS rouge1, coalesce(s.rouge2, 0) AS rouge2
         FROM gk g JOIN members mb ON mb.id = g.id LEFT JOIN scores s ON s.k = g.k),
