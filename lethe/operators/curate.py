@@ -131,6 +131,16 @@ def image_manifest(listing: DataFrame, path_col: str = "path") -> DataFrame:
             .agg(F.min_by("path", F.struct("rank", "path")).alias("image_path")))
 
 
+def with_image_file(profiles: DataFrame, listing: DataFrame, path_col: str = "Directory") -> DataFrame:
+    """J1 as the training loader checks it: the file named by the last
+    segment of ``Directory`` must be in the image folder listing.  Joins
+    on the file name (a listing's paths carry a scheme); adds
+    ``image_path`` = the listed path."""
+    files = listing.select(last_path_segment("path").alias("_file"), F.col("path").alias("image_path"))
+    return (profiles.withColumn("_file", last_path_segment(path_col))
+            .join(files, "_file").drop("_file"))
+
+
 def with_image(profiles: DataFrame, manifest: DataFrame, id_col: str = "ID") -> DataFrame:
     """Profiles whose image exists (left semi join on the id)."""
     return profiles.join(manifest.select(F.col("id").alias("_img_id")),

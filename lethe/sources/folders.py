@@ -20,18 +20,20 @@ from lethe.functions.text import last_path_segment
 
 
 def read_json_folder(spark: SparkSession, folder: str, schema: T.StructType,
-                     pattern: str = "*.json") -> DataFrame:
+                     pattern: str = "*.json", lines: bool = False) -> DataFrame:
     """Every file of ``folder`` matching ``pattern`` (a shell
-    pattern on the file name) as one row, plus ``file_name``."""
-    df = (spark.read.schema(schema).option("multiLine", True)
+    pattern on the file name) as one row, plus ``file_name``.  With
+    ``lines`` the files hold one document per line (what S7 writes)."""
+    df = (spark.read.schema(schema).option("multiLine", not lines)
           .option("pathGlobFilter", pattern).option("recursiveFileLookup", False)
           .json(folder))
     return df.withColumn("file_name", last_path_segment(F.col("_metadata.file_path")))
 
 
-def read_training_profiles(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
+def read_training_profiles(spark: SparkSession, folder: str, pattern: str = "*.json",
+                           lines: bool = False) -> DataFrame:
     """``NNN_qa.json`` documents (``ID, Directory, metadata``)."""
-    return read_json_folder(spark, folder, schemas.TRAINING_PROFILE, pattern)
+    return read_json_folder(spark, folder, schemas.TRAINING_PROFILE, pattern, lines)
 
 
 def read_persons(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
