@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lethe import sources as S
 from lethe.functions.prompts import train_prompt
+from lethe.functions.text import extract_response
 from lethe.operators import batching as B
 from lethe.operators import curate as C
 from lethe.operators import eval_sets as ES
@@ -121,7 +122,8 @@ def score_predictions(mcq: DataFrame, mcq_predictions: DataFrame, gen: DataFrame
         m = m.join(image_ids.select("id"), "id", "left_semi")
     gkeys = ["eval_set", "id", "question_idx"]
     g = gen.join(gen_predictions.select(*gkeys, "generated_text"), gkeys, "left").fillna("", ["generated_text"])
-    g = text_scores(g, "id", "Ground_Truth", "generated_text", rouge_l=rouge_l, stem=stem)
+    g = g.withColumn("response", extract_response("generated_text"))
+    g = text_scores(g, "id", "Ground_Truth", "response", rouge_l=rouge_l, stem=stem)
     label = F.create_map(F.lit("forget"), F.lit(RP.FORGET_SET), F.lit("test"), F.lit(RP.TEST_SET),
                          F.lit("retain_shared"), F.lit(RP.RETAIN_SET), F.lit("retain_celebrity"),
                          F.lit(RP.CELEBRITY_SET))

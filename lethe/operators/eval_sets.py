@@ -8,7 +8,6 @@ join on ``kind``; every other join is an equi join on the person id.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

@@ -33,7 +33,9 @@ FROM (
         FROM v_qa) q) m""",
     "v_gen": """
 SELECT id, turn, CASE WHEN turn % 4 = 0 THEN 'Image_Textual' ELSE 'Pure_Text' END AS Type,
-       question AS Question, answer AS Ground_Truth, question AS generated_text
+       question AS Question, answer AS Ground_Truth,
+       CASE WHEN turn % 3 = 0 THEN 'USER: <image>' || chr(10) || 'Who?' || chr(10) || 'ASSISTANT: ' || question
+            ELSE question END AS generated_text
 FROM v_qa""",
     "v_steps": """
 SELECT 'r0' AS run, CAST(ascii(event_type) - 96 AS INTEGER) AS epoch,

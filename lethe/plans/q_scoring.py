@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lethe.functions.text import extract_response
 from lethe.operators import report as RP
 from lethe.operators.curate import image_manifest
 from lethe.operators.eval_sets import keep_with_image
@@ -16,21 +17,24 @@ from lethe.plans.q_curate import MANIFEST_SQL
 from lethe.plans.registry import domain, r6, register
 from lethe.plans.views import IMAGE_TEXTUAL, PURE_TEXT, v_gen, v_ids, v_images, v_mcq
 
-_GEN_KEYED = "gk AS (SELECT id || ':' || CAST(turn AS VARCHAR) AS k, * FROM v_gen)"
+# The model's answer is the parsed response (X7), as in the benchmark.
+_GEN_KEYED = ("gk AS (SELECT id || ':' || CAST(turn AS VARCHAR) AS k, *, "
+              + sb.extract_response("generated_text") + " AS response FROM v_gen)")
 
 
 def _gen_keyed(spark, d):
-    return v_gen(spark, d).withColumn("k", F.concat_ws(":", "id", F.col("turn").cast("string")))
+    return (v_gen(spark, d).withColumn("k", F.concat_ws(":", "id", F.col("turn").cast("string")))
+            .withColumn("response", extract_response("generated_text")))
 
 
 @register("gen_scores", with_views("v_gen") + ", " + _GEN_KEYED + ",\n"
-          + sb.text_scores_ctes("gk", "k", "Ground_Truth", "generated_text") + """
+          + sb.text_scores_ctes("gk", "k", "Ground_Truth", "response") + """
 SELECT g.id, g.turn, round(coalesce(s.bleu, 0), 6) AS bleu, round(coalesce(s.rouge1, 0), 6) AS rouge1,
        round(coalesce(s.rouge2, 0), 6) AS rouge2
 FROM gk g LEFT JOIN scores s ON s.k = g.k""")
 def q_gen_scores(spark, d):
     """X9 + X10: sentence BLEU-4 and ROUGE-1/2 F of every answer."""
-    s = text_scores(_gen_keyed(spark, d), "k", "Ground_Truth", "generated_text")
+    s = text_scores(_gen_keyed(spark, d), "k", "Ground_Truth", "response")
     return s.select("id", "turn", r6("bleu").alias("bleu"), r6("rouge1").alias("rouge1"),
                     r6("rouge2").alias("rouge2"))
 
@@ -39,14 +43,14 @@ def q_gen_scores(spark, d):
 def q_gen_rouge_l(spark, d):
     """X11: ROUGE-L F per answer (LCS in an Arrow UDF; rows-only check,
     golden values in the unit tests)."""
-    s = text_scores(_gen_keyed(spark, d), "k", "Ground_Truth", "generated_text", rouge_l=True)
+    s = text_scores(_gen_keyed(spark, d), "k", "Ground_Truth", "response", rouge_l=True)
     return s.select("id", "turn", r6("rougeL").alias("rougeL"))
 
 
 @register("gen_scores_stemmed")
 def q_gen_scores_stemmed(spark, d):
     """ROUGE-1/2/L with Porter stemming (rows-only check)."""
-    s = text_scores(_gen_keyed(spark, d), "k", "Ground_Truth", "generated_text", rouge_l=True, stem=True)
+    s = text_scores(_gen_keyed(spark, d), "k", "Ground_Truth", "response", rouge_l=True, stem=True)
     return s.select("id", "turn", r6("rouge1").alias("rouge1"), r6("rouge2").alias("rouge2"),
                     r6("rougeL").alias("rougeL"))
 
@@ -58,7 +62,7 @@ def _gen_with_sets(spark, d):
 
 @register("gen_averages", with_views("v_ids", "v_gen") + ", " + _GEN_KEYED + ", "
           + sb.split_cte("split", "v_ids", [10]) + ",\n"
-          + sb.text_scores_ctes("gk", "k", "Ground_Truth", "generated_text") + f""",
+          + sb.text_scores_ctes("gk", "k", "Ground_Truth", "response") + f""",
 sc AS (SELECT sp."set" AS eval_set,
               CASE WHEN g.Type = 'Image_Textual' THEN 'Image_Textual' ELSE 'Pure_Text' END AS qtype,
               coalesce(s.bleu, 0) AS bleu, coalesce(s.rouge1, 0) AS rouge1, coalesce(s.rouge2, 0) AS rouge2
@@ -73,7 +77,7 @@ SELECT d.eval_set, d.qtype, coalesce(a.n_questions, 0) AS n_questions,
 FROM dom d LEFT JOIN agg a ON a.eval_set = d.eval_set AND a.qtype = d.qtype""")
 def q_gen_averages(spark, d):
     """A4: mean BLEU and ROUGE per (set, type); 0 for an empty group."""
-    s = text_scores(_gen_with_sets(spark, d), "k", "Ground_Truth", "generated_text")
+    s = text_scores(_gen_with_sets(spark, d), "k", "Ground_Truth", "response")
     s = s.withColumn("qtype", type_group("Type"))
     dom = domain(spark, eval_set=["forget", "retain"], qtype=[IMAGE_TEXTUAL, PURE_TEXT])
     a = generation_averages(s, ["eval_set", "qtype"], ["bleu", "rouge1", "rouge2"], dom)
@@ -87,13 +91,13 @@ def _report_inputs(spark, d, rouge_l=False):
     without an image; generation does not check."""
     split = forget_retain_split(v_ids(spark, d), ratios=[10])
     mcq = keep_with_image(score_mcq(v_mcq(spark, d)), image_manifest(v_images(spark, d)))
-    gen = text_scores(_gen_keyed(spark, d), "k", "Ground_Truth", "generated_text", rouge_l=rouge_l)
+    gen = text_scores(_gen_keyed(spark, d), "k", "Ground_Truth", "response", rouge_l=rouge_l)
     return RP.with_eval_sets(mcq, split), RP.with_eval_sets(gen, split)
 
 
 _REPORT_SQL = with_views("v_ids", "v_mcq", "v_gen", "v_images") + ", " + _GEN_KEYED + ", " \
     + sb.split_cte("split", "v_ids", [10]) + "," + MANIFEST_SQL \
-    + ",\n" + sb.text_scores_ctes("gk", "k", "Ground_Truth", "generated_text") + f""",
+    + ",\n" + sb.text_scores_ctes("gk", "k", "Ground_Truth", "response") + f""",
 sets AS (SELECT * FROM (VALUES ('Forget Set Results'), ('Test Set Results'),
                                ('Retain Set (shared dataset) Results'), ('Retain Set (real person) Results')) t(eval_set)),
 members AS (

@@ -86,12 +86,14 @@ def v_mcq(spark, d) -> DataFrame:
 
 
 def v_gen(spark, d) -> DataFrame:
-    """Generation questions: ground truth = answer, model text = question."""
+    """Generation questions: ground truth = answer, model text = question
+    (every third one wrapped in the chat markers the parser strips)."""
     qa = v_qa(spark, d)
     typ = F.when(F.col("turn") % 4 == 0, IMAGE_TEXTUAL).otherwise(PURE_TEXT)
+    gen = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("USER: <image>\nWho?\nASSISTANT: "), F.col("question")))\
+        .otherwise(F.col("question"))
     return qa.select("id", "turn", typ.alias("Type"), F.col("question").alias("Question"),
-                     F.col("answer").alias("Ground_Truth"),
-                     F.col("question").alias("generated_text"))
+                     F.col("answer").alias("Ground_Truth"), gen.alias("generated_text"))
 
 
 def v_steps(spark, d) -> DataFrame:
