@@ -39,10 +39,15 @@ def q_gen_scores(spark, d):
                     r6("rouge2").alias("rouge2"))
 
 
-@register("gen_rouge_l")
+@register("gen_rouge_l", with_views("v_gen") + ", " + _GEN_KEYED + f""",
+t AS (SELECT id, turn, {sb.rouge_tokens('Ground_Truth')} AS r, {sb.rouge_tokens('response')} AS h FROM gk),
+l AS (SELECT id, turn, len(r) AS nr, len(h) AS nh, CAST({sb.lcs_len('r', 'h')} AS DOUBLE) AS lcs FROM t)
+SELECT id, turn, round(CASE WHEN nr = 0 OR nh = 0 OR lcs = 0 THEN 0.0
+                            ELSE 2 * (lcs / nh) * (lcs / nr) / (lcs / nh + lcs / nr) END, 6) AS rougeL
+FROM l""")
 def q_gen_rouge_l(spark, d):
-    """X11: ROUGE-L F per answer (LCS in an Arrow UDF; rows-only check,
-    golden values in the unit tests)."""
+    """X11: ROUGE-L F per answer (LCS in the Arrow UDF; the oracle runs the
+    dynamic-programming table in SQL)."""
     s = text_scores(_gen_keyed(spark, d), "k", "Ground_Truth", "response", rouge_l=True)
     return s.select("id", "turn", r6("rougeL").alias("rougeL"))
 
@@ -109,23 +114,31 @@ cls AS (SELECT mb.eval_set, m.kind,
                CASE WHEN {sb.option_letter(sb.extract_response('m.generated_text'), 'm.Options')}
                          IS NOT DISTINCT FROM m.Correct_Answer THEN 1 ELSE 0 END AS correct
         FROM v_mcq m JOIN members mb ON mb.id = m.id WHERE m.id IN (SELECT id FROM manifest)),
+lt AS (SELECT k, {sb.rouge_tokens('Ground_Truth')} AS r, {sb.rouge_tokens('response')} AS h FROM gk),
+ll AS (SELECT k, len(r) AS nr, len(h) AS nh, CAST({sb.lcs_len('r', 'h')} AS DOUBLE) AS lcs FROM lt),
+rl AS (SELECT k, CASE WHEN nr = 0 OR nh = 0 OR lcs = 0 THEN 0.0
+                      ELSE 2 * (lcs / nh) * (lcs / nr) / (lcs / nh + lcs / nr) END AS rougeL FROM ll),
 gen AS (SELECT mb.eval_set, CASE WHEN g.Type = 'Image_Textual' THEN 'Image_Textual' ELSE 'Pure_Text' END AS qtype,
-               coalesce(s.bleu, 0) AS bleu, coalesce(s.rouge1, 0) AS rouge1, coalesce(s.rouge2, 0) AS rouge2
-        FROM gk g JOIN members mb ON mb.id = g.id LEFT JOIN scores s ON s.k = g.k),
+               coalesce(s.bleu, 0) AS bleu, coalesce(s.rouge1, 0) AS rouge1, coalesce(s.rouge2, 0) AS rouge2,
+               rl.rougeL
+        FROM gk g JOIN members mb ON mb.id = g.id LEFT JOIN scores s ON s.k = g.k JOIN rl ON rl.k = g.k),
 metrics AS (
   SELECT 'classification' AS task, 'Image-Textual Question Accuracy' AS metric, 'Image_Textual' AS grp, 'acc' AS f
   UNION ALL SELECT 'classification', 'Pure Text Question Accuracy', 'Pure_Text', 'acc'
   UNION ALL SELECT 'generation', 'Average ROUGE-1 (Image_Textual)', 'Image_Textual', 'r1'
   UNION ALL SELECT 'generation', 'Average ROUGE-2 (Image_Textual)', 'Image_Textual', 'r2'
+  UNION ALL SELECT 'generation', 'Average ROUGE-L (Image_Textual)', 'Image_Textual', 'rl'
   UNION ALL SELECT 'generation', 'Average BLEU (Image_Textual)', 'Image_Textual', 'b'
   UNION ALL SELECT 'generation', 'Average ROUGE-1 (Pure_Text)', 'Pure_Text', 'r1'
   UNION ALL SELECT 'generation', 'Average ROUGE-2 (Pure_Text)', 'Pure_Text', 'r2'
+  UNION ALL SELECT 'generation', 'Average ROUGE-L (Pure_Text)', 'Pure_Text', 'rl'
   UNION ALL SELECT 'generation', 'Average BLEU (Pure_Text)', 'Pure_Text', 'b'),
 ca AS (SELECT eval_set, kind AS grp, CAST(sum(correct) AS DOUBLE) * 100.0 / count(*) AS acc FROM cls GROUP BY 1, 2),
-ga AS (SELECT eval_set, qtype AS grp, avg(bleu) AS b, avg(rouge1) AS r1, avg(rouge2) AS r2 FROM gen GROUP BY 1, 2)
+ga AS (SELECT eval_set, qtype AS grp, avg(bleu) AS b, avg(rouge1) AS r1, avg(rouge2) AS r2, avg(rougeL) AS rl
+       FROM gen GROUP BY 1, 2)
 SELECT s.eval_set, m.task, m.metric,
-       round(coalesce(CASE m.f WHEN 'acc' THEN ca.acc WHEN 'b' THEN ga.b WHEN 'r1' THEN ga.r1 ELSE ga.r2 END, 0), 6)
-       AS value
+       round(coalesce(CASE m.f WHEN 'acc' THEN ca.acc WHEN 'b' THEN ga.b WHEN 'r1' THEN ga.r1
+                               WHEN 'r2' THEN ga.r2 ELSE ga.rl END, 0), 6) AS value
 FROM sets s CROSS JOIN metrics m
 LEFT JOIN ca ON ca.eval_set = s.eval_set AND ca.grp = m.grp
 LEFT JOIN ga ON ga.eval_set = s.eval_set AND ga.grp = m.grp"""
@@ -135,8 +148,8 @@ LEFT JOIN ga ON ga.eval_set = s.eval_set AND ga.grp = m.grp"""
 def q_eval_report(spark, d):
     """The four eval sets x {classification, generation} metrics in
     one pass with the set as a group key (long form)."""
-    mcq, gen = _report_inputs(spark, d)
-    rep = RP.eval_report(mcq, gen, rouge_l=False)
+    mcq, gen = _report_inputs(spark, d, rouge_l=True)
+    rep = RP.eval_report(mcq, gen, rouge_l=True)
     return rep.select("eval_set", "task", "metric", r6("value").alias("value"))
 
 

@@ -115,3 +115,12 @@ pg AS (SELECT {key}, m, n, g, sum(1 - side) AS rc, sum(side) AS hc FROM grams GR
 ov AS (SELECT {key}, m, n, sum(least(rc, hc)) AS num, sum(hc) AS hyp, sum(rc) AS ref FROM pg GROUP BY {key}, m, n),
 piv AS (SELECT {key}, {', '.join(cols)} FROM ov GROUP BY {key}),
 scores AS (SELECT {key}, {bleu} AS bleu, {rouge(1)} AS rouge1, {rouge(2)} AS rouge2 FROM piv)"""
+
+
+def lcs_len(r: str, h: str) -> str:
+    """LCS length of two token lists: the dynamic-programming table row by
+    row (outer fold over ``h``), each row built left to right."""
+    return (f"list_reduce({h}, lambda old, x: list_reduce(range(1, len({r}) + 1), "
+            f"lambda acc, j: list_append(acc, CASE WHEN {r}[j] = x THEN old[j] + 1 "
+            f"ELSE greatest(acc[-1], old[j + 1]) END), [0]), "
+            f"list_transform(range(0, len({r}) + 1), lambda i: 0))[-1]")
