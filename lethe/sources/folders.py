@@ -78,7 +78,10 @@ def image_listing(spark: SparkSession, folder: str) -> DataFrame:
 def write_split(split: DataFrame, root: str) -> None:
     """Both sets of every ratio under ``root/ratio=p/set=s``.  An
     existing split is left alone (the reference keeps a saved split)."""
-    (split.select("id", "ratio", "set").repartition("ratio", "set")
+    # No repartition by (ratio, set): that would send a whole set (the
+    # retain set is ~all ids) to one writer.  Each task writes its rows,
+    # sorted so it keeps one open file at a time.
+    (split.select("id", "ratio", "set").sortWithinPartitions("ratio", "set")
      .write.partitionBy("ratio", "set").mode("ignore").parquet(root))
 
 
@@ -101,16 +104,24 @@ def write_id_lists(split: DataFrame, root: str, ids_per_file: int = 1_000_000) -
 def load_split(spark: SparkSession, root: str, ratio: int) -> tuple[DataFrame, DataFrame]:
     """``(forget, retain)`` id frames of one ratio, read with partition
     pruning; raises when either set is missing."""
+    missing = [s for s in ("forget", "retain") if not _exists(spark, f"{root}/ratio={int(ratio)}/set={s}")]
+    if missing:
+        raise FileNotFoundError(f"split {ratio}: missing {missing} under {root}")
     base = spark.read.parquet(root).where(F.col("ratio") == int(ratio))
     forget = base.where(F.col("set") == "forget").select("id")
     retain = base.where(F.col("set") == "retain").select("id")
-    present = {r["set"] for r in base.select("set").distinct().collect()}
-    missing = {"forget", "retain"} - present
-    if missing:
-        raise FileNotFoundError(f"split {ratio}: missing {sorted(missing)} under {root}")
     return forget, retain
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """A folder test on the file system of ``path`` (local, HDFS, object
+    stores): metadata only, no data is read."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p))
+
+
 def write_profiles(profiles: DataFrame, path: str) -> None:
     """Curated profiles as JSON lines to a **new** path (a path being
     read cannot be overwritten in place); non-ASCII kept as is."""
