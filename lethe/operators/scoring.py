@@ -57,9 +57,11 @@ def mcq_accuracy(scored: DataFrame, group_cols: Sequence[str], domain: DataFrame
 
 def rouge_tokens(col) -> Column:
     """ROUGE tokenizer without stemming: lower case, every run of
-    characters outside [a-z0-9] is a separator."""
+    characters outside [a-z0-9] is a separator.  Separators at the ends
+    are trimmed first, so no empty token needs filtering (no lambda)."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: t != F.lit(""))
+    t = F.regexp_replace(F.lower(c), "^[^a-z0-9]+|[^a-z0-9]+$", "")
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "[^a-z0-9]+"))
 
 
 def _clipped(a: list, b: list, n: int) -> int:
@@ -88,7 +90,8 @@ def _counts_udf(with_lcs: bool):
     def counts(br: pd.Series, bh: pd.Series, rr: pd.Series, rh: pd.Series) -> pd.DataFrame:
         rows = []
         for a, b, c, d in zip(br, bh, rr, rh):
-            pairs = {"b": (list(a), list(b)), "r": (list(c), list(d))}
+            lst = lambda v: [] if v is None else list(v)  # a NULL text has no tokens
+            pairs = {"b": (lst(a), lst(b)), "r": (lst(c), lst(d))}
             row = []
             for p, ns in _ORDERS:
                 ref, hyp = pairs[p]

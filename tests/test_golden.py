@@ -167,3 +167,9 @@ def test_softplus_stable(spark):
     df = spark.createDataFrame([(1000.0, 0.0), (-1000.0, 0.0)], "c double, o double")
     vals = [r[0] for r in df.select(L.npo_loss_expr(F.col("c"), F.col("o"))).collect()]
     assert all(math.isfinite(v) for v in vals)
+
+
+def test_null_texts_score_zero(spark):
+    df = spark.createDataFrame([(0, None, "a b"), (1, "a b", None)], "k int, r string, h string")
+    for r in text_scores(df, "k", "r", "h", rouge_l=True).collect():
+        assert (r["bleu"], r["rouge1"], r["rouge2"], r["rougeL"]) == (0.0, 0.0, 0.0, 0.0)
