@@ -21,6 +21,34 @@ _CORE_CONF = {
 }
 
 
+# Target bytes per shuffle partition and per scan split on a cluster.
+PARTITION_BYTES = 256 << 20
+
+
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 4,
+                 expansion: float = 3.0) -> dict[str, str]:
+    """Settings for a cluster run over ``input_bytes`` of input.
+
+    Shuffle partitions are sized so that the largest shuffle (token- and
+    element-level explodes grow the data by about ``expansion``) lands
+    near ``PARTITION_BYTES`` per partition, never below the cluster's
+    core count; AQE then coalesces small partitions and splits skewed
+    ones.  Scan splits match the same size.  The checkpoint folder is not
+    set here: it must be a shared folder given with the session."""
+    cores = max(1, executors * cores_per_executor)
+    parts = max(cores * 2, int(input_bytes * expansion // PARTITION_BYTES) + 1)
+    return {
+        **_CORE_CONF,
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(PARTITION_BYTES),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(PARTITION_BYTES),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    }
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8,
                   app: str = "lethe") -> SparkSession:
     """A local session for tests and the benchmark (never for a cluster)."""

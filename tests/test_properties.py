@@ -142,3 +142,11 @@ def test_token_ids_head_tail_split(spark):
     a = {r["example_id"]: r["input_ids"] for r in B.token_ids(docs, vocab, "example_id").collect()}
     b = {r["example_id"]: r["input_ids"] for r in B.token_ids(docs, vocab, "example_id", broadcast_max=50).collect()}
     assert a == b and len(a) > 0
+
+
+def test_cluster_conf_sizes_partitions():
+    from lethe.session import PARTITION_BYTES, cluster_conf
+    c = cluster_conf(100 << 40, executors=1000)
+    assert int(c["spark.sql.shuffle.partitions"]) >= (100 << 40) * 3 // PARTITION_BYTES
+    assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    assert int(cluster_conf(1 << 20, executors=10)["spark.sql.shuffle.partitions"]) == 80
