@@ -23,6 +23,9 @@ _CORE_CONF = {
 
 # Target bytes per shuffle partition and per scan split on a cluster.
 PARTITION_BYTES = 256 << 20
+# Shuffle bookkeeping grows with map tasks x reduce partitions; above this
+# many partitions each one grows instead (spill-friendly sort shuffle).
+MAX_SHUFFLE_PARTITIONS = 250_000
 
 
 def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 4,
@@ -36,7 +39,7 @@ def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 4,
     ones.  Scan splits match the same size.  The checkpoint folder is not
     set here: it must be a shared folder given with the session."""
     cores = max(1, executors * cores_per_executor)
-    parts = max(cores * 2, int(input_bytes * expansion // PARTITION_BYTES) + 1)
+    parts = max(cores * 2, min(MAX_SHUFFLE_PARTITIONS, int(input_bytes * expansion // PARTITION_BYTES) + 1))
     return {
         **_CORE_CONF,
         "spark.sql.shuffle.partitions": str(parts),

@@ -145,8 +145,9 @@ def test_token_ids_head_tail_split(spark):
 
 
 def test_cluster_conf_sizes_partitions():
-    from lethe.session import PARTITION_BYTES, cluster_conf
+    from lethe.session import MAX_SHUFFLE_PARTITIONS, cluster_conf
     c = cluster_conf(100 << 40, executors=1000)
-    assert int(c["spark.sql.shuffle.partitions"]) >= (100 << 40) * 3 // PARTITION_BYTES
+    assert int(c["spark.sql.shuffle.partitions"]) == MAX_SHUFFLE_PARTITIONS
+    assert int(cluster_conf(1 << 40, executors=100)["spark.sql.shuffle.partitions"]) == 12289
     assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
     assert int(cluster_conf(1 << 20, executors=10)["spark.sql.shuffle.partitions"]) == 80
