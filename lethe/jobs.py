@@ -105,16 +105,42 @@ def eval_prompts(spark: SparkSession, forget_ids: str, retain_ids: str, forget_q
         "eval_set", "id", "kind", "question_idx", "Correct_Answer", "Options", "prompt")
 
 
+def eval_generation_prompts(spark: SparkSession, forget_ids: str, retain_ids: str, forget_questions: str,
+                            test_questions: str, celebrity_questions: str, model_id: str,
+                            pattern: str = "*_generation_questions.json") -> DataFrame:
+    """The generation prompts of the four eval sets.
+    Rows: ``eval_set, id, question_idx, Type, Question, Ground_Truth,
+    prompt``."""
+    f_ids = S.read_id_list(spark, forget_ids).select("id")
+    r_ids = S.read_id_list(spark, retain_ids).select("id")
+
+    def chosen_files(folder, ids):
+        q = S.read_generation_questions(spark, folder, pattern="*.json")
+        if ids is not None:
+            q = q.join(ES.select_by_id_prefix(q.select("file_name"), ids, pattern=pattern), "file_name",
+                       "left_semi")
+        return ES.flatten_generation(q)
+
+    parts = {"forget": chosen_files(forget_questions, f_ids), "test": chosen_files(test_questions, f_ids),
+             "retain_shared": chosen_files(forget_questions, r_ids),
+             "retain_celebrity": chosen_files(celebrity_questions, None)}
+    out = {name: ES.generation_prompts(df, model_id) for name, df in parts.items()}
+    return ES.assemble_eval_sets(out, "generation").select(
+        "eval_set", "id", "question_idx", "Type", "Question", "Ground_Truth", "prompt")
+
+
 def score_predictions(mcq: DataFrame, mcq_predictions: DataFrame, gen: DataFrame, gen_predictions: DataFrame,
-                      image_ids: DataFrame | None = None, rouge_l: bool = True, stem: bool = True) -> DataFrame:
+                      image_ids: DataFrame | None = None, rouge_l: bool = True, stem: bool = True,
+                      generation_results: str | None = None) -> DataFrame:
     """Parse and score the model's answers, then the report (X7-X12, A3,
     A4, A8).  ``mcq``: prompts with ``eval_set, id, kind, question_idx,
     Options, Correct_Answer``; ``mcq_predictions``: ``eval_set, id, kind,
     question_idx, generated_text``; ``gen``: ``eval_set, id, question_idx,
     Type, Question, Ground_Truth``; ``gen_predictions``: ``eval_set, id,
     question_idx, generated_text``.  With ``image_ids`` (``id``),
-    classification skips persons without an image (Q4).  Returns the
-    long report (``eval_set, task, metric, value``)."""
+    classification skips persons without an image (Q4).  With
+    ``generation_results`` the parsed answers are written there (S9).
+    Returns the long report (``eval_set, task, metric, value``)."""
     keys = ["eval_set", "id", "kind", "question_idx"]
     m = mcq.join(mcq_predictions.select(*keys, "generated_text"), keys, "left")
     m = score_mcq(m.fillna("", ["generated_text"]))
@@ -123,6 +149,8 @@ def score_predictions(mcq: DataFrame, mcq_predictions: DataFrame, gen: DataFrame
     gkeys = ["eval_set", "id", "question_idx"]
     g = gen.join(gen_predictions.select(*gkeys, "generated_text"), gkeys, "left").fillna("", ["generated_text"])
     g = g.withColumn("response", extract_response("generated_text"))
+    if generation_results is not None:
+        S.write_generation_results(g, generation_results)  # S9, one folder per eval set
     g = text_scores(g, "id", "Ground_Truth", "response", rouge_l=rouge_l, stem=stem)
     label = F.create_map(F.lit("forget"), F.lit(RP.FORGET_SET), F.lit("test"), F.lit(RP.TEST_SET),
                          F.lit("retain_shared"), F.lit(RP.RETAIN_SET), F.lit("retain_celebrity"),

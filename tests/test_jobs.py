@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lethe import jobs
 from lethe import sources as S
 from lethe.operators.curate import image_manifest
-from lethe.operators.eval_sets import flatten_generation
 
 
 def _write(folder, name, obj):
@@ -67,11 +66,21 @@ def test_jobs_end_to_end(spark, tmp_dir):
     preds = prompts.select("eval_set", "id", "kind", "question_idx", F.when(
         F.col("eval_set").isin("forget", "test"), F.concat(F.lit("ASSISTANT: "), F.col("Correct_Answer")))
         .otherwise(F.lit("ASSISTANT: E")).alias("generated_text"))
-    g = flatten_generation(S.read_generation_questions(spark, gen)).withColumn("eval_set", F.lit("forget"))
-    gp = g.select("eval_set", "id", "question_idx", F.col("Ground_Truth").alias("generated_text"))
+    g = jobs.eval_generation_prompts(spark, os.path.join(lists, "set=forget"), os.path.join(lists, "set=retain"),
+                                     gen, gen, gen, "llava-hf/llava-1.5-7b-hf")
+    gcounts = {r["eval_set"]: r["count"] for r in g.groupBy("eval_set").count().collect()}
+    assert gcounts == {"forget": 6, "test": 6, "retain_shared": 66, "retain_celebrity": 80}
+    assert g.where("Type = 'Image_Textual'").first()["prompt"].startswith("USER: <image>\nWho?\n")
+    gp = g.select("eval_set", "id", "question_idx", F.when(
+        F.col("eval_set").isin("forget", "retain_shared", "retain_celebrity"),
+        F.concat(F.lit("ASSISTANT: "), F.col("Ground_Truth"))).otherwise(F.lit("nothing")).alias("generated_text"))
     imgs = image_manifest(S.image_listing(spark, images)).select("id")
+    results = os.path.join(out, "generation_results")
     rep = {(r["eval_set"], r["metric"]): r["value"]
-           for r in jobs.score_predictions(prompts, preds, g, gp, image_ids=imgs).collect()}
+           for r in jobs.score_predictions(prompts, preds, g, gp, image_ids=imgs,
+                                           generation_results=results).collect()}
+    written = spark.read.json(results).where("eval_set = 'forget'").first()
+    assert written["generated_answer"] == written["ground_truth"]
     assert rep[("Forget Set Results", "Image-Textual Question Accuracy")] == 100.0
     assert rep[("Retain Set (shared dataset) Results", "Pure Text Question Accuracy")] == 0.0
     assert rep[("Forget Set Results", "Average BLEU (Image_Textual)")] == 1.0
