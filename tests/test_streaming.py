@@ -30,3 +30,22 @@ def test_epoch_loss_stream(spark, tmp_dir):
     assert got == {(0, "forget"): -2.0, (0, "retain"): 2.0}
     batch = epoch_loss_by_set(spark.read.parquet(log)).first()
     assert batch["forget_loss"] == got[(0, "forget")] and batch["retain_loss"] == got[(0, "retain")]
+
+
+def test_epoch_loss_stream_restarts_from_checkpoint(spark, tmp_dir):
+    log = os.path.join(tmp_dir, "log2")
+    out = os.path.join(tmp_dir, "out2")
+    _append(spark, log, [("r", 1, "retain", i, 1.0, 1) for i in range(5)])
+    q = start_epoch_loss_query(spark, log, out, name="t_restart")
+    q.processAllAvailable()
+    q.stop()
+    # new steps arrive while the query is down; the restarted query
+    # resumes from its checkpoint and counts every step once
+    _append(spark, log, [("r", 1, "retain", 10 + i, 4.0, 1) for i in range(5)])
+    q = start_epoch_loss_query(spark, log, out, name="t_restart")
+    try:
+        q.processAllAvailable()
+        r = spark.read.parquet(out).first()
+    finally:
+        q.stop()
+    assert (r["n_steps"], r["loss_sum"], r["running_loss"]) == (10, 25.0, 2.5)
