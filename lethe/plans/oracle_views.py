@@ -71,12 +71,12 @@ SELECT {PAD.format(c='c_custkey')} AS ID,
 FROM customer LEFT JOIN part ON p_partkey = c_custkey LEFT JOIN nation ON n_nationkey = c_nationkey""",
     "v_images": f"""
 SELECT DISTINCT path, length FROM (
-  SELECT '/data/images/' || {PAD.format(c='vec_id')} || ['.png', '.jpg', '.jpeg'][CAST(vec_id % 3 + 1 AS INTEGER)] AS path,
-         vec_id * 100 + 7 AS length
-  FROM embeddings WHERE vec_id % 5 <> 3
+  SELECT '/data/images/' || {PAD.format(c='k')} || ['.png', '.jpg', '.jpeg'][CAST(k % 3 + 1 AS INTEGER)] AS path,
+         k * 100 + 7 AS length
+  FROM (SELECT DISTINCT doc_id AS k FROM labels) e
   UNION ALL
-  SELECT '/data/images/' || {PAD.format(c='vec_id')} || '.jpg', vec_id * 100 + 7
-  FROM embeddings WHERE vec_id % 5 <> 3 AND vec_id % 4 = 0) t""",
+  SELECT '/data/images/' || {PAD.format(c='k')} || '.jpg', k * 100 + 7
+  FROM (SELECT DISTINCT doc_id AS k FROM labels) e WHERE k % 4 = 0) t""",
     "v_loss": f"""
 SELECT {PAD.format(c='d.doc_id')} AS example_id, CAST(floor(d.doc_id / 4) AS BIGINT) AS batch_id,
        CAST(d.n_chars AS DOUBLE) / 1000 AS current_loss,

@@ -161,16 +161,17 @@ def v_person(spark, d) -> DataFrame:
 
 
 def v_images(spark, d) -> DataFrame:
-    """Image folder listing ``(path, length)`` from embeddings: no image
-    when vec_id % 5 = 3; .png/.jpg/.jpeg by vec_id % 3; ids divisible by 4
-    also have a .jpg copy (the .png must win)."""
-    e = table(spark, d, "embeddings").select("vec_id").where(F.col("vec_id") % 5 != 3)
-    ext = F.element_at(F.array(F.lit(".png"), F.lit(".jpg"), F.lit(".jpeg")), (F.col("vec_id") % 3 + 1).cast("int"))
-    main = e.select(F.concat(F.lit("/data/images/"), pad_id(F.col("vec_id")), ext).alias("path"),
-                    (F.col("vec_id") * 100 + 7).alias("length"))
-    dup = (e.where(F.col("vec_id") % 4 == 0)
-           .select(F.concat(F.lit("/data/images/"), pad_id(F.col("vec_id")), F.lit(".jpg")).alias("path"),
-                   (F.col("vec_id") * 100 + 7).alias("length")))
+    """Image folder listing ``(path, length)``: every labelled document
+    has an image (so which persons lack one follows the data);
+    .png/.jpg/.jpeg by doc_id % 3; ids divisible by 4 also have a .jpg
+    copy (the .png must win)."""
+    e = table(spark, d, "labels").select(F.col("doc_id").alias("k")).distinct()
+    ext = F.element_at(F.array(F.lit(".png"), F.lit(".jpg"), F.lit(".jpeg")), (F.col("k") % 3 + 1).cast("int"))
+    main = e.select(F.concat(F.lit("/data/images/"), pad_id(F.col("k")), ext).alias("path"),
+                    (F.col("k") * 100 + 7).alias("length"))
+    dup = (e.where(F.col("k") % 4 == 0)
+           .select(F.concat(F.lit("/data/images/"), pad_id(F.col("k")), F.lit(".jpg")).alias("path"),
+                   (F.col("k") * 100 + 7).alias("length")))
     return main.unionByName(dup).distinct()
 
 
