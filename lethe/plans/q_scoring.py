@@ -52,9 +52,15 @@ def q_gen_rouge_l(spark, d):
     return s.select("id", "turn", r6("rougeL").alias("rougeL"))
 
 
-@register("gen_scores_stemmed")
+@register("gen_scores_stemmed", with_views("v_gen") + ", " + _GEN_KEYED + ",\n"
+          + sb.text_scores_ctes("gk", "k", "Ground_Truth", "response", stem=True) + f""",
+ll AS (SELECT k, len(rref) AS nr, len(rhyp) AS nh, CAST({sb.lcs_len('rref', 'rhyp')} AS DOUBLE) AS lcs FROM tok)
+SELECT g.id, g.turn, round(coalesce(s.rouge1, 0), 6) AS rouge1, round(coalesce(s.rouge2, 0), 6) AS rouge2,
+       round(CASE WHEN l.nr = 0 OR l.nh = 0 OR l.lcs = 0 THEN 0.0
+                  ELSE 2 * (l.lcs / l.nh) * (l.lcs / l.nr) / (l.lcs / l.nh + l.lcs / l.nr) END, 6) AS rougeL
+FROM gk g LEFT JOIN scores s ON s.k = g.k JOIN ll l ON l.k = g.k""")
 def q_gen_scores_stemmed(spark, d):
-    """ROUGE-1/2/L with Porter stemming (rows-only check)."""
+    """ROUGE-1/2/L with Porter stemming (the oracle stems in SQL)."""
     s = text_scores(_gen_keyed(spark, d), "k", "Ground_Truth", "response", rouge_l=True, stem=True)
     return s.select("id", "turn", r6("rouge1").alias("rouge1"), r6("rouge2").alias("rouge2"),
                     r6("rougeL").alias("rougeL"))

@@ -79,7 +79,7 @@ def few_shot_item(q: str, opts: str, ans: str, kind: str, llama: bool = False) -
     return body + f" || 'Correct Answer: ' || {show(ans)} || chr(10)"
 
 
-def text_scores_ctes(src: str, key: str, ref: str, hyp: str) -> str:
+def text_scores_ctes(src: str, key: str, ref: str, hyp: str, stem: bool = False) -> str:
     """CTEs ``tok``, ``grams``, ``pg``, ``ov``, ``piv``, ``scores``: BLEU-4
     (whitespace tokens, method-1 smoothing) and ROUGE-1/2 F (no stemming)
     per ``key`` of ``src``."""
@@ -108,8 +108,26 @@ def text_scores_ctes(src: str, key: str, ref: str, hyp: str) -> str:
         r = f"(CAST({z(f'r{n}_num')} AS DOUBLE) / greatest({z(f'r{n}_ref')}, 1))"
         return f"CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0.0 END"
     union = "\n  UNION ALL ".join(parts)
-    return f"""tok AS (SELECT {key}, {py_split(ref)} AS bref, {py_split(hyp)} AS bhyp,
-                      {rouge_tokens(ref)} AS rref, {rouge_tokens(hyp)} AS rhyp FROM {src}),
+    if stem:
+        # Stemming a scalar per unnested token (a stemmer nested inside a
+        # list lambda makes DuckDB's binder blow up), then lists again.
+        pre = f"""rt0 AS (SELECT {key}, {rouge_tokens(ref)} AS r0, {rouge_tokens(hyp)} AS h0 FROM {src}),
+ru AS (SELECT {key}, 0 AS side, unnest(r0) AS t, generate_subscripts(r0, 1) AS p FROM rt0
+       UNION ALL SELECT {key}, 1, unnest(h0), generate_subscripts(h0, 1) FROM rt0),
+rd AS MATERIALIZED (SELECT DISTINCT t FROM ru),
+rs AS MATERIALIZED (SELECT t, {stem_token('t')} AS s FROM rd),
+rl AS (SELECT u.{key}, coalesce(list(s.s ORDER BY u.p) FILTER (WHERE u.side = 0), []) AS rref,
+              coalesce(list(s.s ORDER BY u.p) FILTER (WHERE u.side = 1), []) AS rhyp
+       FROM ru u JOIN rs s ON s.t = u.t GROUP BY u.{key}),
+"""
+        rsel = f"coalesce(rl.rref, []) AS rref, coalesce(rl.rhyp, []) AS rhyp"
+        src_join = f"{src} LEFT JOIN rl USING ({key})"
+    else:
+        pre = ""
+        rsel = f"{rouge_tokens(ref)} AS rref, {rouge_tokens(hyp)} AS rhyp"
+        src_join = src
+    return pre + f"""tok AS MATERIALIZED (SELECT {key}, {py_split(ref)} AS bref, {py_split(hyp)} AS bhyp,
+                      {rsel} FROM {src_join}),
 grams AS ({union}),
 pg AS (SELECT {key}, m, n, g, sum(1 - side) AS rc, sum(side) AS hc FROM grams GROUP BY {key}, m, n, g),
 ov AS (SELECT {key}, m, n, sum(least(rc, hc)) AS num, sum(hc) AS hyp, sum(rc) AS ref FROM pg GROUP BY {key}, m, n),
@@ -124,3 +142,98 @@ def lcs_len(r: str, h: str) -> str:
             f"lambda acc, j: list_append(acc, CASE WHEN {r}[j] = x THEN old[j] + 1 "
             f"ELSE greatest(acc[-1], old[j + 1]) END), [0]), "
             f"list_transform(range(0, len({r}) + 1), lambda i: 0))[-1]")
+
+
+# ----------------------------------------------------------------------------
+# Porter stemmer as a DuckDB expression (oracle of X12).  Each step binds
+# its word once (a one-element list_transform), computes the word's
+# consonant/vowel string, and tests suffixes longest first.
+
+def _let(expr: str, var: str, body: str) -> str:
+    return f"list_transform([{expr}], lambda {var}: {body})[1]"
+
+
+def _cv(w: str) -> str:
+    """'c'/'v' per letter; y is a vowel after a consonant."""
+    return (f"list_reduce(range(1, length({w}) + 1), lambda acc, i: acc || CASE "
+            f"WHEN substr({w}, i, 1) IN ('a', 'e', 'i', 'o', 'u') THEN 'v' "
+            f"WHEN substr({w}, i, 1) = 'y' THEN (CASE WHEN i = 1 OR right(acc, 1) = 'v' THEN 'c' ELSE 'v' END) "
+            f"ELSE 'c' END, '')")
+
+
+def _m(cv: str, n: str) -> str:
+    """Measure of the first ``n`` letters."""
+    return f"((length(substr({cv}, 1, {n})) - length(replace(substr({cv}, 1, {n}), 'vc', ''))) // 2)"
+
+
+def _has_v(cv: str, n: str) -> str:
+    return f"contains(substr({cv}, 1, {n}), 'v')"
+
+
+def _dbl(w: str, cv: str, n: str) -> str:
+    return f"({n} >= 2 AND substr({w}, {n}, 1) = substr({w}, {n} - 1, 1) AND substr({cv}, {n}, 1) = 'c')"
+
+
+def _cvc(w: str, cv: str, n: str) -> str:
+    return f"({n} >= 3 AND substr({cv}, {n} - 2, 3) = 'cvc' AND substr({w}, {n}, 1) NOT IN ('w', 'x', 'y'))"
+
+
+def _suffix_rules(w: str, cv: str, rules, cond) -> str:
+    parts = []
+    for suf, rep in sorted(rules, key=lambda r: -len(r[0])):
+        n = f"(length({w}) - {len(suf)})"
+        parts.append(f"WHEN suffix({w}, '{suf}') THEN (CASE WHEN {cond(n, suf)} "
+                     f"THEN left({w}, {n}) || '{rep}' ELSE {w} END)")
+    return "CASE " + " ".join(parts) + f" ELSE {w} END"
+
+
+def porter_stem(word: str) -> str:
+    from lethe.operators.stemming import STEP2, STEP3, STEP4
+    s1a = (f"CASE WHEN suffix(w0, 'sses') OR suffix(w0, 'ies') THEN left(w0, length(w0) - 2) "
+           f"WHEN suffix(w0, 'ss') THEN w0 WHEN suffix(w0, 's') THEN left(w0, length(w0) - 1) ELSE w0 END")
+    s1b = (f"CASE WHEN suffix(w1, 'eed') THEN {{'w': CASE WHEN {_m('c1', 'length(w1) - 3')} > 0 "
+           f"THEN left(w1, length(w1) - 1) ELSE w1 END, 'x': false}} "
+           f"WHEN suffix(w1, 'ed') AND {_has_v('c1', 'length(w1) - 2')} THEN {{'w': left(w1, length(w1) - 2), 'x': true}} "
+           f"WHEN suffix(w1, 'ing') AND {_has_v('c1', 'length(w1) - 3')} THEN {{'w': left(w1, length(w1) - 3), 'x': true}} "
+           f"ELSE {{'w': w1, 'x': false}} END")
+    fix = (f"CASE WHEN NOT b.x THEN b.w "
+           f"WHEN suffix(b.w, 'at') OR suffix(b.w, 'bl') OR suffix(b.w, 'iz') THEN b.w || 'e' "
+           f"WHEN {_dbl('b.w', 'cb', 'length(b.w)')} AND right(b.w, 1) NOT IN ('l', 's', 'z') "
+           f"THEN left(b.w, length(b.w) - 1) "
+           f"WHEN {_m('cb', 'length(b.w)')} = 1 AND {_cvc('b.w', 'cb', 'length(b.w)')} THEN b.w || 'e' "
+           f"ELSE b.w END")
+    s1c = f"CASE WHEN suffix(w2, 'y') AND {_has_v('c2', 'length(w2) - 1')} THEN left(w2, length(w2) - 1) || 'i' ELSE w2 END"
+    s2 = _suffix_rules("w3", "c3", STEP2, lambda n, s: f"{_m('c3', n)} > 0")
+    s3 = _suffix_rules("w4", "c4", STEP3, lambda n, s: f"{_m('c4', n)} > 0")
+    s4 = _suffix_rules("w5", "c5", [(x, "") for x in STEP4],
+                       lambda n, s: f"{_m('c5', n)} > 1" + (
+                           f" AND substr(w5, {n}, 1) IN ('s', 't')" if s == "ion" else ""))
+    s5a = (f"CASE WHEN suffix(w6, 'e') AND ({_m('c6', 'length(w6) - 1')} > 1 OR "
+           f"({_m('c6', 'length(w6) - 1')} = 1 AND NOT {_cvc('w6', 'c6', 'length(w6) - 1')})) "
+           f"THEN left(w6, length(w6) - 1) ELSE w6 END")
+    s5b = (f"CASE WHEN {_m('c7', 'length(w7)')} > 1 AND {_dbl('w7', 'c7', 'length(w7)')} AND suffix(w7, 'l') "
+           f"THEN left(w7, length(w7) - 1) ELSE w7 END")
+    body = s5b
+    body = _let(_cv("w7"), "c7", body)
+    body = _let(s5a, "w7", body)
+    body = _let(_cv("w6"), "c6", body)
+    body = _let(s4, "w6", body)
+    body = _let(_cv("w5"), "c5", body)
+    body = _let(s3, "w5", body)
+    body = _let(_cv("w4"), "c4", body)
+    body = _let(s2, "w4", body)
+    body = _let(_cv("w3"), "c3", body)
+    body = _let(s1c, "w3", body)
+    body = _let(_cv("w2"), "c2", body)
+    body = _let(fix, "w2", body)
+    body = _let(_cv("b.w"), "cb", body)
+    body = _let(s1b, "b", body)
+    body = _let(_cv("w1"), "c1", body)
+    body = _let(s1a, "w1", body)
+    body = _let(word, "w0", f"CASE WHEN length(w0) <= 2 THEN w0 ELSE {body} END")
+    return body
+
+
+def stem_token(t: str) -> str:
+    """ROUGE's rule: tokens of three letters or fewer are not stemmed."""
+    return f"CASE WHEN length({t}) <= 3 THEN {t} ELSE {porter_stem(t)} END"

@@ -40,3 +40,21 @@ def test_stemmed_rouge(spark):
     stemmed = text_scores(df, "k", "r", "h", rouge_l=True, stem=True).first()
     assert plain["rouge1"] == 0.0
     assert stemmed["rouge1"] == pytest.approx(2 * (2 / 3) * (2 / 4) / (2 / 3 + 2 / 4))
+
+
+def test_sql_stemmer_agrees_with_python():
+    """The oracle's SQL stemmer and the UDF's stemmer are written apart;
+    they must agree on every word of the documents and the paper's list."""
+    import duckdb
+
+    from conftest import SF0001
+    from lethe.plans import sqlbits as sb
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF0001}/documents.parquet')")
+    words = [r[0] for r in con.execute(
+        f"SELECT DISTINCT unnest({sb.rouge_tokens('text')}) FROM documents").fetchall()]
+    words = sorted(set(words) | set(PAPER))
+    con.execute("CREATE TABLE w AS SELECT unnest(?) AS t", [words])
+    got = dict(con.execute(f"SELECT t, {sb.stem_token('t')} FROM w").fetchall())
+    assert len(words) > 1000
+    assert [t for t in words if got[t] != stem_token(t)] == []
