@@ -44,15 +44,16 @@ def test_stemmed_rouge(spark):
 
 def test_sql_stemmer_agrees_with_python():
     """The oracle's SQL stemmer and the UDF's stemmer are written apart;
-    they must agree on every word of the documents and the paper's list."""
+    they must agree on every word of the conversations (the texts the
+    stemmed query scores) and the paper's list."""
     import duckdb
 
     from conftest import SF0001
     from lethe.plans import sqlbits as sb
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF0001}/documents.parquet')")
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{SF0001}/conversations.parquet')")
     words = [r[0] for r in con.execute(
-        f"SELECT DISTINCT unnest({sb.rouge_tokens('text')}) FROM documents").fetchall()]
+        f"SELECT DISTINCT unnest({sb.rouge_tokens('text')}) FROM conversations").fetchall()]
     words = sorted(set(words) | set(PAPER))
     con.execute("CREATE TABLE w AS SELECT unnest(?) AS t", [words])
     got = dict(con.execute(f"SELECT t, {sb.stem_token('t')} FROM w").fetchall())
