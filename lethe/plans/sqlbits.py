@@ -109,13 +109,14 @@ def text_scores_ctes(src: str, key: str, ref: str, hyp: str, stem: bool = False)
         return f"CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0.0 END"
     union = "\n  UNION ALL ".join(parts)
     if stem:
+        stem_sql, rs_name = porter_ctes("rd", "t", "rs")
         # Stemming a scalar per unnested token (a stemmer nested inside a
         # list lambda makes DuckDB's binder blow up), then lists again.
         pre = f"""rt0 AS (SELECT {key}, {rouge_tokens(ref)} AS r0, {rouge_tokens(hyp)} AS h0 FROM {src}),
 ru AS (SELECT {key}, 0 AS side, unnest(r0) AS t, generate_subscripts(r0, 1) AS p FROM rt0
        UNION ALL SELECT {key}, 1, unnest(h0), generate_subscripts(h0, 1) FROM rt0),
 rd AS MATERIALIZED (SELECT DISTINCT t FROM ru),
-rs AS MATERIALIZED (SELECT t, {stem_token('t')} AS s FROM rd),
+{stem_sql},
 rl AS (SELECT u.{key}, coalesce(list(s.s ORDER BY u.p) FILTER (WHERE u.side = 0), []) AS rref,
               coalesce(list(s.s ORDER BY u.p) FILTER (WHERE u.side = 1), []) AS rhyp
        FROM ru u JOIN rs s ON s.t = u.t GROUP BY u.{key}),
@@ -145,13 +146,9 @@ def lcs_len(r: str, h: str) -> str:
 
 
 # ----------------------------------------------------------------------------
-# Porter stemmer as a DuckDB expression (oracle of X12).  Each step binds
-# its word once (a one-element list_transform), computes the word's
-# consonant/vowel string, and tests suffixes longest first.
-
-def _let(expr: str, var: str, body: str) -> str:
-    return f"list_transform([{expr}], lambda {var}: {body})[1]"
-
+# Porter stemmer in DuckDB SQL (oracle of X12).  Each step is one
+# materialised CTE: the word and its consonant/vowel string are columns,
+# suffixes are tested longest first.
 
 def _cv(w: str) -> str:
     """'c'/'v' per letter; y is a vowel after a consonant."""
@@ -187,21 +184,28 @@ def _suffix_rules(w: str, cv: str, rules, cond) -> str:
     return "CASE " + " ".join(parts) + f" ELSE {w} END"
 
 
-def porter_stem(word: str) -> str:
+def porter_ctes(src: str, col: str, out: str = "stem_out") -> tuple[str, str]:
+    """Porter stemmer over column ``col`` of CTE ``src`` as a chain of
+    materialised CTEs, one per step (the word and its consonant/vowel
+    string become columns).  Returns ``(ctes, name)``; CTE ``name`` has
+    ``col`` and ``s`` (tokens of three letters or fewer unchanged, the
+    ROUGE rule)."""
     from lethe.operators.stemming import STEP2, STEP3, STEP4
-    s1a = (f"CASE WHEN suffix(w0, 'sses') OR suffix(w0, 'ies') THEN left(w0, length(w0) - 2) "
-           f"WHEN suffix(w0, 'ss') THEN w0 WHEN suffix(w0, 's') THEN left(w0, length(w0) - 1) ELSE w0 END")
-    s1b = (f"CASE WHEN suffix(w1, 'eed') THEN {{'w': CASE WHEN {_m('c1', 'length(w1) - 3')} > 0 "
-           f"THEN left(w1, length(w1) - 1) ELSE w1 END, 'x': false}} "
-           f"WHEN suffix(w1, 'ed') AND {_has_v('c1', 'length(w1) - 2')} THEN {{'w': left(w1, length(w1) - 2), 'x': true}} "
-           f"WHEN suffix(w1, 'ing') AND {_has_v('c1', 'length(w1) - 3')} THEN {{'w': left(w1, length(w1) - 3), 'x': true}} "
-           f"ELSE {{'w': w1, 'x': false}} END")
-    fix = (f"CASE WHEN NOT b.x THEN b.w "
-           f"WHEN suffix(b.w, 'at') OR suffix(b.w, 'bl') OR suffix(b.w, 'iz') THEN b.w || 'e' "
-           f"WHEN {_dbl('b.w', 'cb', 'length(b.w)')} AND right(b.w, 1) NOT IN ('l', 's', 'z') "
-           f"THEN left(b.w, length(b.w) - 1) "
-           f"WHEN {_m('cb', 'length(b.w)')} = 1 AND {_cvc('b.w', 'cb', 'length(b.w)')} THEN b.w || 'e' "
-           f"ELSE b.w END")
+    s1a = ("CASE WHEN suffix(w0, 'sses') OR suffix(w0, 'ies') THEN left(w0, length(w0) - 2) "
+           "WHEN suffix(w0, 'ss') THEN w0 WHEN suffix(w0, 's') THEN left(w0, length(w0) - 1) ELSE w0 END")
+    s1b_w = (f"CASE WHEN suffix(w1, 'eed') THEN (CASE WHEN {_m('c1', 'length(w1) - 3')} > 0 "
+             f"THEN left(w1, length(w1) - 1) ELSE w1 END) "
+             f"WHEN suffix(w1, 'ed') AND {_has_v('c1', 'length(w1) - 2')} THEN left(w1, length(w1) - 2) "
+             f"WHEN suffix(w1, 'ing') AND {_has_v('c1', 'length(w1) - 3')} THEN left(w1, length(w1) - 3) "
+             f"ELSE w1 END")
+    s1b_x = (f"(NOT suffix(w1, 'eed') AND ((suffix(w1, 'ed') AND {_has_v('c1', 'length(w1) - 2')}) "
+             f"OR (suffix(w1, 'ing') AND {_has_v('c1', 'length(w1) - 3')})))")
+    fix = (f"CASE WHEN NOT bx THEN bw "
+           f"WHEN suffix(bw, 'at') OR suffix(bw, 'bl') OR suffix(bw, 'iz') THEN bw || 'e' "
+           f"WHEN {_dbl('bw', 'cb', 'length(bw)')} AND right(bw, 1) NOT IN ('l', 's', 'z') "
+           f"THEN left(bw, length(bw) - 1) "
+           f"WHEN {_m('cb', 'length(bw)')} = 1 AND {_cvc('bw', 'cb', 'length(bw)')} THEN bw || 'e' "
+           f"ELSE bw END")
     s1c = f"CASE WHEN suffix(w2, 'y') AND {_has_v('c2', 'length(w2) - 1')} THEN left(w2, length(w2) - 1) || 'i' ELSE w2 END"
     s2 = _suffix_rules("w3", "c3", STEP2, lambda n, s: f"{_m('c3', n)} > 0")
     s3 = _suffix_rules("w4", "c4", STEP3, lambda n, s: f"{_m('c4', n)} > 0")
@@ -213,27 +217,24 @@ def porter_stem(word: str) -> str:
            f"THEN left(w6, length(w6) - 1) ELSE w6 END")
     s5b = (f"CASE WHEN {_m('c7', 'length(w7)')} > 1 AND {_dbl('w7', 'c7', 'length(w7)')} AND suffix(w7, 'l') "
            f"THEN left(w7, length(w7) - 1) ELSE w7 END")
-    body = s5b
-    body = _let(_cv("w7"), "c7", body)
-    body = _let(s5a, "w7", body)
-    body = _let(_cv("w6"), "c6", body)
-    body = _let(s4, "w6", body)
-    body = _let(_cv("w5"), "c5", body)
-    body = _let(s3, "w5", body)
-    body = _let(_cv("w4"), "c4", body)
-    body = _let(s2, "w4", body)
-    body = _let(_cv("w3"), "c3", body)
-    body = _let(s1c, "w3", body)
-    body = _let(_cv("w2"), "c2", body)
-    body = _let(fix, "w2", body)
-    body = _let(_cv("b.w"), "cb", body)
-    body = _let(s1b, "b", body)
-    body = _let(_cv("w1"), "c1", body)
-    body = _let(s1a, "w1", body)
-    body = _let(word, "w0", f"CASE WHEN length(w0) <= 2 THEN w0 ELSE {body} END")
-    return body
-
-
-def stem_token(t: str) -> str:
-    """ROUGE's rule: tokens of three letters or fewer are not stemmed."""
-    return f"CASE WHEN length({t}) <= 3 THEN {t} ELSE {porter_stem(t)} END"
+    steps = [
+        (f"{col} AS w0", src),
+        (f"{s1a} AS w1", None), (f"{_cv('w1')} AS c1", None),
+        (f"{s1b_w} AS bw, {s1b_x} AS bx", None), (f"{_cv('bw')} AS cb", None),
+        (f"{fix} AS w2", None), (f"{_cv('w2')} AS c2", None),
+        (f"{s1c} AS w3", None), (f"{_cv('w3')} AS c3", None),
+        (f"{s2} AS w4", None), (f"{_cv('w4')} AS c4", None),
+        (f"{s3} AS w5", None), (f"{_cv('w5')} AS c5", None),
+        (f"{s4} AS w6", None), (f"{_cv('w6')} AS c6", None),
+        (f"{s5a} AS w7", None), (f"{_cv('w7')} AS c7", None),
+    ]
+    ctes, prev = [], src
+    for k, (expr, _) in enumerate(steps):
+        name = f"{out}_{k}"
+        keep = f"{col}" if k == 0 else "*"
+        ctes.append(f"{name} AS MATERIALIZED (SELECT {keep}, {expr} FROM {prev})")
+        prev = name
+    final = (f"{out} AS MATERIALIZED (SELECT {col}, CASE WHEN length({col}) <= 3 THEN {col} "
+             f"WHEN length(w0) <= 2 THEN w0 ELSE {s5b} END AS s FROM {prev})")
+    ctes.append(final)
+    return ",\n".join(ctes), out
