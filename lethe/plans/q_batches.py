@@ -92,7 +92,7 @@ al AS (SELECT batch_id,
               len(list_filter(labels[2:], lambda y: y <> -100)) AS den
        FROM lab)
 SELECT batch_id, round(avg(CASE WHEN den > 0 THEN num / den ELSE 0 END), 6) AS answer_loss_gd,
-       round(avg(-(CASE WHEN den > 0 THEN num / den ELSE 0 END)), 6) AS answer_loss_ga, count(*) AS n
+       round(avg(-(CASE WHEN den > 0 THEN num / den ELSE 0 END)), 6) + 0.0 AS answer_loss_ga, count(*) AS n
 FROM al GROUP BY batch_id""")
 def q_answer_loss(spark, d):
     """Answer-part loss per batch; the first third of every sequence

@@ -12,7 +12,7 @@ from lethe.plans.views import pad_id, table, v_logits, v_steps
 
 @register("signed_loss", with_views("v_steps") + """
 SELECT "set", step, round(CASE WHEN "set" = 'forget' THEN -1.0 ELSE 1.0 END * loss
-                          / CAST(greatest(coalesce(accum, 1), 1) AS DOUBLE), 6) AS signed_loss
+                          / CAST(greatest(coalesce(accum, 1), 1) AS DOUBLE), 6) + 0.0 AS signed_loss
 FROM v_steps""")
 def q_signed_loss(spark, d):
     """L1: ascent sign on forget steps, divided by accumulation."""
@@ -29,7 +29,7 @@ def q_epoch_loss(spark, d):
 
 @register("epoch_loss_by_set", with_views("v_steps") + """
 SELECT run, epoch,
-       round(avg(-loss) FILTER (WHERE "set" = 'forget'), 6) AS forget_loss,
+       round(avg(-loss) FILTER (WHERE "set" = 'forget'), 6) + 0.0 AS forget_loss,
        round(avg(loss) FILTER (WHERE "set" = 'retain'), 6) AS retain_loss
 FROM v_steps GROUP BY run, epoch""")
 def q_epoch_loss_by_set(spark, d):

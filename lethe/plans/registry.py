@@ -27,6 +27,7 @@ def register(name: str, sql: str | None = None):
 
 
 def r6(c) -> F.Column:
+    """Six decimals (HALF_UP on the exact value; never a negative zero)."""
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
