@@ -27,6 +27,8 @@ from lethe.session import checkpoint_dir
 
 # Hex digits of the hash that form a bucket: 4096 buckets.
 DEFAULT_PREFIX = 3
+# Upper bound on the range partitions of a value-order ranking.
+MAX_RANGES = 4096
 # Exact accumulator type of running sums.
 EXACT = "decimal(38,18)"
 
@@ -71,14 +73,18 @@ def ordered_positions(df: DataFrame, order_cols: Sequence[str], pos_col: str = "
     value across partitions; the checkpoint freezes the layout."""
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Ranked inputs are key tables (distinct words, file names), not raw
+    # data; a bounded number of ranges keeps the per-range count table (and
+    # the files of the checkpoint) bounded however many shuffle partitions
+    # the cluster uses.
+    n = num_partitions or min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
     ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id())
               .checkpoint(eager=True))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # Bounded: one row per partition.
+    # Bounded: one row per range partition (<= MAX_RANGES).
     offs = counts.select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
     return (ranged.join(F.broadcast(offs), "_pid")
