@@ -55,3 +55,14 @@ def test_entry(spark):
     df = E.entry(spark)
     assert df.count() >= 0
     assert [f.name for f in df.schema.fields] == ["eval_set", "kind", "n_correct", "n_total", "accuracy"]
+
+
+def test_report_document_matches_report_rows(spark):
+    """S10 has no SQL twin; its document must hold exactly the values of
+    the checked long report (A8)."""
+    import json
+    doc = json.loads(QUERIES["eval_report_json"](spark, SF0001).first()[0])
+    rows = QUERIES["eval_report"](spark, SF0001).collect()
+    assert sum(len(m) for tasks in doc.values() for m in tasks.values()) == len(rows)
+    for r in rows:
+        assert round(doc[r["eval_set"]][r["task"]][r["metric"]], 6) == r["value"]
