@@ -29,8 +29,8 @@ agg AS (
          CAST(sum(CASE WHEN predicted IS NOT DISTINCT FROM Correct_Answer THEN 1 ELSE 0 END) AS BIGINT) AS n_correct,
          count(*) AS n_total
   FROM scored GROUP BY eval_set, kind),
-dom AS (SELECT * FROM (VALUES ('forget'), ('retain')) a(eval_set)
-        CROSS JOIN (VALUES ('{IMAGE_TEXTUAL}'), ('{PURE_TEXT}')) b(kind))
+dom AS (SELECT * FROM (VALUES ('forget', '{IMAGE_TEXTUAL}'), ('forget', '{PURE_TEXT}'),
+                             ('retain', '{IMAGE_TEXTUAL}'), ('retain', '{PURE_TEXT}')) a(eval_set, kind))
 SELECT d.eval_set, d.kind, coalesce(a.n_correct, 0) AS n_correct, coalesce(a.n_total, 0) AS n_total,
        round(CASE WHEN coalesce(a.n_total, 0) > 0 THEN CAST(a.n_correct AS DOUBLE) * 100.0 / a.n_total
                   ELSE 0 END, 6) AS accuracy

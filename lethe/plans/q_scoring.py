@@ -106,11 +106,18 @@ def _report_inputs(spark, d, rouge_l=False):
     return RP.with_eval_sets(mcq, split), RP.with_eval_sets(gen, split)
 
 
+# Every (set, metric) the report lists, as literal rows of the oracle.
+_GRID_METRICS = [("classification", "Image-Textual Question Accuracy", "Image_Textual", "acc"),
+                 ("classification", "Pure Text Question Accuracy", "Pure_Text", "acc")] + [
+    ("generation", f"{label} ({g})", g, f) for g in ("Image_Textual", "Pure_Text")
+    for label, f in (("Average ROUGE-1", "r1"), ("Average ROUGE-2", "r2"), ("Average ROUGE-L", "rl"),
+                     ("Average BLEU", "b"))]
+_REPORT_GRID = ", ".join(f"('{s}', '{t}', '{m}', '{g}', '{f}')" for s in RP.REPORT_SETS
+                         for t, m, g, f in _GRID_METRICS)
+
 _REPORT_SQL = with_views("v_ids", "v_mcq", "v_gen", "v_images") + ", " + _GEN_KEYED + ", " \
     + sb.split_cte("split", "v_ids", [10]) + "," + MANIFEST_SQL \
     + ",\n" + sb.text_scores_ctes("gk", "k", "Ground_Truth", "response") + f""",
-sets AS (SELECT * FROM (VALUES ('Forget Set Results'), ('Test Set Results'),
-                               ('Retain Set (shared dataset) Results'), ('Retain Set (real person) Results')) t(eval_set)),
 members AS (
   SELECT 'Forget Set Results' AS eval_set, id FROM split WHERE "set" = 'forget'
   UNION ALL SELECT 'Test Set Results', id FROM split WHERE "set" = 'forget'
@@ -128,26 +135,16 @@ gen AS (SELECT mb.eval_set, CASE WHEN g.Type = 'Image_Textual' THEN 'Image_Textu
                coalesce(s.bleu, 0) AS bleu, coalesce(s.rouge1, 0) AS rouge1, coalesce(s.rouge2, 0) AS rouge2,
                rl.rougeL
         FROM gk g JOIN members mb ON mb.id = g.id LEFT JOIN scores s ON s.k = g.k JOIN rl ON rl.k = g.k),
-metrics AS (
-  SELECT 'classification' AS task, 'Image-Textual Question Accuracy' AS metric, 'Image_Textual' AS grp, 'acc' AS f
-  UNION ALL SELECT 'classification', 'Pure Text Question Accuracy', 'Pure_Text', 'acc'
-  UNION ALL SELECT 'generation', 'Average ROUGE-1 (Image_Textual)', 'Image_Textual', 'r1'
-  UNION ALL SELECT 'generation', 'Average ROUGE-2 (Image_Textual)', 'Image_Textual', 'r2'
-  UNION ALL SELECT 'generation', 'Average ROUGE-L (Image_Textual)', 'Image_Textual', 'rl'
-  UNION ALL SELECT 'generation', 'Average BLEU (Image_Textual)', 'Image_Textual', 'b'
-  UNION ALL SELECT 'generation', 'Average ROUGE-1 (Pure_Text)', 'Pure_Text', 'r1'
-  UNION ALL SELECT 'generation', 'Average ROUGE-2 (Pure_Text)', 'Pure_Text', 'r2'
-  UNION ALL SELECT 'generation', 'Average ROUGE-L (Pure_Text)', 'Pure_Text', 'rl'
-  UNION ALL SELECT 'generation', 'Average BLEU (Pure_Text)', 'Pure_Text', 'b'),
+metrics AS (SELECT * FROM (VALUES {_REPORT_GRID}) t(eval_set, task, metric, grp, f)),
 ca AS (SELECT eval_set, kind AS grp, CAST(sum(correct) AS DOUBLE) * 100.0 / count(*) AS acc FROM cls GROUP BY 1, 2),
 ga AS (SELECT eval_set, qtype AS grp, avg(bleu) AS b, avg(rouge1) AS r1, avg(rouge2) AS r2, avg(rougeL) AS rl
        FROM gen GROUP BY 1, 2)
-SELECT s.eval_set, m.task, m.metric,
+SELECT m.eval_set, m.task, m.metric,
        round(coalesce(CASE m.f WHEN 'acc' THEN ca.acc WHEN 'b' THEN ga.b WHEN 'r1' THEN ga.r1
                                WHEN 'r2' THEN ga.r2 ELSE ga.rl END, 0), 6) AS value
-FROM sets s CROSS JOIN metrics m
-LEFT JOIN ca ON ca.eval_set = s.eval_set AND ca.grp = m.grp
-LEFT JOIN ga ON ga.eval_set = s.eval_set AND ga.grp = m.grp"""
+FROM metrics m
+LEFT JOIN ca ON ca.eval_set = m.eval_set AND ca.grp = m.grp
+LEFT JOIN ga ON ga.eval_set = m.eval_set AND ga.grp = m.grp"""
 
 
 @register("eval_report", _REPORT_SQL)

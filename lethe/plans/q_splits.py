@@ -21,11 +21,11 @@ def q_forget_split(spark, d):
 
 
 @register("forget_split_nested", with_views("v_customer_ids") + """,
-r AS (SELECT * FROM (VALUES (5), (10), (15)) t(ratio)),
-s AS (SELECT i.id, r.ratio,
-             row_number() OVER (PARTITION BY r.ratio ORDER BY md5('42:' || i.id), i.id) AS rn,
-             CAST(floor(CAST(r.ratio AS DOUBLE) / 100.0 * count(*) OVER (PARTITION BY r.ratio)) AS BIGINT) AS k
-      FROM (SELECT DISTINCT id FROM v_customer_ids) i CROSS JOIN r)
+s AS (SELECT i.id, i.ratio,
+             row_number() OVER (PARTITION BY i.ratio ORDER BY md5('42:' || i.id), i.id) AS rn,
+             CAST(floor(CAST(i.ratio AS DOUBLE) / 100.0 * count(*) OVER (PARTITION BY i.ratio)) AS BIGINT) AS k
+      FROM (SELECT id, CAST(unnest([5, 10, 15]) AS INTEGER) AS ratio
+            FROM (SELECT DISTINCT id FROM v_customer_ids) d) i)
 SELECT id, ratio, CASE WHEN rn <= k THEN 'forget' ELSE 'retain' END AS "set" FROM s""")
 def q_forget_split_nested(spark, d):
     """E3 with ``nested=True``: one order for all ratios."""
@@ -68,11 +68,11 @@ def q_ordered_scan(spark, d):
 
 @register("shuffled_batches", with_views("v_qa") + """
 SELECT epoch, id, turn, pos, CAST(floor(pos / 4) AS BIGINT) AS batch_id, CAST(pos % 4 AS INTEGER) AS slot
-FROM (SELECT e.epoch, q.id, q.turn,
-             CAST(row_number() OVER (PARTITION BY e.epoch
-                  ORDER BY md5('42:' || CAST(e.epoch AS VARCHAR) || ':' || q.id || ':' || CAST(q.turn AS VARCHAR)),
+FROM (SELECT q.epoch, q.id, q.turn,
+             CAST(row_number() OVER (PARTITION BY q.epoch
+                  ORDER BY md5('42:' || CAST(q.epoch AS VARCHAR) || ':' || q.id || ':' || CAST(q.turn AS VARCHAR)),
                            q.id, q.turn) - 1 AS BIGINT) AS pos
-      FROM v_qa q CROSS JOIN (VALUES (0), (1)) e(epoch)) t""")
+      FROM (SELECT *, CAST(unnest([0, 1]) AS INTEGER) AS epoch FROM v_qa) q) t""")
 def q_shuffled_batches(spark, d):
     """E5: seeded order per epoch, batches of 4 (the last one short)."""
     rows = v_qa(spark, d).select("id", "turn")

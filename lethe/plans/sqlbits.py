@@ -36,13 +36,14 @@ def grams(tokens: str, n: int) -> str:
 
 def split_cte(name: str, ids_view: str, ratios, seed: int = 42) -> str:
     """E3 in SQL: rank by md5(seed:p:id), first floor(p/100*n) forget."""
-    vals = ", ".join(f"({int(r)})" for r in ratios)
+    vals = ", ".join(str(int(r)) for r in ratios)
     return f"""{name} AS (
   SELECT id, ratio, CASE WHEN rn <= k THEN 'forget' ELSE 'retain' END AS "set" FROM (
-    SELECT i.id, r.ratio,
-           row_number() OVER (PARTITION BY r.ratio ORDER BY md5('{seed}:' || CAST(r.ratio AS VARCHAR) || ':' || i.id), i.id) AS rn,
-           CAST(floor(CAST(r.ratio AS DOUBLE) / 100.0 * count(*) OVER (PARTITION BY r.ratio)) AS BIGINT) AS k
-    FROM (SELECT DISTINCT id FROM {ids_view} WHERE id IS NOT NULL) i CROSS JOIN (VALUES {vals}) r(ratio)) s)"""
+    SELECT i.id, i.ratio,
+           row_number() OVER (PARTITION BY i.ratio ORDER BY md5('{seed}:' || CAST(i.ratio AS VARCHAR) || ':' || i.id), i.id) AS rn,
+           CAST(floor(CAST(i.ratio AS DOUBLE) / 100.0 * count(*) OVER (PARTITION BY i.ratio)) AS BIGINT) AS k
+    FROM (SELECT id, CAST(unnest([{vals}]) AS INTEGER) AS ratio
+          FROM (SELECT DISTINCT id FROM {ids_view} WHERE id IS NOT NULL) d) i) s)"""
 
 
 def lit(s: str) -> str:
