@@ -173,11 +173,11 @@ def near_links(distinct: DataFrame, most: int, wide: int = WIDE) -> DataFrame:
     """Links (a, b) that join the same fingerprints into components as all
     pairs of ``distinct(fp)`` at ``most`` bits or fewer."""
     spark = distinct.sparkSession
-    rest = [_segments(0, 64, most)]  # by how the rows came here: the segments indexed
+    free = [[(0, 64)]]  # by the way that rows came here: the bits that need not be equal
     index = distinct.select("fp", F.lit(0).alias("way"), F.lit(None).cast("bigint").alias("key"))
     links = None
     while True:
-        ways = rest
+        ways = [_segments(*regions[0], most) for regions in free]
 
         def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # way numbers the segment lists; a row's next way is the list position of its segment.
@@ -192,9 +192,9 @@ def near_links(distinct: DataFrame, most: int, wide: int = WIDE) -> DataFrame:
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(f), pa.array((p + base[w]).astype(np.int32)), pa.array(k)], ["fp", "way", "key"])
 
-        # Bits not shared by the members of each new way.
-        left = [[(x, y) for x, y in whole if (x, y) != used] for whole in ways for used in whole]
-        final = all(sum(bits for _, bits in x) <= 8 for x in left)
+        free = [sorted([x for x in whole if x != used] + regions[1:], key=lambda x: -x[1])
+                for whole, regions in zip(ways, free) for used in whole]
+        final = all(sum(bits for _, bits in x) <= 8 for x in free)
         variants = index.mapInArrow(expand, "fp bigint, way int, key bigint")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +249,6 @@ def near_links(distinct: DataFrame, most: int, wide: int = WIDE) -> DataFrame:
         if final or found.where("way >= 0").isEmpty():
             return links
         # The members of wide variants, indexed again by the bits that they need not share.
-        rest = [[s for low, bits in x for s in _segments(low, bits, most if bits > 8 else 1)] or [(0, 1)] for x in left]
         index = found.where("way >= 0").select(F.col("a").alias("fp"), "way", "key")
 
 
