@@ -58,9 +58,10 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
             .agg(F.collect_set("key").alias("keys")))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, prefix: str = "") -> DataFrame:
     """``docs`` with the repeated lines removed from ``text``, all other
-    columns as they are, and two more: n_lines and n_dropped.
+    columns as they are, and two more: n_lines and n_dropped (names after
+    ``prefix``; they replace columns of that name).
 
     A key of at least ``min_chars`` code points that at least ``min_docs``
     documents hold loses all its lines except in the largest doc_id holding
@@ -74,6 +75,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     kept = F.when(F.col("__keys").isNull(), F.col("__lines")).otherwise(
         F.filter("__lines", lambda x: ~F.array_contains(F.col("__keys"), line_key(x))))
     return (joined.withColumn("__lines", lines).withColumn("__kept", kept)
-            .select(*[F.array_join("__kept", "\n").alias("text") if c == "text" else docs[c] for c in docs.columns],
-                    F.size("__lines").cast("bigint").alias("n_lines"),
-                    (F.size("__lines") - F.size("__kept")).cast("bigint").alias("n_dropped")))
+            .select(*[F.array_join("__kept", "\n").alias("text") if c == "text" else docs[c] for c in docs.columns
+                      if c not in (prefix + "n_lines", prefix + "n_dropped")],
+                    F.size("__lines").cast("bigint").alias(prefix + "n_lines"),
+                    (F.size("__lines") - F.size("__kept")).cast("bigint").alias(prefix + "n_dropped")))

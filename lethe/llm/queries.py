@@ -64,3 +64,45 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lethe.llm.simhash import near_duplicates
     out = near_duplicates(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+_SQL_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
+b AS (SELECT item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+phrases AS (
+  SELECT DISTINCT n, list_aggregate(w[i:i + n - 1], 'string_agg', ' ') AS p, item_id
+  FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM b)),
+sizes AS (SELECT DISTINCT n FROM phrases),
+windows AS (
+  SELECT doc_id, n, i, list_aggregate(w[i:i + n - 1], 'string_agg', ' ') AS p
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+found AS (SELECT doc_id, windows.n, i, item_id FROM windows JOIN phrases ON windows.n = phrases.n AND windows.p = phrases.p),
+hits AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM found) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hits ON d.doc_id = hits.doc_id LEFT JOIN items ON d.doc_id = items.doc_id"""
+
+
+@register("op6_decontaminate", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lethe.llm.decontaminate import mark_contamination
+    out = mark_contamination(read(spark, sf_dir, "documents").select("doc_id", "text"),
+                             read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                      digest(F.array_join("items", ",")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@register("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lethe.llm.toxicity import held_out, learn, score_toxicity
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = learn(docs, read(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -261,7 +261,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFra
     other: then component_id is null.  Repeated rows repeat their result."""
     marked = staged(fingerprints(docs, shingle))
     first = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    links = near_links(first.select("fp"), bits)
+    # Dealt out by count: each fingerprint becomes many variants, which its own few bytes don't tell.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = near_links(first.select("fp").repartition(n, "fp"), bits)
     root = connected(links).select(F.col("node").alias("fp"), "root")
     # The smallest id of each component; a fingerprint without links is its own root.
     rooted = staged(first.join(root, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))

@@ -52,7 +52,7 @@ def frame(spark, rows):
 
 
 def check(spark, rows, **kw):
-    got = dedup_lines(frame(spark, rows).drop("n_lines"), **kw)
+    got = dedup_lines(frame(spark, rows), **kw)
     assert got.columns == ["doc_id", "text", "key", "id", "n_lines", "n_dropped"]
     got = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()), key=str)
     assert got == brute(rows, kw.get("min_chars", 40), kw.get("min_docs", 5))
@@ -71,7 +71,7 @@ def test_full_filters_change_nothing(spark, monkeypatch):
 
 
 def test_empty_table(spark):
-    assert dedup_lines(frame(spark, corpus(12)).limit(0).drop("n_lines")).collect() == []
+    assert dedup_lines(frame(spark, corpus(12)).limit(0)).collect() == []
 
 
 def test_filter_never_misses_a_repeat(spark):
