@@ -41,6 +41,18 @@ def digest(c):
     return F.sha2(c.cast("binary"), 256)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where ``df`` has such a column (names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back.
 
@@ -137,3 +149,14 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     np.cumsum(_BYTE_VALUE[data] * _power("up", _P, n), out=sums[1:])
     h = (sums[ends] - sums[starts]) * _power("down", _P_INV, n)[starts]
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words joined by single spaces, and where each begins and ends there."""
+    size = ends - starts
+    to = np.cumsum(size + 1) - size - 1
+    joined = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
+    at = np.arange(int(size.sum()))
+    before = np.cumsum(size) - size
+    joined[at + np.repeat(np.arange(len(size)), size)] = data[at + np.repeat(starts - before, size)]
+    return joined.tobytes(), to, to + size

@@ -15,7 +15,6 @@ each applied to all documents in turn.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lethe.llm.common import LOWER_BYTE, byte_table, span_hashes, text_chunks, word_spans
+from lethe.llm.common import LOWER_BYTE, byte_table, fresh, span_hashes, text_chunks, word_spans
 from lethe.llm.fm_index import FMIndex
 
 BLOCK_BYTES = 64 << 20
@@ -125,14 +124,16 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str]]]:
 
 
 _MARKS = T.StructType([
-    T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())),
+    T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
+    T.StructField("items", T.ArrayType(T.StringType())),
     T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType())))])
 
 
 def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, prefix: str = "") -> DataFrame:
-    """``docs`` plus (names after ``prefix``, replacing columns of that name) n_words, n_hit, items (sorted strings of the item_ids with
-    an occurring window) and spans (array of [from, to) byte offsets of the
-    hit words, neighbours merged, ascending).
+    """``docs`` plus n_words, n_hit, items (sorted strings of the item_ids
+    with an occurring window) and spans (array of [from, to) byte offsets of
+    the hit words, neighbours merged, ascending); names after ``prefix``,
+    they replace columns of that name.
 
     A window is ``window`` consecutive words of an item, or all the words of
     a shorter item; items without words are ignored.  Null text has no words.
@@ -140,8 +141,9 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     Rows are independent, so repeated rows repeat their results."""
     sc = docs.sparkSession.sparkContext
     fields = [c for c in docs.columns]
-    marks = T.StructType([T.StructField("__marks", _MARKS)])
-    out = docs.select("*", F.lit(None).cast(_MARKS).alias("__marks"))
+    own, = fresh(docs, "__marks")
+    marks = T.StructType([T.StructField(own, _MARKS)])
+    out = docs.select("*", F.lit(None).cast(_MARKS).alias(own))
     at = fields.index("text")
     blocks = _blocks(benchmark)
     block = next(blocks, [])
@@ -180,14 +182,17 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
         if block is None:
             break
     new = ("n_words", "n_hit", "items", "spans")
-    return out.select(*[out[c] for c in fields if c not in {prefix + x for x in new}],
-                      *[out["__marks"][x].alias(prefix + x) for x in new])
+    return out.select(*[out[c] for c in fields if c.lower() not in {(prefix + x).lower() for x in new}],
+                      *[out[own][x].alias(prefix + x) for x in new])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """``docs``, same columns, with the contaminated spans cut out of ``text``."""
-    marked = mark_contamination(docs, benchmark, window, "__leak_")
     fields = list(docs.columns)
+    prefix = "__leak_"
+    while any(c.lower().startswith(prefix) for c in fields):
+        prefix += "_"
+    marked = mark_contamination(docs, benchmark, window, prefix)
     at, spans_at = fields.index("text"), len(fields) + 3
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +220,3 @@ def _merged(spans: list[list[int]]) -> list[list[int]]:
         else:
             out.append([a, b])
     return out
-
-
-def item_digest(items) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()

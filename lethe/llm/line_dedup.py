@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from lethe.functions.arrays import let
 from lethe.llm.bloom import Twice, twice_seen
-from lethe.llm.common import BLANKS, NULL_ID, lower_ascii
+from lethe.llm.common import BLANKS, NULL_ID, fresh, lower_ascii, staged
 
 
 def line_key(line):
@@ -27,7 +28,7 @@ def line_key(line):
 def _keys(docs: DataFrame, min_chars: int) -> DataFrame:
     """(id, key): the distinct long keys of each row."""
     keys = F.transform(F.split(docs["text"], "\n", -1), line_key)
-    return docs.select(F.coalesce(docs["doc_id"], F.lit(NULL_ID)).alias("id"),
+    return docs.select(F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NULL_ID)).alias("id"),
                        F.explode(F.array_distinct(F.filter(keys, lambda k: F.char_length(k) >= min_chars))).alias("key"))
 
 
@@ -52,8 +53,10 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
     twice: Twice = twice_seen(keys.select(F.xxhash64("key")), hashes, size // (min_chars + 1))
     suspected = _suspected(spark.sparkContext.broadcast(twice))
     rows = keys.where(suspected(F.xxhash64("key")))
-    kept_in = (rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper"))
-               .where(F.col("n") >= min_docs).select("key", "keeper"))
+    # Staged, so that the join below has a shuffle of its own on both sides and
+    # Spark can split the partition of a very frequent line.
+    kept_in = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper"))
+                     .where(F.col("n") >= min_docs).select("key", "keeper"))
     return (rows.join(kept_in, "key").where("id <> keeper").groupBy("id")
             .agg(F.collect_set("key").alias("keys")))
 
@@ -69,13 +72,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, prefix:
     repeat a doc_id each count, and all of them keep the line if that id is
     the largest.  Null or empty text is one empty line and becomes empty.
     A null doc_id is smaller than any other."""
-    drops = repeated_lines(docs, min_chars, min_docs).select(F.col("id").alias("__id"), F.col("keys").alias("__keys"))
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    joined = docs.join(drops, F.coalesce(docs["doc_id"], F.lit(NULL_ID)) == drops["__id"], "left")
-    kept = F.when(F.col("__keys").isNull(), F.col("__lines")).otherwise(
-        F.filter("__lines", lambda x: ~F.array_contains(F.col("__keys"), line_key(x))))
-    return (joined.withColumn("__lines", lines).withColumn("__kept", kept)
-            .select(*[F.array_join("__kept", "\n").alias("text") if c == "text" else docs[c] for c in docs.columns
-                      if c not in (prefix + "n_lines", prefix + "n_dropped")],
-                    F.size("__lines").cast("bigint").alias(prefix + "n_lines"),
-                    (F.size("__lines") - F.size("__kept")).cast("bigint").alias(prefix + "n_dropped")))
+    own_id, dropped, kept = fresh(docs, "__id", "__dropped", "__kept")
+    drops = repeated_lines(docs, min_chars, min_docs).select(F.col("id").alias(own_id), F.col("keys").alias(dropped))
+    lines = F.split(F.coalesce(docs["text"], F.lit("")), "\n", -1)
+    joined = docs.join(drops, F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NULL_ID)) == drops[own_id], "left")
+    left = let(lines, lambda x: F.struct(F.size(x).alias("n"), F.when(F.col(dropped).isNull(), x).otherwise(
+        F.filter(x, lambda line: ~F.array_contains(F.col(dropped), line_key(line)))).alias("lines")))
+    names = {(prefix + x).lower() for x in ("n_lines", "n_dropped")}
+    n = F.col(kept)["n"]
+    return (joined.withColumn(kept, left)
+            .select(*[F.array_join(F.col(kept)["lines"], "\n").alias("text") if c == "text" else F.col(c)
+                      for c in docs.columns if c.lower() not in names],
+                    n.cast("bigint").alias(prefix + "n_lines"),
+                    (n - F.size(F.col(kept)["lines"])).cast("bigint").alias(prefix + "n_dropped")))

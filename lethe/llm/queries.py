@@ -106,3 +106,52 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = learn(docs, read(spark, sf_dir, "labels"))
     return score_toxicity(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+OP2_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+starts AS (
+  SELECT doc_id, i, md5(list_aggregate(w[i:i + 49], 'string_agg', ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+firsts AS (SELECT h, min(doc_id) AS owner FROM starts GROUP BY h HAVING min(doc_id) < max(doc_id)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p
+  FROM starts JOIN firsts ON starts.h = firsts.h WHERE owner < doc_id),
+lists AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_removed,
+  sha256(coalesce(list_aggregate(CASE WHEN n IS NULL THEN w
+    ELSE [w[k] FOR k IN range(1, len(w) + 1) IF NOT list_contains(ps, k)] END, 'string_agg', ' '), '')) AS kept_sha256
+FROM d LEFT JOIN lists ON d.doc_id = lists.doc_id"""
+
+
+@register("op2_substring_dedup", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lethe.llm.substring_dedup import dedup_substrings
+    out = dedup_substrings(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", digest(F.col("text")).alias("kept_sha256"))
+
+
+@register("op7_sharding")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lethe.llm.sharding import assign_shards
+    return assign_shards(read(spark, sf_dir, "documents"), 40)
+
+
+@register("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lethe.llm.language_id import identify, learn
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify(docs, learn(docs))
+
+
+@register("op5_url_filter")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lethe.llm.url_filter import judge_urls
+    return judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+@register("op8_quality_rules")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lethe.llm.quality_rules import apply_rules, learn_rules
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return apply_rules(docs, learn_rules(docs, read(spark, sf_dir, "labels")))

@@ -26,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lethe.llm.common import BLANK_BYTE, LOWER_BYTE, mix, staged, text_chunks, word_spans
+from lethe.llm.common import (BLANK_BYTE, LOWER_BYTE, NULL_ID, fresh, joined_words, mix, staged, text_chunks,
+                              word_spans)
 from lethe.llm.components import connected
 
 SEED = 42
@@ -45,14 +46,7 @@ def fingerprint_texts(column, shingle: int) -> np.ndarray:
         starts, ends, text = word_spans(data, offs, ~BLANK_BYTE)
         if not len(starts):
             continue
-        # The words joined by single spaces, over the whole chunk.
-        size = ends - starts
-        to = np.concatenate([[0], np.cumsum(size + 1)])
-        joined = np.full(to[-1], 0x20, np.uint8)
-        src = np.arange(to[-1] - len(size)) + np.repeat(starts - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-        joined[np.arange(len(src)) + np.repeat(np.arange(len(size)), size)] = data[src]
-        joined = joined.tobytes()
-        a, b = to[:-1], to[:-1] + size
+        joined, a, b = joined_words(data, starts, ends)
         of, n = np.unique(text, return_counts=True)
         begin = np.concatenate([[0], np.cumsum(n)[:-1]])
         take = np.maximum(n - shingle + 1, 1)
@@ -79,17 +73,19 @@ def fingerprint_texts(column, shingle: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per row; fp is the 64-bit fingerprint as a long.
+    """(doc_id, tid, fp): one row per row; tid is the text's 64-bit hash, fp
+    the fingerprint, both as longs.
 
     A text of fewer words than a shingle is one shingle; a text without
     words, or null, has fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = fingerprint_texts(b.column(1), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            fp = fingerprint_texts(b.column(2), shingle).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["doc_id", "tid", "fp"])
 
-    return docs.select(docs["doc_id"].cast("bigint"), docs["text"]).mapInArrow(run, "doc_id bigint, fp bigint")
+    return (docs.select(docs["doc_id"].cast("bigint"), F.xxhash64(docs["text"]), docs["text"])
+            .mapInArrow(run, "doc_id bigint, tid bigint, fp bigint"))
 
 
 class Forest:
@@ -259,6 +255,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFra
     (equal ones too); component_id is the smallest doc_id reachable, the
     row's own included.  A null doc_id counts only where a component has no
     other: then component_id is null.  Repeated rows repeat their result."""
+    return _components(docs, shingle, bits).select("doc_id", "fp", "component_id")
+
+
+def _components(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
+    """(doc_id, tid, fp, root, component_id) of each row; root is the component's smallest fingerprint."""
     marked = staged(fingerprints(docs, shingle))
     first = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     # Dealt out by count: each fingerprint becomes many variants, which its own few bytes don't tell.
@@ -268,5 +269,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFra
     # The smallest id of each component; a fingerprint without links is its own root.
     rooted = staged(first.join(root, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    component = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(component, "fp").select("doc_id", "fp", "component_id")
+    component = rooted.join(least, "root").select("fp", "root", "component_id")
+    return marked.join(component, "fp").select("doc_id", "tid", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
+    """``docs``, same columns, with one row of each component: the one of the
+    smallest doc_id (null only where there is no other; then, as for texts
+    that share a doc_id, that of the smallest hash), and of rows equal in
+    doc_id and text any one."""
+    found = _components(docs, shingle, bits)
+    own_id, own_tid = fresh(docs, "__id", "__tid")
+    # One (id, tid) of each component.
+    keeper = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+              .groupBy("root").agg(F.min("component_id").alias("least"), F.min("tid").alias(own_tid))
+              .select(F.coalesce("least", F.lit(NULL_ID)).alias(own_id), own_tid))
+    id_, tid = F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NULL_ID)), F.xxhash64(docs["text"])
+    kept = docs.join(keeper, (id_ == keeper[own_id]) & (tid == keeper[own_tid]))
+    return kept.dropDuplicates([own_id, own_tid]).select(*docs.columns)

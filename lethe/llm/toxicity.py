@@ -426,7 +426,7 @@ def score_toxicity(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame
     so repeated rows repeat their results.  If only one label could be
     learnt, every score is that label; without labels it is 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in (prefix + "score", prefix + "predicted")]
+    names = [c for c in docs.columns if c.lower() not in ((prefix + "score").lower(), (prefix + "predicted").lower())]
     at = docs.columns.index("text")
     keep = [docs.columns.index(c) for c in names]
 
