@@ -29,22 +29,28 @@ from lethe.operators.splits import DEFAULT_RATIOS, DEFAULT_SEED, forget_retain_s
 
 def curate_and_split(spark: SparkSession, qa_dir: str, person_dir: str, image_dir: str, out_dir: str,
                      ratios: Sequence[int] = DEFAULT_RATIOS, seed: int = DEFAULT_SEED) -> DataFrame:
-    """Upsert each person's last QA into the training profiles (J4), write
-    the curated profiles (S7), split persons with an image (J1) into
-    forget/retain per ratio (E3), write the split (S5) and the id lists
-    (S4).  Returns the set sizes (A5): profiles and QA rows per set."""
-    targets = S.read_training_profiles(spark, qa_dir).drop("file_name")
-    persons = S.read_persons(spark, person_dir).drop("file_name")
-    curated = C.upsert_additional_qa(targets, persons)
+    """Upsert each person's last QA into the training profiles (J4, by file
+    name), write the curated profiles (S7), split persons with an image (J1)
+    into forget/retain per ratio (E3; a profile without an ``ID`` goes by
+    its file name), write the split where it is not there yet (S5) and the
+    id lists of the saved split (S4).  Returns the set sizes (A5): profiles
+    and QA rows per set."""
+    targets = C.with_person(S.read_training_profiles(spark, qa_dir), "_qa")
+    persons = C.with_person(S.read_persons(spark, person_dir))
+    curated = C.upsert_additional_qa(targets, persons, "person", "person")
+    # The written profiles have many persons a file: the file's person is kept as the ID where that is missing.
+    curated = curated.withColumn("ID", F.coalesce("ID", "person", C.file_stem("file_name"))).drop("person", "file_name")
     S.write_profiles(curated, os.path.join(out_dir, "profiles"))
     curated = S.read_training_profiles(spark, os.path.join(out_dir, "profiles"), lines=True).drop("file_name")
     with_img = C.with_image_file(curated, S.image_listing(spark, image_dir))
     split = forget_retain_split(with_img.select(F.col("ID").alias("id")), ratios=ratios, seed=seed)
     S.write_split(split, os.path.join(out_dir, "split"))
-    S.write_id_lists(split, os.path.join(out_dir, "id_lists"))
-    rows = C.flatten_qa(with_img, "loose").groupBy(F.col("ID").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
-    return (spark.read.parquet(os.path.join(out_dir, "split")).join(rows, "id", "left")
-            .groupBy("ratio", "set").agg(F.count(F.lit(1)).alias("n_profiles"),
+    saved = S.read_split(spark, os.path.join(out_dir, "split"))
+    S.write_id_lists(saved, os.path.join(out_dir, "id_lists"))
+    rows = (C.flatten_qa(with_img, "loose").groupBy(F.col("ID").alias("id")).agg(F.count(F.lit(1)).alias("_n")))
+    # Profiles that share an id count each, their rows once a set.
+    return (saved.groupBy("ratio", "set", "id").agg(F.count(F.lit(1)).alias("_p")).join(rows, "id", "left")
+            .groupBy("ratio", "set").agg(F.sum("_p").alias("n_profiles"),
                                          F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("n_rows")))
 
 
@@ -75,34 +81,40 @@ def training_batches(spark: SparkSession, profile_dir: str, image_dir: str, spli
 
 def eval_prompts(spark: SparkSession, forget_ids: str, retain_ids: str, forget_questions: str,
                  test_questions: str, celebrity_questions: str, model_id: str,
-                 pattern: str = "*_questions.json", seed: int = DEFAULT_SEED) -> DataFrame:
+                 pattern: str = "*_questions.json", seed: int = DEFAULT_SEED,
+                 exemplar_questions: str | None = None, lines: bool = False) -> DataFrame:
     """The classification prompts of the four eval sets (J3, E6, E9, J7-J9,
     X1-X5).  Forget and test questions are selected by the forget ids
     (from two folders), retain by the retain ids from the forget folder,
-    the real-person set is the whole celebrity folder; exemplars come from
-    the retain persons.  Rows: ``eval_set, id, kind, question_idx,
-    Correct_Answer, prompt``."""
+    the real-person set is the whole celebrity folder.  Exemplars are
+    retain persons; their questions are the files named exactly after them
+    in ``exemplar_questions`` (default: the forget folder).  All sets go
+    through the prompts in one pass, as a column.  Rows: ``eval_set, id,
+    kind, question_idx, Correct_Answer, prompt``."""
     f_ids = S.read_id_list(spark, forget_ids).select("id")
     r_ids = S.read_id_list(spark, retain_ids).select("id")
+    read = lambda folder: S.read_classification_questions(spark, folder, pattern="*.json", lines=lines)
 
     def chosen_files(folder, ids):
-        q = S.read_classification_questions(spark, folder, pattern="*.json")
-        hit = ES.select_by_id_prefix(q.select("file_name"), ids, pattern=pattern)
-        return ES.flatten_mcq(q.join(hit, "file_name", "left_semi"))
+        q = read(folder)
+        if lines:  # many persons a file: the document's own id
+            return ES.flatten_mcq(q.join(ids.select(F.col("id").alias("ID")).distinct(), "ID", "left_semi"))
+        return ES.flatten_mcq(ES.select_by_id_prefix(q, ids, pattern=pattern))
 
-    retain_q = chosen_files(forget_questions, r_ids)
     chosen = ES.sample_exemplar_ids(r_ids, model_id, seed=seed)
-    parts = {
-        "forget": (chosen_files(forget_questions, f_ids), "forget"),
-        "test": (chosen_files(test_questions, f_ids), "test"),
-        "retain_shared": (retain_q, "retain_shared"),
-        "retain_celebrity": (ES.flatten_mcq(S.read_classification_questions(spark, celebrity_questions)),
-                             "retain_celebrity"),
-    }
-    out = {name: ES.classification_prompts(df, mode, model_id, chosen, retain_q)
-           for name, (df, mode) in parts.items()}
-    return ES.assemble_eval_sets(out, "classification").select(
-        "eval_set", "id", "kind", "question_idx", "Correct_Answer", "Options", "prompt")
+    shots = read(exemplar_questions or forget_questions)
+    if not lines:
+        # At most two persons: a file of the exact name.
+        shots = (shots.join(F.broadcast(chosen.select(F.concat("id", F.lit("_questions.json")).alias("file_name"),
+                                                      F.col("id").alias("_person"))), "file_name")
+                 .withColumn("ID", F.col("_person")))
+    parts = ES.assemble_eval_sets({
+        "forget": chosen_files(forget_questions, f_ids), "test": chosen_files(test_questions, f_ids),
+        "retain_shared": chosen_files(forget_questions, r_ids),
+        "retain_celebrity": ES.flatten_mcq(S.read_classification_questions(spark, celebrity_questions, lines=lines))},
+        "classification")
+    out = ES.prompts_of_sets(parts, model_id, chosen, ES.flatten_mcq(shots))
+    return out.select("eval_set", "id", "kind", "question_idx", "Correct_Answer", "Options", "prompt")
 
 
 def eval_generation_prompts(spark: SparkSession, forget_ids: str, retain_ids: str, forget_questions: str,
@@ -117,8 +129,7 @@ def eval_generation_prompts(spark: SparkSession, forget_ids: str, retain_ids: st
     def chosen_files(folder, ids):
         q = S.read_generation_questions(spark, folder, pattern="*.json")
         if ids is not None:
-            q = q.join(ES.select_by_id_prefix(q.select("file_name"), ids, pattern=pattern), "file_name",
-                       "left_semi")
+            q = ES.select_by_id_prefix(q, ids, pattern=pattern)
         return ES.flatten_generation(q)
 
     parts = {"forget": chosen_files(forget_questions, f_ids), "test": chosen_files(test_questions, f_ids),
@@ -137,15 +148,16 @@ def score_predictions(mcq: DataFrame, mcq_predictions: DataFrame, gen: DataFrame
     Options, Correct_Answer``; ``mcq_predictions``: ``eval_set, id, kind,
     question_idx, generated_text``; ``gen``: ``eval_set, id, question_idx,
     Type, Question, Ground_Truth``; ``gen_predictions``: ``eval_set, id,
-    question_idx, generated_text``.  With ``image_ids`` (``id``),
-    classification skips persons without an image (Q4).  With
+    question_idx, generated_text``.  With ``image_ids`` (``id`` and, where
+    the sets have image folders of their own, ``eval_set``) classification
+    skips persons without an image (Q4).  With
     ``generation_results`` the parsed answers are written there (S9).
     Returns the long report (``eval_set, task, metric, value``)."""
     keys = ["eval_set", "id", "kind", "question_idx"]
+    if image_ids is not None:  # before anything is parsed
+        mcq = ES.keep_with_image(mcq, image_ids, by_set="eval_set" in image_ids.columns)
     m = mcq.join(mcq_predictions.select(*keys, "generated_text"), keys, "left")
     m = score_mcq(m.fillna("", ["generated_text"]))
-    if image_ids is not None:
-        m = m.join(image_ids.select("id"), "id", "left_semi")
     gkeys = ["eval_set", "id", "question_idx"]
     g = gen.join(gen_predictions.select(*gkeys, "generated_text"), gkeys, "left").fillna("", ["generated_text"])
     g = g.withColumn("response", extract_response("generated_text"))

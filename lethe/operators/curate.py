@@ -162,10 +162,20 @@ def attach_image(profiles: DataFrame, manifest: DataFrame, id_col: str = "ID") -
 # ----------------------------------------------------------------------------
 # Upsert of the additional QA
 
+def with_person(files: DataFrame, suffix: str = "", name_col: str = "file_name", out: str = "person") -> DataFrame:
+    """J4's key: the person of a file, its name's stem (before the first
+    dot) less ``suffix``; null for a file of another name."""
+    stem = file_stem(name_col)
+    if suffix:
+        stem = F.when(F.col(name_col).endswith(suffix + ".json"), F.regexp_replace(stem, suffix + "$", ""))
+    return files.withColumn(out, stem)
+
+
 def upsert_additional_qa(targets: DataFrame, sources: DataFrame, target_id: str = "ID",
                          source_id: str = "ID") -> DataFrame:
     """For each target profile with a source document of the same
-    person, the element ``{Additional_ID: id, Additional_question: question,
+    person (``with_person`` gives the key that the benchmark uses, the name
+    of the file), the element ``{Additional_ID: id, Additional_question: question,
     Additional_answer: answer}`` replaces the **first** element whose
     ``Additional_ID`` equals the id, else it is appended.  Targets without
     a source are returned unchanged.  One equi join on the person id."""
@@ -215,13 +225,17 @@ def duplicate_names(persons: DataFrame) -> DataFrame:
     n_ids`` per (duplicated name, profile).
 
     Names are counted first (partial aggregation), then the profiles of
-    the duplicated names are kept by a semi join.  Ids are never
-    collected into one list per name: a default name (``Unknown_Name``)
-    can hold a large share of all profiles, and its list would be one
-    unbounded group in one task."""
+    the duplicated names are kept by a join.  Persons without a name share
+    the default one, which can be a large share of all: their number is one
+    value, joined to them apart on the one-row count, so the name join has
+    no such hot key.  Ids are never collected into one list per name."""
     p = person_defaults(persons)
-    dup = p.groupBy("name").agg(F.count(F.lit(1)).alias("n_ids")).where(F.col("n_ids") > 1)
-    return p.join(dup, "name").select("name", "id", "n_ids")
+    unnamed = F.col("name") == UNKNOWN_NAME
+    counts = p.groupBy("name").agg(F.count(F.lit(1)).alias("n_ids")).where(F.col("n_ids") > 1)
+    named = p.where(~unnamed).join(counts.where(~unnamed), "name").select("name", "id", "n_ids")
+    # One row at most.
+    default = p.where(unnamed).join(F.broadcast(counts.where(unnamed)), "name").select("name", "id", "n_ids")
+    return named.unionByName(default)
 
 
 def attribute_summary(persons: DataFrame) -> DataFrame:

@@ -56,18 +56,17 @@ def select_by_id_prefix(files: DataFrame, ids: DataFrame, name_col: str = "file_
 
     Equi form: for every distinct id length ``l`` the file's first ``l``
     characters are a join key, so this is a hash join, never a nested
-    loop over files x ids.  The distinct lengths are a handful of
-    integers."""
-    keys = ids.select(F.concat(F.col(id_col), F.lit(delimiter)).alias("_key")).where(F.col("_key").isNotNull())
-    lengths = sorted(r[0] for r in keys.select(F.length("_key")).distinct().collect())
+    loop over files x ids.  The lengths themselves are a small aggregate
+    joined on the file's own prefix lengths; nothing is collected."""
+    keys = ids.select(F.concat(F.col(id_col), F.lit(delimiter)).alias("_key")).where(F.length("_key") > 0).distinct()
+    keys = keys.withColumn("_len", F.length("_key"))
     f = files.where(matches_glob(name_col, pattern)) if pattern != "*" else files
-    if not lengths:
-        return f.limit(0)
-    fx = f.withColumn("_len", F.explode(F.array(*[F.lit(n) for n in lengths])))
-    fx = fx.withColumn("_pref", F.substring(F.col(name_col), 1, F.col("_len")))
-    k = keys.distinct().withColumn("_len", F.length("_key"))
-    hit = fx.join(k, (fx["_pref"] == k["_key"]) & (fx["_len"] == k["_len"]), "left_semi")
-    return hit.drop("_len", "_pref").dropDuplicates([name_col])
+    names = f.select(F.col(name_col).alias("_name")).where(F.length("_name") > 0).distinct()
+    prefixes = names.withColumn("_len", F.explode(F.sequence(F.lit(1), F.length("_name"))))
+    prefixes = prefixes.join(keys.select("_len").distinct(), "_len", "left_semi")
+    prefixes = prefixes.withColumn("_key", F.substring(F.col("_name"), F.lit(1), F.col("_len")))
+    hit = prefixes.join(keys, ["_len", "_key"], "left_semi").select("_name").distinct()
+    return f.join(hit, F.col(name_col) == F.col("_name"), "left_semi").dropDuplicates([name_col])
 
 
 def sample_exemplar_ids(ids: DataFrame, model_id: str, id_col: str = "id",
@@ -137,7 +136,13 @@ def classification_prompts_by_set(flat_mcq: DataFrame, sets: DataFrame, model_id
     few-shot block of the row's kind is used only in the few-shot modes.
     The exemplar ids (k <= 2) and the blocks (one per kind) are bounded
     and broadcast."""
-    q = flat_mcq.join(sets.select("id", "eval_set"), "id")
+    return prompts_of_sets(flat_mcq.join(sets.select("id", "eval_set"), "id"), model_id, exemplar_ids,
+                           exemplar_questions if exemplar_questions is not None else flat_mcq)
+
+
+def prompts_of_sets(q: DataFrame, model_id: str, exemplar_ids: DataFrame | None,
+                    exemplar_questions: DataFrame | None) -> DataFrame:
+    """The same for questions that carry their ``eval_set``."""
     llama = P.family(model_id) == P.LLAMA
     few = F.lit("")
     if exemplar_ids is not None:
@@ -146,8 +151,7 @@ def classification_prompts_by_set(flat_mcq: DataFrame, sets: DataFrame, model_id
              .where(~((F.col("eval_set") == "retain_shared") & F.col("_ex_id").isNotNull()))
              .drop("_ex_id"))
         if not llama:
-            src = exemplar_questions if exemplar_questions is not None else flat_mcq
-            blocks = few_shot_blocks(few_shot_lookup(src, exemplar_ids), model_id)
+            blocks = few_shot_blocks(few_shot_lookup(exemplar_questions, exemplar_ids), model_id)
             q = q.join(F.broadcast(blocks), "kind", "left")
             few = F.when(F.col("eval_set").isin(list(FEW_SHOT_MODES)), F.coalesce(F.col("few_shot"), F.lit("")))\
                 .otherwise(F.lit(""))
@@ -177,8 +181,12 @@ def assemble_eval_sets(parts: dict[str, DataFrame], task: str) -> DataFrame:
     return out
 
 
-def keep_with_image(flat: DataFrame, manifest: DataFrame) -> DataFrame:
+def keep_with_image(flat: DataFrame, manifest: DataFrame, by_set: bool = False) -> DataFrame:
     """Q4: classification skips a person without an image entirely (text
-    questions too): a left semi join on the id."""
+    questions too): a left semi join on the id.  With ``by_set`` both sides
+    carry ``eval_set``: each set has an image folder of its own, and the
+    same id in two folders is two persons."""
+    if by_set:
+        return flat.join(manifest.select("id", "eval_set"), ["id", "eval_set"], "left_semi")
     m = manifest.select(F.col("id").alias("_img"))
     return flat.join(m, F.col("id") == F.col("_img"), "left_semi")

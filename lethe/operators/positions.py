@@ -8,7 +8,7 @@ counts of ordered buckets instead:
 * hash order (``md5`` of a seed and the key): the leading hex digits of the
   hash are the bucket.  Buckets are uniform for distinct keys and fixed by
   the data, so a retried task lands in the same bucket.  Per-bucket counts
-  (at most 16**L rows per group) give running offsets; rows are numbered
+  (16**L rows per group, L chosen from the number of rows) give running offsets; rows are numbered
   only inside their bucket.
 * value order (names, counts): a range-partitioned, sorted copy is
   checkpointed so partition ids and in-partition order are frozen; the
@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 
 from lethe.session import checkpoint_dir
 
-# Hex digits of the hash that form a bucket: 4096 buckets.
-DEFAULT_PREFIX = 3
+# Rows that a bucket of a hash order holds, about.
+BUCKET_ROWS = 1 << 16
 # Upper bound on the range partitions of a value-order ranking.
 MAX_RANGES = 4096
 # Exact accumulator type of running sums.
 EXACT = "decimal(38,18)"
+# Values from here on are summed as floating point beside the exact sum.
+LARGE = 1e12
 
 
 def seeded_hash(*parts) -> Column:
@@ -39,10 +41,12 @@ def seeded_hash(*parts) -> Column:
     return F.md5(F.concat_ws(":", *cols))
 
 
-def bucket_offsets(df: DataFrame, bucket: str, group_cols: Sequence[str] = ()) -> DataFrame:
+def bucket_offsets(df: DataFrame, bucket: str, group_cols: Sequence[str] = (), times: Column | None = None) -> DataFrame:
     """Per (group, bucket): ``cnt``, ``off`` (rows in earlier buckets) and
-    ``n`` (rows in the group).  Size: groups x buckets, not data."""
-    counts = df.groupBy(*group_cols, bucket).agg(F.count(F.lit(1)).alias("cnt"))
+    ``n`` (rows in the group).  Size: groups x buckets, not data.  With
+    ``times`` a row counts as so many."""
+    counts = df.groupBy(*group_cols, bucket).agg(
+        (F.count(F.lit(1)) if times is None else F.sum(times)).alias("cnt"))
     w_before = (Window.partitionBy(*group_cols).orderBy(bucket)
                 .rowsBetween(Window.unboundedPreceding, -1))
     w_all = Window.partitionBy(*group_cols)
@@ -51,16 +55,30 @@ def bucket_offsets(df: DataFrame, bucket: str, group_cols: Sequence[str] = ()) -
             .withColumn("n", F.sum("cnt").over(w_all).cast("long")))
 
 
+def bucket_prefix(rows: int, groups: int = 1) -> int:
+    """Leading hex digits of a hash that form a bucket, so that a bucket
+    holds about ``BUCKET_ROWS`` rows; the offsets (groups x 16**digits rows)
+    stay a fixed part of the rows."""
+    digits = 1
+    while rows // max(1, groups) > BUCKET_ROWS * 16 ** digits and digits < 8:
+        digits += 1
+    return digits
+
+
 def hash_positions(df: DataFrame, hash_col: str, tie_cols: Sequence[str],
-                   group_cols: Sequence[str] = (), prefix: int = DEFAULT_PREFIX,
+                   group_cols: Sequence[str] = (), prefix: int | None = None,
                    pos_col: str = "pos") -> DataFrame:
     """0-based position of each row inside its group, ordered by
-    (``hash_col``, ``tie_cols``).  Adds ``pos_col`` and ``n``."""
+    (``hash_col``, ``tie_cols``).  Adds ``pos_col`` and ``n``.  Give it keys,
+    not payload: all its rows are shuffled.  Without ``prefix`` the rows are
+    counted to choose one."""
     b = "_bucket"
+    if prefix is None:
+        prefix = bucket_prefix(df.count())
     x = df.withColumn(b, F.substring(F.col(hash_col), 1, prefix))
     offs = bucket_offsets(x, b, group_cols).select(*group_cols, b, "off", "n")
-    # Bounded: len(groups) x 16**prefix rows.
-    joined = x.join(F.broadcast(offs), [*group_cols, b])
+    # About one row per BUCKET_ROWS rows; Spark broadcasts it where it is small.
+    joined = x.join(offs, [*group_cols, b])
     w = Window.partitionBy(*group_cols, b).orderBy(hash_col, *tie_cols)
     return (joined.withColumn(pos_col, F.col("off") + F.row_number().over(w) - 1)
             .drop(b, "off"))
@@ -103,21 +121,47 @@ def running_totals(df: DataFrame, group_cols: Sequence[str], order_col: str, val
     consecutive order values instead: per-block sums (a small table) give
     each block its offset, and the window runs only inside a block.
 
-    Sums are exact (DECIMAL(38,18)), so the result does not depend on
-    where the blocks fall or in which order partial sums meet; ``_rsum``
-    is returned as DOUBLE."""
+    Sums of ordinary values are exact (DECIMAL(38,18)), so they do not
+    depend on where the blocks fall or in which order partial sums meet.
+    Values that this type does not hold are carried beside it: NaN and the
+    two infinities as counts, larger values as a floating sum in ``order_col`` order inside a
+    block.  A sum with a NaN, or with both infinities, is NaN from there
+    on, as in floating point.  ``_rsum`` is DOUBLE."""
     blk = F.floor(F.col(order_col) / F.lit(int(block))).cast("long")
-    x = df.withColumn("_blk", blk).withColumn("_v", F.col(value_col).cast(EXACT))
-    sums = x.groupBy(*group_cols, "_blk").agg(F.sum("_v").alias("_bs"), F.count(F.lit(1)).alias("_bc"))
+    v = F.col(value_col).cast("double")
+    inf = float("inf")
+    nan, up, down = F.isnan(v), v == F.lit(inf), v == F.lit(-inf)
+    # The type holds 20 digits before the point: 10**8 values below LARGE in
+    # one sum, more than a running group has steps.
+    big = (F.abs(v) >= F.lit(LARGE)) & ~nan & ~up & ~down
+    flag = lambda c: F.when(c, 1).otherwise(0)
+    x = (df.withColumn("_blk", blk)
+         .withColumn("_v", F.when(~(nan | up | down | big), v).cast(EXACT))
+         .withColumn("_large", F.when(big, v).otherwise(F.lit(0.0)))
+         .withColumn("_nan", flag(nan)).withColumn("_up", flag(up)).withColumn("_down", flag(down)))
+    carried = ["_large", "_nan", "_up", "_down"]
+    sums = x.groupBy(*group_cols, "_blk").agg(
+        F.sum("_v").alias("_bs"), F.count(F.lit(1)).alias("_bc"), *[F.sum(c).alias("_b" + c) for c in carried])
     wb = Window.partitionBy(*group_cols).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     wg = Window.partitionBy(*group_cols)
     offs = sums.select(*group_cols, "_blk",
                        F.coalesce(F.sum("_bs").over(wb), F.lit(0).cast(EXACT)).alias("_os"),
                        F.coalesce(F.sum("_bc").over(wb), F.lit(0)).alias("_oc"),
+                       *[F.coalesce(F.sum("_b" + c).over(wb), F.lit(0)).alias("_o" + c) for c in carried],
                        F.sum("_bc").over(wg).alias("_gcnt"))
     w = (Window.partitionBy(*group_cols, "_blk").orderBy(order_col, *tie_cols)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    so_far = {c: F.col("_o" + c) + F.sum(c).over(w) for c in carried}
+    finite = ((F.col("_os") + F.coalesce(F.sum("_v").over(w), F.lit(0).cast(EXACT))).cast("double")
+              + so_far["_large"].cast("double"))
+    total = (F.when((F.col("_nan_n") > 0) | ((F.col("_up_n") > 0) & (F.col("_down_n") > 0)), F.lit(float("nan")))
+             .when(F.col("_up_n") > 0, F.lit(inf)).when(F.col("_down_n") > 0, F.lit(-inf))
+             .otherwise(F.col("_finite")))
     return (x.join(offs, [*group_cols, "_blk"])
-            .withColumn("_rsum", (F.col("_os") + F.sum("_v").over(w)).cast("double"))
+            .withColumn("_finite", finite)
+            .withColumn("_nan_n", so_far["_nan"]).withColumn("_up_n", so_far["_up"])
+            .withColumn("_down_n", so_far["_down"])
+            .withColumn("_rsum", total)
             .withColumn("_rcnt", F.col("_oc") + F.count(F.lit(1)).over(w))
-            .drop("_blk", "_os", "_oc", "_v"))
+            .drop("_blk", "_os", "_oc", "_v", "_finite", "_nan_n", "_up_n", "_down_n", *carried,
+                  *["_o" + c for c in carried]))

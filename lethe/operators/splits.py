@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lethe.operators.positions import DEFAULT_PREFIX, bucket_offsets, seeded_hash
+from lethe.operators.positions import bucket_offsets, bucket_prefix, seeded_hash
 
 # Forget percentages of the benchmark and its default seed.
 DEFAULT_RATIOS = (5, 10, 15)
@@ -22,26 +22,38 @@ FEW_SHOT_K = {"HuggingFaceM4": 1, "llava": 2, "meta-llama": 1}
 
 
 def _exact_cut(x: DataFrame, hash_col: str, id_col: str, group_cols: Sequence[str],
-               size_of_n, prefix: int) -> DataFrame:
+               size_of_n, prefix: int | None) -> DataFrame:
     """Label the first ``size_of_n(n)`` rows of each group (hash order)
-    'forget', the rest 'retain'.  Only the bucket holding the cut is ranked."""
+    'forget', the rest 'retain'.  Rows of one id are counted first, so a
+    repeated id is one row; only the ids of the bucket holding the cut are
+    ranked, and only the id that the cut divides gives rows to both sets."""
     b = "_bucket"
-    x = x.withColumn(b, F.substring(F.col(hash_col), 1, prefix))
-    offs = (bucket_offsets(x, b, group_cols)
+    # Rows that agree in all of these are alike: their number is enough.
+    keyed = x.groupBy(*group_cols, hash_col, id_col).agg(F.count(F.lit(1)).alias("_times"))
+    if prefix is None:
+        prefix = bucket_prefix(x.count())
+    keyed = keyed.withColumn(b, F.substring(F.col(hash_col), 1, prefix))
+    offs = (bucket_offsets(keyed, b, group_cols, F.col("_times"))
             .withColumn("k", size_of_n(F.col("n")))
             .select(*group_cols, b, "off", "cnt", "k"))
-    # Bounded: groups x 16**prefix rows.
-    j = x.join(F.broadcast(offs), [*group_cols, b])
+    j = keyed.join(offs, [*group_cols, b])
     whole = (F.col("off") + F.col("cnt") <= F.col("k")) | (F.col("off") >= F.col("k"))
-    decided = (j.where(whole)
-               .withColumn("set", F.when(F.col("off") < F.col("k"), "forget").otherwise("retain")))
-    w = Window.partitionBy(*group_cols, b).orderBy(hash_col, id_col)
+    n_forget = F.when(F.col("off") < F.col("k"), F.col("_times")).otherwise(F.lit(0))
+    decided = j.where(whole).withColumn("_forget", n_forget)
+    w = (Window.partitionBy(*group_cols, b).orderBy(hash_col, id_col)
+         .rowsBetween(Window.unboundedPreceding, -1))
+    before = F.col("off") + F.coalesce(F.sum("_times").over(w), F.lit(0))
     cut = (j.where(~whole)
-           .withColumn("_rn", F.row_number().over(w))
-           .withColumn("set", F.when(F.col("off") + F.col("_rn") <= F.col("k"), "forget")
-                       .otherwise("retain"))
-           .drop("_rn"))
-    return decided.unionByName(cut).drop(b, "off", "cnt", "k")
+           .withColumn("_forget", F.greatest(F.lit(0), F.least(F.col("_times"), F.col("k") - before))))
+    # Each id's rows again, as (set, how many).
+    parts = F.array(F.struct(F.lit("forget").alias("set"), F.col("_forget").cast("int").alias("n")),
+                    F.struct(F.lit("retain").alias("set"), (F.col("_times") - F.col("_forget")).cast("int").alias("n")))
+    rows = decided.unionByName(cut).select(*group_cols, id_col, F.inline(parts)).where(F.col("n") > 0)
+    # In steps, so that an id of very many rows makes no very long array.
+    step = F.lit(1 << 16)
+    return (rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {1 << 16}").cast("int"))))
+            .withColumn("_again", F.explode(F.array_repeat(F.lit(True), F.least(step, F.col("n") - F.col("_k") * step))))
+            .drop("_again", "_k", "n"))
 
 
 def forget_size(ratio: Column, n: Column) -> Column:
@@ -51,16 +63,18 @@ def forget_size(ratio: Column, n: Column) -> Column:
 
 def forget_retain_split(ids: DataFrame, id_col: str = "id",
                         ratios: Sequence[int] = DEFAULT_RATIOS, seed: int = DEFAULT_SEED,
-                        nested: bool = False, prefix: int = DEFAULT_PREFIX) -> DataFrame:
+                        nested: bool = False, prefix: int | None = None) -> DataFrame:
     """Per ratio p, exactly int(p/100*n) profiles to forget, the rest retain.
 
-    Split is by profile (distinct ids).  With ``nested`` the order does not
-    depend on p, so a smaller forget set is inside every larger one.
-    Returns ``(id, ratio, set)``.
+    Every row is a profile: rows that share an id count each, and null ids
+    too (as in a cut of the list of profiles; ``curate.profile_id`` gives
+    profiles without an id one of their own).  With ``nested`` the order
+    does not depend on p, so a smaller forget set is inside every larger
+    one.  Returns ``(id, ratio, set)``, a row per row of ``ids`` and ratio.
     """
-    x = (ids.select(F.col(id_col).cast("string").alias("id")).where(F.col("id").isNotNull())
-         .distinct()
+    x = (ids.select(F.col(id_col).cast("string").alias("id"))
          .withColumn("ratio", F.explode(F.array(*[F.lit(int(r)) for r in ratios]))))
+    # A null id is hashed like the empty one.
     h = seeded_hash(seed, F.col("id")) if nested else seeded_hash(seed, F.col("ratio"), F.col("id"))
     x = x.withColumn("_h", h)
     out = _exact_cut(x, "_h", "id", ["ratio"], lambda n: forget_size(F.col("ratio"), n), prefix)
@@ -68,10 +82,11 @@ def forget_retain_split(ids: DataFrame, id_col: str = "id",
 
 
 def holdout_split(ids: DataFrame, id_col: str = "id", forget_fraction: float = 0.3,
-                  seed: int = DEFAULT_SEED, prefix: int = DEFAULT_PREFIX) -> DataFrame:
-    """Seeded split with forget = int(n * f).  Returns ``(id, set)``."""
-    x = (ids.select(F.col(id_col).cast("string").alias("id")).where(F.col("id").isNotNull())
-         .distinct().withColumn("_h", seeded_hash(seed, "holdout", F.col("id"))))
+                  seed: int = DEFAULT_SEED, prefix: int | None = None) -> DataFrame:
+    """Seeded split with forget = int(n * f); every row counts, as in E3.
+    Returns ``(id, set)``."""
+    x = (ids.select(F.col(id_col).cast("string").alias("id"))
+         .withColumn("_h", seeded_hash(seed, "holdout", F.col("id"))))
     size = lambda n: F.floor(n.cast("double") * F.lit(float(forget_fraction))).cast("long")
     return _exact_cut(x, "_h", "id", [], size, prefix).select("id", "set")
 
@@ -103,15 +118,20 @@ def sample_few_shot_ids(ids: DataFrame, model_id: str, id_col: str = "id",
 
 def shuffled_batches(rows: DataFrame, key_cols: Sequence[str], batch_size: int = 4,
                      epochs: Sequence[int] = (0,), seed: int = DEFAULT_SEED,
-                     prefix: int = DEFAULT_PREFIX) -> DataFrame:
+                     prefix: int | None = None) -> DataFrame:
     """E5: per epoch a seeded random order; ``pos``, ``batch_id = pos div
     batch_size`` (last batch short) and ``slot`` inside the batch.
-    ``key_cols`` must identify a row."""
+    ``key_cols`` must identify a row.  Only the keys are ordered; the rest
+    of a row joins its positions once."""
     from lethe.operators.positions import hash_positions
-    x = rows.withColumn("epoch", F.explode(F.array(*[F.lit(int(e)) for e in epochs])))
-    x = x.withColumn("_h", seeded_hash(seed, F.col("epoch"), *[F.col(c) for c in key_cols]))
-    x = hash_positions(x, "_h", list(key_cols), ["epoch"], prefix)
+    keys = list(key_cols)
+    x = rows.select(*keys).withColumn("epoch", F.explode(F.array(*[F.lit(int(e)) for e in epochs])))
+    x = x.withColumn("_h", seeded_hash(seed, F.col("epoch"), *[F.col(c) for c in keys]))
+    x = hash_positions(x, "_h", keys, ["epoch"], prefix)
     bs = F.lit(int(batch_size))
-    return (x.withColumn("batch_id", F.floor(F.col("pos") / bs).cast("long"))
-            .withColumn("slot", (F.col("pos") % bs).cast("int"))
-            .drop("_h", "n"))
+    placed = (x.withColumn("batch_id", F.floor(F.col("pos") / bs).cast("long"))
+              .withColumn("slot", (F.col("pos") % bs).cast("int"))
+              .select(*keys, "epoch", "pos", "batch_id", "slot"))
+    if set(rows.columns) == set(keys):
+        return placed
+    return rows.join(placed, keys)

@@ -101,7 +101,8 @@ def q_profile_id(spark, d):
     p = p.withColumn("metadata", F.transform(
         "metadata", lambda e, k: F.when((k == 0) & (F.col("conv_id") % 4 == 1),
                                         e.withField("ID", F.lit(None).cast("string"))).otherwise(e)))
-    p = ordered_positions(p, ["ID"], "idx")
+    # The order is made from the names alone.
+    p = p.join(ordered_positions(p.select("ID"), ["ID"], "idx"), "ID")
     return C.profile_id(p, "idx").select("ID", "idx", "profile_id")
 
 
@@ -145,6 +146,14 @@ def q_missing_image(spark, d):
     return C.missing_image(v_profile(spark, d), C.image_manifest(v_images(spark, d))).select("ID")
 
 
+def _files(spark, d):
+    """Profiles and persons as files: named by person, some without the ID inside."""
+    lost = lambda df, k: df.withColumn("ID", F.when(F.crc32(F.col("ID").cast("binary")) % k > 0, F.col("ID")))
+    targets = v_profile(spark, d).withColumn("file_name", F.concat("ID", F.lit("_qa.json")))
+    sources = v_person(spark, d).withColumn("file_name", F.concat("ID", F.lit(".json")))
+    return C.with_person(lost(targets, 4), "_qa"), C.with_person(lost(sources, 5))
+
+
 @register("upsert_qa", with_views("v_profile_el", "v_person") + """,
 hit AS (SELECT e.ID, min(e.pos) AS hit_pos FROM v_profile_el e JOIN v_person p ON p.ID = e.ID
         WHERE e.Additional_ID = e.ID GROUP BY e.ID),
@@ -162,8 +171,9 @@ SELECT n.ID, CAST(n.n_el + 1 AS INTEGER), NULL, NULL, NULL, p.ID, p.question, p.
 FROM n JOIN v_person p ON p.ID = n.ID WHERE n.ID NOT IN (SELECT ID FROM hit)""")
 def q_upsert_qa(spark, d):
     """Replace the first element with the person's Additional_ID, else
-    append; checked after an inline."""
-    up = C.upsert_additional_qa(v_profile(spark, d), v_person(spark, d))
+    append; keyed by file name, also where a document lacks its ID; checked
+    after an inline."""
+    up = C.upsert_additional_qa(*_files(spark, d), "person", "person").withColumn("ID", F.col("person"))
     return (up.select("ID", F.posexplode("metadata").alias("_p", "_e"))
             .select("ID", (F.col("_p") + 1).cast("int").alias("pos"), F.col("_e.ID").alias("element_id"),
                     F.col("_e.Question").alias("question"), F.col("_e.Answer").alias("answer"),
@@ -174,7 +184,8 @@ def q_upsert_qa(spark, d):
 SELECT ID FROM v_person WHERE ID NOT IN (SELECT DISTINCT ID FROM v_profile_el)""")
 def q_upsert_skipped(spark, d):
     """J5."""
-    return C.upsert_skipped(v_person(spark, d), v_profile(spark, d)).select("ID")
+    targets, sources = _files(spark, d)
+    return C.upsert_skipped(sources, targets, "person", "person").select(F.col("person").alias("ID"))
 
 
 @register("named_prompt", with_views("v_qa", "v_person") + """

@@ -22,10 +22,9 @@ def q_forget_split(spark, d):
 
 @register("forget_split_nested", with_views("v_customer_ids") + """,
 s AS (SELECT i.id, i.ratio,
-             row_number() OVER (PARTITION BY i.ratio ORDER BY md5('42:' || i.id), i.id) AS rn,
+             row_number() OVER (PARTITION BY i.ratio ORDER BY md5('42' || coalesce(':' || i.id, '')), i.id) AS rn,
              CAST(floor(CAST(i.ratio AS DOUBLE) / 100.0 * count(*) OVER (PARTITION BY i.ratio)) AS BIGINT) AS k
-      FROM (SELECT id, CAST(unnest([5, 10, 15]) AS INTEGER) AS ratio
-            FROM (SELECT DISTINCT id FROM v_customer_ids) d) i)
+      FROM (SELECT id, CAST(unnest([5, 10, 15]) AS INTEGER) AS ratio FROM v_customer_ids) i)
 SELECT id, ratio, CASE WHEN rn <= k THEN 'forget' ELSE 'retain' END AS "set" FROM s""")
 def q_forget_split_nested(spark, d):
     """E3 with ``nested=True``: one order for all ratios."""
@@ -33,9 +32,9 @@ def q_forget_split_nested(spark, d):
 
 
 @register("holdout_split", with_views("v_customer_ids") + """,
-s AS (SELECT id, row_number() OVER (ORDER BY md5('42:holdout:' || id), id) AS rn,
+s AS (SELECT id, row_number() OVER (ORDER BY md5('42:holdout' || coalesce(':' || id, '')), id) AS rn,
              CAST(floor(CAST(count(*) OVER () AS DOUBLE) * 0.3) AS BIGINT) AS k
-      FROM (SELECT DISTINCT id FROM v_customer_ids) i)
+      FROM v_customer_ids i)
 SELECT id, CASE WHEN rn <= k THEN 'forget' ELSE 'retain' END AS "set" FROM s""")
 def q_holdout_split(spark, d):
     """forget = int(n * 0.3), seeded."""
@@ -44,7 +43,8 @@ def q_holdout_split(spark, d):
 
 @register("retain_complement", with_views("v_customer_ids") + ", "
           + sb.split_cte("split", "v_customer_ids", [10]) + """
-SELECT DISTINCT id FROM v_customer_ids WHERE id NOT IN (SELECT id FROM split WHERE "set" = 'forget')""")
+SELECT DISTINCT id FROM v_customer_ids
+WHERE id IS NULL OR id NOT IN (SELECT id FROM split WHERE "set" = 'forget' AND id IS NOT NULL)""")
 def q_retain_complement(spark, d):
     """All ids minus the forget ids of the 10 % split."""
     ids = v_customer_ids(spark, d)
@@ -102,17 +102,19 @@ def q_set_sizes(spark, d):
 
 @register("split_roundtrip", with_views("v_customer_ids") + ", "
           + sb.split_cte("split", "v_customer_ids", [5, 10, 15]) + """
-SELECT id, "set" FROM split WHERE ratio = 10""")
+SELECT id, ratio, "set" FROM split""")
 def q_split_roundtrip(spark, d):
-    """S5 + S6: write the splits partitioned by (ratio, set) under the
-    shared checkpoint folder, read ratio 10 back with partition pruning."""
-    import hashlib
-    import os
-
-    from lethe.session import checkpoint_dir
+    """S5 + S6: write ratio 5, then ratios 5, 10 and 15 under a fresh folder
+    (the saved ratio 5 stays), and read each back."""
+    from lethe.session import scratch
     from lethe.sources import load_split, write_split
-    root = os.path.join(checkpoint_dir(spark), "splits", hashlib.md5(d.encode()).hexdigest()[:12])
-    write_split(S.forget_retain_split(v_customer_ids(spark, d), ratios=[5, 10, 15]), root)
-    forget, retain = load_split(spark, root, 10)
-    return (forget.withColumn("set", F.lit("forget"))
-            .unionByName(retain.withColumn("set", F.lit("retain"))))
+    root = scratch(spark, "splits")
+    ids = v_customer_ids(spark, d)
+    write_split(S.forget_retain_split(ids, ratios=[5]), root)
+    write_split(S.forget_retain_split(ids, ratios=[5, 10, 15]), root)
+    out = None
+    for ratio in (5, 10, 15):
+        for name, part in zip(("forget", "retain"), load_split(spark, root, ratio)):
+            part = part.select("id", F.lit(ratio).alias("ratio"), F.lit(name).alias("set"))
+            out = part if out is None else out.unionByName(part)
+    return out

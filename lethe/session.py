@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -83,3 +85,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="lethe-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder path below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes the package importable by Python workers anywhere: a zip of its
+    modules goes out with ``addPyFile``, once a session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lethe_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    # Written on the driver only; Spark distributes it.
+    archive = os.path.join(tempfile.mkdtemp(prefix="lethe-package-"), "lethe_package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(package):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("lethe", os.path.relpath(full, package)))
+    sc.addPyFile(archive)
+    sc._lethe_shipped = True

@@ -2,6 +2,6 @@
 
 from lethe.sources.folders import (  # noqa: F401
     image_listing, load_split, read_classification_questions, read_generation_questions,
-    read_id_list, read_json_folder, read_persons, read_training_profiles, write_eval_report,
+    read_id_list, read_json_folder, read_log, read_persons, read_split, read_training_profiles, write_eval_report,
     write_generation_results, write_id_lists, write_profile_stats, write_profiles, write_split,
 )

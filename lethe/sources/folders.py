@@ -36,22 +36,30 @@ def read_training_profiles(spark: SparkSession, folder: str, pattern: str = "*.j
     return read_json_folder(spark, folder, schemas.TRAINING_PROFILE, pattern, lines)
 
 
-def read_persons(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
-    """``NNN.json`` biographies."""
-    return read_json_folder(spark, folder, schemas.PROFILE, pattern)
+def read_persons(spark: SparkSession, folder: str, pattern: str = "*.json", lines: bool = False) -> DataFrame:
+    """``NNN.json`` biographies; ``lines`` for the bulk form (many
+    persons a file, one per line)."""
+    return read_json_folder(spark, folder, schemas.PROFILE, pattern, lines)
 
 
 def read_classification_questions(spark: SparkSession, folder: str,
-                                  pattern: str = "*_questions.json") -> DataFrame:
+                                  pattern: str = "*_questions.json", lines: bool = False) -> DataFrame:
     """Multiple-choice question files.  Options keep their stored
     order (a MAP read from JSON keeps document order)."""
-    return read_json_folder(spark, folder, schemas.CLASSIFICATION_QUESTIONS, pattern)
+    return read_json_folder(spark, folder, schemas.CLASSIFICATION_QUESTIONS, pattern, lines)
 
 
 def read_generation_questions(spark: SparkSession, folder: str,
-                              pattern: str = "*_generation_questions.json") -> DataFrame:
+                              pattern: str = "*_generation_questions.json", lines: bool = False) -> DataFrame:
     """Free-text question files."""
-    return read_json_folder(spark, folder, schemas.GENERATION_QUESTIONS, pattern)
+    return read_json_folder(spark, folder, schemas.GENERATION_QUESTIONS, pattern, lines)
+
+
+def read_log(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The tables that the model's side writes as JSON lines, by their
+    declared schema (``schemas.STEP_LOG``, ``EXAMPLE_LOSSES``,
+    ``TOKEN_LOSSES``, ``LOGITS``, ``PREDICTIONS``, ``GENERATION_RESULT``)."""
+    return spark.read.schema(schema).json(path)
 
 
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:
@@ -67,7 +75,8 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
 
 def image_listing(spark: SparkSession, folder: str) -> DataFrame:
     """S8 input: ``(path, length)`` of the image folder; the file bytes
-    are never read (``content`` is pruned from the binaryFile scan)."""
+    are never read (``content`` is pruned from the binaryFile scan).  The
+    scan leaves out files of no bytes: such an image counts as missing."""
     return (spark.read.format("binaryFile").option("recursiveFileLookup", False).load(folder)
             .select("path", "length"))
 
@@ -76,13 +85,26 @@ def image_listing(spark: SparkSession, folder: str) -> DataFrame:
 # Writers
 
 def write_split(split: DataFrame, root: str) -> None:
-    """Both sets of every ratio under ``root/ratio=p/set=s``.  An
-    existing split is left alone (the reference keeps a saved split)."""
-    # No repartition by (ratio, set): that would send a whole set (the
-    # retain set is ~all ids) to one writer.  Each task writes its rows,
-    # sorted so it keeps one open file at a time.
-    (split.select("id", "ratio", "set").sortWithinPartitions("ratio", "set")
-     .write.partitionBy("ratio", "set").mode("ignore").parquet(root))
+    """Both sets of every ratio under ``root/ratio=p/set=s``.  A ratio
+    that is there completely (its ``_SUCCESS`` file) is left alone; one
+    that is missing, or whose write broke off, is written."""
+    spark = split.sparkSession
+    # One value per percentage: at most 101.
+    for (ratio,) in split.select("ratio").distinct().collect():
+        folder = f"{root}/ratio={int(ratio)}"
+        if _exists(spark, f"{folder}/_SUCCESS"):
+            continue
+        # No repartition by set: that would send a whole set (the retain
+        # set is ~all ids) to one writer.  Each task writes its rows,
+        # sorted so it keeps one open file at a time.
+        (split.where(F.col("ratio") == int(ratio)).select("id", "set").sortWithinPartitions("set")
+         .write.partitionBy("set").mode("overwrite").parquet(folder))
+
+
+def read_split(spark: SparkSession, root: str) -> DataFrame:
+    """All saved ratios as ``(id, ratio, set)``."""
+    return (spark.read.schema("id string, ratio int, `set` string").option("basePath", root)
+            .parquet(f"{root}/ratio=*").select("id", "ratio", "set"))
 
 
 def write_id_lists(split: DataFrame, root: str, ids_per_file: int = 1_000_000) -> None:
@@ -103,11 +125,12 @@ def write_id_lists(split: DataFrame, root: str, ids_per_file: int = 1_000_000) -
 
 def load_split(spark: SparkSession, root: str, ratio: int) -> tuple[DataFrame, DataFrame]:
     """``(forget, retain)`` id frames of one ratio, read with partition
-    pruning; raises when either set is missing."""
-    missing = [s for s in ("forget", "retain") if not _exists(spark, f"{root}/ratio={int(ratio)}/set={s}")]
+    pruning; raises when either set is missing or the write broke off."""
+    folder = f"{root}/ratio={int(ratio)}"
+    missing = [s for s in ("_SUCCESS", "set=forget", "set=retain") if not _exists(spark, f"{folder}/{s}")]
     if missing:
         raise FileNotFoundError(f"split {ratio}: missing {missing} under {root}")
-    base = spark.read.parquet(root).where(F.col("ratio") == int(ratio))
+    base = spark.read.schema("id string, `set` string").parquet(folder)
     forget = base.where(F.col("set") == "forget").select("id")
     retain = base.where(F.col("set") == "retain").select("id")
     return forget, retain

@@ -99,6 +99,35 @@ def test_person_stats(spark, person_folder, tmp_dir):
     assert back.where("section = 'duplicated_names'").count() == 4
 
 
+def test_upsert_by_file_name(spark, tmp_dir):
+    """The person is the file's stem, also without an ID inside."""
+    qa, persons = os.path.join(tmp_dir, "qa2"), os.path.join(tmp_dir, "p2")
+    for i in range(1, 5):
+        _write(qa, f"{i:03d}_qa.json", {"Directory": "d", "metadata": [{"Additional_ID": f"{i:03d}"}] if i == 2 else []})
+        _write(persons, f"{i:03d}.json", {"question": f"q{i}", "answer": f"a{i}"})
+    _write(qa, "notes.json", {"Directory": "d", "metadata": []})
+    up = C.upsert_additional_qa(C.with_person(S.read_training_profiles(spark, qa), "_qa"),
+                                C.with_person(S.read_persons(spark, persons)), "person", "person")
+    got = {r["file_name"]: [(e["Additional_ID"], e["Additional_question"]) for e in r["metadata"]] for r in up.collect()}
+    assert got == {**{f"{i:03d}_qa.json": [(f"{i:03d}", f"q{i}")] for i in range(1, 5)}, "notes.json": []}
+
+
+def test_bulk_questions(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "bulk")
+    os.makedirs(d)
+    with open(os.path.join(d, "part.json"), "w") as f:
+        for i in range(3):
+            f.write(json.dumps({"ID": f"{i:03d}", "Pure_Text_Questions": [
+                {"Question": "Q", "Options": {"A": "x"}, "Correct_Answer": "A"}]}) + "\n")
+    assert ES.flatten_mcq(S.read_classification_questions(spark, d, pattern="*.json", lines=True)).count() == 3
+
+
+def test_image_lists_per_set(spark):
+    flat = spark.createDataFrame([("forget", "1"), ("celebrity", "1")], "eval_set string, id string")
+    have = spark.createDataFrame([("forget", "1")], "eval_set string, id string")
+    assert [r["eval_set"] for r in ES.keep_with_image(flat, have, by_set=True).collect()] == ["forget"]
+
+
 def test_id_list_roundtrip(spark, tmp_dir):
     path = os.path.join(tmp_dir, "forget_ids.json")
     with open(path, "w") as f:
@@ -141,6 +170,17 @@ def test_split_write_load(spark, tmp_dir):
     assert S.load_split(spark, root, 5)[0].count() == 5
     with pytest.raises(FileNotFoundError):
         S.load_split(spark, root, 15)
+    more = forget_retain_split(ids, ratios=[5, 15], seed=7)
+    S.write_split(more, root)  # a later ratio is added, the saved one stays
+    assert S.load_split(spark, root, 15)[0].count() == 15
+    kept = {r["id"] for r in S.load_split(spark, root, 5)[0].collect()}
+    assert kept == {r["id"] for r in split.where("ratio = 5 and set = 'forget'").collect()}
+    os.remove(os.path.join(root, "ratio=10", "_SUCCESS"))  # a write that broke off
+    with pytest.raises(FileNotFoundError):
+        S.load_split(spark, root, 10)
+    S.write_split(split, root)
+    assert S.load_split(spark, root, 10)[0].count() == 10
+    assert S.read_split(spark, root).groupBy("ratio").count().count() == 3
     S.write_id_lists(split, os.path.join(tmp_dir, "lists"))
     txt = spark.read.text(os.path.join(tmp_dir, "lists")).where("ratio = 10 AND set = 'forget'").first()[0]
     assert len(json.loads(txt)) == 10
