@@ -12,12 +12,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from lethe.functions.arrays import let
 from lethe.operators.positions import running_totals
 
+# Logits handled at once by the KL function.
+KL_CELLS = 1 << 21
+
 # NPO inverse temperature default and the ignored label.
 NPO_BETA = 0.4
 IGNORE_INDEX = -100
@@ -42,9 +47,11 @@ def epoch_loss(steps: DataFrame, group_cols: Sequence[str] = ("run", "epoch"),
 
 def epoch_loss_by_set(steps: DataFrame, group_cols: Sequence[str] = ("run", "epoch")) -> DataFrame:
     """The epoch loss of the forget set (ascent sign) and of the
-    retain set side by side; an absent set gives NULL."""
-    s = signed_loss(steps)
-    return (s.groupBy(*group_cols).pivot("set", ["forget", "retain"]).agg(F.avg("signed_loss"))
+    retain set side by side; an absent set gives NULL.  The logged loss is
+    already divided by the accumulation steps: only its sign changes."""
+    sign = F.when(F.col("set") == "forget", F.lit(-1.0)).otherwise(F.lit(1.0))
+    s = steps.withColumn("_signed", sign * F.col("loss"))
+    return (s.groupBy(*group_cols).pivot("set", ["forget", "retain"]).agg(F.avg("_signed"))
             .withColumnRenamed("forget", "forget_loss").withColumnRenamed("retain", "retain_loss"))
 
 
@@ -83,22 +90,35 @@ def npo_loss(pairs: DataFrame, group_cols: Sequence[str] = ("batch_id",),
             .groupBy(*group_cols).agg(F.avg("_npo").alias("npo_loss"), F.count(F.lit(1)).alias("n")))
 
 
-def _log_softmax(x: Column) -> Column:
-    """Stable log-softmax; the max and the log-sum-exp are bound once
-    (``let``), not recomputed per element."""
-    def with_max(v, m):
-        lse = m + F.log(F.aggregate(F.transform(v, lambda t: F.exp(t - m)), F.lit(0.0), lambda a, b: a + b))
-        return let(lse, lambda s: F.transform(v, lambda t: t - s))
-    return let(x, lambda v: let(F.array_max(v), lambda m: with_max(v, m)))
-
-
-def kl_row_expr(current_logits: Column, original_logits: Column) -> Column:
-    """L3 per position: sum_i q_i (log q_i - log p_i), p = softmax(current),
-    q = softmax(original)."""
-    lp = _log_softmax(current_logits)
-    lq = _log_softmax(original_logits)
-    terms = F.zip_with(lq, lp, lambda a, b: F.exp(a) * (a - b))
-    return F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
+def kl_rows(current: np.ndarray, original: np.ndarray) -> np.ndarray:
+    """L3 of each row of two matrices of logits: sum_i q_i (log q_i - log p_i),
+    p = softmax(current), q = softmax(original)."""
+    def log_softmax(x):
+        x = x - x.max(axis=1, keepdims=True)
+        return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    lp, lq = log_softmax(current), log_softmax(original)
+    return (np.exp(lq) * (lq - lp)).sum(axis=1)
+
+
+@F.pandas_udf(DoubleType())
+def kl_row_expr(current_logits: pd.Series, original_logits: pd.Series) -> pd.Series:
+    """L3 per position, a matrix per batch and row length.  Null logits, or
+    rows of two lengths, give null; empty rows 0."""
+    out = np.full(len(current_logits), np.nan)
+    null = np.ones(len(out), bool)
+    size = np.array([-1 if a is None or b is None or len(a) != len(b) else len(a)
+                     for a, b in zip(current_logits, original_logits)])
+    for n in np.unique(size[size >= 0]):
+        at = np.flatnonzero(size == n)
+        null[at] = False
+        # A part at a time: a row can have the width of a vocabulary.
+        for part in np.array_split(at, max(1, -(-len(at) * max(1, int(n)) // KL_CELLS))):
+            if n == 0:
+                out[part] = 0.0
+            elif len(part):
+                out[part] = kl_rows(np.stack(current_logits.iloc[part].to_list()).astype(float),
+                                    np.stack(original_logits.iloc[part].to_list()).astype(float))
+    return pd.Series(out).astype(object).where(~null, None)
 
 
 def kl_retain(logits: DataFrame, group_cols: Sequence[str] = ("batch_id",), cur: str = "logits",
@@ -122,7 +142,7 @@ def answer_loss_expr(labels: Column, position_loss: Column, operation: str = "gd
     (positions whose next label is not -100), weights normalised; ``ga``
     negates.  A sequence without answer tokens contributes 0."""
     if operation not in ("ga", "gd"):
-        raise ValueError("Operation must be either GA or GD.")
+        raise ValueError(f"operation {operation!r}: expected 'ga' (ascent) or 'gd' (descent)")
     nxt = F.slice(labels, 2, F.greatest(F.size(labels) - 1, F.lit(0)))
     w = F.transform(nxt, lambda y: F.when(y != IGNORE_INDEX, F.lit(1.0)).otherwise(F.lit(0.0)))
     num = F.aggregate(F.zip_with(w, position_loss, lambda a, b: a * F.coalesce(b, F.lit(0.0))),

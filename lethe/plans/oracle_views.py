@@ -11,7 +11,9 @@ FROM (SELECT conv_id, turn, role, text,
       FROM conversations) t
 WHERE role = 'user' AND nr = 'assistant'""",
     "v_ids": f"SELECT DISTINCT {PAD.format(c='conv_id')} AS id FROM conversations",
-    "v_customer_ids": f"SELECT {PAD.format(c='c_custkey')} AS id FROM customer",
+    "v_customer_ids": f"""
+SELECT CASE WHEN c_custkey % 50 = 3 THEN NULL WHEN c_custkey % 20 = 7 THEN {PAD.format(c='(c_custkey - 1)')}
+            ELSE {PAD.format(c='c_custkey')} END AS id FROM customer""",
     "v_mcq": """
 SELECT id, turn, kind, Question, Options, Correct_Answer, generated_text,
        CAST(row_number() OVER (PARTITION BY id, kind ORDER BY turn) AS INTEGER) AS question_idx
@@ -38,10 +40,17 @@ SELECT id, turn, CASE WHEN turn % 4 = 0 THEN 'Image_Textual' ELSE 'Pure_Text' EN
             ELSE question END AS generated_text
 FROM v_qa""",
     "v_steps": """
-SELECT 'r0' AS run, CAST(ascii(event_type) - 96 AS INTEGER) AS epoch,
-       CASE WHEN user_id % 2 = 0 THEN 'forget' ELSE 'retain' END AS "set",
-       event_id AS step, value AS loss, 1 AS accum
-FROM events""",
+SELECT run, epoch, "set", step,
+       CASE WHEN run = 'r1' AND step % 101 = 5 THEN CAST('NaN' AS DOUBLE)
+            WHEN run = 'r2' AND step % 101 = 5 THEN CAST(CASE WHEN step % 2 = 0 THEN 'Infinity' ELSE '-Infinity' END AS DOUBLE)
+            WHEN run = 'r3' AND step % 101 = 5 THEN CAST(1180591620717411303424 AS DOUBLE)
+            ELSE CAST(value AS DOUBLE) END AS loss,
+       [1, 2, 4][CAST(step % 3 + 1 AS INTEGER)] AS accum
+FROM (SELECT CASE WHEN event_id % 10 < 7 THEN 'r0' ELSE 'r' || CAST(event_id % 10 - 6 AS VARCHAR) END AS run,
+             CAST(ascii(event_type) - 96 AS INTEGER) AS epoch,
+             CASE WHEN user_id % 2 = 0 THEN 'forget' ELSE 'retain' END AS "set",
+             event_id AS step, value
+      FROM events) e""",
     "v_profile_el": f"""
 SELECT x.id AS ID, x.conv_id,
        CASE WHEN x.conv_id % 3 = 0 THEN x.id || '.png' ELSE '/data/images/' || x.id || '.png' END AS Directory,
@@ -64,7 +73,8 @@ FROM (
   FROM v_qa WHERE conv_id % 6 = 0 GROUP BY id, conv_id) x""",
     "v_person": f"""
 SELECT {PAD.format(c='c_custkey')} AS ID,
-       CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE p_name END AS Name,
+       CASE WHEN c_custkey % 13 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN p_name || ' ' || CAST(c_custkey AS VARCHAR)
+            ELSE p_name END AS Name,
        CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_mktsegment END AS Employment,
        n_name AS Born, 'What does ' || c_name || ' do?' AS question,
        c_name || ' works in ' || c_mktsegment AS answer
@@ -86,7 +96,9 @@ FROM documents d JOIN labels l ON l.doc_id = d.doc_id""",
 SELECT CAST(floor(e.vec_id / 4) AS BIGINT) AS batch_id, {PAD.format(c='e.vec_id')} AS example_id, 0 AS pos,
        CAST(e.embedding AS DOUBLE[]) AS logits, CAST(o.embedding AS DOUBLE[]) AS orig_logits
 FROM embeddings e JOIN embeddings o ON o.vec_id = e.vec_id + 1""",
-    "v_docs": f"SELECT {PAD.format(c='doc_id')} AS example_id, text FROM documents",
+    "v_docs": f"""
+SELECT {PAD.format(c='doc_id')} AS example_id,
+       CASE doc_id % 40 WHEN 3 THEN '' WHEN 21 THEN ' ' || chr(10) || ' ' ELSE text END AS text FROM documents""",
 }
 
 DEPS = {

@@ -6,51 +6,66 @@ from pyspark.sql import functions as F
 
 from lethe.operators import losses as L
 from lethe.plans.oracle_views import PAD, with_views
-from lethe.plans.registry import r6, register
+from lethe.plans.registry import r6, register, shown, shown_sql
 from lethe.plans.views import pad_id, table, v_logits, v_steps
 
 
-@register("signed_loss", with_views("v_steps") + """
-SELECT "set", step, round(CASE WHEN "set" = 'forget' THEN -1.0 ELSE 1.0 END * loss
-                          / CAST(greatest(coalesce(accum, 1), 1) AS DOUBLE), 6) + 0.0 AS signed_loss
+_SIGN = "CASE WHEN \"set\" = 'forget' THEN -1.0 ELSE 1.0 END"
+_ACCUM = "CAST(greatest(coalesce(accum, 1), 1) AS DOUBLE)"
+
+
+@register("signed_loss", with_views("v_steps") + f"""
+SELECT run, "set", step, accum, {shown_sql(f"{_SIGN} * (loss / {_ACCUM})", "signed_loss")},
+       {shown_sql(f"{_SIGN} * (loss * {_ACCUM})", "undone")}
 FROM v_steps""")
 def q_signed_loss(spark, d):
-    """L1: ascent sign on forget steps, divided by accumulation."""
-    return L.signed_loss(v_steps(spark, d)).select("set", "step", r6("signed_loss").alias("signed_loss"))
+    """L1: ascent sign on forget steps, divided by the accumulation steps;
+    and multiplied back, as for a loss that was logged divided."""
+    s = L.signed_loss(v_steps(spark, d)).withColumnRenamed("signed_loss", "_divided")
+    s = L.signed_loss(s, undo_accum=True).select("run", "set", "step", "accum", F.col("_divided").alias("signed_loss"),
+                                                 F.col("signed_loss").alias("undone"))
+    return s.select("run", "set", "step", "accum", *shown("signed_loss"), *shown("undone"))
 
 
-@register("epoch_loss", with_views("v_steps") + """
-SELECT run, epoch, round(sum(loss) / count(*), 6) AS epoch_loss, count(*) AS n_steps
+@register("epoch_loss", with_views("v_steps") + f"""
+SELECT run, epoch, {shown_sql("sum(loss) / count(*)", "epoch_loss")}, count(*) AS n_steps
 FROM v_steps GROUP BY run, epoch""")
 def q_epoch_loss(spark, d):
     """A6."""
-    return L.epoch_loss(v_steps(spark, d)).select("run", "epoch", r6("epoch_loss").alias("epoch_loss"), "n_steps")
+    return L.epoch_loss(v_steps(spark, d)).select("run", "epoch", *shown("epoch_loss"), "n_steps")
 
 
-@register("epoch_loss_by_set", with_views("v_steps") + """
-SELECT run, epoch,
-       round(avg(-loss) FILTER (WHERE "set" = 'forget'), 6) + 0.0 AS forget_loss,
-       round(avg(loss) FILTER (WHERE "set" = 'retain'), 6) AS retain_loss
+@register("epoch_loss_by_set", with_views("v_steps") + f"""
+SELECT run, epoch, {shown_sql("sum(-loss) FILTER (WHERE \"set\" = 'forget') / count(*) FILTER (WHERE \"set\" = 'forget')", "forget_loss")},
+       {shown_sql("sum(loss) FILTER (WHERE \"set\" = 'retain') / count(*) FILTER (WHERE \"set\" = 'retain')", "retain_loss")}
 FROM v_steps GROUP BY run, epoch""")
 def q_epoch_loss_by_set(spark, d):
     """Forget (ascent sign) and retain epoch losses side by side."""
     return L.epoch_loss_by_set(v_steps(spark, d)).select(
-        "run", "epoch", r6("forget_loss").alias("forget_loss"), r6("retain_loss").alias("retain_loss"))
+        "run", "epoch", *shown("forget_loss"), *shown("retain_loss"))
+
+
+_RUNNING = """CASE WHEN max(CASE WHEN isnan(loss) THEN 1 ELSE 0 END) OVER w = 1
+    OR (max(CASE WHEN loss = 'Infinity' THEN 1 ELSE 0 END) OVER w = 1
+        AND max(CASE WHEN loss = '-Infinity' THEN 1 ELSE 0 END) OVER w = 1) THEN CAST('NaN' AS DOUBLE)
+  WHEN max(CASE WHEN loss = 'Infinity' THEN 1 ELSE 0 END) OVER w = 1 THEN CAST('Infinity' AS DOUBLE)
+  WHEN max(CASE WHEN loss = '-Infinity' THEN 1 ELSE 0 END) OVER w = 1 THEN CAST('-Infinity' AS DOUBLE)
+  ELSE CAST(sum(CASE WHEN abs(loss) < 1e12 THEN CAST(loss AS DECIMAL(38, 18)) ELSE 0 END) OVER w AS DOUBLE)
+       + sum(CASE WHEN abs(loss) >= 1e12 AND isfinite(loss) THEN loss ELSE 0 END) OVER w END"""
 
 
-@register("running_loss", with_views("v_steps") + """
-SELECT run, epoch, "set", step,
-       round(CAST(sum(CAST(loss AS DECIMAL(38, 18))) OVER w AS DOUBLE) / count(*) OVER w, 6) AS running_mean,
-       round(CAST(sum(CAST(loss AS DECIMAL(38, 18))) OVER w AS DOUBLE)
-             / count(*) OVER (PARTITION BY run, epoch, "set"), 6) AS progress_loss
-FROM v_steps
-WINDOW w AS (PARTITION BY run, epoch, "set" ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+@register("running_loss", with_views("v_steps") + f""",
+r AS (SELECT run, epoch, "set", step, {_RUNNING} AS so_far, count(*) OVER w AS n,
+             count(*) OVER (PARTITION BY run, epoch, "set") AS n_all
+      FROM v_steps
+      WINDOW w AS (PARTITION BY run, epoch, "set" ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT run, epoch, "set", step, {shown_sql("so_far / n", "running_mean")}, {shown_sql("so_far / n_all", "progress_loss")}
+FROM r""")
 def q_running_loss(spark, d):
     """E1 + E2 with block offsets (block of 1024 steps here so that the
     test data spans several blocks)."""
     r = L.running_loss(v_steps(spark, d), block=1024)
-    return r.select("run", "epoch", "set", "step", r6("running_mean").alias("running_mean"),
-                    r6("progress_loss").alias("progress_loss"))
+    return r.select("run", "epoch", "set", "step", *shown("running_mean"), *shown("progress_loss"))
 
 
 def _example_losses(spark, d):

@@ -58,7 +58,11 @@ def v_ids(spark, d) -> DataFrame:
 
 
 def v_customer_ids(spark, d) -> DataFrame:
-    return table(spark, d, "customer").select(pad_id(F.col("c_custkey")).alias("id"))
+    """Profile ids as a curated folder has them: some missing, some shared
+    by two profiles."""
+    k = F.col("c_custkey")
+    own = F.when(k % 20 == 7, pad_id(k - 1)).otherwise(pad_id(k))
+    return table(spark, d, "customer").select(F.when(k % 50 == 3, F.lit(None).cast("string")).otherwise(own).alias("id"))
 
 
 def v_mcq(spark, d) -> DataFrame:
@@ -98,12 +102,20 @@ def v_gen(spark, d) -> DataFrame:
 
 def v_steps(spark, d) -> DataFrame:
     """Step-loss log: epoch = code of the event type's first letter (no
-    global ranking), set by user parity."""
+    global ranking), set by user parity, 1, 2 or 4 accumulation steps.
+    Besides run r0 there are diverging runs: in r1 some losses are NaN, in
+    r2 infinite (of either sign in epoch 3 and others), in r3 very large."""
     ev = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
-    return (ev.select(F.lit("r0").alias("run"), (F.ascii("event_type") - 96).cast("int").alias("epoch"),
+    k = F.col("event_id")
+    run = F.when(k % 10 < 7, "r0").otherwise(F.concat(F.lit("r"), (k % 10 - 6).cast("string")))
+    odd = k % 101 == 5
+    loss = (F.when((run == "r1") & odd, F.lit(float("nan")))
+            .when((run == "r2") & odd, F.when(k % 2 == 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf"))))
+            .when((run == "r3") & odd, F.lit(2.0 ** 70)).otherwise(F.col("value").cast("double")))
+    return (ev.select(run.alias("run"), (F.ascii("event_type") - 96).cast("int").alias("epoch"),
                     F.when(F.col("user_id") % 2 == 0, "forget").otherwise("retain").alias("set"),
-                    F.col("event_id").alias("step"), F.col("value").alias("loss"),
-                    F.lit(1).alias("accum")))
+                    F.col("event_id").alias("step"), loss.alias("loss"),
+                    F.element_at(F.array(F.lit(1), F.lit(2), F.lit(4)), (k % 3 + 1).cast("int")).alias("accum")))
 
 
 def _element(id_, qid, q, a, add_id=None, add_q=None, add_a=None) -> Column:
@@ -151,7 +163,10 @@ def v_person(spark, d) -> DataFrame:
     n = table(spark, d, "nation").select("n_nationkey", "n_name")
     j = (c.join(p, c.c_custkey == p.p_partkey, "left")
          .join(n, c.c_nationkey == n.n_nationkey, "left"))
-    name = F.when(F.col("c_custkey") % 13 == 0, F.lit(None).cast("string")).otherwise(F.col("p_name"))
+    # A third of the names belong to one person only.
+    name = (F.when(F.col("c_custkey") % 13 == 0, F.lit(None).cast("string"))
+            .when(F.col("c_custkey") % 3 == 1, F.concat("p_name", F.lit(" "), F.col("c_custkey").cast("string")))
+            .otherwise(F.col("p_name")))
     emp = F.when(F.col("c_custkey") % 17 == 0, F.lit(None).cast("string")).otherwise(F.col("c_mktsegment"))
     return j.select(pad_id(F.col("c_custkey")).alias("ID"),
                     F.struct(name.alias("Name"), emp.alias("Employment"),
@@ -199,4 +214,7 @@ def v_logits(spark, d) -> DataFrame:
 
 
 def v_docs(spark, d) -> DataFrame:
-    return spread(table(spark, d, "documents").select(pad_id(F.col("doc_id")).alias("example_id"), "text"))
+    """Whole documents; some are empty and some blank."""
+    k = F.col("doc_id")
+    text = F.when(k % 40 == 3, F.lit("")).when(k % 40 == 21, F.lit(" \n ")).otherwise(F.col("text"))
+    return spread(table(spark, d, "documents").select(pad_id(k).alias("example_id"), text.alias("text")))
