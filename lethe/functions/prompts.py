@@ -42,7 +42,7 @@ def family(model_id: str) -> str:
     for f in FAMILIES:
         if model_id.startswith(f):
             return f
-    raise ValueError(f"Model ID not supported: {model_id}")
+    raise ValueError(f"no prompt family for {model_id!r}; known: {', '.join(FAMILIES)}")
 
 
 def _c(x) -> Column:
@@ -110,6 +110,11 @@ def generation_prompt(question, model_id: str, image: bool) -> Column:
     return F.concat(F.lit("USER: "), q, F.lit(GEN_TEXT_TAIL))
 
 
+def extract_json_prompt() -> Column:
+    """X5, evaluation of the structured answer: the image alone."""
+    return F.lit(EXTRACT_JSON_PROMPT)
+
+
 def eval_question_prompt(question) -> Column:
     """X5, llava evaluation collate: the question without its answer."""
     return F.concat(F.lit("USER: <image>\n"), _s(question), F.lit("\nASSISTANT:"))

@@ -35,8 +35,10 @@ ASSISTANT_ROLE_ID = 78191
 # Ids below this value are reserved (0 = padding, 1 = unknown).
 FIRST_WORD_ID = 2
 UNKNOWN_ID = 1
-# Vocabularies up to this many entries are broadcast to the token join.
-BROADCAST_VOCAB_MAX = 1_000_000
+# Bytes of vocabulary that are broadcast to the token join, at most, and the
+# longest word among them where the vocabulary is larger.
+BROADCAST_BYTES = 64 << 20
+BROADCAST_WORD = 64
 
 
 def vocabulary(texts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -47,37 +49,41 @@ def vocabulary(texts: DataFrame, text_col: str = "text") -> DataFrame:
     counts = (texts.select(F.explode(py_split(text_col)).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
     ranked = ordered_positions(counts.withColumn("_neg", -F.col("count")), ["_neg", "token"], "_pos")
-    return ranked.select("token", "count", (F.col("_pos") + FIRST_WORD_ID).cast("int").alias("token_id"))
+    return ranked.select("token", "count", (F.col("_pos") + FIRST_WORD_ID).cast("long").alias("token_id"))
 
 
 def token_ids(texts: DataFrame, vocab: DataFrame, key_col: str, text_col: str = "text",
-              max_length: int | None = MAX_LENGTH, broadcast_max: int = BROADCAST_VOCAB_MAX) -> DataFrame:
-    """``input_ids`` of each text (the first ``max_length`` words;
-    unknown words -> 1).  Only the kept words are exploded and joined."""
-    words = py_split(text_col)
+              max_length: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``input_ids`` (array<bigint>) of each text, a row per text: all
+    its words, or with ``max_length`` the first ones (X14's cut); unknown
+    words -> 1; a text without words, or null, has an empty array.
+
+    Texts are dealt by key before their words are exploded, so the words of
+    a text meet again without a shuffle."""
+    words = F.coalesce(py_split(text_col), F.array().cast("array<string>"))
     kept = words if max_length is None else F.slice(words, 1, int(max_length))
-    toks = texts.select(key_col, F.posexplode(kept).alias("pos", "token"))
+    toks = (texts.select(key_col, kept.alias("_words")).repartition(F.col(key_col))
+            .select(key_col, F.posexplode_outer("_words").alias("pos", "token")))
     v = vocab.select("token", "token_id")
-    n_vocab = vocab.count()
-    if n_vocab <= broadcast_max:
-        # Bounded by the counted check.
+    entry = F.octet_length("token") + 32
+    if (v.agg(F.sum(entry)).first()[0] or 0) <= broadcast_bytes:
+        # Bounded by the sum of its bytes.
         j = toks.join(F.broadcast(v), "token", "left")
     else:
-        # Ids are frequency ranks, so the first ``broadcast_max`` ids are
-        # the frequent words: a bounded head joined by broadcast.  Only
-        # words of the tail, each rarer than every head word, go through
-        # the shuffle join, so a very frequent word never makes one hot
-        # join partition.
-        head = v.where(F.col("token_id") < FIRST_WORD_ID + broadcast_max)
-        tail = v.where(F.col("token_id") >= FIRST_WORD_ID + broadcast_max)
-        first = toks.join(F.broadcast(head), "token", "left")
-        hit = first.where(F.col("token_id").isNotNull())
-        miss = first.where(F.col("token_id").isNull()).drop("token_id").join(tail, "token", "left")
-        j = hit.unionByName(miss)
-    j = j.withColumn("token_id", F.coalesce("token_id", F.lit(UNKNOWN_ID)))
-    # One row per word of a text, at most max_length rows per group.
+        # Ids are frequency ranks, so the first ids are the frequent words: a
+        # head of so many words of bounded length is broadcast.  Only words
+        # of the tail, each rarer than the head's or very long, go through
+        # the shuffle join.
+        count = broadcast_bytes // (BROADCAST_WORD + 32)
+        in_head = (F.col("token_id") < FIRST_WORD_ID + count) & (F.octet_length("token") <= BROADCAST_WORD)
+        first = toks.join(F.broadcast(v.where(in_head)), "token", "left")
+        known = F.col("token_id").isNotNull() | F.col("token").isNull()
+        miss = first.where(~known).drop("token_id").join(v.where(~in_head), "token", "left")
+        j = first.where(known).unionByName(miss)
+    j = j.withColumn("token_id", F.coalesce("token_id", F.lit(UNKNOWN_ID).cast("long")))
+    # One row per kept word of a text.
     return (j.groupBy(key_col)
-            .agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_ids"))
+            .agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "token_id")))).alias("_ids"))
             .select(key_col, F.transform("_ids", lambda s: s["token_id"]).alias("input_ids")))
 
 
@@ -88,7 +94,7 @@ def truncate(ids: Column, max_length: int = MAX_LENGTH) -> Column:
 def pad_to(ids: Column, length: Column, pad_id: int = PAD_ID) -> Column:
     """Right padding to ``length``."""
     fill = F.greatest(length - F.size(ids), F.lit(0))
-    return F.concat(ids, F.array_repeat(F.lit(pad_id), fill))
+    return F.concat(ids, F.array_repeat(F.lit(pad_id).cast("long"), fill))
 
 
 def attention_mask(n_tokens: Column, length: Column) -> Column:
@@ -101,7 +107,7 @@ def mask_labels(ids: Column, pad_id: int = PAD_ID, extra_ids: Sequence[int] = ()
     """labels = ids with padding (and ``extra_ids``, e.g. the llama
     image id) replaced by -100."""
     masked = [pad_id, *extra_ids]
-    return F.transform(ids, lambda x: F.when(x.isin(masked), F.lit(IGNORE_INDEX)).otherwise(x))
+    return F.transform(ids, lambda x: F.when(x.isin(masked), F.lit(IGNORE_INDEX).cast("long")).otherwise(x))
 
 
 def mask_prompt_spans(ids: Column, pad_id: int = PAD_ID) -> Column:
@@ -111,9 +117,9 @@ def mask_prompt_spans(ids: Column, pad_id: int = PAD_ID) -> Column:
     benchmark's loop stops early there); finally padding and the image id.
     Ids after the last end-of-turn keep their labels.
 
-    Row-local and linear: the end-of-turn positions define the spans, each
-    span is tested once, each position looks at the masked spans (few per
-    dialog).  Intermediate arrays are bound once with ``let``."""
+    Row-local and linear in the sequence: the end-of-turn positions define
+    the spans, each span is tested once and gives its labels as one piece.
+    Intermediate arrays are bound once with ``let``."""
     at = F.get
 
     def prompt_header(v, p):
@@ -125,27 +131,30 @@ def mask_prompt_spans(ids: Column, pad_id: int = PAD_ID) -> Column:
         return let(eots, lambda e: with_eots(v, e))
 
     def with_eots(v, eots):
-        spans = F.transform(eots, lambda e, k: F.struct(
-            F.when(k == 0, F.lit(0)).otherwise(at(eots, k - 1) + 1).alias("s"), e.alias("e")))
-        masked = F.filter(spans, lambda sp: F.exists(
-            F.when(sp["e"] - 3 >= sp["s"], F.sequence(sp["s"], sp["e"] - 3)).otherwise(F.array().cast("array<int>")),
-            lambda p: prompt_header(v, p)))
-        return let(masked, lambda m: _mask_assistant(F.transform(v, lambda x, i: F.when(
-            F.exists(m, lambda sp: (i >= sp["s"]) & (i <= sp["e"])), F.lit(IGNORE_INDEX)).otherwise(x)), pad_id))
+        def piece(e, k):
+            start = F.when(k == 0, F.lit(0)).otherwise(at(eots, k - 1) + 1)
+            return let(start, lambda s: F.when(F.exists(
+                F.when(e - 3 >= s, F.sequence(s, e - 3)).otherwise(F.array().cast("array<int>")),
+                lambda p: prompt_header(v, p)), F.array_repeat(F.lit(IGNORE_INDEX).cast("long"), e - s + 1))
+                .otherwise(F.slice(v, s + 1, e - s + 1)))
+        done = F.when(F.size(eots) > 0, F.element_at(eots, F.lit(-1)) + 1).otherwise(F.lit(0))
+        rest = let(done, lambda n: F.slice(v, n + 1, F.size(v) - n))
+        return let(F.concat(F.flatten(F.transform(eots, piece)), rest), lambda lab: _mask_assistant(lab, pad_id))
 
-    return let(ids, with_ids)
+    return let(ids.cast("array<bigint>"), with_ids)
 
 
 def _mask_assistant(labels: Column, pad_id: int) -> Column:
     def body(lab):
         n = F.size(lab)
+        ignored = F.lit(IGNORE_INDEX).cast("long")
 
         def hdr(p):
             return ((p >= 0) & (p <= n - 4) & (F.get(lab, p) == HEADER_START_ID)
                     & (F.get(lab, p + 1) == ASSISTANT_ROLE_ID) & (F.get(lab, p + 2) == HEADER_END_ID))
 
         return F.transform(lab, lambda x, i: F.when(
-            hdr(i) | hdr(i - 1) | hdr(i - 2) | (x == pad_id) | (x == IMAGE_TOKEN_ID), F.lit(IGNORE_INDEX))
+            hdr(i) | hdr(i - 1) | hdr(i - 2) | (x == pad_id) | (x == IMAGE_TOKEN_ID), ignored)
             .otherwise(x))
     return let(labels, body)
 
@@ -165,11 +174,12 @@ def padded_batches(rows: DataFrame, batch_cols: Sequence[str] = ("epoch", "batch
             .withColumn(ids_col, pad_to(F.col(ids_col), F.col("batch_len"), pad_id)))
 
 
-def preview(batches: DataFrame, n: int = 3, batch_cols: Sequence[str] = ("epoch", "batch_id")) -> DataFrame:
-    """The first ``n`` rows of the first batch (a top-k by position)."""
+def preview(batches: DataFrame, n: int = 3, epoch: int | None = 0) -> DataFrame:
+    """The first ``n`` rows of an epoch's first batch (a top-k by
+    position); ``epoch=None`` for batches without epochs."""
     first = batches.where(F.col("batch_id") == 0)
-    if "epoch" in batch_cols:
-        first = first.where(F.col("epoch") == batches.agg(F.min("epoch")).first()[0])
+    if epoch is not None:
+        first = first.where(F.col("epoch") == int(epoch))
     return first.orderBy("pos").limit(int(n))
 
 

@@ -1,6 +1,6 @@
 """X11: longest common subsequence length of two token arrays.
 
-Arrow-batched pandas UDF.  Per pair it runs the bit-parallel LCS-length
+Used inside the Arrow-batched scoring UDF.  Per pair it runs the bit-parallel LCS-length
 recurrence (Hyyrö 2004): one machine-word operation per 64 reference
 tokens per hypothesis token, i.e. O(|hyp| * |ref| / 64) instead of the
 quadratic table, so whole texts stay affordable.
@@ -8,10 +8,6 @@ quadratic table, so whole texts stay affordable.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 
 def lcs_len(ref, hyp) -> int:
     """Length of the longest common subsequence of two token sequences."""
@@ -28,8 +24,3 @@ def lcs_len(ref, hyp) -> int:
             u = v & m
             v = ((v + u) | (v - u)) & full
     return len(ref) - v.bit_count()
-
-
-@F.pandas_udf(T.LongType())
-def lcs_length(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    return pd.Series([lcs_len(a, b) for a, b in zip(ref, hyp)], dtype="int64")

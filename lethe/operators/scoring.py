@@ -13,9 +13,10 @@ grams into a shuffle.  The formulas stay in Column expressions.
 from __future__ import annotations
 
 import functools
-from collections import Counter
+import itertools
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 
 from pyspark.sql import Column, DataFrame
@@ -64,15 +65,38 @@ def rouge_tokens(col) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "[^a-z0-9]+"))
 
 
-def _clipped(a: list, b: list, n: int) -> int:
-    """sum over distinct n-grams of min(count in a, count in b)."""
-    if len(a) < n or len(b) < n:
-        return 0
-    ca = Counter(zip(*[a[i:] for i in range(n)]))
-    cb = Counter(zip(*[b[i:] for i in range(n)]))
-    if len(ca) > len(cb):
-        ca, cb = cb, ca
-    return sum(min(v, cb.get(g, 0)) for g, v in ca.items())
+def clipped_counts(refs: list, hyps: list, orders: Sequence[int]) -> dict[int, np.ndarray]:
+    """Per order n, for each row the sum over distinct n-grams of
+    min(count in reference, count in prediction).
+
+    All rows at once: tokens become numbers, an n-gram the number of its
+    pair (n-1-gram, last token), and (row, gram) pairs are counted by one
+    sort a side."""
+    rows = len(refs)
+    size = np.array([len(x) for x in refs] + [len(x) for x in hyps], np.int64)
+    tokens = np.fromiter(itertools.chain(itertools.chain.from_iterable(refs), itertools.chain.from_iterable(hyps)),
+                         object, int(size.sum()))
+    word = pd.factorize(tokens)[0].astype(np.int64) if len(tokens) else np.zeros(0, np.int64)
+    text = np.repeat(np.arange(2 * rows), size)
+    gram, out = word, {}
+    for n in range(1, max(orders) + 1):
+        if n > 1:
+            if len(word) < n:
+                gram = gram[:0]
+            else:
+                # Grams that run over a text's end are left out by ``inside``.
+                pair = gram[:len(word) - n + 1] * (len(word) + 1) + word[n - 1:]
+                gram = np.unique(pair, return_inverse=True)[1].ravel()
+        m = len(gram)
+        inside = text[:m] == text[n - 1:n - 1 + m]
+        key = text[:m][inside] * (m + 1) + gram[inside]
+        of_ref = key < rows * (m + 1)
+        a, na = np.unique(key[of_ref], return_counts=True)
+        b, nb = np.unique(key[~of_ref] - rows * (m + 1), return_counts=True)
+        both, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+        if n in orders:
+            out[n] = np.bincount(both // (m + 1), weights=np.minimum(na[i], nb[j]), minlength=rows).astype(np.int64)
+    return out
 
 
 _ORDERS = (("b", tuple(range(1, BLEU_MAX_N + 1))), ("r", ROUGE_NS))
@@ -88,19 +112,18 @@ def _counts_udf(with_lcs: bool):
 
     @F.pandas_udf(schema)
     def counts(br: pd.Series, bh: pd.Series, rr: pd.Series, rh: pd.Series) -> pd.DataFrame:
-        rows = []
-        for a, b, c, d in zip(br, bh, rr, rh):
-            lst = lambda v: [] if v is None else list(v)  # a NULL text has no tokens
-            pairs = {"b": (lst(a), lst(b)), "r": (lst(c), lst(d))}
-            row = []
-            for p, ns in _ORDERS:
-                ref, hyp = pairs[p]
-                for n in ns:
-                    row += [_clipped(ref, hyp, n), max(len(hyp) - n + 1, 0), max(len(ref) - n + 1, 0)]
-            if with_lcs:
-                row.append(lcs_len(pairs["r"][0], pairs["r"][1]))
-            rows.append(row)
-        return pd.DataFrame(rows, columns=[f.name for f in schema.fields], dtype="int64")
+        lists = lambda col: [() if v is None else v for v in col]  # a NULL text has no tokens
+        out = {}
+        for (p, ns), refs, hyps in zip(_ORDERS, (lists(br), lists(rr)), (lists(bh), lists(rh))):
+            num = clipped_counts(refs, hyps, ns)
+            n_ref, n_hyp = (np.array([len(x) for x in side], np.int64) for side in (refs, hyps))
+            for n in ns:
+                out[f"{p}{n}_num"] = num[n]
+                out[f"{p}{n}_hyp"] = np.maximum(n_hyp - n + 1, 0)
+                out[f"{p}{n}_ref"] = np.maximum(n_ref - n + 1, 0)
+        if with_lcs:
+            out["lcs"] = np.array([lcs_len(c, d) for c, d in zip(rr, rh)], np.int64)
+        return pd.DataFrame(out, columns=[f.name for f in schema.fields])
 
     return counts
 

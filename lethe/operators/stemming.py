@@ -1,5 +1,8 @@
 """Porter stemming of ROUGE tokens (Porter, 1980, "An algorithm for
-suffix stripping").
+suffix stripping"), by default with the extensions that the widely used
+ROUGE libraries' stemmer adds: irregular words, short -ies/-ied words, -y
+only after a consonant, and a few changed suffixes.  The paper's rules are
+the ``extended=False`` variant.
 
 Stemming is a per-token string rewrite with no Spark equivalent, so it
 runs in an Arrow-batched pandas UDF over whole token arrays: no explode,
@@ -34,104 +37,124 @@ STEP4 = (
     "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent",
     "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize",
 )
+# What the extended variant adds to or changes in step 2.
+STEP2_EXTENDED = (("bli", "ble"), ("fulli", "ful"))
+# Irregular words of the extended variant and their stems.
+IRREGULAR = {
+    "sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news",
+    "innings": "inning", "inning": "inning", "outings": "outing", "outing": "outing",
+    "cannings": "canning", "canning": "canning", "howe": "howe", "proceed": "proceed",
+    "exceed": "exceed", "succeed": "succeed",
+}
 # Tokens up to this length are not stemmed.
 MIN_STEM_LEN = 3
 
-_VOWELS = frozenset("aeiou")
 
+class Letters:
+    """A word with its letters marked consonant (c) or vowel (v); y is a
+    vowel after a consonant."""
 
-def _is_cons(w: str, i: int) -> bool:
-    c = w[i]
-    if c in _VOWELS:
-        return False
-    if c == "y":
-        return i == 0 or not _is_cons(w, i - 1)
-    return True
+    def __init__(self, word: str):
+        self.word = word
+        marks = []
+        for ch in word:
+            vowel = ch in "aeiou" or (ch == "y" and bool(marks) and marks[-1] == "c")
+            marks.append("v" if vowel else "c")
+        self.marks = "".join(marks)
 
+    def measure(self, n: int) -> int:
+        """m in [C](VC)^m[V] of the first ``n`` letters."""
+        return self.marks[:n].count("vc")
 
-def _measure(stem: str) -> int:
-    """m in [C](VC)^m[V]."""
-    m, prev_vowel = 0, False
-    for i in range(len(stem)):
-        cons = _is_cons(stem, i)
-        if cons and prev_vowel:
-            m += 1
-        prev_vowel = not cons
-    return m
+    def vowel(self, n: int) -> bool:
+        return "v" in self.marks[:n]
 
+    def double(self) -> bool:
+        return len(self.word) > 1 and self.word[-1] == self.word[-2] and self.marks[-1] == "c"
 
-def _has_vowel(stem: str) -> bool:
-    return any(not _is_cons(stem, i) for i in range(len(stem)))
+    def short_end(self, n: int, extended: bool) -> bool:
+        """Ends consonant, vowel, consonant other than w, x, y (extended:
+        also a two-letter vowel, consonant)."""
+        if n >= 3 and self.marks[n - 3:n] == "cvc" and self.word[n - 1] not in "wxy":
+            return True
+        return extended and n == 2 and self.marks[:2] == "vc"
 
 
-def _double_cons(w: str) -> bool:
-    return len(w) >= 2 and w[-1] == w[-2] and _is_cons(w, len(w) - 1)
+def _first_longest(word: str, rules):
+    """The rule of the longest suffix that the word ends in."""
+    return max((r for r in rules if word.endswith(r[0])), key=lambda r: len(r[0]), default=None)
 
 
-def _cvc(w: str) -> bool:
-    return (len(w) >= 3 and _is_cons(w, len(w) - 1) and not _is_cons(w, len(w) - 2)
-            and _is_cons(w, len(w) - 3) and w[-1] not in "wxy")
+def _plural(w: str, extended: bool) -> str:
+    if w.endswith("ies"):
+        return w[:-1] if extended and len(w) == 4 else w[:-2]
+    if w.endswith("sses"):
+        return w[:-2]
+    return w[:-1] if w.endswith("s") and not w.endswith("ss") else w
 
 
-def _longest(w: str, rules):
-    best = None
-    for suf, rep in rules:
-        if w.endswith(suf) and (best is None or len(suf) > len(best[0])):
-            best = (suf, rep)
-    return best
+def _past(w: str, extended: bool) -> str:
+    if extended and w.endswith("ied"):
+        return w[:-1] if len(w) == 4 else w[:-2]
+    if w.endswith("eed"):
+        return w[:-1] if Letters(w).measure(len(w) - 3) > 0 else w
+    for suffix in ("ed", "ing"):
+        if w.endswith(suffix) and Letters(w).vowel(len(w) - len(suffix)):
+            break
+    else:
+        return w
+    w = w[:-len(suffix)]
+    x = Letters(w)
+    if w.endswith(("at", "bl", "iz")):
+        return w + "e"
+    if x.double():
+        return w if w[-1] in "lsz" else w[:-1]
+    return w + "e" if x.measure(len(w)) == 1 and x.short_end(len(w), extended) else w
+
+
+def _final_y(w: str, extended: bool) -> str:
+    n = len(w) - 1
+    if not w.endswith("y"):
+        return w
+    x = Letters(w)
+    turns = (n > 1 and x.marks[n - 1] == "c") if extended else x.vowel(n)
+    return w[:-1] + "i" if turns else w
+
+
+def _second(w: str, extended: bool) -> str:
+    rules = STEP2
+    if extended:
+        if w.endswith("alli") and Letters(w).measure(len(w) - 4) > 0:
+            return _second(w[:-2], extended)
+        if w.endswith("logi"):
+            return w[:-1] if Letters(w).measure(len(w) - 3) > 0 else w
+        rules = [r for r in STEP2 if r[0] != "abli"] + list(STEP2_EXTENDED)
+    hit = _first_longest(w, rules)
+    if hit and Letters(w).measure(len(w) - len(hit[0])) > 0:
+        return w[:-len(hit[0])] + hit[1]
+    return w
 
 
-def porter_stem(w: str) -> str:
+def porter_stem(w: str, extended: bool = True) -> str:
     """Stem one lower-case word."""
+    if extended and w in IRREGULAR:
+        return IRREGULAR[w]
     if len(w) <= 2:
         return w
-    # Step 1a
-    if w.endswith("sses"):
-        w = w[:-2]
-    elif w.endswith("ies"):
-        w = w[:-2]
-    elif w.endswith("ss"):
-        pass
-    elif w.endswith("s"):
-        w = w[:-1]
-    # Step 1b
-    extra = False
-    if w.endswith("eed"):
-        if _measure(w[:-3]) > 0:
-            w = w[:-1]
-    elif w.endswith("ed") and _has_vowel(w[:-2]):
-        w, extra = w[:-2], True
-    elif w.endswith("ing") and _has_vowel(w[:-3]):
-        w, extra = w[:-3], True
-    if extra:
-        if w.endswith(("at", "bl", "iz")):
-            w += "e"
-        elif _double_cons(w) and w[-1] not in "lsz":
-            w = w[:-1]
-        elif _measure(w) == 1 and _cvc(w):
-            w += "e"
-    # Step 1c
-    if w.endswith("y") and _has_vowel(w[:-1]):
-        w = w[:-1] + "i"
-    # Step 2, 3: the longest matching suffix only
-    for rules in (STEP2, STEP3):
-        hit = _longest(w, rules)
-        if hit and _measure(w[:-len(hit[0])]) > 0:
-            w = w[:-len(hit[0])] + hit[1]
-    # Step 4
-    hit = _longest(w, [(s, "") for s in STEP4])
+    w = _second(_final_y(_past(_plural(w, extended), extended), extended), extended)
+    hit = _first_longest(w, STEP3)
+    if hit and Letters(w).measure(len(w) - len(hit[0])) > 0:
+        w = w[:-len(hit[0])] + hit[1]
+    hit = _first_longest(w, [(x, "") for x in STEP4])
     if hit:
-        stem = w[:-len(hit[0])]
-        if _measure(stem) > 1 and (hit[0] != "ion" or stem.endswith(("s", "t"))):
-            w = stem
-    # Step 5a
+        n = len(w) - len(hit[0])
+        if Letters(w).measure(n) > 1 and (hit[0] != "ion" or w[n - 1] in "st"):
+            w = w[:n]
     if w.endswith("e"):
-        stem = w[:-1]
-        m = _measure(stem)
-        if m > 1 or (m == 1 and not _cvc(stem)):
-            w = stem
-    # Step 5b
-    if _measure(w) > 1 and _double_cons(w) and w.endswith("l"):
+        x, n = Letters(w), len(w) - 1
+        if x.measure(n) > 1 or (x.measure(n) == 1 and not x.short_end(n, extended)):
+            w = w[:-1]
+    if w.endswith("ll") and Letters(w).measure(len(w) - 1) > 1:
         w = w[:-1]
     return w
 

@@ -19,15 +19,17 @@ _TOK_SQL = with_views("v_docs") + f""",
 words AS (SELECT example_id, unnest(w) AS token, generate_subscripts(w, 1) AS pos
           FROM (SELECT example_id, {sb.py_split('text')} AS w FROM v_docs) t),
 vocab AS (SELECT token, count(*) AS count,
-                 CAST(row_number() OVER (ORDER BY count(*) DESC, token) + 1 AS INTEGER) AS token_id
+                 CAST(row_number() OVER (ORDER BY count(*) DESC, token) + 1 AS BIGINT) AS token_id
           FROM words GROUP BY token),
-ids AS (SELECT w.example_id, list(v.token_id ORDER BY w.pos) AS input_ids
-        FROM words w JOIN vocab v ON v.token = w.token WHERE w.pos <= 384 GROUP BY w.example_id)"""
+found AS (SELECT w.example_id, list(v.token_id ORDER BY w.pos) AS input_ids
+          FROM words w JOIN vocab v ON v.token = w.token GROUP BY w.example_id),
+ids AS (SELECT d.example_id, coalesce(f.input_ids, []) AS input_ids
+        FROM v_docs d LEFT JOIN found f ON f.example_id = d.example_id)"""
 
 
-def _ids(spark, d):
+def _ids(spark, d, max_length=None):
     docs = v_docs(spark, d)
-    return B.token_ids(docs, B.vocabulary(docs), "example_id")
+    return B.token_ids(docs, B.vocabulary(docs), "example_id", max_length=max_length)
 
 
 @register("vocabulary", _TOK_SQL + """
@@ -40,12 +42,12 @@ def q_vocabulary(spark, d):
 @register("token_ids", _TOK_SQL + """
 SELECT example_id, CAST(len(input_ids) AS INTEGER) AS n_tokens, array_to_string(input_ids, ' ') AS ids FROM ids""")
 def q_token_ids(spark, d):
-    """The first 384 token ids of every document."""
+    """The token ids of every whole document, also of those without words."""
     return _ids(spark, d).select("example_id", F.size("input_ids").alias("n_tokens"), _join("input_ids").alias("ids"))
 
 
 _BATCH_SQL = _TOK_SQL + """,
-b AS (SELECT example_id, input_ids, CAST(len(input_ids) AS INTEGER) AS n_tokens,
+b AS (SELECT example_id, input_ids[1:384] AS input_ids, CAST(least(384, len(input_ids)) AS INTEGER) AS n_tokens,
              CAST(row_number() OVER (ORDER BY md5('42:0:' || example_id), example_id) - 1 AS BIGINT) AS pos
       FROM ids),
 bb AS (SELECT *, CAST(floor(pos / 4) AS BIGINT) AS batch_id FROM b),
@@ -55,7 +57,7 @@ p AS (SELECT *, list_resize(input_ids, batch_len, 0) AS padded,
 
 
 def _batches(spark, d):
-    ids = _ids(spark, d)
+    ids = _ids(spark, d, B.MAX_LENGTH)  # X14's cut, before the words are looked up
     rows = shuffled_batches(ids, ["example_id"], batch_size=4, epochs=[0])
     return B.padded_batches(rows)
 
@@ -78,7 +80,7 @@ def q_padded_batches(spark, d):
 SELECT example_id, pos, n_tokens FROM p WHERE batch_id = 0 ORDER BY pos LIMIT 3""")
 def q_preview(spark, d):
     """The first three rows of the first batch."""
-    return B.preview(_batches(spark, d)).select("example_id", "pos", "n_tokens")
+    return B.preview(_batches(spark, d), epoch=0).select("example_id", "pos", "n_tokens")
 
 
 @register("answer_loss", _BATCH_SQL + """,

@@ -35,15 +35,16 @@ def grams(tokens: str, n: int) -> str:
 
 
 def split_cte(name: str, ids_view: str, ratios, seed: int = 42) -> str:
-    """E3 in SQL: rank by md5(seed:p:id), first floor(p/100*n) forget."""
+    """E3 in SQL: rank by md5(seed:p:id), first floor(p/100*n) forget; every
+    row counts (a null id hashes without its part)."""
     vals = ", ".join(str(int(r)) for r in ratios)
     return f"""{name} AS (
   SELECT id, ratio, CASE WHEN rn <= k THEN 'forget' ELSE 'retain' END AS "set" FROM (
     SELECT i.id, i.ratio,
-           row_number() OVER (PARTITION BY i.ratio ORDER BY md5('{seed}:' || CAST(i.ratio AS VARCHAR) || ':' || i.id), i.id) AS rn,
+           row_number() OVER (PARTITION BY i.ratio
+             ORDER BY md5('{seed}:' || CAST(i.ratio AS VARCHAR) || coalesce(':' || i.id, '')), i.id) AS rn,
            CAST(floor(CAST(i.ratio AS DOUBLE) / 100.0 * count(*) OVER (PARTITION BY i.ratio)) AS BIGINT) AS k
-    FROM (SELECT id, CAST(unnest([{vals}]) AS INTEGER) AS ratio
-          FROM (SELECT DISTINCT id FROM {ids_view} WHERE id IS NOT NULL) d) i) s)"""
+    FROM (SELECT id, CAST(unnest([{vals}]) AS INTEGER) AS ratio FROM {ids_view}) i) s)"""
 
 
 def lit(s: str) -> str:
@@ -173,7 +174,8 @@ def _dbl(w: str, cv: str, n: str) -> str:
 
 
 def _cvc(w: str, cv: str, n: str) -> str:
-    return f"({n} >= 3 AND substr({cv}, {n} - 2, 3) = 'cvc' AND substr({w}, {n}, 1) NOT IN ('w', 'x', 'y'))"
+    return (f"(({n} >= 3 AND substr({cv}, {n} - 2, 3) = 'cvc' AND substr({w}, {n}, 1) NOT IN ('w', 'x', 'y')) "
+            f"OR ({n} = 2 AND substr({cv}, 1, 2) = 'vc'))")
 
 
 def _suffix_rules(w: str, cv: str, rules, cond) -> str:
@@ -185,57 +187,77 @@ def _suffix_rules(w: str, cv: str, rules, cond) -> str:
     return "CASE " + " ".join(parts) + f" ELSE {w} END"
 
 
+# The suffixes of steps 2 to 4 and the irregular words of the
+# extended stemmer, written for the oracle from the published description.
+_ORACLE_STEP2 = [
+    ("ational", "ate"), ("ization", "ize"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"),
+    ("tional", "tion"), ("biliti", "ble"), ("entli", "ent"), ("ousli", "ous"), ("ation", "ate"),
+    ("alism", "al"), ("aliti", "al"), ("iviti", "ive"), ("fulli", "ful"), ("enci", "ence"), ("anci", "ance"),
+    ("izer", "ize"), ("alli", "al"), ("ator", "ate"), ("bli", "ble"), ("eli", "e"),
+]
+_ORACLE_STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ness", ""),
+                 ("ful", "")]
+_ORACLE_STEP4 = ["ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ion", "ism", "ate", "iti", "ous",
+                 "ive", "ize", "al", "er", "ic", "ou"]
+_ORACLE_IRREGULAR = {
+    "sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news",
+    "inning": "inning", "innings": "inning", "outing": "outing", "outings": "outing", "canning": "canning",
+    "cannings": "canning", "howe": "howe", "proceed": "proceed", "exceed": "exceed", "succeed": "succeed",
+}
+
+
 def porter_ctes(src: str, col: str, out: str = "stem_out") -> tuple[str, str]:
-    """Porter stemmer over column ``col`` of CTE ``src`` as a chain of
-    materialised CTEs, one per step (the word and its consonant/vowel
-    string become columns).  Returns ``(ctes, name)``; CTE ``name`` has
-    ``col`` and ``s`` (tokens of three letters or fewer unchanged, the
-    ROUGE rule)."""
-    from lethe.operators.stemming import STEP2, STEP3, STEP4
-    s1a = ("CASE WHEN suffix(w0, 'sses') OR suffix(w0, 'ies') THEN left(w0, length(w0) - 2) "
+    """The extended Porter stemmer over column ``col`` of CTE ``src`` as a
+    chain of materialised CTEs, one per step (the word and its
+    consonant/vowel string become columns).  Returns ``(ctes, name)``; CTE
+    ``name`` has ``col`` and ``s`` (tokens of three letters or fewer
+    unchanged, the ROUGE rule)."""
+    s1a = ("CASE WHEN suffix(w0, 'ies') THEN left(w0, length(w0) - CASE WHEN length(w0) = 4 THEN 1 ELSE 2 END) "
+           "WHEN suffix(w0, 'sses') THEN left(w0, length(w0) - 2) "
            "WHEN suffix(w0, 'ss') THEN w0 WHEN suffix(w0, 's') THEN left(w0, length(w0) - 1) ELSE w0 END")
-    s1b_w = (f"CASE WHEN suffix(w1, 'eed') THEN (CASE WHEN {_m('c1', 'length(w1) - 3')} > 0 "
+    cut_ed = f"suffix(w1, 'ed') AND {_has_v('c1', 'length(w1) - 2')}"
+    cut_ing = f"suffix(w1, 'ing') AND {_has_v('c1', 'length(w1) - 3')}"
+    s1b_w = (f"CASE WHEN suffix(w1, 'ied') THEN left(w1, length(w1) - CASE WHEN length(w1) = 4 THEN 1 ELSE 2 END) "
+             f"WHEN suffix(w1, 'eed') THEN (CASE WHEN {_m('c1', 'length(w1) - 3')} > 0 "
              f"THEN left(w1, length(w1) - 1) ELSE w1 END) "
-             f"WHEN suffix(w1, 'ed') AND {_has_v('c1', 'length(w1) - 2')} THEN left(w1, length(w1) - 2) "
-             f"WHEN suffix(w1, 'ing') AND {_has_v('c1', 'length(w1) - 3')} THEN left(w1, length(w1) - 3) "
-             f"ELSE w1 END")
-    s1b_x = (f"(NOT suffix(w1, 'eed') AND ((suffix(w1, 'ed') AND {_has_v('c1', 'length(w1) - 2')}) "
-             f"OR (suffix(w1, 'ing') AND {_has_v('c1', 'length(w1) - 3')})))")
+             f"WHEN {cut_ed} THEN left(w1, length(w1) - 2) WHEN {cut_ing} THEN left(w1, length(w1) - 3) ELSE w1 END")
+    s1b_x = f"(NOT suffix(w1, 'eed') AND NOT suffix(w1, 'ied') AND (({cut_ed}) OR ({cut_ing})))"
     fix = (f"CASE WHEN NOT bx THEN bw "
            f"WHEN suffix(bw, 'at') OR suffix(bw, 'bl') OR suffix(bw, 'iz') THEN bw || 'e' "
-           f"WHEN {_dbl('bw', 'cb', 'length(bw)')} AND right(bw, 1) NOT IN ('l', 's', 'z') "
-           f"THEN left(bw, length(bw) - 1) "
+           f"WHEN {_dbl('bw', 'cb', 'length(bw)')} THEN CASE WHEN right(bw, 1) IN ('l', 's', 'z') THEN bw "
+           f"ELSE left(bw, length(bw) - 1) END "
            f"WHEN {_m('cb', 'length(bw)')} = 1 AND {_cvc('bw', 'cb', 'length(bw)')} THEN bw || 'e' "
            f"ELSE bw END")
-    s1c = f"CASE WHEN suffix(w2, 'y') AND {_has_v('c2', 'length(w2) - 1')} THEN left(w2, length(w2) - 1) || 'i' ELSE w2 END"
-    s2 = _suffix_rules("w3", "c3", STEP2, lambda n, s: f"{_m('c3', n)} > 0")
-    s3 = _suffix_rules("w4", "c4", STEP3, lambda n, s: f"{_m('c4', n)} > 0")
-    s4 = _suffix_rules("w5", "c5", [(x, "") for x in STEP4],
+    s1c = ("CASE WHEN suffix(w2, 'y') AND length(w2) > 2 AND substr(c2, length(w2) - 1, 1) = 'c' "
+           "THEN left(w2, length(w2) - 1) || 'i' ELSE w2 END")
+    # alli, where it may go, is al first and then looked at again.
+    s2a = (f"CASE WHEN suffix(w3, 'alli') AND {_m('c3', 'length(w3) - 4')} > 0 THEN left(w3, length(w3) - 2) "
+           f"ELSE w3 END")
+    s2 = ("CASE WHEN suffix(w3b, 'logi') THEN (CASE WHEN " + _m("c3b", "(length(w3b) - 3)")
+          + " > 0 THEN left(w3b, length(w3b) - 1) ELSE w3b END) ELSE "
+          + _suffix_rules("w3b", "c3b", _ORACLE_STEP2, lambda n, s: f"{_m('c3b', n)} > 0") + " END")
+    s3 = _suffix_rules("w4", "c4", _ORACLE_STEP3, lambda n, s: f"{_m('c4', n)} > 0")
+    s4 = _suffix_rules("w5", "c5", [(x, "") for x in _ORACLE_STEP4],
                        lambda n, s: f"{_m('c5', n)} > 1" + (
                            f" AND substr(w5, {n}, 1) IN ('s', 't')" if s == "ion" else ""))
     s5a = (f"CASE WHEN suffix(w6, 'e') AND ({_m('c6', 'length(w6) - 1')} > 1 OR "
-           f"({_m('c6', 'length(w6) - 1')} = 1 AND NOT {_cvc('w6', 'c6', 'length(w6) - 1')})) "
+           f"({_m('c6', 'length(w6) - 1')} = 1 AND NOT {_cvc('w6', 'c6', '(length(w6) - 1)')})) "
            f"THEN left(w6, length(w6) - 1) ELSE w6 END")
-    s5b = (f"CASE WHEN {_m('c7', 'length(w7)')} > 1 AND {_dbl('w7', 'c7', 'length(w7)')} AND suffix(w7, 'l') "
+    s5b = (f"CASE WHEN suffix(w7, 'll') AND {_m('c7', '(length(w7) - 1)')} > 1 "
            f"THEN left(w7, length(w7) - 1) ELSE w7 END")
     steps = [
-        (f"{col} AS w0", src),
-        (f"{s1a} AS w1", None), (f"{_cv('w1')} AS c1", None),
-        (f"{s1b_w} AS bw, {s1b_x} AS bx", None), (f"{_cv('bw')} AS cb", None),
-        (f"{fix} AS w2", None), (f"{_cv('w2')} AS c2", None),
-        (f"{s1c} AS w3", None), (f"{_cv('w3')} AS c3", None),
-        (f"{s2} AS w4", None), (f"{_cv('w4')} AS c4", None),
-        (f"{s3} AS w5", None), (f"{_cv('w5')} AS c5", None),
-        (f"{s4} AS w6", None), (f"{_cv('w6')} AS c6", None),
-        (f"{s5a} AS w7", None), (f"{_cv('w7')} AS c7", None),
+        f"{col} AS w0", f"{s1a} AS w1", f"{_cv('w1')} AS c1", f"{s1b_w} AS bw, {s1b_x} AS bx", f"{_cv('bw')} AS cb",
+        f"{fix} AS w2", f"{_cv('w2')} AS c2", f"{s1c} AS w3", f"{_cv('w3')} AS c3", f"{s2a} AS w3b",
+        f"{_cv('w3b')} AS c3b", f"{s2} AS w4", f"{_cv('w4')} AS c4", f"{s3} AS w5", f"{_cv('w5')} AS c5",
+        f"{s4} AS w6", f"{_cv('w6')} AS c6", f"{s5a} AS w7", f"{_cv('w7')} AS c7",
     ]
     ctes, prev = [], src
-    for k, (expr, _) in enumerate(steps):
+    for k, expr in enumerate(steps):
         name = f"{out}_{k}"
         keep = f"{col}" if k == 0 else "*"
         ctes.append(f"{name} AS MATERIALIZED (SELECT {keep}, {expr} FROM {prev})")
         prev = name
-    final = (f"{out} AS MATERIALIZED (SELECT {col}, CASE WHEN length({col}) <= 3 THEN {col} "
-             f"WHEN length(w0) <= 2 THEN w0 ELSE {s5b} END AS s FROM {prev})")
-    ctes.append(final)
+    irregular = " ".join(f"WHEN w0 = '{w}' THEN '{t}'" for w, t in _ORACLE_IRREGULAR.items())
+    ctes.append(f"{out} AS MATERIALIZED (SELECT {col}, CASE WHEN length({col}) <= 3 THEN {col} {irregular} "
+                f"ELSE {s5b} END AS s FROM {prev})")
     return ",\n".join(ctes), out

@@ -7,10 +7,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lethe.operators import curate as C
-from lethe.operators.losses import epoch_loss, running_loss
+from lethe.operators.losses import epoch_loss, epoch_loss_by_set, running_loss
 from lethe.operators.positions import hash_positions, ordered_positions, seeded_hash
 from lethe.operators.scoring import text_scores
-from lethe.operators.splits import forget_retain_split, shuffled_batches
+from lethe.operators.splits import forget_retain_split, holdout_split, shuffled_batches
 from lethe.plans.views import v_profile, v_steps
 from conftest import SF0001
 
@@ -42,6 +42,14 @@ def test_split_prefix_one_bucket_each(spark):
     assert a == b
 
 
+def test_split_counts_every_row(spark):
+    """Null and repeated ids are profiles too: 12 rows, half of them forgotten."""
+    ids = spark.createDataFrame([(x,) for x in [None] * 4 + ["a"] * 3 + ["b", "c", "d", "e", "f"]], "id string")
+    for rows in (forget_retain_split(ids, ratios=[50]).collect(), holdout_split(ids, forget_fraction=0.5).collect()):
+        assert sum(r["set"] == "forget" for r in rows) == 6
+        assert sorted((r["id"] or "") for r in rows) == sorted((r[0] or "") for r in ids.collect())
+
+
 def test_nested_split(spark):
     s = forget_retain_split(_ids(spark, 300, 2), ratios=[5, 10], nested=True).where("set = 'forget'").collect()
     f5 = {r["id"] for r in s if r["ratio"] == 5}
@@ -78,8 +86,73 @@ def test_running_mean_ends_at_epoch_mean(spark):
             .agg(F.max_by("running_mean", "step").alias("last"), F.max_by("progress_loss", "step").alias("prog")))
     means = epoch_loss(steps, ["run", "epoch", "set"])
     for r in last.join(means, ["run", "epoch", "set"]).collect():
-        assert r["last"] == pytest.approx(r["epoch_loss"])
-        assert r["prog"] == pytest.approx(r["epoch_loss"])
+        assert r["last"] == pytest.approx(r["epoch_loss"], nan_ok=True)
+        assert r["prog"] == pytest.approx(r["epoch_loss"], nan_ok=True)
+
+
+def test_running_loss_of_diverging_run(spark):
+    inf, nan = float("inf"), float("nan")
+    runs = {"a": [1.0, nan, 2.0], "b": [1.0, inf, 1.0, -inf, 1.0], "c": [1e21, 1.0, -1e21, 0.25], "d": [-inf, 1.0]}
+    rows = [(k, 0, "forget", i, x) for k, v in runs.items() for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "run string, epoch int, `set` string, step long, loss double")
+    got = {(r["run"], r["step"]): r["running_mean"] for r in running_loss(df, block=2).collect()}
+    for k, v in runs.items():
+        total = 0.0
+        for i, x in enumerate(v):
+            total += x
+            if k == "c":
+                want = [1e21, 5e20, 1 / 3, 0.3125][i]  # the small values stay exact beside the large
+            else:
+                want = total / (i + 1)
+            assert got[k, i] == pytest.approx(want, nan_ok=True), (k, i)
+
+
+def test_epoch_loss_by_set_keeps_divided_losses(spark):
+    df = spark.createDataFrame([("r", 0, "forget", 4.0, 2), ("r", 0, "retain", 6.0, 4)],
+                               "run string, epoch int, `set` string, loss double, accum int")
+    r = epoch_loss_by_set(df).first()
+    assert (r["forget_loss"], r["retain_loss"]) == (-4.0, 6.0)
+
+
+def test_positions_move_keys_only(spark):
+    """The order of batches is made from keys; token arrays join it once."""
+    rows = _ids(spark, 200, 2).withColumn("payload", F.array_repeat(F.lit(1), 50))
+    plan = shuffled_batches(rows, ["id"], epochs=[0])._jdf.queryExecution().executedPlan().toString()
+    windows = [x for x in plan.split("\n") if "Window" in x]
+    assert windows and not any("payload" in x for x in windows)
+    assert plan.count("payload") <= 8
+
+
+def test_clipped_counts_brute_force():
+    import random
+    from collections import Counter
+
+    from lethe.operators.scoring import clipped_counts
+    r = random.Random(3)
+    texts = lambda: [[r.choice("abc") for _ in range(r.randrange(9))] for _ in range(60)]
+    refs, hyps = texts(), texts()
+    got = clipped_counts(refs, hyps, (1, 2, 3, 4))
+    for n in (1, 2, 3, 4):
+        grams = lambda x: Counter(tuple(x[i:i + n]) for i in range(len(x) - n + 1))
+        assert got[n].tolist() == [sum((grams(a) & grams(b)).values()) for a, b in zip(refs, hyps)]
+    assert clipped_counts([], [], (1, 2))[2].tolist() == []
+    assert clipped_counts([()], [()], (1, 2))[2].tolist() == [0]
+
+
+def test_label_masking_time_follows_length(spark):
+    """Prompt masking of a long dialog of many turns is not quadratic."""
+    import time
+
+    from lethe.operators import batching as B
+    def seconds(turns):
+        seq = [B.HEADER_START_ID, B.USER_ROLE_ID, B.HEADER_END_ID, 5, B.END_OF_TURN_ID] * turns
+        df = spark.createDataFrame([(seq,)], "ids array<int>").select(F.size(B.mask_prompt_spans(F.col("ids"))).alias("n"))
+        df.collect()
+        t = time.perf_counter()
+        assert df.first()["n"] == len(seq)
+        return time.perf_counter() - t
+    seconds(10)
+    assert seconds(16_000) < 12 * seconds(4_000) + 2
 
 
 words = st.lists(st.sampled_from(["a", "b", "c", "the", "cat", "mat", "sat"]), min_size=0, max_size=12)
@@ -140,8 +213,9 @@ def test_token_ids_head_tail_split(spark):
     docs = v_docs(spark, SF0001)
     vocab = B.vocabulary(docs)
     a = {r["example_id"]: r["input_ids"] for r in B.token_ids(docs, vocab, "example_id").collect()}
-    b = {r["example_id"]: r["input_ids"] for r in B.token_ids(docs, vocab, "example_id", broadcast_max=50).collect()}
-    assert a == b and len(a) > 0
+    b = {r["example_id"]: r["input_ids"] for r in B.token_ids(docs, vocab, "example_id", broadcast_bytes=5000).collect()}
+    assert a == b and len(a) == docs.count()
+    assert [] in a.values() and max(len(x) for x in a.values()) > 384  # empty texts stay, long ones are whole
 
 
 def test_cluster_conf_sizes_partitions():
