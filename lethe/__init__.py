@@ -4,7 +4,9 @@ Profiles and question files are read as declared-schema DataFrames, curated,
 split into exact forget/retain sets, flattened, turned into prompts and padded
 training batches; model outputs (generated text, step losses, per-token losses,
 logits) come back as tables and are scored and aggregated into one report.
-Everything is DataFrame code; Python runs only inside two Arrow UDFs.
+Everything is DataFrame code; Python runs only in Arrow batches (n-gram counts,
+stemming, KL of logits).  ``lethe.llm`` holds the operators of a training-data
+pipeline.
 """
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"
