@@ -10,7 +10,7 @@ from lethe.operators.splits import forget_retain_split
 from lethe.plans import sqlbits as sb
 from lethe.plans.oracle_views import PAD, with_views
 from lethe.plans.registry import register
-from lethe.plans.views import pad_id, table, v_customer_ids, v_gen, v_ids, v_mcq, v_qa
+from lethe.plans.views import pad_id, table, v_customer_ids, v_gen, v_ids, v_images, v_mcq, v_qa
 
 LLAVA_ID = "llava-hf/llava-1.5-7b-hf"
 LLAMA_ID = "meta-llama/Llama-3.2-11B-Vision-Instruct"
@@ -78,29 +78,20 @@ def q_select_by_prefix(spark, d):
     return ES.select_by_id_prefix(_files(spark, d), ids, pattern="*_questions.json").select("file_name")
 
 
-def _mcq_sets(spark, d):
-    """E9 inputs: forget/test = forget ids, retain_shared = retain ids,
-    celebrity = every person (10 % split of V_IDS)."""
+def _mcq_prompts(spark, d, model_id, sets):
+    """All requested eval sets in one pass: the split's set names the eval
+    sets of a person (forget ids -> forget, test; retain ids ->
+    retain_shared; everyone -> retain_celebrity), joined once to the
+    questions."""
     m = v_mcq(spark, d).select("id", "kind", "question_idx", "Question", "Options", "Correct_Answer")
     split = forget_retain_split(v_ids(spark, d), ratios=[10])
-    forget = split.where(F.col("set") == "forget").select("id")
-    retain = split.where(F.col("set") == "retain").select("id")
-    return m, forget, retain
-
-
-def _mcq_prompts(spark, d, model_id, sets):
-    """All requested eval sets in one pass: a membership table (forget
-    ids -> forget, test; retain ids -> retain_shared; everyone ->
-    retain_celebrity) joined once to the questions."""
-    m, forget, retain = _mcq_sets(spark, d)
-    chosen = ES.sample_exemplar_ids(retain, model_id)
-    split = forget.withColumn("set", F.lit("forget")).unionByName(retain.withColumn("set", F.lit("retain")))
+    chosen = ES.sample_exemplar_ids(split.where(F.col("set") == "retain").select("id"), model_id)
     labels = (F.when(F.col("set") == "forget",
                      F.array(F.lit("forget"), F.lit("test"), F.lit("retain_celebrity")))
               .otherwise(F.array(F.lit("retain_shared"), F.lit("retain_celebrity"))))
-    member = (split.select("id", F.explode(labels).alias("eval_set"))
-              .where(F.col("eval_set").isin(list(sets))))
-    out = ES.classification_prompts_by_set(m, member, model_id, chosen, m)
+    wanted = F.filter(labels, lambda x: x.isin(list(sets)))
+    out = ES.classification_prompts_by_set(m, split.select("id", F.explode(wanted).alias("eval_set")), model_id,
+                                           chosen, m)
     return out.select("eval_set", "id", "kind", "question_idx", "prompt")
 
 
@@ -117,7 +108,18 @@ sets AS (
   UNION ALL
   SELECT 'retain_celebrity', m.* FROM v_mcq m)"""
 
-_LLAVA_TAIL = sb.lit("\n" + P.CLS_INSTRUCTION[P.LLAVA] + "\nASSISTANT:")
+# The prompt pieces of the oracles, written out apart from those
+# of the operators.
+_LLAVA_TAIL = sb.lit("\nAnswer with the option's letter from the given choices directly.\nASSISTANT:")
+_IDEFICS_TAIL = sb.lit("\nJust give ONE letter representing the answer directly.\nASSISTANT:")
+_LLAMA_IMAGE_HEAD = sb.lit(
+    "<|image|><|begin_of_text|> ###Instruction: You are a helpful assistant that will answer all following multiple "
+    "choice questions in letter from A, B, C, D \n###Question: ")
+_LLAMA_TEXT_TAIL = sb.lit("\nPlease only generate ONE letter representing the answer!\n### Answer:")
+_GEN_IMAGE_TAIL = sb.lit(
+    "\nAnswer the question based on your trained knowledge in one sentence accurately in ENGLISH!!.\nASSISTANT: ")
+_GEN_TEXT_TAIL = sb.lit(
+    "\nAnswer the question based on your trained knowledge in one sentence in ENGLISH!!\nASSISTANT:")
 
 
 @register("mcq_prompts_llava", _MCQ_SETS_SQL.format(k=2) + f""",
@@ -143,7 +145,7 @@ SELECT s.eval_set, s.id, s.kind, s.question_idx,
        CASE WHEN s.eval_set IN ('forget', 'retain_shared', 'test') THEN coalesce(e.few_shot, '') ELSE '' END
        || CASE WHEN s.kind = 'Image_Textual' THEN {sb.lit('USER: <image>' + chr(10))} ELSE {sb.lit('USER:' + chr(10))} END
        || {sb.mcq_prompt('s.Question', 's.Options')}
-       || {sb.lit(chr(10) + P.CLS_INSTRUCTION[P.IDEFICS] + chr(10) + 'ASSISTANT:')} AS prompt
+       || {_IDEFICS_TAIL} AS prompt
 FROM sets s LEFT JOIN ex e ON e.kind = s.kind WHERE s.eval_set IN ('forget', 'retain_shared')""")
 def q_mcq_prompts_idefics(spark, d):
     """As above for idefics (one exemplar), forget and retain_shared."""
@@ -153,10 +155,10 @@ def q_mcq_prompts_idefics(spark, d):
 @register("mcq_prompts_llama", _MCQ_SETS_SQL.format(k=1) + f"""
 SELECT s.eval_set, s.id, s.kind, s.question_idx,
        CASE WHEN s.kind = 'Image_Textual'
-            THEN {sb.lit(P.LLAMA_CLS_IMAGE_HEAD)} || {sb.mcq_prompt('s.Question', 's.Options', True)}
-                 || {sb.lit(P.LLAMA_CLS_IMAGE_TAIL)}
-            ELSE {sb.lit(P.LLAMA_CLS_TEXT_HEAD)} || {sb.mcq_prompt('s.Question', 's.Options', True)}
-                 || {sb.lit(P.LLAMA_CLS_TEXT_TAIL)} END AS prompt
+            THEN {_LLAMA_IMAGE_HEAD} || {sb.mcq_prompt('s.Question', 's.Options', True)}
+                 || {sb.lit(chr(10) + '###Answer:')}
+            ELSE '<|begin_of_text|>### Question: ' || {sb.mcq_prompt('s.Question', 's.Options', True)}
+                 || {_LLAMA_TEXT_TAIL} END AS prompt
 FROM sets s WHERE s.eval_set IN ('forget', 'retain_shared')""")
 def q_mcq_prompts_llama(spark, d):
     """llama: the choices form of X1 and no exemplar block (Q18); the
@@ -164,13 +166,32 @@ def q_mcq_prompts_llama(spark, d):
     return _mcq_prompts(spark, d, LLAMA_ID, ("forget", "retain_shared"))
 
 
+@register("few_shot_items", with_views("v_mcq") + f"""
+SELECT id, kind, question_idx, {sb.few_shot_item('Question', 'Options', 'Correct_Answer', 'kind')} AS llava,
+       {sb.few_shot_item('Question', 'Options', 'Correct_Answer', 'kind', True)} AS llama
+FROM v_mcq""")
+def q_few_shot_items(spark, d):
+    """Every question as an exemplar, in the llava and the llama form."""
+    item = lambda model_id: F.when(
+        F.col("kind") == ES.IMAGE_TEXTUAL, P.few_shot_item("Question", "Options", "Correct_Answer", model_id, True)) \
+        .otherwise(P.few_shot_item("Question", "Options", "Correct_Answer", model_id, False))
+    return v_mcq(spark, d).select("id", "kind", "question_idx", item(LLAVA_ID).alias("llava"), item(LLAMA_ID).alias("llama"))
+
+
+@register("extract_json_prompts", with_views("v_images") + f"""
+SELECT path, {sb.lit('USER: <image>' + chr(10) + 'Extract JSON.' + chr(10) + 'ASSISTANT:')} AS prompt FROM v_images""")
+def q_extract_json_prompts(spark, d):
+    """The structured-answer prompt of every image."""
+    return v_images(spark, d).select("path", P.extract_json_prompt().alias("prompt"))
+
+
 def _gen_sql(llama: bool) -> str:
     if llama:
         img = f"{sb.lit('<|image|><|begin_of_text|>### Question:')} || {sb.show('Question')} || {sb.lit(chr(10) + '### Answer:')}"
         txt = f"{sb.lit('<|begin_of_text|>### Question: ')} || {sb.show('Question')} || {sb.lit(chr(10) + '### Answer:')}"
     else:
-        img = f"{sb.lit('USER: <image>' + chr(10))} || {sb.show('Question')} || {sb.lit(P.GEN_IMAGE_TAIL)}"
-        txt = f"'USER: ' || {sb.show('Question')} || {sb.lit(P.GEN_TEXT_TAIL)}"
+        img = f"{sb.lit('USER: <image>' + chr(10))} || {sb.show('Question')} || {_GEN_IMAGE_TAIL}"
+        txt = f"'USER: ' || {sb.show('Question')} || {_GEN_TEXT_TAIL}"
     return with_views("v_gen") + f"""
 SELECT id, turn, Type, CASE WHEN Type = 'Image_Textual' THEN {img} ELSE {txt} END AS prompt FROM v_gen"""
 
