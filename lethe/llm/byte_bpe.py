@@ -27,10 +27,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lethe.llm.common import mix
+from lethe.llm.common import mix, short_batches, text_chunks
 
-# Distinct pieces remembered by a task between batches.
-REMEMBERED = 200_000
+# Distinct pieces remembered by a task between batches; beyond it only the
+# last batch's are kept.
+REMEMBERED = 150_000
 # Cells of one matrix.
 CELLS = 1 << 20
 # Rounds grow with a piece's length and each costs a whole row, so a piece
@@ -110,9 +111,12 @@ class Encoder:
         self.split = compiled(pattern).findall
         self.whole = {t: i for i, t in enumerate(tokens) if t}
         self.pairs = pairs or PairTable(tokens)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as little-endian 32-bit numbers
+        size = np.array([len(t) for t in tokens], np.int64)
+        self._token_size, self._token_at = size, np.cumsum(size) - size
+        self._token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
-    def _merge(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def _merge(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of pieces of similar length."""
         size = np.array([len(p) for p in pieces])
         width = int(size.max())
@@ -120,7 +124,7 @@ class Encoder:
         ids[np.arange(width) < size[:, None]] = self.pairs.bytes_id[np.frombuffer(b"".join(pieces), np.uint8)]
         if (ids[np.arange(width) < size[:, None]] < 0).any():
             raise ValueError("the ranks lack a single byte of the text")
-        out: list[np.ndarray] = [None] * len(pieces)
+        out = [b""] * len(pieces)
         row, ranks = np.arange(len(pieces)), np.full((len(pieces), max(width - 1, 1)), _NONE, np.int32)
         if width > 1:
             pair = ids[:, 1:] >= 0
@@ -130,8 +134,9 @@ class Encoder:
             best = ranks[np.arange(len(row)), at]
             done = best == _NONE
             if done.any():
-                for r in np.flatnonzero(done):
-                    out[row[r]] = ids[r, :size[r]].copy()
+                raw, wide = ids[done].astype("<u4").tobytes(), 4 * ids.shape[1]
+                for k, (r, n) in enumerate(zip(row[done].tolist(), size[done].tolist())):
+                    out[r] = raw[k * wide:k * wide + 4 * n]
                 go = ~done
                 row, ids, ranks, size, at, best = row[go], ids[go], ranks[go], size[go], at[go], best[go]
                 if not len(row):
@@ -159,7 +164,7 @@ class Encoder:
                         ranks[r, c] = self.pairs.lookup(ids[r, c], ids[r, c + 1])
         return out
 
-    def _merge_long(self, piece: bytes) -> tuple[int, ...]:
+    def _merge_long(self, piece: bytes) -> bytes:
         ids = self.pairs.bytes_id[np.frombuffer(piece, np.uint8)]
         if (ids < 0).any():
             raise ValueError("the ranks lack a single byte of the text")
@@ -192,7 +197,7 @@ class Encoder:
         while i < n:
             out.append(ids[i])
             i = right[i]
-        return tuple(out)
+        return np.array(out, "<u4").tobytes()
 
     def learn(self, pieces: list[str]) -> None:
         """Adds the ids of unknown distinct pieces to the memory."""
@@ -201,7 +206,7 @@ class Encoder:
             raw = p.encode("utf-8", "surrogatepass")
             i = self.whole.get(raw)
             if i is not None:
-                self.known[p] = (i,)
+                self.known[p] = i.to_bytes(4, "little")
             elif len(raw) > LONG:
                 self.known[p] = self._merge_long(raw)
             else:
@@ -214,32 +219,34 @@ class Encoder:
             while j < len(todo) and todo[j][0] <= most and (j == i or (j - i + 1) * todo[j][0] <= CELLS):
                 j += 1
             for (_, _, p), ids in zip(todo[i:j], self._merge([x[1] for x in todo[i:j]])):
-                self.known[p] = tuple(ids.tolist())
+                self.known[p] = ids
             i = j
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text (little-endian unsigned 32-bit)."""
         pieces = [self.split(t) for t in texts]
-        distinct = set().union(*pieces) if pieces else set()
-        if len(self.known) + len(distinct) > REMEMBERED:
-            self.known = {}
-        self.learn([p for p in distinct if p not in self.known])
+        distinct = set().union(*pieces)
         known = self.known
-        return [[i for p in row for i in known[p]] for row in pieces]
+        if len(known) + len(distinct) > REMEMBERED:
+            known = self.known = {p: known[p] for p in distinct if p in known}
+        self.learn([p for p in distinct if p not in known])
+        return [np.frombuffer(b"".join([known[p] for p in row]), "<u4") for row in pieces]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of the ids' tokens, one after another."""
+        size = self._token_size[ids]
+        at = np.cumsum(size) - size
+        return self._token_bytes[np.repeat(self._token_at[ids] - at, size) + np.arange(int(size.sum()))].tobytes()
 
 
-def batches_of(texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``chars`` characters."""
-    i = 0
-    while i < len(texts):
-        j, n = i, 0
-        while j < len(texts) and (j == i or n + len(texts[j]) <= chars):
-            n += len(texts[j])
-            j += 1
-        yield i, j
-        i = j
+def parts_of(text: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``size`` bytes of text (one longer text alone)."""
+    at = 0
+    for first, _, offs in text_chunks(text, size):
+        yield first, first + len(offs) - 1
+        at = first + len(offs) - 1
+    if at < len(text):
+        yield at, len(text)
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False,
@@ -252,6 +259,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool
     Null text encodes as the empty text (no ids).  Rows are independent, so
     repeated rows repeat their results; nothing is shuffled."""
     spark = docs.sparkSession
+    short_batches(spark)
     tokens = load_ranks(ranks_path)
     shared = spark.sparkContext.broadcast((tokens, pattern, PairTable(tokens)))
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
@@ -259,22 +267,21 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*shared.value)
+        names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            counts, hashes, decoded, kept = [], [], [], []
-            for i, j in batches_of(texts):
-                for ids in encoder.encode_batch(texts[i:j]):
-                    counts.append(len(ids))
-                    hashes.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
-                    decoded.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
-                    if with_ids:
-                        kept.append(np.array(ids, np.int32))
-            cols = [batch.column(k) for k in range(len(keep))]
-            cols += [pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
-            names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                cols.append(pa.array(kept, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(cols, names)
+            text = batch.column(len(keep))
+            # A part of the batch at a time, so that little is held besides the batch itself.
+            for i, j in parts_of(text):
+                texts = [t or "" for t in text.slice(i, j - i).to_pylist()]
+                ids = encoder.encode_batch(texts)
+                counts = [len(x) for x in ids]
+                cols = [batch.column(k).slice(i, j - i) for k in range(len(keep))]
+                cols += [pa.array(counts, pa.int64()),
+                         pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                         pa.array([hashlib.sha256(encoder.decode(x)).hexdigest() for x in ids], pa.string())]
+                if with_ids:
+                    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).view(np.int32))))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.select(*[docs[c] for c in keep], docs["text"]).mapInArrow(run, schema)

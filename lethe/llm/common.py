@@ -23,14 +23,25 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Stands for a null id where ids are compared.
 NULL_ID = -(1 << 63)
+# Rows of texts sent to Python at once, at most.
+BATCH_ROWS = 1000
 # Text handled at once by the numpy code, in bytes (one longer text is handled alone).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS rows, if they are
+    larger: rows hold whole texts, and a task holds some batches at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def lower_ascii(c):
     """A-Z lower-cased, all else unchanged."""
     return F.translate(c, UPPER, LOWER)

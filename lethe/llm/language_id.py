@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lethe.llm.common import short_batches
+
 # Documents of a language that the weights are trained on, at most; and of all languages.
 SAMPLE, SAMPLE_ALL = 600, 20_000
 # Longest text among them, in characters.
@@ -173,6 +175,7 @@ def _document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """The model from text and lang of documents that are not held out and have a lang."""
+    short_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("bigint").alias("id"), docs["text"].alias("text"),
                        docs["lang"].cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & ~held_out(F.col("id")))
@@ -212,6 +215,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     Null texts and those without a letter are ``und`` with score 0, as are
     all texts if no language could be learnt.  Rows are independent."""
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

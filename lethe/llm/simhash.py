@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lethe.llm.common import (BLANK_BYTE, LOWER_BYTE, NULL_ID, fresh, joined_words, mix, staged, text_chunks,
-                              word_spans)
+from lethe.llm.common import (BLANK_BYTE, LOWER_BYTE, NULL_ID, fresh, joined_words, mix, short_batches, staged,
+                              text_chunks, word_spans)
 from lethe.llm.components import connected
 
 SEED = 42
@@ -84,6 +84,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fp = fingerprint_texts(b.column(2), shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["doc_id", "tid", "fp"])
 
+    short_batches(docs.sparkSession)
     return (docs.select(docs["doc_id"].cast("bigint"), F.xxhash64(docs["text"]), docs["text"])
             .mapInArrow(run, "doc_id bigint, tid bigint, fp bigint"))
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lethe.llm.bloom import Twice, twice_seen
-from lethe.llm.common import (BLANK_BYTE, NULL_ID, fresh, joined_words, mix, span_hashes, staged, text_chunks,
+from lethe.llm.common import (BLANK_BYTE, NULL_ID, fresh, joined_words, mix, short_batches, span_hashes, staged, text_chunks,
                               word_spans)
 from lethe.llm.fm_index import FMIndex
 
@@ -94,6 +94,7 @@ class Windows:
 def _candidates(docs: DataFrame, window: int) -> DataFrame:
     """(id, tid, pos, anchor, segment): runs of windows that may repeat, of one anchor each."""
     sc = docs.sparkSession.sparkContext
+    short_batches(docs.sparkSession)
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def anchors(b: pa.RecordBatch) -> np.ndarray:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lethe.llm.common import BLANK_BYTE, LOWER_BYTE, byte_table, span_hashes, text_chunks, word_spans
+from lethe.llm.common import BLANK_BYTE, LOWER_BYTE, byte_table, short_batches, span_hashes, text_chunks, word_spans
 
 # Labelled documents of either label that the machine learns from, at most,
 # and the longest text among them, in characters.
@@ -425,6 +425,7 @@ def score_toxicity(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame
     Null or empty text scores as one empty sentence.  Rows are independent,
     so repeated rows repeat their results.  If only one label could be
     learnt, every score is that label; without labels it is 0."""
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c.lower() not in ((prefix + "score").lower(), (prefix + "predicted").lower())]
     at = docs.columns.index("text")
