@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lethe.llm.common import LOWER_BYTE, byte_table, fresh, span_hashes, text_chunks, word_spans
+from lethe.llm.common import LOWER_BYTE, byte_table, fresh, short_batches, span_hashes, text_chunks, word_spans
 from lethe.llm.fm_index import FMIndex
 
 BLOCK_BYTES = 64 << 20
 # Document text per shard.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 # A word is a run of bytes of [0-9a-z] (after lower-casing A-Z) and of non-ASCII characters.
 WORD_BYTE = byte_table(lambda b: b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A)
 
@@ -139,76 +139,85 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     a shorter item; items without words are ignored.  Null text has no words.
     Repeated item_ids count once; a null item_id counts as the item "null".
     Rows are independent, so repeated rows repeat their results."""
+    new = ("n_words", "n_hit", "items", "spans")
+    out, own = _marked(docs, benchmark, window, cut=False)
+    return out.select(*[out[c] for c in docs.columns if c.lower() not in {(prefix + x).lower() for x in new}],
+                      *[out[own][x].alias(prefix + x) for x in new])
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """``docs``, same columns, with the contaminated spans cut out of ``text``."""
+    out, _ = _marked(docs, benchmark, window, cut=True)
+    return out.select(*docs.columns)
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, window: int, cut: bool) -> tuple[DataFrame, str]:
+    """``docs`` with its marks as one column, and that column's name; with
+    ``cut`` the spans are cut out of the text in the same pass as the last
+    block's, so a task needs one Python worker for a block."""
     sc = docs.sparkSession.sparkContext
-    fields = [c for c in docs.columns]
+    short_batches(docs.sparkSession)
     own, = fresh(docs, "__marks")
-    marks = T.StructType([T.StructField(own, _MARKS)])
+    schema = T.StructType([*docs.schema.fields, T.StructField(own, _MARKS)])
     out = docs.select("*", F.lit(None).cast(_MARKS).alias(own))
-    at = fields.index("text")
+    at = docs.columns.index("text")
     blocks = _blocks(benchmark)
     block = next(blocks, [])
     while True:
+        following = next(blocks, None)
         shared = sc.broadcast((Phrases(block, window), ["null" if i is None else str(i) for i, _ in block]))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, cutting=cut and following is None):
             phrases, names = shared.value
             for batch in batches:
                 before = batch.column(batch.num_columns - 1).to_pylist()
                 made = []
                 for first, data, offs in text_chunks(batch.column(at), SHARD_BYTES):
-                    starts, text, pairs, spans = phrases.in_shard(data, offs)
-                    each = np.arange(len(offs))
-                    word_at, item_at, span_at = (np.searchsorted(x, each).tolist()
-                                                 for x in (text, pairs[:, 0], spans[:, 0]))
-                    for d in range(len(offs) - 1):
-                        items, hits = set(), []
-                        if item_at[d] < item_at[d + 1]:
-                            items = {names[k] for k in pairs[item_at[d]:item_at[d + 1], 1].tolist()}
-                            hits = spans[span_at[d]:span_at[d + 1], 1:].tolist()
-                        if (old := before[first + d]) is not None:
-                            items, hits = items.union(old["items"]), _merged(old["spans"] + hits)
-                        n_hit = 0
-                        if hits:
-                            own = starts[word_at[d]:word_at[d + 1]] - offs[d]
-                            n_hit = int(np.diff(np.searchsorted(own, np.array(hits)), axis=1).sum())
-                        made.append({"n_words": word_at[d + 1] - word_at[d], "n_hit": n_hit,
-                                     "items": sorted(items), "spans": hits})
+                    made += _marks_of(phrases, names, data, offs, before[first:first + len(offs) - 1])
                 cols = [batch.column(i) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(made, batch.schema.field(batch.num_columns - 1).type)],
-                                                 names=batch.schema.names)
-
-        out = out.mapInArrow(run, T.StructType([*docs.schema.fields, *marks.fields]))
-        block = next(blocks, None)
-        if block is None:
-            break
-    new = ("n_words", "n_hit", "items", "spans")
-    return out.select(*[out[c] for c in fields if c.lower() not in {(prefix + x).lower() for x in new}],
-                      *[out[own][x].alias(prefix + x) for x in new])
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """``docs``, same columns, with the contaminated spans cut out of ``text``."""
-    fields = list(docs.columns)
-    prefix = "__leak_"
-    while any(c.lower().startswith(prefix) for c in fields):
-        prefix += "_"
-    marked = mark_contamination(docs, benchmark, window, prefix)
-    at, spans_at = fields.index("text"), len(fields) + 3
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for i, spans in enumerate(batch.column(spans_at).to_pylist()):
-                if spans:
-                    raw, last, kept = texts[i].encode(), 0, []
-                    for a, b in spans:
-                        kept.append(raw[last:a])
-                        last = b
-                    texts[i] = b"".join([*kept, raw[last:]]).decode()
-            cols = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(fields))]
-            yield pa.RecordBatch.from_arrays(cols, fields)
-
-    return marked.mapInArrow(cut, docs.schema)
+                if cutting:
+                    cols[at] = _without(cols[at], [m["spans"] for m in made])
+                yield pa.RecordBatch.from_arrays(
+                    [*cols, pa.array(made, batch.schema.field(batch.num_columns - 1).type)], names=batch.schema.names)
+
+        out = out.mapInArrow(run, schema)
+        if following is None:
+            return out, own
+        block = following
+
+
+def _marks_of(phrases: Phrases, names: list[str], data: np.ndarray, offs: np.ndarray, before: list) -> list[dict]:
+    """The marks of a shard's documents, joined to those of earlier blocks."""
+    starts, text, pairs, spans = phrases.in_shard(data, offs)
+    each = np.arange(len(offs))
+    word_at, item_at, span_at = (np.searchsorted(x, each).tolist() for x in (text, pairs[:, 0], spans[:, 0]))
+    made = []
+    for d in range(len(offs) - 1):
+        items, hits = set(), []
+        if item_at[d] < item_at[d + 1]:
+            items = {names[k] for k in pairs[item_at[d]:item_at[d + 1], 1].tolist()}
+            hits = spans[span_at[d]:span_at[d + 1], 1:].tolist()
+        if (old := before[d]) is not None:
+            items, hits = items.union(old["items"]), _merged(old["spans"] + hits)
+        n_hit = 0
+        if hits:
+            own = starts[word_at[d]:word_at[d + 1]] - offs[d]
+            n_hit = int(np.diff(np.searchsorted(own, np.array(hits)), axis=1).sum())
+        made.append({"n_words": word_at[d + 1] - word_at[d], "n_hit": n_hit, "items": sorted(items), "spans": hits})
+    return made
+
+
+def _without(texts: pa.Array, spans: list[list[list[int]]]) -> pa.Array:
+    """The texts without their byte spans."""
+    out = texts.to_pylist()
+    for i, cuts in enumerate(spans):
+        if cuts:
+            raw, last, kept = out[i].encode(), 0, []
+            for a, b in cuts:
+                kept.append(raw[last:a])
+                last = b
+            out[i] = b"".join([*kept, raw[last:]]).decode()
+    return pa.array(out, pa.string())
 
 
 def _merged(spans: list[list[int]]) -> list[list[int]]:
