@@ -18,7 +18,7 @@ from pyspark.sql.types import BooleanType
 
 from lethe.functions.arrays import let
 from lethe.llm.bloom import Twice, twice_seen
-from lethe.llm.common import BLANKS, NULL_ID, fresh, lower_ascii, staged
+from lethe.llm.common import BLANKS, NULL_ID, fresh, lower_ascii, short_batches, staged
 
 
 def line_key(line):
@@ -43,6 +43,7 @@ def _suspected(shared):
 def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """(id, keys): for each document the keys of the lines it loses."""
     spark = docs.sparkSession
+    short_batches(spark)
     size = docs.select(F.sum(F.octet_length(docs["text"]))).first()[0] or 0
     keys = _keys(docs, min_chars)
 
