@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lethe.llm.common import lower_ascii
+from lethe.llm.common import lower_ascii, staged
 
 # Characters of the longest context.
 ORDER = 4
@@ -133,18 +133,20 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = pages.select(pages["page_id"], host.alias("host"), path.alias("path"), url.alias("url"))
     rows = rows.withColumn("k", rule_of(F.col("host"), F.col("path"), rules))
     verdicts, names = _of_rule([r.verdict for r in rules]), _of_rule([r.name for r in rules])
-    # Each distinct URL once; what follows :// is what the models read.
-    urls = rows.select("url", "k").distinct().withColumn("told", verdicts)
+    # Each distinct URL once, dealt out by count, as each becomes many strings;
+    # what follows :// is what the models read.
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    urls = rows.select("url", "k").distinct().repartition(n, "url").withColumn("told", verdicts)
     urls = urls.withColumn("held", F.crc32(F.col("url").cast("binary")) % HELD == 0)
     body = F.regexp_replace("url", r"(?s)^.*?://", "")
     cut_up = urls.select("url", "k", "told", "held", F.explode(_strings(lower_ascii(body))).alias("g"))
     counted = F.col("told").isNotNull() & ~F.col("held")
-    strings = cut_up.groupBy("g").agg(
+    # Both are read several times below.
+    strings = staged(cut_up.groupBy("g").agg(
         F.sum(F.when(counted & (F.col("told") == "allow"), 1).otherwise(0)).alias("a"),
-        F.sum(F.when(counted & (F.col("told") == "block"), 1).otherwise(0)).alias("b"))
+        F.sum(F.when(counted & (F.col("told") == "block"), 1).otherwise(0)).alias("b")))
     judged = cut_up.where("k is null or held")
-    scores = (judged.join(_models(strings), "g").groupBy("url", "told")
-              .agg(F.avg("r").alias("score")))
+    scores = staged(judged.join(_models(strings), "g").groupBy("url", "told").agg(F.avg("r").alias("score")))
     # At most 2001 bins whatever the number of URLs.
     bins = (scores.where(F.col("told").isNotNull())
             .groupBy(F.round(F.greatest(F.lit(-10.0), F.least(F.lit(10.0), F.col("score"))), 2).alias("bin"))
