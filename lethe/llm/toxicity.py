@@ -42,7 +42,8 @@ SIZES = (4, 5, 6, 7)
 # Toxic sentences and documents below this quantile of the clean documents' worst sentences are left out of a fit.
 USUAL = 0.95
 # A clean document rejected costs as much as so many toxic ones passed, share by share.
-FALSE_COST = 3.0
+FALSE_COST = 6.0
+PLATEAU = 0.02
 # Words longer than PIECE bytes are compared by overlapping pieces of that size.
 PIECE = 24
 SENTENCE_END = byte_table(lambda b: b in b".!?")
@@ -371,14 +372,16 @@ def train(toxic: list[str], clean: list[str], share: float | None = None) -> Mod
 
 
 def best_cut(margin: np.ndarray, label: np.ndarray) -> float:
-    """The margin with the largest share of toxic documents above it less
-    FALSE_COST times the share of clean ones; it scores one half."""
+    """The margin that scores one half: the middle of those whose share of
+    toxic documents above them, less FALSE_COST times that of clean ones, is
+    within PLATEAU of the best."""
     order = np.argsort(-margin, kind="stable")
     m, y = margin[order], label[order]
     gain = np.cumsum(y) / y.sum() - FALSE_COST * np.cumsum(1 - y) / (1 - y).sum()
     last = np.concatenate([m[1:] < m[:-1], [True]])
-    k = int(np.argmax(np.where(last, gain, -np.inf)))
-    return float((m[k] + (m[k + 1] if k + 1 < len(m) else m[k] - 1)) / 2)
+    below = np.concatenate([m[1:], [m[-1] - 1]])
+    good = last & (gain >= gain[last].max() - PLATEAU)
+    return float((m[good].max() + below[good].min()) / 2)
 
 
 def _worst(of: np.ndarray, value: np.ndarray, texts: int) -> np.ndarray:
