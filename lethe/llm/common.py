@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lethe.session import checkpoint_dir
+from lethe.session import checkpoint_dir, ship_package
 
 # The characters of [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -34,8 +34,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to BATCH_ROWS rows, if they are
-    larger: rows hold whole texts, and a task holds some batches at a time."""
+    """For operators that run Python over texts: the package goes to the
+    workers, and the session's Arrow batches are lowered to BATCH_ROWS rows,
+    if they are larger (rows hold whole texts, and a task holds some batches
+    at a time)."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > BATCH_ROWS:
