@@ -4,14 +4,17 @@ Nyström landmarks.
 The kernel of two strings sums over their common subsequences of ``ORDER``
 characters, each weighted by ``DECAY`` to the length that it spans in both,
 so a gap or an inserted character weakens a match and does not end it.
-Landmarks are the short strings that set the toxic documents of the
-training sample apart.  A sentence's
+Landmarks are strings that set the toxic documents of the training sample
+apart, by being there or by how often they are; they are chosen until they
+cover these documents, so that small languages get theirs.  A sentence's
 similarity to a landmark is that of its best word; the Nyström map turns the
 similarities into features of a linear machine.  It is trained on sentences:
 all of a clean document's are clean, and of a toxic document those are toxic
 that the machine finds worse than nearly all clean documents (chosen anew in
-each round, first by whole documents).  A document scores as its worst sentence, on a logistic scale fitted to documents that
-the machine has not seen, with one half at the best cut.
+each round, first by whole documents).  A second linear machine judges the
+document, from its worst sentence and from how many of its words, and what
+share of them, match each landmark.  Its margin is put on a logistic scale fitted to documents that
+the machines have not seen, with one half at the best cut.
 
 Training reads at most ``TRAIN_DOCS`` labelled documents of either label,
 picked by a hash of their ids, and runs on the driver; its result is a few
@@ -36,9 +39,16 @@ TRAIN_DOCS = 2000
 TRAIN_CHARS = 100_000
 ORDER = 4
 DECAY = 0.5
-LANDMARKS = 28
-# Landmarks have 4 to 7 bytes.
-SIZES = (4, 5, 6, 7)
+# Landmarks, at most; fewer if fewer tell toxic documents from clean ones.
+LANDMARKS = 96
+# Bytes of landmarks.
+SIZES = (4, 5, 6, 7, 8, 9, 10, 11, 12)
+# A landmark is chosen by the documents that have it at least so many times, for the best of 1 to TIMES.
+TIMES = 4
+# Strings that landmarks are chosen from, at most.
+CANDIDATES = 10_000
+# A word matches a landmark from these shares of the landmark's kernel with itself on: it holds it, or most of it.
+LEVELS = (0.95, 0.5)
 # Toxic sentences and documents below this quantile of the clean documents' worst sentences are left out of a fit.
 USUAL = 0.95
 # A clean document rejected costs as much as so many toxic ones passed, share by share.
@@ -177,8 +187,9 @@ def sentence_words(data: np.ndarray, offs: np.ndarray):
     return starts, ends, sentence, of_text
 
 
-def sentence_rows(landmarks: Landmarks, column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Chunks (first text, texts, text of each sentence with a similarity above 0, its similarities)."""
+def sentence_rows(landmarks: Landmarks, column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Chunks (first text, texts, text of each sentence with a similarity above 0, its similarities,
+    features of the texts)."""
     m = len(landmarks.strings)
     for first, raw, offs in text_chunks(column):
         data = LOWER_BYTE[raw]
@@ -189,100 +200,155 @@ def sentence_rows(landmarks: Landmarks, column) -> Iterator[tuple[int, int, np.n
         row_of[at] = np.arange(len(at))
         row = row_of[which.ravel()]
         some = np.flatnonzero(row >= 0)
+        n = len(offs) - 1
+        counts = np.zeros((n, len(LEVELS), m), np.float32)
+        for k, level in enumerate(LEVELS):
+            w, mark = np.nonzero(rows >= level * landmarks.scale)
+            # Occurrences: the words' numbers among the distinct ones that match.
+            held = np.isin(row, w)
+            text, number = of_text[sentence[held]], row[held]
+            begin, end = np.searchsorted(w, number), np.searchsorted(w, number, "right")
+            size = end - begin
+            at_mark = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            counts[:, k] = np.bincount(np.repeat(text, size) * m + mark[at_mark], minlength=n * m).reshape(n, m)
+        words = np.bincount(of_text[sentence], minlength=n) if len(sentence) else np.zeros(n)
+        told = document_features(counts, words)
         if len(some):
             s = sentence[some]  # ascending
             begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
             best = np.maximum.reduceat(rows[row[some]], begin, axis=0)
-            yield first, len(offs) - 1, of_text[s[begin]], best
+            yield first, n, of_text[s[begin]], best, told
         else:
-            yield first, len(offs) - 1, np.zeros(0, np.int64), np.zeros((0, m), np.float32)
+            yield first, n, np.zeros(0, np.int64), np.zeros((0, m), np.float32), told
+
+
+def document_features(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Of texts' matching words (text, level, landmark): how many, and what share of all words, both to 1."""
+    many = np.log2(1 + np.minimum(counts, 7)) / 3
+    share = np.minimum(1, 50 * counts / np.maximum(words, 50)[:, None, None])
+    return np.concatenate([many, share], 1).reshape(len(counts), -1)
 
 
 @dataclass
 class Model:
-    """Score of a document: logistic(slope * worst margin + shift)."""
+    """Score of a document: logistic(slope * margin + shift)."""
 
     landmarks: Landmarks | None
     weights: np.ndarray  # per landmark similarity, the Nyström map included
     bias: float
+    whole: np.ndarray  # of the document: worst sentence's margin, document features, bias
     slope: float
     shift: float
     constant: float = 0.0  # without both labels to learn from
 
     def margins(self, column) -> np.ndarray:
-        """The worst sentence's margin of each text; every text has an empty sentence."""
-        out = np.full(len(column), self.bias)
-        for first, _, text, rows in sentence_rows(self.landmarks, column):
-            np.maximum.at(out, first + text, rows @ self.weights + self.bias)
+        """The margin of each text."""
+        out = np.zeros(len(column))
+        for first, n, x in self.rows(column):
+            out[first:first + n] = x @ self.whole[:-1] + self.whole[-1]
         return out
 
+    def rows(self, column) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Chunks (first text, texts, what the document's machine reads); every text has an empty sentence."""
+        for first, n, text, rows, told in sentence_rows(self.landmarks, column):
+            worst = np.full(n, self.bias)
+            np.maximum.at(worst, text, rows @ self.weights + self.bias)
+            yield first, n, np.concatenate([np.clip(worst, -3, 3)[:, None], told], 1)
+
     def scores(self, column) -> np.ndarray:
         if self.landmarks is None:
             return np.full(len(column), self.constant)
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(column) + self.shift, -40, 40)))
 
 
-def _grams(raw: bytes) -> np.ndarray:
-    """The distinct letter strings of SIZES bytes in a text's words (their start counts as a letter), packed."""
+def _grams(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct strings of n letters in a text's words (their start counts as a letter): hashes, counts to
+    TIMES, first places in the bytes that come last."""
     data = LOWER_BYTE[np.frombuffer(b" " + raw, np.uint8)]
     blank = BLANK_BYTE[data]
     data = np.where(blank, np.uint8(START[0]), data)
+    if len(data) < n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), data
     letter = np.concatenate([[0], np.cumsum(LETTER_BYTE[data])])
+    inner = letter[n:] - letter[1:len(letter) - n + 1] == n - 1
+    at = np.flatnonzero(inner & (LETTER_BYTE[data[:len(data) - n + 1]] | blank[:len(data) - n + 1]))
+    h, first, count = np.unique(span_hashes(data, at, at + n), return_index=True, return_counts=True)
+    return h, np.minimum(count, TIMES), at[first], data
+
+
+def _candidates(toxic: list[bytes], clean: list[bytes], n: int) -> list[tuple[float, float, bytes, np.ndarray]]:
+    """(evidence, log odds, string, toxic texts with it) of the strings of n bytes that are more frequent in toxic texts."""
+    found = [_grams(x, n) for x in toxic]
+    h = np.concatenate([x[0] for x in found])
+    if not len(h):
+        return []
+    times, text = np.concatenate([x[1] for x in found]), np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+    place = np.concatenate([x[2] for x in found])
+    order = np.argsort(h, kind="stable")
+    h, times, text, place = h[order], times[order], text[order], place[order]
+    begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    end = np.append(begin[1:], len(h))
+    often = end - begin >= 3
+    begin, end = begin[often], end[often]
+    if not len(begin):
+        return []
+    names = h[begin]
+    which = np.repeat(np.arange(len(begin)), end - begin)
+    inside = np.repeat(begin - (np.cumsum(end - begin) - (end - begin)), end - begin) + np.arange(len(which))
+    df, other = np.zeros((TIMES, len(names))), np.zeros((TIMES, len(names)))
+    for k in range(TIMES):
+        df[k] = np.bincount(which[times[inside] > k], minlength=len(names))
+    for x in clean:
+        own, count, _, _ = _grams(x, n)
+        at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+        hit = names[at] == own
+        for k in range(TIMES):
+            other[k, at[hit & (count > k)]] += 1
+    # An odds ratio with add-one counts.
+    odds = np.log((df + 1) / (len(toxic) + 2) / ((other + 1) / (len(clean) + 2)))
+    value = np.where(df >= 3, df * odds, -1)
+    best = value.argmax(0)
+    value, odds = value.max(0), odds[best, np.arange(len(names))]
     out = []
-    for n in SIZES:
-        if len(data) >= n:
-            inner = letter[n:] - letter[1:len(letter) - n + 1] == n - 1
-            whole = inner & (LETTER_BYTE[data[:len(data) - n + 1]] | blank[:len(data) - n + 1])
-            packed = np.zeros(len(data) - n + 1, np.uint64)
-            for k in range(n):
-                packed = packed << np.uint64(8) | data[k:len(data) - n + 1 + k]
-            out.append(np.unique(packed[whole]) | np.uint64(n << 56))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def _unpack(x: int) -> bytes:
-    return (x & ((1 << 56) - 1)).to_bytes(x >> 56, "big")
+    for i in np.argsort(-value, kind="stable")[:CANDIDATES]:
+        if value[i] <= 0:
+            break
+        p = slice(begin[i], end[i])
+        data = found[text[p.start]][3]
+        out.append((float(value[i]), float(odds[i]), data[place[p.start]:place[p.start] + n].tobytes(), text[p][times[p] > best[i]]))
+    return out
 
 
 def choose_landmarks(toxic: list[bytes], clean: list[bytes]) -> list[bytes]:
-    """Strings far more frequent in toxic texts than in clean ones, none
-    sharing four bytes with a better one or found in its texts only."""
-    t, c = [_grams(x) for x in toxic], [_grams(x) for x in clean]
-    grams, df = np.unique(np.concatenate(t), return_counts=True)
-    other, clean_df = np.unique(np.concatenate([*c, np.zeros(0, np.uint64)]), return_counts=True)
-    at = np.minimum(np.searchsorted(other, grams), max(len(other) - 1, 0))
-    n_clean = np.where(other[at] == grams, clean_df[at], 0) if len(other) else np.zeros(len(grams), np.int64)
-    # An odds ratio with add-one counts; of equals the longer string.
-    odds = (df + 1) / (len(t) + 2) / ((n_clean + 1) / (len(c) + 2))
-    size = (grams >> np.uint64(56)).astype(float)
-    good = (df >= max(3, len(t) // 100)) & (odds >= min(10, 0.5 * len(c)))
-    if not good.any():
-        good = odds >= np.sort(odds)[-min(200, len(odds)):].min() if len(odds) else good
-    order = np.flatnonzero(good)
-    order = order[np.argsort(-(df * np.log(odds) * (1 + 0.01 * size))[order], kind="stable")]
-    order = order[:4000]
-    holds = np.zeros((len(order), len(t)), bool)  # which texts hold each
-    by_gram = np.argsort(grams[order])
-    for k, x in enumerate(t):
-        at = np.minimum(np.searchsorted(grams[order], x, sorter=by_gram), max(len(order) - 1, 0))
-        hit = by_gram[at] if len(order) else at
-        holds[hit[grams[order][hit] == x] if len(order) else hit[:0], k] = True
+    """Strings that far more toxic texts than clean ones have, or have so many times.
+
+    Each is the best for the toxic texts that the ones before it leave: a text counts half after every landmark in it.
+    Strings in the same texts as another are left out, longer forms of one that tell no more than it, and what is left
+    when the rest tells no more than chance would among so many strings."""
+    found = [x for n in SIZES for x in _candidates(toxic, clean, n)]
+    found.sort(key=lambda x: (-x[0], -len(x[2]), x[2]))
+    found = found[:CANDIDATES]
+    least = np.log(max(2, len(found)))
+    holds = np.zeros((len(found), len(toxic)), np.float32)
+    for k, x in enumerate(found):
+        holds[k, x[3]] = 1
+    size = holds.sum(1)
+    # Of equals the longer string.
+    worth = np.array([x[1] * (1 + 0.01 * len(x[2])) for x in found], np.float32)
+    left, open_ = np.ones(len(toxic), np.float32), np.ones(len(found), bool)
     chosen: list[bytes] = []
-    taken: set[bytes] = set()
-    texts: list[np.ndarray] = []
-    for k, i in enumerate(order):
-        x = _unpack(int(grams[i]))
-        parts = {x[k:k + 4] for k in range(len(x) - 3)}
-        own = holds[k]
-        if not parts & taken and all((own & z).sum() <= 0.9 * own.sum() for z in texts):
-            chosen.append(x)
-            taken |= parts
-            texts.append(own)
-            if len(chosen) == LANDMARKS:
-                break
-    if not chosen:
-        return [b"none"]
-    return chosen
+    while len(chosen) < LANDMARKS and open_.any():
+        gain = np.where(open_, (holds @ left) * worth, -1)
+        k = int(np.argmax(gain))
+        if gain[k] < least and chosen:
+            break
+        chosen.append(found[k][2])
+        left[holds[k] > 0] *= 0.5
+        both = holds @ holds[k]
+        open_ &= both <= 0.7 * (size + size[k] - both)
+        open_ &= np.array([found[k][2].lstrip(START) not in x[2] or x[1] > found[k][1] + 1 for x in found])
+        open_[k] = False
+    return chosen or [b"none"]
 
 
 def fit_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1.0) -> np.ndarray:
@@ -322,7 +388,7 @@ def fit_logistic(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> t
 def train(toxic: list[str], clean: list[str], share: float | None = None) -> Model:
     """``share``: how many of all labelled documents are toxic."""
     if not toxic or not clean:
-        return Model(None, np.zeros(0), 0, 0, 0, constant=1.0 if toxic else 0.0)
+        return Model(None, np.zeros(0), 0, np.zeros(0), 0, 0, constant=1.0 if toxic else 0.0)
     cut_t, cut_c = -(-3 * len(toxic) // 4), -(-3 * len(clean) // 4)
     strings = choose_landmarks([t.encode() for t in toxic[:cut_t]], [t.encode() for t in clean[:cut_c]])
     marks = Landmarks(strings)
@@ -332,7 +398,7 @@ def train(toxic: list[str], clean: list[str], share: float | None = None) -> Mod
 
     def sentences(texts):
         of, rows = [], []
-        for first, _, text, x in sentence_rows(marks, pa.array(texts, pa.string())):
+        for first, _, text, x, _ in sentence_rows(marks, pa.array(texts, pa.string())):
             of.append(first + text)
             rows.append(x)
         return np.concatenate(of), np.concatenate(rows)
@@ -353,14 +419,17 @@ def train(toxic: list[str], clean: list[str], share: float | None = None) -> Mod
         neg = np.concatenate([neg, np.zeros((1, len(strings)))])  # the empty sentence
         x, y = np.concatenate([pos, neg]), np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
         if not len(pos):
-            return Model(None, np.zeros(0), 0, 0, 0, constant=float(share or 0))
+            return Model(None, np.zeros(0), 0, np.zeros(0), 0, 0, constant=float(share or 0))
         w = fit_machine(x, y, np.where(y > 0, len(x) / 2 / len(pos), len(x) / 2 / len(neg)))
         worst = f_t @ w[:-1]
         # A toxic document's sentences that are no worse than the worst of clean documents are left out.
         told = worst > np.quantile(_worst(of_c, f_c @ w[:-1], cut_c), USUAL)
         pos = f_t[told] if told.sum() > 5 else f_t
         neg = f_c
-    model = Model(marks, to_features @ w[:-1], float(w[-1]), 1.0, 0.0)
+    model = Model(marks, to_features @ w[:-1], float(w[-1]), np.zeros(0), 1.0, 0.0)
+    x = np.concatenate([x for _, _, x in model.rows(pa.array(toxic[:cut_t] + clean[:cut_c], pa.string()))])
+    y = np.where(np.arange(len(x)) < cut_t, 1.0, -1.0)
+    model.whole = fit_machine(x, y, np.where(y > 0, len(x) / 2 / cut_t, len(x) / 2 / cut_c))
     rest_t, rest_c = toxic[cut_t:] or toxic, clean[cut_c:] or clean
     margin = model.margins(pa.array(rest_t + rest_c, pa.string()))
     label = np.concatenate([np.ones(len(rest_t)), np.zeros(len(rest_c))])
@@ -411,7 +480,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
         part = part.where(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(order, "doc_id").limit(most)
         picked = part if picked is None else picked.union(part)
     if picked is None:
-        return Model(None, np.zeros(0), 0, 0, 0)
+        return Model(None, np.zeros(0), 0, np.zeros(0), 0, 0)
     text = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     rows = (text.where(F.char_length("text") <= TRAIN_CHARS)
             .join(F.broadcast(picked), "doc_id")  # at most 2 * most rows

@@ -105,3 +105,26 @@ def test_edges(spark):
     got = T.score_toxicity(docs, model).collect()
     assert len(got) == 5 and all(r.predicted == 0 for r in got)
     assert T.score_toxicity(docs.limit(0), model).collect() == []
+
+
+def test_words_that_are_toxic_by_repetition():
+    """Toxic texts of a small language hold a long stem three times or more, many of its clean ones hold it once."""
+    r = random.Random(5)
+    clean, toxic = {"aa": [], "bb": []}, {"aa": [], "bb": []}
+    syllables = {"aa": ["ba", "ti", "on", "er", "lu", "mo"], "bb": ["ach", "lich", "keit", "ver", "ung", "pf"]}
+    for i in range(1600):
+        lang = "bb" if i % 4 == 0 else "aa"
+        w = ["".join(r.choice(syllables[lang]) for _ in range(r.randint(1, 4))) for _ in range(r.randint(60, 200))]
+        bad = r.random() < 0.2
+        if lang == "aa" and bad:
+            w[r.randrange(len(w))] = r.choice(["grobnik", "vlaster", "zumpel"])
+        for _ in range(r.randint(3, 6) if bad else r.random() < 0.3) if lang == "bb" else ():
+            w[r.randrange(len(w))] = "achlichkeitung" + r.choice(syllables["bb"])
+        (toxic if bad else clean)[lang].append(" ".join(w))
+    cut = {k: len(v) // 2 for k, v in toxic.items()}
+    known, good = [x for k in toxic for x in toxic[k][:cut[k]]], [x for v in clean.values() for x in v[:len(v) // 2]]
+    r.shuffle(known), r.shuffle(good)
+    model = T.train(known, good)
+    for k in toxic:
+        found, false = model.scores(pa.array(toxic[k][cut[k]:])) >= 0.5, model.scores(pa.array(clean[k][len(clean[k]) // 2:])) >= 0.5
+        assert found.mean() > 0.8 and false.mean() < 0.05, (k, found.mean(), false.mean())
