@@ -5,7 +5,8 @@ Texts are lower-cased, all but letters become blanks, and their 1- to
 ``LONGEST``-grams are hashed to ``DIMENSIONS`` features.  Document
 frequencies come from all documents that may be learnt from.  The weights
 are trained with elastic-net penalties (most become zero) on at most
-``SAMPLE`` documents of each language, picked by a hash of doc_id; a part of
+``SAMPLE`` documents of each language (fewer of each if there are many
+languages; none is left out), picked by a hash of doc_id and text; a part of
 these, unseen, sets the temperature that makes the scores probabilities.
 """
 
@@ -21,9 +22,10 @@ from pyspark.sql import functions as F
 
 from lethe.llm.common import short_batches
 
-# Documents of a language that the weights are trained on, at most; and of all languages.
-SAMPLE, SAMPLE_ALL = 600, 20_000
-# Longest text among them, in characters.
+# Documents of a language that the weights are trained on, at most; and of all
+# languages, as long as each has LEAST.
+SAMPLE, SAMPLE_ALL, LEAST = 600, 20_000, 10
+# Of a longer text, the first characters are learnt from.
 SAMPLE_CHARS = 100_000
 DIMENSIONS = 1 << 15
 LONGEST = 3
@@ -97,12 +99,16 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray) -> Model:
-    """``rows``: (language, features, counts), in a fixed order.  Every fifth is kept for the temperature."""
+    """``rows``: (language, features, counts), in a fixed order.  Every fifth of a language is kept for the temperature."""
     languages = sorted({r[0] for r in rows})
     k = {x: i for i, x in enumerate(languages)}
     model = Model(languages, idf, np.zeros((DIMENSIONS, len(languages))), np.zeros(len(languages)))
-    held = [r for i, r in enumerate(rows) if i % 5 == 4]
-    used = [r for i, r in enumerate(rows) if i % 5 != 4] if len(rows) > 10 * len(languages) else rows
+    held, used, seen = [], [], dict.fromkeys(languages, 0)
+    for r in rows:
+        seen[r[0]] += 1
+        (held if seen[r[0]] % 5 == 0 else used).append(r)
+    if len(rows) <= 10 * len(languages):
+        used = rows
     z, n = np.zeros((DIMENSIONS + 1, len(languages))), np.zeros((DIMENSIONS + 1, len(languages)))
 
     def weights(at):
@@ -181,19 +187,26 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     rows = rows.where(F.col("lang").isNotNull() & ~held_out(F.col("id")))
     texts, df = _document_frequencies(rows.select("text"))
     idf = np.log((1 + texts) / (1 + df)) + 1
-    # The languages by size: at most as many as the sample has room for.
-    counts = [(r[0], r[1]) for r in rows.where(F.length("text") > 0).groupBy("lang").count()
-              .orderBy(F.desc("count"), "lang").limit(SAMPLE_ALL // sample).collect()]
-    order = F.xxhash64(F.coalesce("id", F.lit(0)), "text")
-    picked = None
-    for lang, n in counts:
-        share = min(1.0, 1.2 * sample / n)
-        part = (rows.where((F.col("lang") == lang) & (F.char_length("text") <= SAMPLE_CHARS) & (F.length("text") > 0)
-                           & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))))
-                .withColumn("o", order).select("o", "lang", "text").orderBy("o").limit(sample))
-        picked = part if picked is None else picked.union(part)
-    if picked is None:
+    # Every language, and the smallest hash in it, so that none is left without a row.
+    rows = rows.where(F.length("text") > 0).withColumn("o", F.xxhash64(F.coalesce("id", F.lit(0)), "text"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("o").alias("first")).collect()
+    if not counts:
         return Model([], idf, np.zeros((DIMENSIONS, 0)), np.zeros(0))
+    sample = min(sample, max(LEAST, SAMPLE_ALL // len(counts)))
+    # A share of the hash range that holds more than ``sample`` rows, then the first of them.
+    part = 1 << 30
+    shares = [(r.lang, r.first, int(part * min(1.0, (1.2 * sample + 50) / r.n))) for r in counts]
+    table = docs.sparkSession.createDataFrame(shares, "lang string, first bigint, share bigint")
+    keys = (rows.select("lang", "o").join(F.broadcast(table), "lang")  # a row per language
+            .where((F.col("o") == F.col("first")) | (F.pmod("o", F.lit(part)) < F.col("share")))
+            .select("lang", "o").distinct().collect())
+    by_lang: dict[str, list[int]] = {}
+    for r in keys:
+        by_lang.setdefault(r.lang, []).append(r.o)
+    chosen = [(lang, o) for lang, of in by_lang.items() for o in sorted(of)[:sample]]
+    table = docs.sparkSession.createDataFrame(chosen, "lang string, o bigint")
+    picked = (rows.join(F.broadcast(table), ["lang", "o"])  # two numbers a row of the sample
+              .select("o", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).dropDuplicates(["lang", "o"]))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

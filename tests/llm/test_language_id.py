@@ -68,3 +68,22 @@ def test_document_frequencies(spark):
     for _, t, _ in rows:
         want[L.features(t)[0]] += 1
     assert n == 60 and (df == want).all()
+
+
+def test_every_language_is_learnt(spark):
+    """More languages than the sample has room for at its full size; one has only texts over the bound."""
+    r = random.Random(3)
+    rows, n = [], 36
+    for i in range(n * 24):
+        k = i % n
+        own = [chr(0x4E00 + 20 * k + j) for j in range(5)]
+        t = " ".join("".join(r.choice(own) for _ in range(3)) for _ in range(20))
+        rows.append((i, t * (L.SAMPLE_CHARS // len(t) + 2) if k == 7 and i < 10 * n else t, f"l{k:02}"))
+    rows = [x for x in rows if x[2] != "l07" or len(x[1]) > L.SAMPLE_CHARS]
+    docs = frame(spark, rows)
+    model = L.learn(docs)
+    assert len(model.languages) == n
+    truth = {i: x for i, _, x in rows}
+    held = [x for x in L.identify(docs, model).collect() if x.held_out]
+    assert np.mean([x.lang_pred == truth[x.doc_id] for x in held]) > 0.95
+    assert {x.lang_pred for x in L.identify(docs, model).collect()} == set(model.languages)
