@@ -155,3 +155,38 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lethe.llm.quality_rules import apply_rules, learn_rules
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return apply_rules(docs, learn_rules(docs, read(spark, sf_dir, "labels")))
+
+
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+corpus AS (SELECT count(*) FILTER (WHERE len(ts) > 0) AS n_docs, coalesce(sum(len(ts)), 0)::BIGINT AS n_all FROM docs),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+held AS (
+  SELECT r, doc_id, n, term, count(*) AS tf
+  FROM (SELECT r, doc_id, len(ts)::BIGINT AS n, unnest(ts) AS term FROM docs)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY r, doc_id, n, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM held, corpus GROUP BY term, n_docs),
+gains AS (
+  SELECT r, doc_id, held.term,
+    w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_all))) AS gain
+  FROM held JOIN weights ON held.term = weights.term, corpus),
+scores AS (
+  SELECT item_id, r, doc_id, sum(gain)::BIGINT AS score
+  FROM wanted JOIN gains ON wanted.term = gains.term GROUP BY item_id, r, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 10"""
+
+
+@register("op11_lexical_search", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lethe.llm.lexical_search import search
+    return search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
