@@ -190,3 +190,12 @@ WHERE rank <= 10"""
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lethe.llm.lexical_search import search
     return search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@register("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lethe.llm.whitening import whiten
+    out = whiten(read(spark, sf_dir, "embeddings"), 4)
+    each = out.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("k", "whitened"))
+    return each.select("vec_id", (F.col("k") + 1).alias("component"), "n", "deviation", "whitened",
+                       F.element_at("explained", F.col("k") + 1).alias("explained"), "identity_error")
