@@ -199,3 +199,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = out.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("k", "whitened"))
     return each.select("vec_id", (F.col("k") + 1).alias("component"), "n", "deviation", "whitened",
                        F.element_at("explained", F.col("k") + 1).alias("explained"), "identity_error")
+
+
+@register("op13_fingerprints")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lethe.llm.fingerprints import compare_edited
+    return compare_edited(read(spark, sf_dir, "documents"))
