@@ -24,7 +24,7 @@ from lethe.operators import curate as C
 from lethe.operators import eval_sets as ES
 from lethe.operators import report as RP
 from lethe.operators.scoring import score_mcq, text_scores
-from lethe.operators.splits import DEFAULT_RATIOS, DEFAULT_SEED, forget_retain_split, shuffled_batches
+from lethe.operators.splits import DEFAULT_RATIOS, DEFAULT_SEED, epoch_batches, forget_retain_split
 
 
 def curate_and_split(spark: SparkSession, qa_dir: str, person_dir: str, image_dir: str, out_dir: str,
@@ -68,13 +68,12 @@ def training_batches(spark: SparkSession, profile_dir: str, image_dir: str, spli
     prof = C.with_image_file(prof, S.image_listing(spark, image_dir))
     prof = prof.join(ids.select(F.col("id").alias("ID")), "ID", "left_semi")
     flat = C.flatten_qa(prof, "strict", keep_cols=("ID", "image_path"))
-    texts = flat.select("ID", "pos", "image_path",
-                        train_prompt("question", "answer", style).alias("text"))
-    texts = texts.withColumn("row_key", F.concat_ws(":", "ID", F.col("pos").cast("string")))
-    vocab = B.vocabulary(texts)
-    tok = B.token_ids(texts, vocab, "row_key", max_length=max_length)
-    rows = texts.join(tok, "row_key")
-    batches = shuffled_batches(rows, ["row_key"], batch_size=batch_size, epochs=epochs, seed=seed)
+    texts = flat.select("ID", "pos", "image_path", train_prompt("question", "answer", style).alias("text"))
+    keys = ["ID", "pos", "image_path"]
+    # Rows are numbered in file order, so profiles that share an ID, or have none, keep rows of their own.
+    rows = B.token_ids(texts, B.vocabulary(texts), keys, max_length=max_length)
+    rows = rows.withColumn("n_tokens", F.size("input_ids"))
+    batches = epoch_batches(rows, [*keys, "input_ids"], batch_size, epochs, seed, size_col="n_tokens")
     return B.padded_batches(batches, max_length=max_length).select(
         "epoch", "batch_id", "slot", "ID", "image_path", "input_ids", "attention_mask", "labels")
 

@@ -1,24 +1,27 @@
 """Training batches as tables.
 
 Texts become word-level token ids (X18, standing in for a pretrained
-tokenizer), rows get a seeded shuffled position and a batch id (E5),
-then ids are truncated, padded to the batch maximum and masked
-(X14-X17).  All array work is row-local (higher-order functions); the
-only shuffles are the vocabulary count, its join back and the per-batch
-maximum.
+tokenizer) in their rows, rows get a seeded shuffled position and a batch id
+(E5), then ids are truncated, padded to the batch maximum and masked
+(X14-X17).  All array work is row-local; the only shuffles are the vocabulary
+count and those of E5.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lethe.functions.arrays import index_range, let
 from lethe.functions.text import py_split
-from lethe.operators.positions import ordered_positions
+from lethe.operators.positions import join_null_safe, ordered_positions
+from lethe.session import frozen, ship_package
 
 # Default maximum length, padding id and ignored label.
 MAX_LENGTH = 384
@@ -35,9 +38,9 @@ ASSISTANT_ROLE_ID = 78191
 # Ids below this value are reserved (0 = padding, 1 = unknown).
 FIRST_WORD_ID = 2
 UNKNOWN_ID = 1
-# Bytes of vocabulary that are broadcast to the token join, at most, and the
+# Bytes of vocabulary that are broadcast for the token lookup, at most, and the
 # longest word among them where the vocabulary is larger.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 16 << 20
 BROADCAST_WORD = 64
 
 
@@ -52,39 +55,78 @@ def vocabulary(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return ranked.select("token", "count", (F.col("_pos") + FIRST_WORD_ID).cast("long").alias("token_id"))
 
 
-def token_ids(texts: DataFrame, vocab: DataFrame, key_col: str, text_col: str = "text",
-              max_length: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``input_ids`` (array<bigint>) of each text, a row per text: all
-    its words, or with ``max_length`` the first ones (X14's cut); unknown
-    words -> 1; a text without words, or null, has an empty array.
+class Lookup:
+    """Words and their ids, as broadcast; a worker makes its hash table once."""
+
+    def __init__(self, tokens: pa.Array, ids: pa.Array):
+        self.tokens, self.ids = tokens, ids
+        self._table: dict[str, int] | None = None
+
+    def __getstate__(self):
+        return self.tokens, self.ids
+
+    def __setstate__(self, state):
+        self.tokens, self.ids = state
+        self._table = None
+
+    def of(self, words: pa.Array, otherwise: int) -> pa.Array:
+        """The ids of lists of words: each distinct word of the batch is looked
+        up once, the lists keep their shape."""
+        if self._table is None:
+            self._table = dict(zip(self.tokens.to_pylist(), self.ids.to_pylist()))
+        flat = words.flatten().dictionary_encode()
+        known = [self._table.get(w, otherwise) for w in flat.dictionary.to_pylist()]
+        ids = pa.array(known, pa.int64()).take(flat.indices)
+        size = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), ids)
 
-    Texts are dealt by key before their words are exploded, so the words of
-    a text meet again without a shuffle."""
+
+def _looked_up(words: Column, shared, otherwise: int) -> Column:
+    @F.arrow_udf("array<bigint>")
+    def ids(w: pa.Array) -> pa.Array:
+        return shared.value.of(w, otherwise)
+    return ids(words)
+
+
+def token_ids(texts: DataFrame, vocab: DataFrame, key_col: str | Sequence[str], text_col: str = "text",
+              max_length: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``input_ids`` (array<bigint>) of each text, a row per text with
+    its ``key_col``(s), which need be neither unique nor there: all its words,
+    or with ``max_length`` the first ones (X14's cut); unknown words -> 1; a
+    text without words, or null, has an empty array.
+
+    Words are looked up in their rows, against the broadcast vocabulary.  Of a
+    larger vocabulary only a head of so many frequent words of bounded length
+    is broadcast (ids are frequency ranks); texts with a word beyond it are
+    numbered, and those words alone go through a shuffle join."""
+    spark = texts.sparkSession
+    ship_package(spark)
+    keys = [key_col] if isinstance(key_col, str) else list(key_col)
     words = F.coalesce(py_split(text_col), F.array().cast("array<string>"))
     kept = words if max_length is None else F.slice(words, 1, int(max_length))
-    toks = (texts.select(key_col, kept.alias("_words")).repartition(F.col(key_col))
-            .select(key_col, F.posexplode_outer("_words").alias("pos", "token")))
     v = vocab.select("token", "token_id")
-    entry = F.octet_length("token") + 32
-    if (v.agg(F.sum(entry)).first()[0] or 0) <= broadcast_bytes:
-        # Bounded by the sum of its bytes.
-        j = toks.join(F.broadcast(v), "token", "left")
-    else:
-        # Ids are frequency ranks, so the first ids are the frequent words: a
-        # head of so many words of bounded length is broadcast.  Only words
-        # of the tail, each rarer than the head's or very long, go through
-        # the shuffle join.
-        count = broadcast_bytes // (BROADCAST_WORD + 32)
-        in_head = (F.col("token_id") < FIRST_WORD_ID + count) & (F.octet_length("token") <= BROADCAST_WORD)
-        first = toks.join(F.broadcast(v.where(in_head)), "token", "left")
-        known = F.col("token_id").isNotNull() | F.col("token").isNull()
-        miss = first.where(~known).drop("token_id").join(v.where(~in_head), "token", "left")
-        j = first.where(known).unionByName(miss)
-    j = j.withColumn("token_id", F.coalesce("token_id", F.lit(UNKNOWN_ID).cast("long")))
-    # One row per kept word of a text.
-    return (j.groupBy(key_col)
-            .agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "token_id")))).alias("_ids"))
-            .select(key_col, F.transform("_ids", lambda s: s["token_id"]).alias("input_ids")))
+    whole = (v.agg(F.sum(F.octet_length("token") + 32)).first()[0] or 0) <= broadcast_bytes
+    count = broadcast_bytes // (BROADCAST_WORD + 32)
+    in_head = (F.col("token_id") < FIRST_WORD_ID + count) & (F.octet_length("token") <= BROADCAST_WORD)
+    head = (v if whole else v.where(in_head)).toArrow().combine_chunks()
+    column = lambda c: pa.concat_arrays(head.column(c).chunks) if head.num_rows else pa.array([], head.schema.field(c).type)
+    shared = spark.sparkContext.broadcast(Lookup(column("token").cast(pa.string()), column("token_id")))
+    x = texts.select(*keys, kept.alias("_words"))
+    if whole:
+        return x.select(*keys, _looked_up(F.col("_words"), shared, UNKNOWN_ID).alias("input_ids"))
+    missed = -1
+    x = frozen(x.withColumn("_ids", _looked_up(F.col("_words"), shared, missed))
+               .withColumn("_row", F.monotonically_increasing_id()), "tokens")
+    some = F.array_contains("_ids", F.lit(missed).cast("long"))
+    pairs = F.posexplode(F.arrays_zip(F.col("_words").alias("w"), F.col("_ids").alias("i"))).alias("pos", "e")
+    each = x.where(some).select("_row", pairs).select("_row", "pos", F.col("e.w").alias("token"), F.col("e.i").alias("_id"))
+    tail = (each.where(F.col("_id") == missed).join(v.where(~in_head), "token", "left")
+            .select("_row", "pos", F.coalesce("token_id", F.lit(UNKNOWN_ID).cast("long")).alias("_id")))
+    known = each.where(F.col("_id") != missed).select("_row", "pos", "_id")
+    whole_rows = (known.unionByName(tail).groupBy("_row")
+                  .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_id"))), lambda s: s["_id"]).alias("_all")))
+    return (x.select(*keys, "_row", "_ids").join(whole_rows, "_row", "left")
+            .select(*keys, F.coalesce("_all", "_ids").alias("input_ids")))
 
 
 def truncate(ids: Column, max_length: int = MAX_LENGTH) -> Column:
@@ -163,11 +205,13 @@ def padded_batches(rows: DataFrame, batch_cols: Sequence[str] = ("epoch", "batch
                    ids_col: str = "input_ids", max_length: int = MAX_LENGTH, pad_id: int = PAD_ID,
                    extra_mask_ids: Sequence[int] = ()) -> DataFrame:
     """Truncate, pad to the longest row of the batch, attention
-    mask and labels.  The batch maximum is a per-batch aggregate joined
-    back (a batch holds ``batch_size`` rows)."""
+    mask and labels.  The batch's length is the column ``batch_len`` where E5
+    has made it (of lengths cut alike), else a per-batch aggregate joined back
+    (a batch holds ``batch_size`` rows)."""
     x = rows.withColumn(ids_col, truncate(F.col(ids_col), max_length)).withColumn("n_tokens", F.size(ids_col))
-    m = x.groupBy(*batch_cols).agg(F.max("n_tokens").alias("batch_len"))
-    x = x.join(m, list(batch_cols))
+    if "batch_len" not in rows.columns:
+        m = x.groupBy(*batch_cols).agg(F.max("n_tokens").alias("batch_len"))
+        x = join_null_safe(x, m, list(batch_cols))
     return (x.withColumn("labels", mask_labels(pad_to(F.col(ids_col), F.col("batch_len"), pad_id),
                                                pad_id, extra_mask_ids))
             .withColumn("attention_mask", attention_mask(F.col("n_tokens"), F.col("batch_len")))

@@ -63,7 +63,8 @@ def select_by_id_prefix(files: DataFrame, ids: DataFrame, name_col: str = "file_
     f = files.where(matches_glob(name_col, pattern)) if pattern != "*" else files
     names = f.select(F.col(name_col).alias("_name")).where(F.length("_name") > 0).distinct()
     prefixes = names.withColumn("_len", F.explode(F.sequence(F.lit(1), F.length("_name"))))
-    prefixes = prefixes.join(keys.select("_len").distinct(), "_len", "left_semi")
+    # No more lengths than characters in the longest file name.
+    prefixes = prefixes.join(F.broadcast(keys.select("_len").distinct()), "_len", "left_semi")
     prefixes = prefixes.withColumn("_key", F.substring(F.col("_name"), F.lit(1), F.col("_len")))
     hit = prefixes.join(keys, ["_len", "_key"], "left_semi").select("_name").distinct()
     return f.join(hit, F.col(name_col) == F.col("_name"), "left_semi").dropDuplicates([name_col])

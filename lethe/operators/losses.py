@@ -56,10 +56,15 @@ def epoch_loss_by_set(steps: DataFrame, group_cols: Sequence[str] = ("run", "epo
 
 
 def running_loss(steps: DataFrame, group_cols: Sequence[str] = ("run", "epoch", "set"),
-                 order_col: str = "step", loss_col: str = "loss", block: int = 1 << 16) -> DataFrame:
+                 order_col: str = "step", loss_col: str = "loss", block: int | None = None) -> DataFrame:
     """E1 + E2: per step the running mean (sum so far / steps so far) and
-    the progress loss (sum so far / steps in the epoch)."""
-    r = running_totals(steps, list(group_cols), order_col, loss_col, block)
+    the progress loss (sum so far / steps in the epoch).  A null run, epoch or
+    set is one of its own; null steps stand first, equal steps follow one
+    another by their loss.  ``block``: rows that a block holds, about (the
+    rows are counted for it; else the session's shuffle partitions are the
+    blocks)."""
+    blocks = None if block is None else max(1, steps.count() // int(block))
+    r = running_totals(steps, list(group_cols), order_col, loss_col, (loss_col,), blocks)
     return (r.withColumn("running_mean", F.col("_rsum") / F.col("_rcnt"))
             .withColumn("progress_loss", F.col("_rsum") / F.col("_gcnt"))
             .drop("_rsum", "_rcnt", "_gcnt"))

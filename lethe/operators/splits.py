@@ -12,7 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lethe.operators.positions import bucket_offsets, bucket_prefix, seeded_hash
+from lethe.operators.positions import (BUCKET_DIGITS, bucket_offsets, hash_positions, ordered_positions, permutation_keys,
+                                       permute, seeded_hash)
+from lethe.session import frozen
 
 # Forget percentages of the benchmark and its default seed.
 DEFAULT_RATIOS = (5, 10, 15)
@@ -30,8 +32,6 @@ def _exact_cut(x: DataFrame, hash_col: str, id_col: str, group_cols: Sequence[st
     b = "_bucket"
     # Rows that agree in all of these are alike: their number is enough.
     keyed = x.groupBy(*group_cols, hash_col, id_col).agg(F.count(F.lit(1)).alias("_times"))
-    if prefix is None:
-        prefix = bucket_prefix(x.count())
     keyed = keyed.withColumn(b, F.substring(F.col(hash_col), 1, prefix))
     offs = (bucket_offsets(keyed, b, group_cols, F.col("_times"))
             .withColumn("k", size_of_n(F.col("n")))
@@ -63,7 +63,7 @@ def forget_size(ratio: Column, n: Column) -> Column:
 
 def forget_retain_split(ids: DataFrame, id_col: str = "id",
                         ratios: Sequence[int] = DEFAULT_RATIOS, seed: int = DEFAULT_SEED,
-                        nested: bool = False, prefix: int | None = None) -> DataFrame:
+                        nested: bool = False, prefix: int = BUCKET_DIGITS) -> DataFrame:
     """Per ratio p, exactly int(p/100*n) profiles to forget, the rest retain.
 
     Every row is a profile: rows that share an id count each, and null ids
@@ -82,7 +82,7 @@ def forget_retain_split(ids: DataFrame, id_col: str = "id",
 
 
 def holdout_split(ids: DataFrame, id_col: str = "id", forget_fraction: float = 0.3,
-                  seed: int = DEFAULT_SEED, prefix: int | None = None) -> DataFrame:
+                  seed: int = DEFAULT_SEED, prefix: int = BUCKET_DIGITS) -> DataFrame:
     """Seeded split with forget = int(n * f); every row counts, as in E3.
     Returns ``(id, set)``."""
     x = (ids.select(F.col(id_col).cast("string").alias("id"))
@@ -116,22 +116,58 @@ def sample_few_shot_ids(ids: DataFrame, model_id: str, id_col: str = "id",
     return sample_ids(ids, few_shot_k(model_id), id_col, seed)
 
 
-def shuffled_batches(rows: DataFrame, key_cols: Sequence[str], batch_size: int = 4,
-                     epochs: Sequence[int] = (0,), seed: int = DEFAULT_SEED,
-                     prefix: int | None = None) -> DataFrame:
-    """E5: per epoch a seeded random order; ``pos``, ``batch_id = pos div
-    batch_size`` (last batch short) and ``slot`` inside the batch.
-    ``key_cols`` must identify a row.  Only the keys are ordered; the rest
-    of a row joins its positions once."""
-    from lethe.operators.positions import hash_positions
-    keys = list(key_cols)
-    x = rows.select(*keys).withColumn("epoch", F.explode(F.array(*[F.lit(int(e)) for e in epochs])))
-    x = x.withColumn("_h", seeded_hash(seed, F.col("epoch"), *[F.col(c) for c in keys]))
-    x = hash_positions(x, "_h", keys, ["epoch"], prefix)
-    bs = F.lit(int(batch_size))
-    placed = (x.withColumn("batch_id", F.floor(F.col("pos") / bs).cast("long"))
-              .withColumn("slot", (F.col("pos") % bs).cast("int"))
-              .select(*keys, "epoch", "pos", "batch_id", "slot"))
-    if set(rows.columns) == set(keys):
+def _batch_columns(placed: DataFrame, batch_size: int, size_col: str | None) -> DataFrame:
+    """``batch_id = pos div batch_size`` (last batch short), ``slot`` inside
+    the batch, and with ``size_col`` its maximum in the batch, ``batch_len``."""
+    bs = int(batch_size)
+    placed = (placed.withColumn("batch_id", F.expr(f"pos div {bs}")).withColumn("slot", (F.col("pos") % bs).cast("int")))
+    if size_col is None:
         return placed
-    return rows.join(placed, keys)
+    # A batch holds batch_size rows of keys.
+    return placed.withColumn("batch_len", F.max(size_col).over(Window.partitionBy("epoch", "batch_id"))).drop(size_col)
+
+
+def shuffled_batches(rows: DataFrame, key_cols: Sequence[str], batch_size: int = 4,
+                     epochs: Sequence[int] = (0,), seed: int = DEFAULT_SEED, prefix: int = BUCKET_DIGITS,
+                     tie_cols: Sequence[str] = (), size_col: str | None = None) -> DataFrame:
+    """E5: per epoch a seeded random order of all rows; ``pos``, ``batch_id``
+    and ``slot``, and ``batch_len`` where ``size_col`` is given.
+
+    The order is by a hash of ``key_cols``.  Every row has a place of its own:
+    rows that share a key (or have none) follow one another by ``tie_cols``,
+    rows equal in both in no set order.  Only the keys are ordered; the rest
+    of a row is numbered, written once and joins its places by that number."""
+    keys = list(dict.fromkeys([*key_cols, *tie_cols]))
+    payload = [c for c in rows.columns if c not in key_cols]
+    if payload:
+        rows = frozen(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        keys.append("_row")
+    x = rows.select(*keys, *([F.col(size_col).alias("_size")] if size_col else []))
+    x = x.withColumn("epoch", F.explode(F.array(*[F.lit(int(e)) for e in epochs])))
+    x = x.withColumn("_h", seeded_hash(seed, F.col("epoch"), *[F.col(c) for c in key_cols]))
+    placed = _batch_columns(hash_positions(x, "_h", keys, ["epoch"], prefix), batch_size, "_size" if size_col else None)
+    new = ["epoch", "pos", "batch_id", "slot", *(["batch_len"] if size_col else [])]
+    if not payload:
+        return placed.select(*key_cols, *new)
+    return rows.join(placed.select("_row", *new), "_row").drop("_row")
+
+
+def epoch_batches(rows: DataFrame, order_cols: Sequence[str], batch_size: int = 4, epochs: Sequence[int] = (0,),
+                  seed: int = DEFAULT_SEED, size_col: str | None = None) -> DataFrame:
+    """E5 for many epochs: as ``shuffled_batches``, but the order of an epoch
+    is a permutation of the rows' numbers in ``order_cols`` order, so no epoch
+    sorts anything.  Rows may share keys or have none: each has a number of
+    its own (rows equal in all order columns in no set order)."""
+    base = ordered_positions(rows, order_cols, "_row", total_col="_total")
+    plans = F.array(*[F.struct(F.lit(int(e)).alias("epoch"),
+                               F.array(*[F.lit(k).cast("long") for k in permutation_keys(seed, int(e))]).alias("_keys"))
+                      for e in epochs])
+
+    def placed(x):
+        x = x.withColumn("_plan", F.explode(plans)).select("*", "_plan.epoch", "_plan._keys").drop("_plan")
+        return _batch_columns(permute(x, "_row", "_total", "_keys", "pos").drop("_keys", "_total"), batch_size, size_col)
+
+    if size_col is None:
+        return placed(base).drop("_row")
+    # The batches' maxima meet as keys and numbers only.
+    return base.drop("_total").join(placed(base.select("_row", "_total", size_col)), "_row").drop("_row")

@@ -40,16 +40,17 @@ SELECT id, turn, CASE WHEN turn % 4 = 0 THEN 'Image_Textual' ELSE 'Pure_Text' EN
             ELSE question END AS generated_text
 FROM v_qa""",
     "v_steps": """
-SELECT run, epoch, "set", step,
-       CASE WHEN run = 'r1' AND step % 101 = 5 THEN CAST('NaN' AS DOUBLE)
-            WHEN run = 'r2' AND step % 101 = 5 THEN CAST(CASE WHEN step % 2 = 0 THEN 'Infinity' ELSE '-Infinity' END AS DOUBLE)
-            WHEN run = 'r3' AND step % 101 = 5 THEN CAST(1180591620717411303424 AS DOUBLE)
+SELECT CASE WHEN k % 40 <> 9 THEN run END AS run, CASE WHEN k % 60 <> 11 THEN epoch END AS epoch, "set",
+       CASE WHEN k % 30 <> 4 THEN CASE run WHEN 'r2' THEN k - k % 50 WHEN 'r3' THEN k * 1000003 ELSE k END END AS step,
+       CASE WHEN run = 'r1' AND k % 101 = 5 THEN CAST('NaN' AS DOUBLE)
+            WHEN run = 'r2' AND k % 101 = 5 THEN CAST(CASE WHEN k % 2 = 0 THEN 'Infinity' ELSE '-Infinity' END AS DOUBLE)
+            WHEN run = 'r3' AND k % 101 = 5 THEN CAST(1180591620717411303424 AS DOUBLE)
             ELSE CAST(value AS DOUBLE) END AS loss,
-       [1, 2, 4][CAST(step % 3 + 1 AS INTEGER)] AS accum
+       [1, 2, 4][CAST(k % 3 + 1 AS INTEGER)] AS accum
 FROM (SELECT CASE WHEN event_id % 10 < 7 THEN 'r0' ELSE 'r' || CAST(event_id % 10 - 6 AS VARCHAR) END AS run,
              CAST(ascii(event_type) - 96 AS INTEGER) AS epoch,
-             CASE WHEN user_id % 2 = 0 THEN 'forget' ELSE 'retain' END AS "set",
-             event_id AS step, value
+             CASE WHEN user_id % 15 <> 7 THEN CASE WHEN user_id % 2 = 0 THEN 'forget' ELSE 'retain' END END AS "set",
+             event_id AS k, value
       FROM events) e""",
     "v_profile_el": f"""
 SELECT x.id AS ID, x.conv_id,
@@ -97,12 +98,16 @@ SELECT CAST(floor(e.vec_id / 4) AS BIGINT) AS batch_id, {PAD.format(c='e.vec_id'
        CAST(e.embedding AS DOUBLE[]) AS logits, CAST(o.embedding AS DOUBLE[]) AS orig_logits
 FROM embeddings e JOIN embeddings o ON o.vec_id = e.vec_id + 1""",
     "v_docs": f"""
-SELECT {PAD.format(c='doc_id')} AS example_id,
+SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN NULL WHEN doc_id % 20 = 9 THEN {PAD.format(c='(doc_id - 1)')}
+                    ELSE {PAD.format(c='doc_id')} END AS example_id,
        CASE doc_id % 40 WHEN 3 THEN '' WHEN 21 THEN ' ' || chr(10) || ' ' ELSE text END AS text FROM documents""",
+    "v_rows": f"""
+SELECT CASE WHEN conv_id % 9 = 4 THEN NULL WHEN conv_id % 5 = 2 THEN {PAD.format(c='(conv_id - 1)')} ELSE id END AS id, turn
+FROM v_qa""",
 }
 
 DEPS = {
-    "v_mcq": ["v_qa"], "v_gen": ["v_qa"], "v_profile_el": ["v_qa"],
+    "v_mcq": ["v_qa"], "v_gen": ["v_qa"], "v_profile_el": ["v_qa"], "v_rows": ["v_qa"],
 }
 
 

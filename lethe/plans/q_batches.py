@@ -16,20 +16,21 @@ from lethe.plans.views import spread, table, v_docs, v_profile
 _join = lambda c: F.array_join(F.col(c), " ")
 
 _TOK_SQL = with_views("v_docs") + f""",
-words AS (SELECT example_id, unnest(w) AS token, generate_subscripts(w, 1) AS pos
-          FROM (SELECT example_id, {sb.py_split('text')} AS w FROM v_docs) t),
+words AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS pos
+          FROM (SELECT doc_id, {sb.py_split('text')} AS w FROM v_docs) t),
 vocab AS (SELECT token, count(*) AS count,
                  CAST(row_number() OVER (ORDER BY count(*) DESC, token) + 1 AS BIGINT) AS token_id
           FROM words GROUP BY token),
-found AS (SELECT w.example_id, list(v.token_id ORDER BY w.pos) AS input_ids
-          FROM words w JOIN vocab v ON v.token = w.token GROUP BY w.example_id),
-ids AS (SELECT d.example_id, coalesce(f.input_ids, []) AS input_ids
-        FROM v_docs d LEFT JOIN found f ON f.example_id = d.example_id)"""
+found AS (SELECT w.doc_id, list(v.token_id ORDER BY w.pos) AS input_ids
+          FROM words w JOIN vocab v ON v.token = w.token GROUP BY w.doc_id),
+ids AS (SELECT d.example_id, d.text, coalesce(f.input_ids, []) AS input_ids
+        FROM v_docs d LEFT JOIN found f ON f.doc_id = d.doc_id)"""
 
 
 def _ids(spark, d, max_length=None):
     docs = v_docs(spark, d)
-    return B.token_ids(docs, B.vocabulary(docs), "example_id", max_length=max_length)
+    tied = docs.withColumn("text_hash", F.md5("text"))
+    return B.token_ids(tied, B.vocabulary(docs), ["example_id", "text_hash"], max_length=max_length)
 
 
 @register("vocabulary", _TOK_SQL + """
@@ -48,7 +49,8 @@ def q_token_ids(spark, d):
 
 _BATCH_SQL = _TOK_SQL + """,
 b AS (SELECT example_id, input_ids[1:384] AS input_ids, CAST(least(384, len(input_ids)) AS INTEGER) AS n_tokens,
-             CAST(row_number() OVER (ORDER BY md5('42:0:' || example_id), example_id) - 1 AS BIGINT) AS pos
+             CAST(row_number() OVER (ORDER BY md5('42:0' || coalesce(':' || example_id, '')), example_id NULLS FIRST,
+                                              md5(text)) - 1 AS BIGINT) AS pos
       FROM ids),
 bb AS (SELECT *, CAST(floor(pos / 4) AS BIGINT) AS batch_id FROM b),
 m AS (SELECT *, max(n_tokens) OVER (PARTITION BY batch_id) AS batch_len FROM bb),
@@ -58,7 +60,9 @@ p AS (SELECT *, list_resize(input_ids, batch_len, 0) AS padded,
 
 def _batches(spark, d):
     ids = _ids(spark, d, B.MAX_LENGTH)  # X14's cut, before the words are looked up
-    rows = shuffled_batches(ids, ["example_id"], batch_size=4, epochs=[0])
+    # Documents that share an id, or have none, follow one another by their texts.
+    rows = shuffled_batches(ids.withColumn("_size", F.size("input_ids")), ["example_id"], batch_size=4, epochs=[0],
+                            tie_cols=["text_hash"], size_col="_size")
     return B.padded_batches(rows)
 
 

@@ -10,12 +10,17 @@ from lethe.plans.registry import r6, register, shown, shown_sql
 from lethe.plans.views import pad_id, table, v_logits, v_steps
 
 
+def _known(*cols):
+    """A missing number shows as -1 (columns stay of whole numbers)."""
+    return [F.coalesce(c, F.lit(-1)).alias(c) for c in cols]
+
+
 _SIGN = "CASE WHEN \"set\" = 'forget' THEN -1.0 ELSE 1.0 END"
 _ACCUM = "CAST(greatest(coalesce(accum, 1), 1) AS DOUBLE)"
 
 
 @register("signed_loss", with_views("v_steps") + f"""
-SELECT run, "set", step, accum, {shown_sql(f"{_SIGN} * (loss / {_ACCUM})", "signed_loss")},
+SELECT run, "set", coalesce(step, -1) AS step, accum, {shown_sql(f"{_SIGN} * (loss / {_ACCUM})", "signed_loss")},
        {shown_sql(f"{_SIGN} * (loss * {_ACCUM})", "undone")}
 FROM v_steps""")
 def q_signed_loss(spark, d):
@@ -24,25 +29,25 @@ def q_signed_loss(spark, d):
     s = L.signed_loss(v_steps(spark, d)).withColumnRenamed("signed_loss", "_divided")
     s = L.signed_loss(s, undo_accum=True).select("run", "set", "step", "accum", F.col("_divided").alias("signed_loss"),
                                                  F.col("signed_loss").alias("undone"))
-    return s.select("run", "set", "step", "accum", *shown("signed_loss"), *shown("undone"))
+    return s.select("run", "set", *_known("step"), "accum", *shown("signed_loss"), *shown("undone"))
 
 
 @register("epoch_loss", with_views("v_steps") + f"""
-SELECT run, epoch, {shown_sql("sum(loss) / count(*)", "epoch_loss")}, count(*) AS n_steps
-FROM v_steps GROUP BY run, epoch""")
+SELECT run, coalesce(epoch, -1) AS epoch, {shown_sql("sum(loss) / count(*)", "epoch_loss")}, count(*) AS n_steps
+FROM v_steps GROUP BY run, v_steps.epoch""")
 def q_epoch_loss(spark, d):
     """A6."""
-    return L.epoch_loss(v_steps(spark, d)).select("run", "epoch", *shown("epoch_loss"), "n_steps")
+    return L.epoch_loss(v_steps(spark, d)).select("run", *_known("epoch"), *shown("epoch_loss"), "n_steps")
 
 
 @register("epoch_loss_by_set", with_views("v_steps") + f"""
-SELECT run, epoch, {shown_sql("sum(-loss) FILTER (WHERE \"set\" = 'forget') / count(*) FILTER (WHERE \"set\" = 'forget')", "forget_loss")},
+SELECT run, coalesce(epoch, -1) AS epoch, {shown_sql("sum(-loss) FILTER (WHERE \"set\" = 'forget') / count(*) FILTER (WHERE \"set\" = 'forget')", "forget_loss")},
        {shown_sql("sum(loss) FILTER (WHERE \"set\" = 'retain') / count(*) FILTER (WHERE \"set\" = 'retain')", "retain_loss")}
-FROM v_steps GROUP BY run, epoch""")
+FROM v_steps GROUP BY run, v_steps.epoch""")
 def q_epoch_loss_by_set(spark, d):
     """Forget (ascent sign) and retain epoch losses side by side."""
     return L.epoch_loss_by_set(v_steps(spark, d)).select(
-        "run", "epoch", *shown("forget_loss"), *shown("retain_loss"))
+        "run", *_known("epoch"), *shown("forget_loss"), *shown("retain_loss"))
 
 
 _RUNNING = """CASE WHEN max(CASE WHEN isnan(loss) THEN 1 ELSE 0 END) OVER w = 1
@@ -58,14 +63,13 @@ _RUNNING = """CASE WHEN max(CASE WHEN isnan(loss) THEN 1 ELSE 0 END) OVER w = 1
 r AS (SELECT run, epoch, "set", step, {_RUNNING} AS so_far, count(*) OVER w AS n,
              count(*) OVER (PARTITION BY run, epoch, "set") AS n_all
       FROM v_steps
-      WINDOW w AS (PARTITION BY run, epoch, "set" ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT run, epoch, "set", step, {shown_sql("so_far / n", "running_mean")}, {shown_sql("so_far / n_all", "progress_loss")}
+      WINDOW w AS (PARTITION BY run, epoch, "set" ORDER BY step NULLS FIRST, loss ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT run, coalesce(epoch, -1) AS epoch, "set", coalesce(step, -1) AS step, {shown_sql("so_far / n", "running_mean")}, {shown_sql("so_far / n_all", "progress_loss")}
 FROM r""")
 def q_running_loss(spark, d):
-    """E1 + E2 with block offsets (block of 1024 steps here so that the
-    test data spans several blocks)."""
-    r = L.running_loss(v_steps(spark, d), block=1024)
-    return r.select("run", "epoch", "set", "step", *shown("running_mean"), *shown("progress_loss"))
+    """E1 + E2: blocks of consecutive rows, their sums as offsets."""
+    r = L.running_loss(v_steps(spark, d))
+    return r.select("run", *_known("epoch"), "set", *_known("step"), *shown("running_mean"), *shown("progress_loss"))
 
 
 def _example_losses(spark, d):

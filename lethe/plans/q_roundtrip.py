@@ -14,7 +14,7 @@ from lethe.operators import splits as SP
 from lethe.plans import sqlbits as sb
 from lethe.plans.oracle_views import with_views
 from lethe.plans.registry import register
-from lethe.plans.views import v_gen, v_ids, v_mcq, v_person, v_profile
+from lethe.plans.views import v_customer_ids, v_gen, v_mcq, v_person, v_profile
 from lethe.session import scratch
 
 
@@ -33,6 +33,29 @@ def q_profiles_roundtrip(spark, d):
                     "_e.Additional_question", "_e.Additional_answer"))
 
 
+@register("profiles_quarantine", with_views("v_profile_el") + """,
+docs AS (SELECT ID, conv_id, count(*) AS n,
+                CASE conv_id % 7 WHEN 1 THEN 'malformed' WHEN 2 THEN 'malformed' WHEN 3 THEN 'schema' WHEN 4 THEN 'schema' END
+                AS problem
+         FROM v_profile_el GROUP BY ID, conv_id)
+SELECT problem, ID, CASE WHEN problem IS NULL THEN n ELSE 0 END AS n_elements FROM docs""")
+def q_profiles_quarantine(spark, d):
+    """S1 over documents some of which are cut off, two in one line, ill-typed
+    or lists: the good ones are read, the others kept apart with their text."""
+    path, apart = scratch(spark, "mixed-profiles"), scratch(spark, "quarantine")
+    k, whole = F.col("conv_id") % 7, F.to_json(F.struct("ID", "Directory", "metadata"))
+    raw = (F.when(k == 1, F.substring(whole, F.lit(1), F.length(whole) - 5)).when(k == 2, F.concat(whole, whole))
+           .when(k == 3, F.to_json(F.struct("ID", F.lit("none").alias("metadata"))))
+           .when(k == 4, F.concat(F.lit("["), whole, F.lit("]")))
+           .when(k == 5, F.concat(F.lit("\n"), whole)).otherwise(whole))
+    v_profile(spark, d).select(raw.alias("value")).write.text(path)
+    good = S.read_training_profiles(spark, path, pattern="*", lines=True, quarantine=apart)
+    bad = S.read_quarantine(spark, apart).where(F.col("position") > 0)
+    return (good.select(F.lit(None).cast("string").alias("problem"), "ID", F.size("metadata").cast("long").alias("n_elements"))
+            .unionByName(bad.select("problem", F.regexp_extract("raw", '"ID":"([^"]*)"', 1).alias("ID"),
+                                    F.lit(0).cast("long").alias("n_elements"))))
+
+
 @register("persons_roundtrip", with_views("v_person") + """
 SELECT ID, Name AS name, Employment AS employment, Born AS born, question, answer FROM v_person""")
 def q_persons_roundtrip(spark, d):
@@ -83,13 +106,14 @@ def q_gen_questions_roundtrip(spark, d):
     return ES.flatten_generation(S.read_generation_questions(spark, path, pattern="*.json", lines=True))
 
 
-@register("id_lists_roundtrip", with_views("v_ids") + ", " + sb.split_cte("split", "v_ids", [5, 10, 15]) + """
+@register("id_lists_roundtrip", with_views("v_customer_ids") + ", "
+          + sb.split_cte("split", "v_customer_ids", [5, 10, 15]) + """
 SELECT id, ratio, "set" FROM split""")
 def q_id_lists_roundtrip(spark, d):
     """S5, then S4 from the saved split, and S3: the lists of every ratio and
-    set, in several files each."""
+    set, in several files each; some ids are missing, some shared."""
     split_root, root = scratch(spark, "split"), scratch(spark, "id-lists")
-    S.write_split(SP.forget_retain_split(v_ids(spark, d), ratios=[5, 10, 15]), split_root)
+    S.write_split(SP.forget_retain_split(v_customer_ids(spark, d), ratios=[5, 10, 15]), split_root)
     S.write_id_lists(S.read_split(spark, split_root), root, ids_per_file=50)
     out = None
     for ratio in (5, 10, 15):

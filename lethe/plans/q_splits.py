@@ -9,7 +9,7 @@ from lethe.operators.positions import ordered_positions
 from lethe.plans import sqlbits as sb
 from lethe.plans.oracle_views import with_views
 from lethe.plans.registry import domain, register
-from lethe.plans.views import v_customer_ids, v_ids, v_qa
+from lethe.plans.views import v_customer_ids, v_ids, v_qa, v_rows
 
 
 @register("forget_split", with_views("v_customer_ids") + ", "
@@ -66,17 +66,47 @@ def q_ordered_scan(spark, d):
     return ordered_positions(v_qa(spark, d).select("id", "turn"), ["id", "turn"], "pos")
 
 
-@register("shuffled_batches", with_views("v_qa") + """
+@register("shuffled_batches", with_views("v_rows") + """
 SELECT epoch, id, turn, pos, CAST(floor(pos / 4) AS BIGINT) AS batch_id, CAST(pos % 4 AS INTEGER) AS slot
 FROM (SELECT q.epoch, q.id, q.turn,
              CAST(row_number() OVER (PARTITION BY q.epoch
-                  ORDER BY md5('42:' || CAST(q.epoch AS VARCHAR) || ':' || q.id || ':' || CAST(q.turn AS VARCHAR)),
-                           q.id, q.turn) - 1 AS BIGINT) AS pos
-      FROM (SELECT *, CAST(unnest([0, 1]) AS INTEGER) AS epoch FROM v_qa) q) t""")
+                  ORDER BY md5('42:' || CAST(q.epoch AS VARCHAR) || coalesce(':' || q.id, '') || ':' || CAST(q.turn AS VARCHAR)),
+                           q.id NULLS FIRST, q.turn) - 1 AS BIGINT) AS pos
+      FROM (SELECT *, CAST(unnest([0, 1]) AS INTEGER) AS epoch FROM v_rows) q) t""")
 def q_shuffled_batches(spark, d):
-    """E5: seeded order per epoch, batches of 4 (the last one short)."""
-    rows = v_qa(spark, d).select("id", "turn")
-    return (S.shuffled_batches(rows, ["id", "turn"], batch_size=4, epochs=[0, 1])
+    """E5: seeded order per epoch, batches of 4 (the last one short); rows
+    that share a key, or lack a part of it, have places of their own."""
+    return (S.shuffled_batches(v_rows(spark, d), ["id", "turn"], batch_size=4, epochs=[0, 1])
+            .select("epoch", "id", "turn", "pos", "batch_id", "slot"))
+
+
+def _permuted_sql(source: str) -> str:
+    """The permutation of column c of ``source(epoch, p, c)``, a round a level."""
+    x = f"(SELECT s.epoch, p, n, a, b, ks, c % a AS l, c // a AS r FROM {source} s, grid, keys WHERE keys.epoch = s.epoch)"
+    for k in range(6):
+        by, size, out = ("r", "a", "l") if k % 2 == 0 else ("l", "b", "r")
+        f = f"({by} % 2147483647 * ks[{3 * k + 1}] + ks[{3 * k + 2}]) % 2147483647"
+        x = (f"(SELECT epoch, p, n, a, b, ks, {'r' if out == 'l' else 'l'}, "
+             f"({out} + (f * f + ks[{3 * k + 3}]) % 2147483647) % {size} AS {out} FROM (SELECT *, {f} AS f FROM {x}))")
+    return f"(SELECT epoch, p, n, r * a + l AS c FROM {x})"
+
+
+@register("epoch_permutation", "WITH RECURSIVE " + with_views("v_rows").removeprefix("WITH ") + f""",
+base AS (SELECT id, turn, row_number() OVER (ORDER BY id NULLS FIRST, turn) - 1 AS p FROM v_rows),
+grid AS (SELECT n, a, (n + a - 1) // a AS b
+         FROM (SELECT count(*) AS n, CAST(greatest(1, ceil(sqrt(CAST(count(*) AS DOUBLE)))) AS BIGINT) AS a FROM base)),
+keys AS (SELECT epoch, list_transform(range(0, 18), lambda j:
+                CAST('0x' || substr(md5('42:' || epoch || ':' || (j // 3)), CAST(7 * (j % 3) + 1 AS INTEGER), 7) AS BIGINT)) AS ks
+         FROM (SELECT unnest(range(0, 10)) AS epoch)),
+walk AS (SELECT epoch, p, n, c FROM {_permuted_sql("(SELECT epoch, p, p AS c FROM base, keys)")}
+         UNION ALL
+         SELECT epoch, p, n, c FROM {_permuted_sql("(SELECT epoch, p, c FROM walk WHERE c >= n)")})
+SELECT CAST(epoch AS INTEGER) AS epoch, id, turn, c AS pos, c // 4 AS batch_id, CAST(c % 4 AS INTEGER) AS slot
+FROM walk JOIN base ON walk.p = base.p WHERE c < n""")
+def q_epoch_permutation(spark, d):
+    """E5 for ten epochs: each epoch's order is a bijection on the rows'
+    numbers, without a sort an epoch."""
+    return (S.epoch_batches(v_rows(spark, d), ["id", "turn"], batch_size=4, epochs=range(10))
             .select("epoch", "id", "turn", "pos", "batch_id", "slot"))
 
 

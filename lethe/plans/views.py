@@ -104,7 +104,9 @@ def v_steps(spark, d) -> DataFrame:
     """Step-loss log: epoch = code of the event type's first letter (no
     global ranking), set by user parity, 1, 2 or 4 accumulation steps.
     Besides run r0 there are diverging runs: in r1 some losses are NaN, in
-    r2 infinite (of either sign in epoch 3 and others), in r3 very large."""
+    r2 infinite (of either sign in epoch 3 and others), in r3 very large.
+    Steps of r2 repeat, those of r3 are far apart; some runs, epochs, sets
+    and steps are missing."""
     ev = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
     k = F.col("event_id")
     run = F.when(k % 10 < 7, "r0").otherwise(F.concat(F.lit("r"), (k % 10 - 6).cast("string")))
@@ -112,9 +114,11 @@ def v_steps(spark, d) -> DataFrame:
     loss = (F.when((run == "r1") & odd, F.lit(float("nan")))
             .when((run == "r2") & odd, F.when(k % 2 == 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf"))))
             .when((run == "r3") & odd, F.lit(2.0 ** 70)).otherwise(F.col("value").cast("double")))
-    return (ev.select(run.alias("run"), (F.ascii("event_type") - 96).cast("int").alias("epoch"),
-                    F.when(F.col("user_id") % 2 == 0, "forget").otherwise("retain").alias("set"),
-                    F.col("event_id").alias("step"), loss.alias("loss"),
+    step = F.when(run == "r2", k - k % 50).when(run == "r3", k * 1000003).otherwise(k)
+    return (ev.select(F.when(k % 40 != 9, run).alias("run"),
+                    F.when(k % 60 != 11, F.ascii("event_type") - 96).cast("int").alias("epoch"),
+                    F.when(F.col("user_id") % 15 != 7, F.when(F.col("user_id") % 2 == 0, "forget").otherwise("retain"))
+                    .alias("set"), F.when(k % 30 != 4, step).alias("step"), loss.alias("loss"),
                     F.element_at(F.array(F.lit(1), F.lit(2), F.lit(4)), (k % 3 + 1).cast("int")).alias("accum")))
 
 
@@ -214,7 +218,16 @@ def v_logits(spark, d) -> DataFrame:
 
 
 def v_docs(spark, d) -> DataFrame:
-    """Whole documents; some are empty and some blank."""
+    """Whole documents; some are empty and some blank, some share an id with
+    another, some have none."""
     k = F.col("doc_id")
     text = F.when(k % 40 == 3, F.lit("")).when(k % 40 == 21, F.lit(" \n ")).otherwise(F.col("text"))
-    return spread(table(spark, d, "documents").select(pad_id(k).alias("example_id"), text.alias("text")))
+    own = F.when(k % 50 == 7, F.lit(None).cast("string")).when(k % 20 == 9, pad_id(k - 1)).otherwise(pad_id(k))
+    return spread(table(spark, d, "documents").select(own.alias("example_id"), text.alias("text")))
+
+
+def v_rows(spark, d) -> DataFrame:
+    """Keys of QA rows, ``(id, turn)``: some rows share theirs, some have no id."""
+    k = F.col("conv_id")
+    own = F.when(k % 9 == 4, F.lit(None).cast("string")).when(k % 5 == 2, pad_id(k - 1)).otherwise(F.col("id"))
+    return v_qa(spark, d).select(own.alias("id"), "turn")

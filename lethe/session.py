@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings a job needs regardless of cluster size.  Shuffle partitions and
 # file split size are left to the cluster; AQE coalesces small partitions
@@ -92,6 +92,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def frozen(df: DataFrame, name: str = "frozen") -> DataFrame:
+    """``df`` written once to the shared checkpoint folder and read back.
+    What is not fixed by the data (a row's number, a range's bounds) is fixed
+    from here on, also for a task that runs again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Makes the package importable by Python workers anywhere: a zip of its
     modules goes out with ``addPyFile``, once a session."""

@@ -2,9 +2,9 @@
 partitioned outputs (S1-S11).
 
 Schemas are always declared (``lethe.schemas``): ids are zero-padded
-strings and optional keys must not come and go with the sample read.  A
-JSON document per file is read with ``multiLine``; the file name comes
-from the ``_metadata`` column, so file order and prefix selections are
+strings and optional keys must not come and go with the sample read.  Every
+document is checked as it is read (``lethe.sources.checked``); the file name
+comes from the ``_metadata`` column, so file order and prefix selections are
 plain columns.  Outputs are written partitioned (``ratio``, ``set``,
 ``eval_set``), which gives partition pruning on the way back.
 """
@@ -17,42 +17,49 @@ from pyspark.sql import types as T
 
 from lethe import schemas
 from lethe.functions.text import last_path_segment
+from lethe.sources.checked import bad_documents, checked_documents, good_documents, write_quarantine
+from lethe.sources.listing import folder_files
 
 
-def read_json_folder(spark: SparkSession, folder: str, schema: T.StructType,
-                     pattern: str = "*.json", lines: bool = False) -> DataFrame:
+def read_json_folder(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.json",
+                     lines: bool = False, quarantine: str | None = None) -> DataFrame:
     """Every file of ``folder`` matching ``pattern`` (a shell
     pattern on the file name) as one row, plus ``file_name``.  With
-    ``lines`` the files hold one document per line (what S7 writes)."""
-    df = (spark.read.schema(schema).option("multiLine", not lines)
-          .option("pathGlobFilter", pattern).option("recursiveFileLookup", False)
-          .json(folder))
-    return df.withColumn("file_name", last_path_segment(F.col("_metadata.file_path")))
+    ``lines`` the files hold one document per line (what S7 writes).
+
+    A malformed or ill-typed document (see ``lethe.sources.checked``) raises
+    an error that names its file.  With ``quarantine`` (a folder) such
+    documents are written there and the others are returned."""
+    docs = checked_documents(spark, folder, schema, pattern, lines)
+    if quarantine is not None:
+        write_quarantine(bad_documents(docs, lines), quarantine)
+    return good_documents(docs, strict=quarantine is None, lines=lines)
 
 
 def read_training_profiles(spark: SparkSession, folder: str, pattern: str = "*.json",
-                           lines: bool = False) -> DataFrame:
+                           lines: bool = False, quarantine: str | None = None) -> DataFrame:
     """``NNN_qa.json`` documents (``ID, Directory, metadata``)."""
-    return read_json_folder(spark, folder, schemas.TRAINING_PROFILE, pattern, lines)
+    return read_json_folder(spark, folder, schemas.TRAINING_PROFILE, pattern, lines, quarantine)
 
 
-def read_persons(spark: SparkSession, folder: str, pattern: str = "*.json", lines: bool = False) -> DataFrame:
+def read_persons(spark: SparkSession, folder: str, pattern: str = "*.json", lines: bool = False,
+                 quarantine: str | None = None) -> DataFrame:
     """``NNN.json`` biographies; ``lines`` for the bulk form (many
     persons a file, one per line)."""
-    return read_json_folder(spark, folder, schemas.PROFILE, pattern, lines)
+    return read_json_folder(spark, folder, schemas.PROFILE, pattern, lines, quarantine)
 
 
-def read_classification_questions(spark: SparkSession, folder: str,
-                                  pattern: str = "*_questions.json", lines: bool = False) -> DataFrame:
+def read_classification_questions(spark: SparkSession, folder: str, pattern: str = "*_questions.json",
+                                  lines: bool = False, quarantine: str | None = None) -> DataFrame:
     """Multiple-choice question files.  Options keep their stored
     order (a MAP read from JSON keeps document order)."""
-    return read_json_folder(spark, folder, schemas.CLASSIFICATION_QUESTIONS, pattern, lines)
+    return read_json_folder(spark, folder, schemas.CLASSIFICATION_QUESTIONS, pattern, lines, quarantine)
 
 
-def read_generation_questions(spark: SparkSession, folder: str,
-                              pattern: str = "*_generation_questions.json", lines: bool = False) -> DataFrame:
+def read_generation_questions(spark: SparkSession, folder: str, pattern: str = "*_generation_questions.json",
+                              lines: bool = False, quarantine: str | None = None) -> DataFrame:
     """Free-text question files."""
-    return read_json_folder(spark, folder, schemas.GENERATION_QUESTIONS, pattern, lines)
+    return read_json_folder(spark, folder, schemas.GENERATION_QUESTIONS, pattern, lines, quarantine)
 
 
 def read_log(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -74,11 +81,9 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def image_listing(spark: SparkSession, folder: str) -> DataFrame:
-    """S8 input: ``(path, length)`` of the image folder; the file bytes
-    are never read (``content`` is pruned from the binaryFile scan).  The
-    scan leaves out files of no bytes: such an image counts as missing."""
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", False).load(folder)
-            .select("path", "length"))
+    """S8 input: ``(path, length)`` of the image folder by its file names; no
+    file is opened, and a file of no bytes is there like any other."""
+    return folder_files(spark, folder)
 
 
 # ----------------------------------------------------------------------------
@@ -112,12 +117,19 @@ def write_id_lists(split: DataFrame, root: str, ids_per_file: int = 1_000_000) -
     ``root/ratio=p/set=s``.  A set is cut into hash chunks of about
     ``ids_per_file`` ids, one array per file, so no single task collects
     a whole set (the retain set holds almost every id); ``read_id_list``
-    reads the folder back as one list.  Ids are sorted inside a file."""
+    reads the folder back as one list.  Ids are sorted inside a file; a null
+    id is a JSON ``null``; an id is there as often as its rows."""
     n = split.groupBy("ratio", "set").count().agg(F.max("count")).first()[0] or 0
     chunks = max(1, -(-int(n) // int(ids_per_file)))
-    chunk = F.pmod(F.xxhash64("id"), F.lit(chunks))
-    (split.groupBy("ratio", "set", chunk.alias("_chunk"))
-     .agg(F.to_json(F.array_sort(F.collect_list("id"))).alias("value"))
+    # Rows of one id are counted, then dealt out again in steps, so an id (or
+    # null) of very many rows does not fill one chunk.
+    step = min(int(ids_per_file), 1 << 16)
+    dealt = (split.groupBy("ratio", "set", "id").agg(F.count(F.lit(1)).alias("_n"))
+             .withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {step}"))))
+             .withColumn("_chunk", F.pmod(F.xxhash64("id", "_k"), F.lit(chunks))))
+    copies = F.array_repeat(F.struct("id"), F.least(F.lit(step), F.col("_n") - F.col("_k") * step).cast("int"))
+    (dealt.groupBy("ratio", "set", "_chunk")
+     .agg(F.to_json(F.transform(F.array_sort(F.flatten(F.collect_list(copies))), lambda s: s["id"])).alias("value"))
      .repartition("ratio", "set", "_chunk").drop("_chunk")
      .write.option("maxRecordsPerFile", 1)  # one array per file
      .partitionBy("ratio", "set").mode("overwrite").text(root))

@@ -81,7 +81,9 @@ def test_loose_contains_strict(spark):
 
 
 def test_running_mean_ends_at_epoch_mean(spark):
-    steps = v_steps(spark, SF0001)
+    # Each row a step of its own, each group a name.
+    steps = v_steps(spark, SF0001).withColumn("step", F.monotonically_increasing_id()).fillna("none", ["run", "set"])\
+        .fillna(-1, ["epoch"])
     last = (running_loss(steps, block=64).groupBy("run", "epoch", "set")
             .agg(F.max_by("running_mean", "step").alias("last"), F.max_by("progress_loss", "step").alias("prog")))
     means = epoch_loss(steps, ["run", "epoch", "set"])
@@ -212,10 +214,76 @@ def test_token_ids_head_tail_split(spark):
     from lethe.plans.views import v_docs
     docs = v_docs(spark, SF0001)
     vocab = B.vocabulary(docs)
-    a = {r["example_id"]: r["input_ids"] for r in B.token_ids(docs, vocab, "example_id").collect()}
-    b = {r["example_id"]: r["input_ids"] for r in B.token_ids(docs, vocab, "example_id", broadcast_bytes=5000).collect()}
+    rows = lambda df: sorted(((r["example_id"], r["input_ids"]) for r in df.collect()), key=str)  # ids repeat or are missing
+    a = rows(B.token_ids(docs, vocab, "example_id"))
+    b = rows(B.token_ids(docs, vocab, "example_id", broadcast_bytes=5000))
     assert a == b and len(a) == docs.count()
-    assert [] in a.values() and max(len(x) for x in a.values()) > 384  # empty texts stay, long ones are whole
+    texts = [x for _, x in a]
+    assert [] in texts and max(map(len, texts)) > 384  # empty texts stay, long ones are whole
+
+
+def test_rows_of_one_key_stay_apart(spark):
+    """Two texts on one key, and two without: a row and a place each."""
+    from lethe.operators import batching as B
+    rows = [("x", "a b c"), ("x", "d e"), (None, "f"), (None, None), ("y", "a b c")]
+    df = spark.createDataFrame(rows, "k string, text string")
+    ids = B.token_ids(df, B.vocabulary(df), "k")
+    assert sorted((r["k"] or "", len(r["input_ids"])) for r in ids.collect()) == [("", 0), ("", 1), ("x", 2), ("x", 3), ("y", 3)]
+    out = shuffled_batches(ids.withColumn("n", F.size("input_ids")), ["k"], batch_size=2, epochs=[0, 1], size_col="n")
+    got = out.collect()
+    assert len(got) == 10
+    for e in (0, 1):
+        assert sorted(r["pos"] for r in got if r["epoch"] == e) == list(range(5))
+    for r in got:
+        assert r["batch_len"] == max(len(x["input_ids"]) for x in got if (x["epoch"], x["batch_id"]) == (r["epoch"], r["batch_id"]))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 120, 1001])
+def test_permutation_is_a_bijection(spark, n):
+    from lethe.operators.positions import permutation_keys, permute
+    keys = F.array(*[F.struct(F.lit(e).alias("e"), F.array(*[F.lit(k).cast("long") for k in permutation_keys(7, e)]).alias("ks"))
+                     for e in range(4)])
+    x = spark.range(n).withColumn("n", F.lit(n)).withColumn("p", F.explode(keys)).select("id", "n", "p.*")
+    got = {}
+    for r in permute(x, "id", "n", "ks", "to").collect():
+        got.setdefault(r["e"], {})[r["id"]] = r["to"]
+    for order in got.values():
+        assert sorted(order.values()) == list(range(n))
+    if n > 100:
+        assert len({tuple(sorted(o.items())) for o in got.values()}) == 4
+        for o in got.values():
+            # Neither kept nor merely turned round: neighbours part, no place is favoured.
+            assert sum(abs(o[i] - o[i + 1]) == 1 for i in range(n - 1)) < n / 10
+            assert abs(sum(o[i] for i in range(n // 2)) / (n // 2) - n / 2) < n / 8
+
+
+def test_epochs_need_no_sort_each(spark):
+    from lethe.operators.splits import epoch_batches
+    df = spark.createDataFrame([(i % 7, i) for i in range(50)], "k int, v int")
+    few, many = (_plan(epoch_batches(df, ["k"], epochs=range(n))) for n in (1, 30))
+    assert few.count("Exchange") == many.count("Exchange") and few.count("Window") == many.count("Window")
+    assert few.count("Sort") == many.count("Sort")
+    out = epoch_batches(df, ["k"], batch_size=4, epochs=range(3)).collect()
+    for e in range(3):
+        assert sorted((r["batch_id"] * 4 + r["slot"]) for r in out if r["epoch"] == e) == list(range(50))
+        assert sorted(r["v"] for r in out if r["epoch"] == e) == list(range(50))
+
+
+def test_running_loss_keeps_rows_without_keys(spark):
+    """Null groups and steps, equal and far apart steps, blocks that cut through all of them."""
+    rows = [(run, e, "forget", s, float(i % 5)) for i, (run, e, s) in enumerate(
+        [(None, 1, 3), (None, 1, None), (None, None, 2), ("a", 1, None), ("a", 1, None)] * 3 + [("a", 1, 7)] * 40
+        + [("b", 2, 10 ** 12 * i) for i in range(30)])]
+    df = spark.createDataFrame(rows, "run string, epoch int, `set` string, step long, loss double")
+    for block in (None, 4, 1000):
+        got = running_loss(df, block=block).collect()
+        assert len(got) == len(rows)
+        for key in {r[:3] for r in rows}:
+            mine = sorted((r for r in rows if r[:3] == key), key=lambda r: (r[3] is not None, r[3] or 0, r[4]))
+            want = [(r[3], sum(x[4] for x in mine[:i + 1]) / (i + 1), sum(x[4] for x in mine[:i + 1]) / len(mine))
+                    for i, r in enumerate(mine)]
+            have = [(r["step"], r["running_mean"], r["progress_loss"]) for r in got if (r["run"], r["epoch"], r["set"]) == key]
+            assert sorted(have, key=str) == sorted(want, key=str)
 
 
 def test_cluster_conf_sizes_partitions():

@@ -245,3 +245,85 @@ def test_id_lists_in_chunks(spark, tmp_dir):
     got = {r["id"] for r in back.collect()}
     want = {r["id"] for r in split.where("set = 'retain'").collect()}
     assert got == want and len(got) == 450
+
+
+BAD = {"cut.json": ('{"ID": "001", "Directory": "d", "meta', "malformed"), "more.json": ('{"ID": "1"} {"ID": "2"}', "malformed"),
+       "tail.json": ('{"ID": "1"} x', "malformed"), "quotes.json": ("{'ID': '1'}", "malformed"), "none.json": ("", "empty"),
+       "blank.json": (" \n ", "empty"), "list.json": ('[{"ID": "1"}]', "schema"), "null.json": ("null", "schema"),
+       "typed.json": ('{"ID": "1", "metadata": "x"}', "schema"), "element.json": ('{"ID": "1", "metadata": [5]}', "schema"),
+       "bracket.json": ('{"ID": "1"}]}', "malformed"), "brace.json": ('{"ID": "1"}} [', "malformed")}
+
+
+def test_bad_documents_are_named_or_kept_apart(spark, qa_folder, tmp_dir):
+    """A file of no bytes is one of them, although Spark's scans skip it."""
+    for name, (raw, _) in BAD.items():
+        with open(os.path.join(qa_folder, name), "w") as f:
+            f.write(raw)
+        with pytest.raises(Exception, match=name):
+            S.read_training_profiles(spark, qa_folder, pattern=name).count()
+    kept_apart = os.path.join(tmp_dir, "quarantine")
+    good = S.read_training_profiles(spark, qa_folder, quarantine=kept_apart)
+    assert sorted(r["file_name"] for r in good.collect()) == ["001_qa.json", "002_qa.json", "003_qa.json"]
+    bad = {r["file_name"]: (r["raw"], r["problem"]) for r in S.read_quarantine(spark, kept_apart).where("position = 1").collect()}
+    assert bad == BAD
+
+
+def test_good_documents_of_odd_shape(spark, tmp_dir):
+    """Not a problem: absent and unknown keys, nulls, scalars of another type, repeated keys, pretty printing."""
+    d = os.path.join(tmp_dir, "odd")
+    os.makedirs(d)
+    for i, raw in enumerate(['{}', '{"ID": null}', '{"ID": 5, "Extra": {"a": [1]}}', '{"ID": "1", "ID": "2"}',
+                             '{\n  "ID": "3",\n  "metadata": [\n    null\n  ]\n}\n']):
+        with open(os.path.join(d, f"{i}.json"), "w") as f:
+            f.write(raw)
+    got = [r["ID"] for r in S.read_training_profiles(spark, d).orderBy("file_name").collect()]
+    assert got == [None, None, "5", "2", "3"]
+
+
+@pytest.mark.parametrize("split", [128 << 20, 200])
+def test_line_numbers_of_bad_lines(spark, tmp_dir, split):
+    """Also where a file is read in many blocks; blank lines count as lines, not as documents."""
+    d, kept_apart = os.path.join(tmp_dir, "lines"), os.path.join(tmp_dir, "q")
+    os.makedirs(d)
+    want = []
+    for name in ("a.json", "b.json"):
+        lines = []
+        for i in range(1, 300):
+            raw = json.dumps({"ID": f"{i:03d}", "Directory": "d" * (i % 40), "metadata": []})
+            if i % 37 == 5:
+                raw = raw[:9]
+                want.append((name, i, "malformed", raw))
+            lines.append("" if i % 41 == 3 else raw)
+        with open(os.path.join(d, name), "w") as f:
+            f.write("\n".join(lines) + "\n")
+    want = [w for w in want if w[1] % 41 != 3]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        good = S.read_training_profiles(spark, d, lines=True, quarantine=kept_apart).count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = [tuple(r) for r in S.read_quarantine(spark, kept_apart).select("file_name", "position", "problem", "raw").collect()]
+    assert sorted(got) == sorted(want)
+    assert good == 2 * sum(1 for i in range(1, 300) if i % 37 != 5 and i % 41 != 3)
+
+
+def test_null_and_repeated_ids_in_lists(spark, tmp_dir):
+    rows = [(None, 10, "forget")] * 300 + [("007", 10, "forget")] * 200 + [(f"{i:03d}", 10, "retain") for i in range(50)]
+    root = os.path.join(tmp_dir, "null-lists")
+    S.write_id_lists(spark.createDataFrame(rows, "id string, ratio int, `set` string"), root, ids_per_file=40)
+    back = S.read_id_list(spark, os.path.join(root, "ratio=10", "set=forget"))
+    assert sorted(str(r["id"]) for r in back.collect()) == sorted(["None"] * 300 + ["007"] * 200)
+    assert back.groupBy("file_name").count().agg(F.max("count")).first()[0] < 300
+
+
+def test_empty_images_are_listed(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "img0")
+    os.makedirs(os.path.join(d, "folder.png"))
+    for n, raw in (("001.png", b""), ("002 é.jpg", b"xy"), ("_x.png", b"1"), (".y.png", b"1")):
+        with open(os.path.join(d, n), "wb") as f:
+            f.write(raw)
+    got = {os.path.basename(r["path"]): r["length"] for r in S.image_listing(spark, d).collect()}
+    assert got == {"001.png": 0, "002 é.jpg": 2}
+    with pytest.raises(FileNotFoundError):
+        S.image_listing(spark, os.path.join(tmp_dir, "no-such"))
