@@ -40,8 +40,10 @@ FIRST_WORD_ID = 2
 UNKNOWN_ID = 1
 # Bytes of vocabulary that are broadcast for the token lookup, at most, and the
 # longest word among them where the vocabulary is larger.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 32 << 20
 BROADCAST_WORD = 64
+# What a word takes beside its letters: its id and its offset.
+ENTRY_BYTES = 12
 
 
 def vocabulary(texts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -56,38 +58,52 @@ def vocabulary(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 class Lookup:
-    """Words and their ids, as broadcast; a worker makes its hash table once."""
+    """Words and their ids, as broadcast."""
 
-    def __init__(self, tokens: pa.Array, ids: pa.Array):
-        self.tokens, self.ids = tokens, ids
-        self._table: dict[str, int] | None = None
+    def __init__(self, words: pa.Array, ids: pa.Array):
+        self.words, self.ids = words, ids
 
-    def __getstate__(self):
-        return self.tokens, self.ids
-
-    def __setstate__(self, state):
-        self.tokens, self.ids = state
-        self._table = None
-
-    def of(self, words: pa.Array, otherwise: int) -> pa.Array:
+    def of(self, lists: pa.Array, otherwise: int) -> pa.Array:
         """The ids of lists of words: each distinct word of the batch is looked
         up once, the lists keep their shape."""
-        if self._table is None:
-            self._table = dict(zip(self.tokens.to_pylist(), self.ids.to_pylist()))
-        flat = words.flatten().dictionary_encode()
-        known = [self._table.get(w, otherwise) for w in flat.dictionary.to_pylist()]
-        ids = pa.array(known, pa.int64()).take(flat.indices)
-        size = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), ids)
+        flat = lists.flatten().dictionary_encode()
+        known = self.ids.take(pc.index_in(flat.dictionary, value_set=self.words))
+        return pa.ListArray.from_arrays(_offsets(lists), pc.fill_null(known, otherwise).take(flat.indices))
+
+
+def _offsets(lists: pa.Array) -> pa.Array:
+    """Where the lists begin and end in their flattened values (a null list is empty)."""
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    return pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+
+
+# Stands for a word that is not in the broadcast part of a vocabulary.
+MISSED = -1
 
 
 def _looked_up(words: Column, shared, otherwise: int) -> Column:
-    @F.arrow_udf("array<bigint>")
+    @F.arrow_udf(T.ArrayType(T.LongType()))
     def ids(w: pa.Array) -> pa.Array:
         return shared.value.of(w, otherwise)
     return ids(words)
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _missed_words(words: pa.Array, ids: pa.Array) -> pa.Array:
+    """The words whose id is MISSED, in order."""
+    missed = pc.equal(ids.flatten(), MISSED)
+    before = np.concatenate([[0], np.cumsum(missed.to_numpy(zero_copy_only=False))])
+    at = pa.array(before[_offsets(ids).to_numpy()], pa.int32())
+    return pa.ListArray.from_arrays(at, words.flatten().filter(missed))
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _filled(ids: pa.Array, found: pa.Array) -> pa.Array:
+    """``ids`` with the MISSED ones, in order, replaced by those of ``found``."""
+    flat = ids.flatten()
+    return pa.ListArray.from_arrays(_offsets(ids), pc.replace_with_mask(flat, pc.equal(flat, MISSED), found.flatten()))
+
+
 def token_ids(texts: DataFrame, vocab: DataFrame, key_col: str | Sequence[str], text_col: str = "text",
               max_length: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``input_ids`` (array<bigint>) of each text, a row per text with
@@ -105,8 +121,8 @@ def token_ids(texts: DataFrame, vocab: DataFrame, key_col: str | Sequence[str],
     words = F.coalesce(py_split(text_col), F.array().cast("array<string>"))
     kept = words if max_length is None else F.slice(words, 1, int(max_length))
     v = vocab.select("token", "token_id")
-    whole = (v.agg(F.sum(F.octet_length("token") + 32)).first()[0] or 0) <= broadcast_bytes
-    count = broadcast_bytes // (BROADCAST_WORD + 32)
+    whole = (v.agg(F.sum(F.octet_length("token") + ENTRY_BYTES)).first()[0] or 0) <= broadcast_bytes
+    count = broadcast_bytes // (BROADCAST_WORD + ENTRY_BYTES)
     in_head = (F.col("token_id") < FIRST_WORD_ID + count) & (F.octet_length("token") <= BROADCAST_WORD)
     head = (v if whole else v.where(in_head)).toArrow().combine_chunks()
     column = lambda c: pa.concat_arrays(head.column(c).chunks) if head.num_rows else pa.array([], head.schema.field(c).type)
@@ -114,19 +130,14 @@ def token_ids(texts: DataFrame, vocab: DataFrame, key_col: str | Sequence[str],
     x = texts.select(*keys, kept.alias("_words"))
     if whole:
         return x.select(*keys, _looked_up(F.col("_words"), shared, UNKNOWN_ID).alias("input_ids"))
-    missed = -1
-    x = frozen(x.withColumn("_ids", _looked_up(F.col("_words"), shared, missed))
-               .withColumn("_row", F.monotonically_increasing_id()), "tokens")
-    some = F.array_contains("_ids", F.lit(missed).cast("long"))
-    pairs = F.posexplode(F.arrays_zip(F.col("_words").alias("w"), F.col("_ids").alias("i"))).alias("pos", "e")
-    each = x.where(some).select("_row", pairs).select("_row", "pos", F.col("e.w").alias("token"), F.col("e.i").alias("_id"))
-    tail = (each.where(F.col("_id") == missed).join(v.where(~in_head), "token", "left")
-            .select("_row", "pos", F.coalesce("token_id", F.lit(UNKNOWN_ID).cast("long")).alias("_id")))
-    known = each.where(F.col("_id") != missed).select("_row", "pos", "_id")
-    whole_rows = (known.unionByName(tail).groupBy("_row")
-                  .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_id"))), lambda s: s["_id"]).alias("_all")))
-    return (x.select(*keys, "_row", "_ids").join(whole_rows, "_row", "left")
-            .select(*keys, F.coalesce("_all", "_ids").alias("input_ids")))
+    x = frozen(x.withColumn("_ids", _looked_up(F.col("_words"), shared, MISSED))
+               .select(*keys, "_ids", _missed_words("_words", "_ids").alias("_missed"),
+                       F.monotonically_increasing_id().alias("_row")), "tokens")
+    each = x.select("_row", F.posexplode("_missed").alias("pos", "token")).join(v.where(~in_head), "token", "left")
+    found = F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN_ID).cast("long")).alias("i"))
+    rows = each.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(found)), lambda s: s["i"]).alias("_found"))
+    return (x.join(rows, "_row", "left")
+            .select(*keys, _filled("_ids", F.coalesce("_found", F.array().cast("array<bigint>"))).alias("input_ids")))
 
 
 def truncate(ids: Column, max_length: int = MAX_LENGTH) -> Column:

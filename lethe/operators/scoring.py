@@ -4,27 +4,24 @@ A reference and its prediction sit in one row, so n-gram overlap is
 row-local: no gram is exploded or shuffled, and scoring is a map-only
 stage before the per-set aggregates.  Tokens are built in the JVM
 (split, lower, regex); the clipped n-gram counts (and the LCS for
-ROUGE-L) are one Arrow-batched pandas UDF per row batch.  Measured at
-sf0.1 this is ~5x faster than the same counts with interpreted
-higher-order functions (sort + fold) and ~8x faster than exploding
-grams into a shuffle.  The formulas stay in Column expressions.
+ROUGE-L) are one Arrow UDF over whole batches, without a loop over rows.
+The formulas stay in Column expressions.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lethe.functions.text import extract_response, option_letter, py_split
-from lethe.operators.lcs import lcs_len
+from lethe.operators.lcs import lcs_lengths
 
 # BLEU-4 with uniform weights and "method 1" smoothing.
 BLEU_MAX_N = 4
@@ -65,27 +62,41 @@ def rouge_tokens(col) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "[^a-z0-9]+"))
 
 
-def clipped_counts(refs: list, hyps: list, orders: Sequence[int]) -> dict[int, np.ndarray]:
+def numbered(refs: pa.Array, hyps: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lists of tokens as numbers: the tokens of all references, then of all
+    predictions, and where the lists begin and end in either; a null list has
+    no tokens."""
+    flat = pa.chunked_array([refs.flatten(), hyps.flatten()]).combine_chunks()
+    flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
+    token = flat.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    at = [np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(x), 0).to_numpy())]).astype(np.int64)
+          for x in (refs, hyps)]
+    return token, at[0], at[1]
+
+
+def clipped_counts(refs, hyps, orders: Sequence[int]) -> dict[int, np.ndarray]:
+    """``_clipped`` of lists of tokens."""
+    lists = [pa.array([None if x is None else list(x) for x in side], pa.list_(pa.string())) for side in (refs, hyps)]
+    return _clipped(*numbered(*lists), orders)
+
+
+def _clipped(token: np.ndarray, ref_at: np.ndarray, hyp_at: np.ndarray, orders: Sequence[int]) -> dict[int, np.ndarray]:
     """Per order n, for each row the sum over distinct n-grams of
-    min(count in reference, count in prediction).
-
-    All rows at once: tokens become numbers, an n-gram the number of its
-    pair (n-1-gram, last token), and (row, gram) pairs are counted by one
-    sort a side."""
-    rows = len(refs)
-    size = np.array([len(x) for x in refs] + [len(x) for x in hyps], np.int64)
-    tokens = np.fromiter(itertools.chain(itertools.chain.from_iterable(refs), itertools.chain.from_iterable(hyps)),
-                         object, int(size.sum()))
-    word = pd.factorize(tokens)[0].astype(np.int64) if len(tokens) else np.zeros(0, np.int64)
-    text = np.repeat(np.arange(2 * rows), size)
-    gram, out = word, {}
+    min(count in reference, count in prediction); tokens as ``numbered``
+    gives them.
+
+    All rows at once: an n-gram is the number of its pair (n-1-gram, last
+    token), and (row, gram) pairs are counted by one sort a side."""
+    rows = len(ref_at) - 1
+    text = np.repeat(np.arange(2 * rows), np.concatenate([np.diff(ref_at), np.diff(hyp_at)]))
+    gram, out = token, {}
     for n in range(1, max(orders) + 1):
         if n > 1:
-            if len(word) < n:
+            if len(token) < n:
                 gram = gram[:0]
             else:
                 # Grams that run over a text's end are left out by ``inside``.
-                pair = gram[:len(word) - n + 1] * (len(word) + 1) + word[n - 1:]
+                pair = gram[:len(token) - n + 1] * (len(token) + 1) + token[n - 1:]
                 gram = np.unique(pair, return_inverse=True)[1].ravel()
         m = len(gram)
         inside = text[:m] == text[n - 1:n - 1 + m]
@@ -105,25 +116,21 @@ COUNT_FIELDS = [f"{p}{n}_{c}" for p, ns in _ORDERS for n in ns for c in ("num",
 
 @functools.lru_cache(maxsize=2)
 def _counts_udf(with_lcs: bool):
-    fields = [T.StructField(f, T.LongType()) for f in COUNT_FIELDS]
-    if with_lcs:
-        fields.append(T.StructField("lcs", T.LongType()))
-    schema = T.StructType(fields)
-
-    @F.pandas_udf(schema)
-    def counts(br: pd.Series, bh: pd.Series, rr: pd.Series, rh: pd.Series) -> pd.DataFrame:
-        lists = lambda col: [() if v is None else v for v in col]  # a NULL text has no tokens
+    names = [*COUNT_FIELDS, *(["lcs"] if with_lcs else [])]
+
+    @F.arrow_udf(T.StructType([T.StructField(f, T.LongType()) for f in names]))
+    def counts(br: pa.Array, bh: pa.Array, rr: pa.Array, rh: pa.Array) -> pa.Array:
         out = {}
-        for (p, ns), refs, hyps in zip(_ORDERS, (lists(br), lists(rr)), (lists(bh), lists(rh))):
-            num = clipped_counts(refs, hyps, ns)
-            n_ref, n_hyp = (np.array([len(x) for x in side], np.int64) for side in (refs, hyps))
+        for (p, ns), refs, hyps in zip(_ORDERS, (br, rr), (bh, rh)):
+            token, ref_at, hyp_at = numbered(refs, hyps)
+            num = _clipped(token, ref_at, hyp_at, ns)
             for n in ns:
                 out[f"{p}{n}_num"] = num[n]
-                out[f"{p}{n}_hyp"] = np.maximum(n_hyp - n + 1, 0)
-                out[f"{p}{n}_ref"] = np.maximum(n_ref - n + 1, 0)
+                out[f"{p}{n}_hyp"] = np.maximum(np.diff(hyp_at) - n + 1, 0)
+                out[f"{p}{n}_ref"] = np.maximum(np.diff(ref_at) - n + 1, 0)
         if with_lcs:
-            out["lcs"] = np.array([lcs_len(c, d) for c, d in zip(rr, rh)], np.int64)
-        return pd.DataFrame(out, columns=[f.name for f in schema.fields])
+            out["lcs"] = lcs_lengths(token[:ref_at[-1]], ref_at, token[ref_at[-1]:], hyp_at)
+        return pa.StructArray.from_arrays([pa.array(out[f], pa.int64()) for f in names], names)
 
     return counts
 

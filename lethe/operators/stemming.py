@@ -5,9 +5,9 @@ only after a consonant, and a few changed suffixes.  The paper's rules are
 the ``extended=False`` variant.
 
 Stemming is a per-token string rewrite with no Spark equivalent, so it
-runs in an Arrow-batched pandas UDF over whole token arrays: no explode,
-no shuffle, the rows stay where they are.  Each Python worker memoises
-stems (a bounded cache), so a frequent word is stemmed once per worker.
+runs in an Arrow UDF over the dictionary of a batch's tokens: no explode,
+no shuffle, no loop over rows.  Each Python worker memoises stems (a bounded
+cache), so a frequent word is stemmed once per worker.
 Tokens of three characters or fewer are left unchanged (the ROUGE rule).
 """
 
@@ -15,7 +15,9 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,9 +166,15 @@ def stem_token(tok: str) -> str:
     return tok if len(tok) <= MIN_STEM_LEN else porter_stem(tok)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stem_arrays(tokens: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None else [stem_token(t) for t in a] for a in tokens])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _stem_arrays(tokens: pa.Array) -> pa.Array:
+    """Each distinct token of the batch is stemmed once; the lists keep their
+    shape, a null list stays null."""
+    flat = tokens.flatten().dictionary_encode()
+    stems = pa.array([None if t is None else stem_token(t) for t in flat.dictionary.to_pylist()], pa.string())
+    size = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy()
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), stems.take(flat.indices),
+                                    mask=tokens.is_null())
 
 
 def stem_tokens(tokens: Column) -> Column:

@@ -125,6 +125,34 @@ def test_positions_move_keys_only(spark):
     assert plan.count("payload") <= 8
 
 
+def test_lcs_of_many_pairs_at_once(monkeypatch):
+    """Pairs of all lengths, null and empty ones, also in small groups."""
+    import random
+
+    import pyarrow as pa
+
+    from lethe.operators import lcs
+    from lethe.operators.scoring import numbered
+    r = random.Random(5)
+    text = lambda: [r.choice("abcdefgh"[:r.choice([1, 2, 8])]) for _ in range(r.choice([0, 1, 2, 5, 63, 64, 65, 130, 300]))]
+    pairs = [(text(), text()) for _ in range(150)] + [(None, ["a"]), (["a"], None), (["x"] * 2000, ["x"] * 1500), ([], [])]
+
+    def table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    want = [table(a or [], b or []) if max(len(a or []), len(b or [])) < 1000 else 1500 for a, b in pairs]
+    token, ref_at, hyp_at = numbered(*(pa.array(x, pa.list_(pa.string())) for x in zip(*pairs)))
+    for size in (lcs.GROUP_BYTES, 5000):
+        monkeypatch.setattr(lcs, "GROUP_BYTES", size)
+        assert lcs.lcs_lengths(token[:ref_at[-1]], ref_at, token[ref_at[-1]:], hyp_at).tolist() == want
+
+
 def test_clipped_counts_brute_force():
     import random
     from collections import Counter
