@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lethe.functions.arrays import let
 from lethe.llm.common import lower_ascii, staged
 
 # Characters of the longest context.
@@ -68,10 +69,11 @@ def rule_of(host, path, rules=RULES) -> Column:
 
 
 def _strings(url) -> Column:
-    """The ORDER + 1 characters that end at each character of a URL and at its end."""
+    """The ORDER + 1 characters that end at each character of a URL and at its
+    end.  The URL is cut into characters once, so the work is linear."""
     padded = F.concat(F.lit(_BEGIN * ORDER), url, F.lit(_END))
-    n = F.char_length(url) + 1
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(padded, i, F.lit(ORDER + 1)))
+    return let(F.split(padded, ""), lambda c: F.transform(
+        F.sequence(F.lit(0), F.size(c) - ORDER - 1), lambda i: F.concat(*[F.get(c, i + k) for k in range(ORDER + 1)])))
 
 
 def _models(strings: DataFrame) -> DataFrame:
@@ -126,35 +128,37 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     rule: the fitting rule's name or null; verdict: the rule's, else the
     models'; score: the models' (null under a rule).  A null URL, or one
     without ``://``, has an empty host and path; its text is judged by the
-    models (null as empty).  Without accepted and rejected URLs to learn from
+    models (null as empty).  A URL of any length is read whole, in work and
+    rows linear in it; pages that share a URL share its score.  Without accepted and rejected URLs to learn from
     both models are alike and every score is 0: allow."""
     url = F.coalesce(pages["url"], F.lit(""))
     host, path = host_of(pages["url"]), path_of(pages["url"])
     rows = pages.select(pages["page_id"], host.alias("host"), path.alias("path"), url.alias("url"))
-    rows = rows.withColumn("k", rule_of(F.col("host"), F.col("path"), rules))
+    # A URL's strings go with its 128-bit hash, not with the URL itself.
+    rows = rows.withColumn("k", rule_of(F.col("host"), F.col("path"), rules)).withColumn("u", F.unhex(F.md5("url")))
     verdicts, names = _of_rule([r.verdict for r in rules]), _of_rule([r.name for r in rules])
     # Each distinct URL once, dealt out by count, as each becomes many strings;
     # what follows :// is what the models read.
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    urls = rows.select("url", "k").distinct().repartition(n, "url").withColumn("told", verdicts)
+    urls = rows.select("url", "u", "k").distinct().repartition(n, "u").withColumn("told", verdicts)
     urls = urls.withColumn("held", F.crc32(F.col("url").cast("binary")) % HELD == 0)
     body = F.regexp_replace("url", r"(?s)^.*?://", "")
-    cut_up = urls.select("url", "k", "told", "held", F.explode(_strings(lower_ascii(body))).alias("g"))
+    cut_up = urls.select("u", "k", "told", "held", F.explode(_strings(lower_ascii(body))).alias("g"))
     counted = F.col("told").isNotNull() & ~F.col("held")
     # Both are read several times below.
     strings = staged(cut_up.groupBy("g").agg(
         F.sum(F.when(counted & (F.col("told") == "allow"), 1).otherwise(0)).alias("a"),
         F.sum(F.when(counted & (F.col("told") == "block"), 1).otherwise(0)).alias("b")))
     judged = cut_up.where("k is null or held")
-    scores = staged(judged.join(_models(strings), "g").groupBy("url", "told").agg(F.avg("r").alias("score")))
+    scores = staged(judged.join(_models(strings), "g").groupBy("u", "told").agg(F.avg("r").alias("score")))
     # At most 2001 bins whatever the number of URLs.
     bins = (scores.where(F.col("told").isNotNull())
             .groupBy(F.round(F.greatest(F.lit(-10.0), F.least(F.lit(10.0), F.col("score"))), 2).alias("bin"))
             .agg(F.count(F.when(F.col("told") == "allow", 1)).alias("a"),
                  F.count(F.when(F.col("told") == "block", 1)).alias("b")).collect())
     cut = best_cut([(r.bin, r.a, r.b) for r in bins])
-    own = scores.where(F.col("told").isNull()).select(F.col("url").alias("u"), "score")
-    joined = rows.join(own, (F.col("url") == F.col("u")) & F.col("k").isNull(), "left")
+    own = scores.where(F.col("told").isNull()).select(F.col("u").alias("judged"), "score")
+    joined = rows.join(own, (F.col("u") == F.col("judged")) & F.col("k").isNull(), "left")
     return joined.select("page_id", "host", "path", names.alias("rule"),
                          F.coalesce(verdicts, F.when(F.col("score") >= cut, "allow").otherwise("block")).alias("verdict"),
                          "score")

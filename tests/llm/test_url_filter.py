@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -95,3 +96,15 @@ def test_empty_and_native(spark):
     plan = U.judge_urls(spark.createDataFrame(pages(60), "page_id long, url string"))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "Arrow" not in text
+
+
+def test_very_long_url(spark):
+    """A URL of a million characters, wide ones among them, takes seconds and changes no other verdict."""
+    rows = pages(120)
+    long = "http://long.org/" + "aé𝒳/b-c" * 150_000
+    start = time.time()
+    out = {r.page_id: r for r in U.judge_urls(spark.createDataFrame(rows + [(1000, long)], "page_id long, url string")).collect()}
+    assert time.time() - start < 60
+    assert out[1000].path == long[len("http://long.org"):] and out[1000].score is not None
+    want, _ = brute(rows + [(1000, "http://long.org/" + "aé𝒳/b-c" * 40)])
+    assert all(out[i].verdict == want[u or ""][0] for i, u in rows if want[u or ""][1])
