@@ -54,6 +54,11 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
     twice: Twice = twice_seen(keys.select(F.xxhash64("key")), hashes, size // (min_chars + 1))
     suspected = _suspected(spark.sparkContext.broadcast(twice))
     rows = keys.where(suspected(F.xxhash64("key")))
+    # Documents are counted.  Without repeated ids each row is one; else the
+    # rows of one id and line are made one first.
+    ids = docs.groupBy(F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NULL_ID))).count()
+    if ids.where("count > 1").limit(1).count():
+        rows = rows.distinct()
     # Staged, so that the join below has a shuffle of its own on both sides and
     # Spark can split the partition of a very frequent line.
     kept_in = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper"))
@@ -69,9 +74,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, prefix:
 
     A key of at least ``min_chars`` code points that at least ``min_docs``
     documents hold loses all its lines except in the largest doc_id holding
-    it (there all of them stay).  Every row counts as a document: rows that
-    repeat a doc_id each count, and all of them keep the line if that id is
-    the largest.  Null or empty text is one empty line and becomes empty.
+    it (there all of them stay).  Rows that repeat a doc_id are one document:
+    they count once, and all of them keep the line if that id is the
+    largest; rows without a doc_id are one document too.  Null or empty text is one empty line and becomes empty.
     A null doc_id is smaller than any other."""
     own_id, dropped, kept = fresh(docs, "__id", "__dropped", "__kept")
     drops = repeated_lines(docs, min_chars, min_docs).select(F.col("id").alias(own_id), F.col("keys").alias(dropped))

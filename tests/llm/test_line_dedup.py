@@ -16,12 +16,12 @@ def key(line):
 
 
 def brute(rows, min_chars, min_docs):
-    held = defaultdict(list)
+    held = defaultdict(set)
     low = -(1 << 63)
     for i, t in rows:
         for k in {key(x) for x in (t or "").split("\n")}:
             if len(k) >= min_chars:
-                held[k].append(low if i is None else i)
+                held[k].add(low if i is None else i)
     keeper = {k: max(v) for k, v in held.items() if len(v) >= min_docs}
     out = []
     for i, t in rows:
@@ -81,3 +81,30 @@ def test_filter_never_misses_a_repeat(spark):
     twice = bloom.twice_seen(rows, lambda b: b.column(0).to_numpy().view(np.uint64), len(h))
     got = twice.suspects(h.view(np.uint64))
     assert got[:3000].all() and got[3000:].mean() < 0.05
+
+
+def test_documents_are_counted_not_rows(spark):
+    """Four rows of one document and one of another hold the line: two documents, as in the query's SQL."""
+    line = "a long line that is in every one of these rows"
+    rows = [(1, line)] * 4 + [(2, line + "\nx")]
+    check(spark, rows)
+    assert all(r.n_dropped == 0 for r in dedup_lines(frame(spark, rows)).collect())
+    check(spark, rows + [(3, line), (4, line), (None, line), (None, line)])
+
+
+def test_sql_twin_on_repeated_ids(spark):
+    import duckdb
+    import pandas as pd
+
+    from lethe.llm.common import digest
+    from lethe.llm.queries import OP1_SQL
+    from pyspark.sql import functions as F
+    rows = [(i % 40, t) for i, t in corpus(150, 6) if i is not None]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    # The SQL gives a row a document; compare what is dropped in all.
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_lines", "n_dropped",
+                                                                                   digest(F.col("text")).alias("h"))
+    got = out.groupBy("doc_id").agg(F.sum("n_lines"), F.sum("n_dropped")).collect()
+    want = con.execute(f"SELECT doc_id, n_lines, n_dropped FROM ({OP1_SQL})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
