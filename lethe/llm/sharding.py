@@ -10,9 +10,11 @@ is added.
 The ring is cut into ``CELLS`` equal cells.  Spark counts the keys of each
 cell; who takes how many keys of which cell follows from these counts alone
 (a walk over the cells on the driver, whose size is fixed by the number of
-cells and shards); rows are ranked inside their cell and join the cell's
-quotas.  No row passes the driver, and a cell holds a 1 / CELLS part of
-the keys.
+cells and shards).  Rows equal in all columns are counted first; the distinct
+ones are ranked inside a part of their cell, with the counts of the parts
+before it as offset, and their ranks are cut by the cell's quotas.  So a key,
+or one repeated row, of a third of all rows is spread over tasks, and no row
+passes the driver.
 """
 
 from __future__ import annotations
@@ -22,9 +24,15 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lethe.llm.common import staged
+
 # A power of two; the top bits of a hash are its cell.
 CELLS = 1 << 14
 VIRTUAL_NODES = 64
+# Parts of a cell that are ranked apart, as a power of two.
+PART_BITS = 6
+# Equal rows that one record stands for, at most, when they become rows again.
+STEP = 1 << 12
 
 
 def _cell(h):
@@ -96,8 +104,11 @@ def assign_shards(docs: DataFrame, shards: int = 40, slack: float = 0.0, virtual
 
     size: UTF-8 bytes of the text (null: none) plus 16; text_crc32: of the
     UTF-8 text (null as empty).  The key on the ring is the doc_id, or size
-    and crc where it is null; keys inside a cell are ordered by hash, doc_id, size and
-    crc, so rows equal in all of these are interchangeable.  slot numbers a
+    and crc where it is null; rows inside a cell are ordered by a hash of
+    doc_id, size and crc, then by these, so rows equal in all of them (ties,
+    repeated rows) are interchangeable.  An empty table gives no rows; other
+    columns are not read, whatever their names; a text of any length counts
+    by its bytes.  slot numbers a
     shard's rows from 0 without gaps.  law is ``rows`` without slack: shard
     counts are at most one apart.  That law bounds every shard by the number
     of rows, so where a row goes depends on the others too, and grown_shard
@@ -109,18 +120,37 @@ def assign_shards(docs: DataFrame, shards: int = 40, slack: float = 0.0, virtual
                         F.crc32(text.cast("binary")).cast("bigint").alias("text_crc32"))
     h = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.lit("key"), "doc_id")).otherwise(
         F.xxhash64(F.lit("null"), "size", "text_crc32"))
-    keyed = keyed.withColumn("h", h).withColumn("cell", _cell(F.col("h")))
-    counts = {r[0]: r[1] for r in keyed.groupBy("cell").count().collect()}
+    # Rows equal in all columns are counted; a part of a cell holds a share of
+    # its distinct rows, also where one key has very many.
+    alike = keyed.withColumn("cell", _cell(h)).groupBy("doc_id", "size", "text_crc32", "cell").agg(
+        F.count(F.lit(1)).alias("times"))
+    alike = alike.withColumn("o", F.xxhash64(F.lit("order"), "doc_id", "size", "text_crc32"))
+    alike = staged(alike.withColumn("part", F.shiftrightunsigned("o", 64 - PART_BITS)))
+    parts = staged(alike.groupBy("cell", "part").agg(F.sum("times").alias("times")))
+    counts = {r[0]: r[1] for r in parts.groupBy("cell").agg(F.sum("times")).collect()}
     takes = quotas(ring(spark, shards, virtual_nodes), counts, bounds(sum(counts.values()), shards, slack))
     schema = "array<struct<c: int, a: bigint, b: bigint, shard: int, s: bigint>>"
     names = ("c", "a", "b", "shard", "s")
     table = spark.range(1).select(F.inline(F.from_json(
         F.lit(json.dumps([dict(zip(names, t)) for t in takes])), schema)))
-    order = Window.partitionBy("cell").orderBy("h", "doc_id", "size", "text_crc32")
-    ranked = keyed.withColumn("rank", F.row_number().over(order) - 1)
-    # At most CELLS + shards rows of five numbers.
-    return (ranked.join(F.broadcast(table), (F.col("cell") == F.col("c")) & (F.col("rank") >= F.col("a"))
-                        & (F.col("rank") < F.col("b")))
+    def before(window):
+        return F.coalesce(F.sum("times").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = parts.select(F.col("cell").alias("in_cell"), F.col("part").alias("in_part"),
+                         before(Window.partitionBy("cell").orderBy("part")).alias("ahead"))
+    placed = alike.join(ahead, (F.col("cell") == F.col("in_cell")) & (F.col("part") == F.col("in_part")))
+    rank = F.col("ahead") + before(Window.partitionBy("cell", "part").orderBy("o", "doc_id", "size", "text_crc32"))
+    placed = placed.withColumn("rank", rank)
+    # At most CELLS + shards rows of five numbers; a group's ranks are cut where the quotas are.
+    cut = placed.join(F.broadcast(table), (F.col("cell") == F.col("c")) & (F.col("rank") < F.col("b"))
+                      & (F.col("rank") + F.col("times") > F.col("a")))
+    first, end = F.greatest("rank", "a"), F.least(F.col("rank") + F.col("times"), F.col("b"))
+    cut = cut.select("doc_id", "size", "text_crc32", "shard", (F.col("s") + first - F.col("a")).alias("slot"),
+                     (end - first).alias("n"))
+    # Equal rows again, in steps that are dealt out before they become rows.
+    steps = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {STEP}")))
+    cut = cut.withColumn("k", steps).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "slot", "k")
+    again = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(STEP), F.col("n") - F.col("k") * STEP) - 1))
+    return (cut.withColumn("i", again)
             .select("doc_id", "size", "text_crc32", F.lit("rows" if not slack else "bound").alias("law"), "shard",
-                    (F.col("s") + F.col("rank") - F.col("a")).cast("bigint").alias("slot"),
+                    (F.col("slot") + F.col("k") * STEP + F.col("i")).cast("bigint").alias("slot"),
                     F.lit(None).cast("int").alias("grown_shard")))

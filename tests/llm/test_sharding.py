@@ -4,8 +4,11 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from conftest import SF0001
 from lethe.llm import sharding as S
+from lethe.llm.queries import QUERIES
 
 
 def walk(points, keys, most):
@@ -73,3 +76,38 @@ def test_movement_is_limited(spark):
 def test_main_path_is_native(spark):
     plan = S.assign_shards(docs_of(spark, [(1, "a"), (2, "b")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_key_and_a_row_of_a_third_of_all_rows(spark):
+    """One doc_id with many texts, and one row repeated as often: the law and the slots hold, and neither fills one
+    task."""
+    rows = [(i, f"t{i}") for i in range(2000)] + [(7, f"text {i}") for i in range(2000)] + [(None, "again")] * 20_000
+    df = docs_of(spark, rows).repartition(6)
+    out = S.assign_shards(df)
+    sizes = out.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert max(r["count"] for r in sizes) < 12_000
+    got = out.collect()
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((i, len(t) + 16) for i, t in rows)
+    n = Counter(r.shard for r in got)
+    assert max(n.values()) - min(n.values()) <= 1 and len(n) == 40
+    for shard in n:
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(n[shard]))
+
+
+def test_rows_equal_the_walk(spark):
+    """The whole table, row by row in ring order, each to the first shard with room: the query's shards and slots."""
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet")
+    keyed = docs.select("doc_id", (F.octet_length("text") + 16).cast("long").alias("size"),
+                        F.crc32(F.col("text").cast("binary")).alias("crc"))
+    keyed = keyed.select("*", S._cell(F.xxhash64(F.lit("key"), "doc_id")).alias("cell"),
+                         F.xxhash64(F.lit("order"), "doc_id", "size", "crc").alias("o")).collect()
+    by = sorted(keyed, key=lambda r: (r.cell, r.o % (1 << 64) >> (64 - S.PART_BITS), r.o))
+    rank = Counter()
+    keys = []
+    for r in by:
+        keys.append((r.cell, rank[r.cell]))
+        rank[r.cell] += 1
+    placed = walk(S.ring(spark, 40), keys, S.bounds(len(by), 40))
+    want = {r.doc_id: placed[k] for r, k in zip(by, keys)}
+    got = {r.doc_id: (r.shard, r.slot) for r in QUERIES["op7_sharding"](spark, SF0001).collect()}
+    assert got == want
