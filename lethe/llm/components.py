@@ -1,9 +1,11 @@
 """Connected components of a table of links, by large-star and small-star.
 
 Links stay a distributed table: every round is two shuffles of at most the
-links there are, staged in the shared checkpoint folder.  No node's
-neighbours meet in one task: each round needs only the smallest neighbour of
-a node (a partial aggregate), joined back to the node's links.
+links there are, staged in the shared checkpoint folder.  Each round needs
+the smallest neighbour of a node only (a partial aggregate), joined back to
+the node's links.  The smallest neighbours are staged first, so both sides of
+that join have a shuffle of their own and Spark can split the partition of a
+node that has very many links.
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ def connected(links: DataFrame) -> DataFrame:
     while True:
         # Large star: each neighbour above a node links to the node's smallest neighbour.
         both = edges.union(edges.select("lo", "hi")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.where("v > u").join(low, "u")
-                 .select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
+        low = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = staged(both.where("v > u").join(low, "u")
+                       .select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
         # Small star: a node's smaller neighbours and itself link to the smallest of them.
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        least = staged(large.groupBy("hi").agg(F.min("lo").alias("m")))
         small = (large.join(least, "hi").select(F.explode(F.array(
             F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")),
             F.struct("hi", F.col("m").alias("lo")))).alias("e"))

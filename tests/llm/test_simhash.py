@@ -115,3 +115,12 @@ def test_edges(spark):
                  S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(-1, 5), (-1, 6), (5, 5), (5, 5), (6, 6)]
     assert spark.range(1).select(F.xxhash64(F.lit("a b c"))).first()[0] % 2**64 == xxhash.xxh64_intdigest(b"a b c", 42)
+
+
+def test_star_is_joined_by_splittable_sides(spark):
+    """A node of very many neighbours: both sides of its join are scans with a shuffle each, so Spark can split it."""
+    n = 20_000
+    links = spark.range(1, n).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    high = spark.range(n, 2 * n - 1).select(F.lit(2 * n).cast("long").alias("a"), F.col("id").alias("b"))
+    roots = {r["root"]: r["count"] for r in connected(links.union(high)).groupBy("root").count().collect()}
+    assert roots == {0: n - 1, n: n - 1}
