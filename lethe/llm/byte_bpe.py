@@ -7,9 +7,10 @@ open-addressing hash table, merges each row's leftmost pair of the lowest
 rank and compacts the row; rows without a known pair are done.  Decoding
 joins the bytes of the ids.
 
-A piece of over 512 bytes would need hundreds of rounds; it merges by a
-heap of (rank, position) instead, which takes the same pairs in the same
-order.
+Rows of long pieces need many rounds, so there a round must not cost a whole
+row: their ranks stand in blocks whose least ranks are kept, cells stay where
+they are, linked to their neighbours, and the row is compacted only when half
+of its cells are merged away.  The pairs merged, and their order, are the same.
 
 The ranks file is a parameter.  Its tables (a few entries per vocabulary
 id, whatever the corpus) are made on the driver and broadcast.
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +34,8 @@ from lethe.llm.common import mix, short_batches, text_chunks
 REMEMBERED = 150_000
 # Cells of one matrix.
 CELLS = 1 << 20
-# Rounds grow with a piece's length and each costs a whole row, so a piece
-# of more bytes merges by a heap of its pairs instead (same order).
-LONG = 512
+# Rows of more cells keep their least ranks by blocks of so many cells.
+BLOCK = 512
 _NONE = np.int32(2**31 - 1)
 
 
@@ -164,40 +163,55 @@ class Encoder:
                         ranks[r, c] = self.pairs.lookup(ids[r, c], ids[r, c + 1])
         return out
 
-    def _merge_long(self, piece: bytes) -> bytes:
-        ids = self.pairs.bytes_id[np.frombuffer(piece, np.uint8)]
-        if (ids < 0).any():
-            raise ValueError("the ranks lack a single byte of the text")
+    def _merge_blocks(self, pieces: list[bytes]) -> list[bytes]:
+        """As ``_merge``, for pieces of many bytes."""
+        out = [b""] * len(pieces)
+        for row, piece in enumerate(pieces):
+            ids = self.pairs.bytes_id[np.frombuffer(piece, np.uint8)]
+            if (ids < 0).any():
+                raise ValueError("the ranks lack a single byte of the text")
+            while True:
+                ids, left = self._until_half(ids)
+                if not left:
+                    break
+            out[row] = ids.astype("<u4").tobytes()
+        return out
+
+    def _until_half(self, ids: np.ndarray) -> tuple[np.ndarray, bool]:
+        """Rounds on one row until it is done, or until half of its cells are
+        merged away; the row without those cells, and whether pairs are left."""
         n = len(ids)
-        ranks = self.pairs.lookup(ids[:-1], ids[1:])
-        heap = [(int(r), i) for i, r in enumerate(ranks.tolist()) if r != _NONE]
-        heapq.heapify(heap)
-        ids, rank = ids.tolist(), ranks.tolist() + [int(_NONE)]
-        left, right, one = list(range(-1, n - 1)), list(range(1, n + 1)), np.zeros(1, np.int32)
-
-        def pair(i: int) -> None:
-            j = right[i]
-            r = int(self.pairs.lookup(one + ids[i], one + ids[j])[0]) if j < n else int(_NONE)
-            rank[i] = r
-            if r != _NONE:
-                heapq.heappush(heap, (r, i))
-
-        while heap:
-            r, i = heapq.heappop(heap)
-            if rank[i] != r:
-                continue  # an entry of before
-            j = right[i]
-            ids[i], rank[j], right[i] = r, -1, right[j]
-            if right[j] < n:
-                left[right[j]] = i
-            pair(i)
-            if left[i] >= 0:
-                pair(left[i])
-        out, i = [], 0
-        while i < n:
-            out.append(ids[i])
-            i = right[i]
-        return np.array(out, "<u4").tobytes()
+        blocks = -(-n // BLOCK)
+        ranks = np.full(blocks * BLOCK, _NONE, np.int32)  # of the pair that begins in the cell
+        ranks[:n - 1] = self.pairs.lookup(ids[:-1], ids[1:])
+        least = ranks.reshape(blocks, BLOCK).min(axis=1)
+        ids = ids.copy()
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        alive = np.ones(n, bool)
+        gone = 0
+        while 2 * gone <= n:
+            block = int(least.argmin())
+            best = least[block]
+            if best == _NONE:
+                return ids[alive], False
+            # The first block with the least rank, and the first cell in it: the leftmost pair.
+            at = block * BLOCK + int(ranks[block * BLOCK:(block + 1) * BLOCK].argmin())
+            merged = after[at]
+            ids[at], alive[merged], ranks[merged] = best, False, _NONE
+            after[at] = after[merged]
+            if after[at] < n:
+                before[after[at]] = at
+            gone += 1
+            # Only the pairs at the merged cell are new.
+            begins = [c for c in (before[at], at) if c >= 0]
+            known = [c for c in begins if after[c] < n]
+            for c in begins:
+                ranks[c] = _NONE
+            if known:
+                ranks[known] = self.pairs.lookup(ids[known], ids[after[known]])
+            for b in {block, int(merged) // BLOCK, int(begins[0]) // BLOCK}:
+                least[b] = ranks[b * BLOCK:(b + 1) * BLOCK].min()
+        return ids[alive], True
 
     def learn(self, pieces: list[str]) -> None:
         """Adds the ids of unknown distinct pieces to the memory."""
@@ -207,8 +221,6 @@ class Encoder:
             i = self.whole.get(raw)
             if i is not None:
                 self.known[p] = i.to_bytes(4, "little")
-            elif len(raw) > LONG:
-                self.known[p] = self._merge_long(raw)
             else:
                 todo.append((len(raw), raw, p))
         todo.sort(key=lambda x: x[0])
@@ -218,7 +230,8 @@ class Encoder:
             most, j = todo[i][0] + max(1, todo[i][0] // 4), i
             while j < len(todo) and todo[j][0] <= most and (j == i or (j - i + 1) * todo[j][0] <= CELLS):
                 j += 1
-            for (_, _, p), ids in zip(todo[i:j], self._merge([x[1] for x in todo[i:j]])):
+            merge = self._merge if most <= BLOCK else self._merge_blocks
+            for (_, _, p), ids in zip(todo[i:j], merge([x[1] for x in todo[i:j]])):
                 self.known[p] = ids
             i = j
 

@@ -34,6 +34,16 @@ def test_encoder_equals_library(library):
     assert all(enc.decode(ids) == t.encode() for t, ids in zip(rows, enc.encode_batch(rows)))
 
 
+def test_long_pieces_equal_the_library(library):
+    """Pieces of 100,000 bytes, and such around a block's size, by the rounds of all others."""
+    r = random.Random(2)
+    enc = B.Encoder(B.load_ranks(PATH), P.PATTERN)
+    rows = ["a" * 100_000, "".join(r.choice("etaoinshrdlu") for _ in range(100_000)), "é漢" * 20_000]
+    rows += ["".join(r.choice("etaoinab") for _ in range(n)) for n in (511, 512, 513, 640, 1023, 1024, 1025, 5000)]
+    for t, ids in zip(rows, enc.encode_batch(rows)):
+        assert ids.tolist() == library.encode_ordinary(t)
+
+
 def test_memory_is_bounded(library, monkeypatch):
     monkeypatch.setattr(B, "REMEMBERED", 50)
     enc = B.Encoder(B.load_ranks(PATH), P.PATTERN)
