@@ -78,6 +78,13 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def learning_window(text, most: int):
+    """A text of at most ``most`` characters; of a longer one so many
+    consecutive ones, from a place that the text's hash chooses."""
+    room = F.greatest(F.char_length(text) - most, F.lit(0)) + 1
+    return F.substr(text, (F.pmod(F.xxhash64(text), room) + 1).cast("int"), F.lit(most))
+
+
 def byte_table(inside) -> np.ndarray:
     """Boolean per byte value."""
     return np.array([bool(inside(b)) for b in range(256)])

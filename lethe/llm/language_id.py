@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lethe.llm.common import short_batches
+from lethe.llm.common import learning_window, short_batches
 
 # Documents of a language that the weights are trained on, at most; and of all
 # languages, as long as each has LEAST.
 SAMPLE, SAMPLE_ALL, LEAST = 600, 20_000, 10
-# Of a longer text, the first characters are learnt from.
+# Of a longer text, so many consecutive characters are learnt from (see learning_window).
 SAMPLE_CHARS = 100_000
 DIMENSIONS = 1 << 15
 LONGEST = 3
@@ -206,7 +206,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = [(lang, o) for lang, of in by_lang.items() for o in sorted(of)[:sample]]
     table = docs.sparkSession.createDataFrame(chosen, "lang string, o bigint")
     picked = (rows.join(F.broadcast(table), ["lang", "o"])  # two numbers a row of the sample
-              .select("o", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).dropDuplicates(["lang", "o"]))
+              .select("o", "lang", learning_window(F.col("text"), SAMPLE_CHARS).alias("text")).dropDuplicates(["lang", "o"]))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
