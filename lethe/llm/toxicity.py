@@ -31,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lethe.llm.common import BLANK_BYTE, LOWER_BYTE, byte_table, short_batches, span_hashes, text_chunks, word_spans
+from lethe.llm.common import (BLANK_BYTE, LOWER_BYTE, byte_table, learning_window, short_batches, span_hashes, text_chunks,
+                              word_spans)
 
 # Labelled documents of either label that the machine learns from, at most,
-# and the longest text among them, in characters.
+# and the characters of a longer text that it learns from (see learning_window).
 TRAIN_DOCS = 2000
 TRAIN_CHARS = 100_000
 ORDER = 4
@@ -482,9 +483,10 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     if picked is None:
         return Model(None, np.zeros(0), 0, np.zeros(0), 0, 0)
     text = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    rows = (text.where(F.char_length("text") <= TRAIN_CHARS)
-            .join(F.broadcast(picked), "doc_id")  # at most 2 * most rows
-            .select("doc_id", "toxic", "text").distinct().limit(4 * most).collect())
+    rows = (text.join(F.broadcast(picked), "doc_id")  # at most 2 * most rows
+            .select("doc_id", "toxic", learning_window(F.col("text"), TRAIN_CHARS).alias("text")).distinct()
+            # Rows of one id beyond the bound go by their hashes, not by which task is first.
+            .orderBy(order, F.xxhash64("text"), "toxic").limit(4 * most).collect())
     rows.sort(key=lambda r: (r[0] * 0x9E3779B97F4A7C15 & (1 << 64) - 1, r[2]))
     toxic, clean = [r[2] for r in rows if r[1] == 1], [r[2] for r in rows if r[1] == 0]
     return train(toxic, clean, counts.get(1, 0) / sum(counts.values()))

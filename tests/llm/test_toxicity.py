@@ -128,3 +128,17 @@ def test_words_that_are_toxic_by_repetition():
     for k in toxic:
         found, false = model.scores(pa.array(toxic[k][cut[k]:])) >= 0.5, model.scores(pa.array(clean[k][len(clean[k]) // 2:])) >= 0.5
         assert found.mean() > 0.8 and false.mean() < 0.05, (k, found.mean(), false.mean())
+
+
+def test_a_label_of_long_texts_only_is_learnt(spark, monkeypatch):
+    """Longer texts give a window of the bound's size; repeated rows don't make the sample depend on their order."""
+    monkeypatch.setattr(T, "TRAIN_CHARS", 600)
+    rows = [(i, " ".join([t] * (1 + 700 // len(t))) if y else t, y) for i, t, y in corpus(300)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = T.learn(docs, labels)
+    again = T.learn(docs.repartition(7), labels)
+    assert model.landmarks.strings == again.landmarks.strings and np.allclose(model.weights, again.weights)
+    held = [r for r in T.score_toxicity(docs.distinct(), model).withColumn("out", T.held_out(F.col("doc_id"))).collect() if r.out]
+    y = {i: t for i, _, t in rows}
+    assert np.mean([r.predicted == y[r.doc_id] for r in held]) > 0.95
