@@ -193,9 +193,10 @@ def with_follower(docs: DataFrame) -> tuple[DataFrame, int]:
     begun = np.array([r for r, _ in heads], np.int64)
     after = [(b, heads[int(np.searchsorted(begun, b, "right")) % len(heads)][1]) for b in range(ranges)] if heads else []
     after = spark.createDataFrame(after, "range int, k long")
+    # A row of two numbers a range is broadcast; the texts are not.
     first = (rows.withColumn("k", key).join(F.broadcast(after.select("k").distinct()), "k")
              .groupBy("k").agg(F.min(F.struct(F.xxhash64("text"), "text", "doc_id")).alias("row")))
-    following = after.join(F.broadcast(staged(first)) if ranges * 1024 < 1 << 20 else staged(first), "k")
+    following = staged(first).join(F.broadcast(after), "k")
     cols = ("range", "last", "k", "h", "doc_id", "text")
     both = (numbered.select("range", F.lit(False).alias("last"), "k", F.xxhash64("text").alias("h"), "doc_id", "text")
             .union(following.select("range", F.lit(True).alias("last"), "k", F.lit(0).cast("long").alias("h"),
