@@ -42,7 +42,7 @@ def shown(c: str) -> list[F.Column]:
     x = F.col(c)
     small = ~F.isnan(x) & (F.abs(x) < 1e12)
     word = (F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
-            .when(small, "").otherwise(F.format_string("%.4e", x)))
+            .when(small, "").when(x.isNotNull(), F.format_string("%.4e", x)))
     return [F.when(small, F.round(x + OFF_TIE, 6) + 0.0).alias(c), word.alias(c + "_word")]
 
 
