@@ -15,7 +15,8 @@ from lethe.plans import sqlbits as sb
 from lethe.plans.oracle_views import with_views
 from lethe.plans.registry import register
 from lethe.plans.views import v_customer_ids, v_gen, v_mcq, v_person, v_profile
-from lethe.session import scratch
+from lethe.session import frozen, scratch
+from lethe.sources.versions import write_beside
 
 
 @register("profiles_roundtrip", with_views("v_profile_el") + """
@@ -56,6 +57,32 @@ def q_profiles_quarantine(spark, d):
                                     F.lit(0).cast("long").alias("n_elements"))))
 
 
+@register("profiles_rewrite", with_views("v_profile_el") + """,
+p AS (SELECT DISTINCT ID, Directory FROM v_profile_el)
+SELECT 'broken off' AS state, ID, Directory FROM p UNION ALL SELECT 'not published', ID, Directory FROM p
+UNION ALL SELECT 'repeated', ID, 'new/' || Directory FROM p""")
+def q_profiles_rewrite(spark, d):
+    """S7 over a version that is there: a write whose tasks fail, one that
+    stops before it is published, and one that ends; what readers see after each."""
+    path = scratch(spark, "rewritten")
+    old = frozen(v_profile(spark, d).select("ID", "Directory", "metadata", "conv_id"))
+    new = old.withColumn("Directory", F.concat(F.lit("new/"), "Directory"))
+    fails = F.when(F.col("conv_id") % 5 == 1, F.raise_error(F.lit("stopped"))).otherwise(F.col("Directory"))
+    seen = lambda state: frozen(S.read_training_profiles(spark, path, lines=True).select(
+        F.lit(state).alias("state"), "ID", "Directory"))
+    S.write_profiles(old.drop("conv_id"), path)
+    try:
+        S.write_profiles(new.withColumn("Directory", fails).drop("conv_id"), path)
+    except Exception as e:  # noqa: BLE001 - the failure that the query is about
+        if "stopped" not in str(e):
+            raise
+    out = seen("broken off")
+    write_beside(new.drop("conv_id"), path, "json")
+    out = out.unionByName(seen("not published"))
+    S.write_profiles(new.drop("conv_id"), path)
+    return out.unionByName(seen("repeated"))
+
+
 @register("persons_roundtrip", with_views("v_person") + """
 SELECT ID, Name AS name, Employment AS employment, Born AS born, question, answer FROM v_person""")
 def q_persons_roundtrip(spark, d):

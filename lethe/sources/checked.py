@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from lethe.functions.text import last_path_segment
 from lethe.sources.listing import folder_files
+from lethe.sources.versions import overwrite, read_version
 
 # What the quarantine holds: position = line number from 1 (1 for a file that is one document).
 QUARANTINE = "file_name STRING, position BIGINT, problem STRING, raw STRING"
@@ -44,8 +45,9 @@ def checked_documents(spark: SparkSession, folder: str, schema: T.StructType, pa
     """Every document of the folder, good or not: the schema's columns,
     ``file_name``, ``_problem`` (null for a good one), ``_raw`` and where it
     stands (``_block``, ``_row``).  Blank lines are no documents."""
-    scan = (spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", False)
-            .text(folder, wholetext=not lines))
+    text = lambda paths: (spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", False)
+                          .text(paths, wholetext=not lines))
+    scan = read_version(spark, folder, text)
     x = scan.select(F.col("value").alias("_raw"), last_path_segment(F.col("_metadata.file_path")).alias("file_name"),
                     F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
     if not lines:
@@ -95,8 +97,8 @@ def bad_documents(checked: DataFrame, lines: bool) -> DataFrame:
 
 def write_quarantine(bad: DataFrame, path: str) -> None:
     """Bad documents as JSON lines under ``path`` (replaces an earlier read's)."""
-    bad.write.mode("overwrite").json(path)
+    overwrite(bad, path, "json")
 
 
 def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(QUARANTINE).json(path)
+    return read_version(spark, path, lambda paths: spark.read.schema(QUARANTINE).json(paths))

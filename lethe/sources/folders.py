@@ -19,6 +19,7 @@ from lethe import schemas
 from lethe.functions.text import last_path_segment
 from lethe.sources.checked import bad_documents, checked_documents, good_documents, write_quarantine
 from lethe.sources.listing import folder_files
+from lethe.sources.versions import overwrite, read_version
 
 
 def read_json_folder(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.json",
@@ -66,7 +67,7 @@ def read_log(spark: SparkSession, path: str, schema) -> DataFrame:
     """The tables that the model's side writes as JSON lines, by their
     declared schema (``schemas.STEP_LOG``, ``EXAMPLE_LOSSES``,
     ``TOKEN_LOSSES``, ``LOGITS``, ``PREDICTIONS``, ``GENERATION_RESULT``)."""
-    return spark.read.schema(schema).json(path)
+    return read_version(spark, path, lambda paths: spark.read.schema(schema).option("basePath", path).json(paths))
 
 
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:
@@ -158,19 +159,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_profiles(profiles: DataFrame, path: str) -> None:
-    """Curated profiles as JSON lines to a **new** path (a path being
-    read cannot be overwritten in place); non-ASCII kept as is."""
-    profiles.write.mode("overwrite").json(path)
+    """Curated profiles as JSON lines (a path being read cannot be
+    overwritten in place); non-ASCII kept as is.  A write that breaks off
+    leaves the old version (see ``lethe.sources.versions``)."""
+    overwrite(profiles, path, "json")
 
 
 def write_generation_results(results: DataFrame, path: str) -> None:
     """One record per answered question, one folder per eval set.
     Columns: ``image_id, question type, question, generated_answer,
     ground_truth``."""
-    (results.select("eval_set", F.col("id").alias("image_id"), F.col("Type").alias("question type"),
-                    F.col("Question").alias("question"), F.col("response").alias("generated_answer"),
-                    F.col("Ground_Truth").alias("ground_truth"))
-     .write.partitionBy("eval_set").mode("overwrite").json(path))
+    out = results.select("eval_set", F.col("id").alias("image_id"), F.col("Type").alias("question type"),
+                         F.col("Question").alias("question"), F.col("response").alias("generated_answer"),
+                         F.col("Ground_Truth").alias("ground_truth"))
+    overwrite(out, path, "json", ["eval_set"])
 
 
 def write_eval_report(report_json: DataFrame, path: str) -> None:
@@ -183,4 +185,4 @@ def write_profile_stats(stats: DataFrame, path: str) -> None:
     ``lethe.operators.report.profile_stats``) as JSON lines, one folder
     per section.  The reference's single document would route every
     duplicated name through one writer; lines keep the write parallel."""
-    stats.write.partitionBy("section").mode("overwrite").json(path)
+    overwrite(stats, path, "json", ["section"])

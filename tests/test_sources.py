@@ -327,3 +327,22 @@ def test_empty_images_are_listed(spark, tmp_dir):
     assert got == {"001.png": 0, "002 é.jpg": 2}
     with pytest.raises(FileNotFoundError):
         S.image_listing(spark, os.path.join(tmp_dir, "no-such"))
+
+
+def test_overwrite_keeps_a_version_readable(spark, tmp_dir):
+    """At every step readers see one whole version; what a broken write left goes with the next."""
+    from lethe.sources import versions as V
+    path = os.path.join(tmp_dir, "versions")
+    frame = lambda v, n: spark.createDataFrame([(f"{v}{i}", "s" + str(i % 2), i) for i in range(n)], "id string, section string, n long")
+    read = lambda: sorted(r["id"] for r in S.read_log(spark, path, "id string, section string, n long").collect())
+    S.write_profile_stats(frame("a", 5), path)
+    assert read() == [f"a{i}" for i in range(5)]
+    files = V.write_beside(frame("b", 7), path, "json", ["section"])
+    assert read() == [f"a{i}" for i in range(5)] and len(files) >= 2
+    S.write_profile_stats(frame("c", 3), path)
+    assert read() == ["c0", "c1", "c2"]
+    # The files of both earlier versions are gone, so a plain scan agrees.
+    assert sorted(r["id"] for r in spark.read.json(path).collect()) == ["c0", "c1", "c2"]
+    assert len([n for n in os.listdir(path) if n.startswith("_manifest")]) == 1
+    S.write_profiles(frame("d", 0), os.path.join(tmp_dir, "none"))
+    assert spark.read.schema("id string").json(os.path.join(tmp_dir, "none")).count() == 0
