@@ -144,10 +144,62 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learn(docs))
 
 
-@register("op5_url_filter")
+def _op5_sql() -> str:
+    low = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    rules = [("www.example.com", "/en/", "allow"), ("example.com", "/en/", "block"), ("net", "/es/", "block"),
+             ("net", "/fr/", "block"), ("com", "/", "allow")]  # the longest first
+    fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for h, p, _ in rules]
+    case = lambda value: "CASE " + " ".join(f"WHEN {f} THEN '{value(r)}'" for f, r in zip(fits, rules)) + " END"
+    levels, below = [], None
+    for k in range(5):
+        shorter = ("0.001", "0.001", "") if below is None else ("l.pa", "l.pb", f"JOIN {below} l ON l.s = substr(n.s, 2, {k})")
+        levels.append(f"""
+n{k} AS (SELECT substr(g, {5 - k}, {k + 1}) AS s, sum(a) AS a, sum(b) AS b FROM strings GROUP BY 1),
+c{k} AS (SELECT substr(s, 1, {k}) AS c, sum(a) AS ca, sum(b) AS cb FROM n{k} GROUP BY 1),
+l{k} AS (SELECT n.s, (a + 2.0::DOUBLE * {shorter[0]}::DOUBLE) / (ca + 2.0::DOUBLE) AS pa,
+                (b + 2.0::DOUBLE * {shorter[1]}::DOUBLE) / (cb + 2.0::DOUBLE) AS pb
+         FROM n{k} n JOIN c{k} ON c{k}.c = substr(n.s, 1, {k}) {shorter[2]}),""")
+        below = f"l{k}"
+    return f"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {low}) AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+ruled AS (SELECT *, {case(lambda r: r[0] + r[1])} AS rule, {case(lambda r: r[2])} AS told FROM p),
+-- CRC-32 of the URL's bytes, by its table.
+tab AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+          lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS tab
+        FROM (SELECT unnest(range(0, 256)) AS n)),
+urls AS (
+  SELECT url, rule, told, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, strlen(url)),
+           lambda i: CAST('0x' || substr(hex(url), CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT))),
+           lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 5 = 0 AS held,
+    translate(regexp_replace(url, '(?s)^.*?://', ''), {low}) AS body
+  FROM (SELECT DISTINCT url, rule, told FROM ruled), tab),
+cut_up AS (
+  SELECT url, rule, told, held, substr(repeat(chr(2), 4) || body || chr(3), CAST(i AS INTEGER), 5) AS g
+  FROM (SELECT *, unnest(range(1, length(body) + 2)) AS i FROM urls)),
+strings AS (
+  SELECT g, sum(CASE WHEN told = 'allow' AND NOT held THEN 1 ELSE 0 END) AS a,
+         sum(CASE WHEN told = 'block' AND NOT held THEN 1 ELSE 0 END) AS b FROM cut_up GROUP BY g),{"".join(levels)}
+scores AS (SELECT url, told, avg(ln(pa / pb)) AS score FROM cut_up JOIN l4 ON l4.s = g
+           WHERE rule IS NULL OR held GROUP BY url, told),
+bins AS (SELECT round(greatest(-10.0::DOUBLE, least(10.0::DOUBLE, score)), 2) AS bin, count(*) FILTER (WHERE told = 'allow') AS a,
+                count(*) FILTER (WHERE told = 'block') AS b FROM scores WHERE told IS NOT NULL GROUP BY 1),
+gains AS (SELECT bin, coalesce(sum(a) OVER (ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0)::DOUBLE
+                      / (sum(a) OVER ())::DOUBLE
+                      + coalesce(sum(b) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE
+                      / (sum(b) OVER ())::DOUBLE AS gain, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM bins),
+cut AS (SELECT coalesce(max(bin), 0) AS cut
+        FROM (SELECT bin FROM gains WHERE na > 0 AND nb > 0 ORDER BY gain DESC, abs(bin), bin LIMIT 1))
+SELECT page_id, host, path, r.rule, coalesce(r.told, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict
+FROM ruled r LEFT JOIN scores ON scores.url = r.url AND r.rule IS NULL, cut"""
+
+
+@register("op5_url_filter", _op5_sql())
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lethe.llm.url_filter import judge_urls
-    return judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"))
+    return judge_urls(read(spark, sf_dir, "pages").select("page_id", "url")).drop("score")
 
 
 @register("op8_quality_rules")
