@@ -118,16 +118,19 @@ def eval_prompts(spark: SparkSession, forget_ids: str, retain_ids: str, forget_q
 
 def eval_generation_prompts(spark: SparkSession, forget_ids: str, retain_ids: str, forget_questions: str,
                             test_questions: str, celebrity_questions: str, model_id: str,
-                            pattern: str = "*_generation_questions.json") -> DataFrame:
-    """The generation prompts of the four eval sets.
+                            pattern: str = "*_generation_questions.json", lines: bool = False) -> DataFrame:
+    """The generation prompts of the four eval sets (J3, E9, P6, X5); with
+    ``lines`` from the bulk form (many persons a file, chosen by ``ID``).
     Rows: ``eval_set, id, question_idx, Type, Question, Ground_Truth,
     prompt``."""
     f_ids = S.read_id_list(spark, forget_ids).select("id")
     r_ids = S.read_id_list(spark, retain_ids).select("id")
 
     def chosen_files(folder, ids):
-        q = S.read_generation_questions(spark, folder, pattern="*.json")
-        if ids is not None:
+        q = S.read_generation_questions(spark, folder, pattern="*.json", lines=lines)
+        if ids is not None and lines:
+            q = q.join(ids.select(F.col("id").alias("ID")).distinct(), "ID", "left_semi")
+        elif ids is not None:
             q = ES.select_by_id_prefix(q, ids, pattern=pattern)
         return ES.flatten_generation(q)
 

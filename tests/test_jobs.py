@@ -89,3 +89,41 @@ def test_jobs_end_to_end(spark, tmp_dir):
     doc = json.loads(spark.read.text(os.path.join(out, "report")).first()[0])
     assert set(doc) == {"Forget Set Results", "Test Set Results", "Retain Set (shared dataset) Results",
                         "Retain Set (real person) Results"}
+
+
+def test_generation_prompts_of_the_bulk_form(spark, tmp_dir):
+    """Many persons a file: chosen by the ID inside, not by the file's name."""
+    gen, lists = os.path.join(tmp_dir, "gen-bulk"), os.path.join(tmp_dir, "bulk-lists")
+    os.makedirs(gen)
+    with open(os.path.join(gen, "part.json"), "w") as f:
+        for i in range(1, 9):
+            f.write(json.dumps({"ID": f"{i:03d}", "Generation_Questions": [
+                {"Type": "Image_Textual", "Question": f"Who is {i}?", "Ground_Truth": "a"}]}) + "\n")
+    for name, ids in (("forget.json", ["001", "002"]), ("retain.json", ["003", "004", "005"])):
+        _write(lists, name, ids)
+    out = jobs.eval_generation_prompts(spark, os.path.join(lists, "forget.json"), os.path.join(lists, "retain.json"),
+                                       gen, gen, gen, "llava-hf/llava-1.5-7b-hf", lines=True)
+    counts = {r["eval_set"]: r["count"] for r in out.groupBy("eval_set").count().collect()}
+    assert counts == {"forget": 2, "test": 2, "retain_shared": 3, "retain_celebrity": 8}
+
+
+def test_profiles_of_one_id_keep_their_rows(spark, tmp_dir):
+    """Two profiles share an ID: each question is a batch row of its own in every epoch."""
+    qa, images, out = (os.path.join(tmp_dir, x) for x in ("qa-same", "img-same", "split-same"))
+    os.makedirs(images)
+    os.makedirs(qa)
+    for n in ("a.png", "b.png"):
+        with open(os.path.join(images, n), "wb") as f:
+            f.write(b"x")
+    with open(os.path.join(qa, "p.json"), "w") as f:
+        for n, answer in (("a.png", "a b c"), ("b.png", "d e")):
+            f.write(json.dumps({"ID": "001", "Directory": f"x/{n}", "metadata": [
+                {"ID": "001_1", "Question": "Q one?", "Answer": answer}, {"ID": "001_2", "Question": "Q two?", "Answer": answer}]}) + "\n")
+    split = spark.createDataFrame([("001", 10, "forget"), ("002", 10, "retain")], "id string, ratio int, `set` string")
+    S.write_split(split, out)
+    rows = jobs.training_batches(spark, qa, images, out, 10, batch_size=3, epochs=range(5)).collect()
+    assert len(rows) == 4 * 5
+    for e in range(5):
+        mine = sorted((r["batch_id"], r["slot"]) for r in rows if r["epoch"] == e)
+        assert mine == [(0, 0), (0, 1), (0, 2), (1, 0)]
+        assert sorted(os.path.basename(r["image_path"]) for r in rows if r["epoch"] == e) == ["a.png", "a.png", "b.png", "b.png"]
