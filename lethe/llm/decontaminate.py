@@ -86,7 +86,7 @@ class Phrases:
         take = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
         index = FMIndex(ids[take], size, len(self.words) + 1)
         word_at = np.full(index.n, -1, np.int64)
-        word_at[index.text_of_word] = take
+        word_at[index.word_positions()] = take
         cover, pairs = np.zeros(len(starts) + 1, np.int64), []
         for n, rows, first, items in self.by_length:
             lo, hi = index.search(rows)

@@ -11,11 +11,14 @@ or more are removed, but for the document of the smallest id.
 2.  Shards.  Neighbouring candidates of one anchor make a segment; equal
     segments are aggregated to one with its smallest doc_id before they move,
     so a passage of a third of all documents is one row a task.  Segments are
-    dealt to shards by anchor, so equal windows meet in one shard.
-3.  Search.  A shard's FM-index over its segments is searched backward
-    through its wavelet tree for the matching statistics (cut at ``window``)
-    of all its segments.  Each window's rows give the smallest document that
-    holds it.
+    dealt to shards by anchor, so equal windows meet in one shard.  Segments
+    of an anchor that has more than ANCHOR_SEGMENTS are first cut into their
+    single windows, which are dealt by their own hash.
+3.  Search.  A shard's segments are indexed, and the stretches of documents
+    that they are of are streamed against the FM-index: backward search
+    through its wavelet tree gives their matching statistics, cut at
+    ``window``.  The occurrences of a window's rows, located by the sampled
+    positions, give the smallest document that holds it.
 4.  The results go back to the segments' documents, as intervals.
 """
 
@@ -37,6 +40,8 @@ from lethe.llm.fm_index import FMIndex
 GRAM = 8
 # Segment text of one shard.
 SHARD_BYTES = 4 << 20
+# Distinct segments of one anchor that stay together.
+ANCHOR_SEGMENTS = 256
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -87,8 +92,15 @@ class Windows:
     def distinct(self, value: np.ndarray, on: np.ndarray | slice = slice(None)) -> np.ndarray:
         """Values of windows, each once a text."""
         v, t = value[on], self.text[self.at[on]]
-        _, first = np.unique(v ^ mix(t.astype(np.uint64) + np.uint64(1)), return_index=True)
-        return v[first]
+        own = v ^ mix(t.astype(np.uint64) + np.uint64(1))
+        s = np.sort(own)
+        twice = s[1:][s[1:] == s[:-1]]
+        if not len(twice):
+            return v
+        # Only repeats are looked at one by one.
+        among = twice[np.minimum(np.searchsorted(twice, own), len(twice) - 1)] == own
+        _, first = np.unique(own[among], return_index=True)
+        return np.concatenate([v[~among], v[among][first]])
 
 
 def _candidates(docs: DataFrame, window: int) -> DataFrame:
@@ -143,6 +155,27 @@ def _candidates(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(segments, "id bigint, tid bigint, pos int, anchor bigint, segment binary")
 
 
+def _single_windows(window: int):
+    """mapInArrow function: segments cut into their windows, each under its
+    own hash for an anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, tids, pos = (b.column(k).to_numpy() for k in range(3))
+            for first, data, offs in text_chunks(b.column(4).cast(pa.string())):
+                w = Windows(data, offs, window)
+                text = w.text[w.at]
+                of = first + text
+                cut = [data[x:y].tobytes() for x, y in zip(w.starts[w.at].tolist(), w.ends[w.at + window - 1].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[of]), pa.array(tids[of]),
+                     pa.array((pos[of] + w.at - np.searchsorted(w.text, text)).astype(np.int32)),
+                     pa.array(w.hash.view(np.int64)), pa.array(cut, pa.binary())],
+                    ["id", "tid", "pos", "anchor", "segment"])
+
+    return run
+
+
 def _smallest_holders(window: int):
     """mapInArrow function over segments sorted by anchor: for each, the
     smallest id of all segments that hold each of its windows."""
@@ -156,13 +189,9 @@ def _smallest_holders(window: int):
             seqs.append(span_hashes(data, starts, ends))
             sizes.append(np.bincount(text, minlength=len(offs) - 1))
         words, number = np.unique(np.concatenate(seqs), return_inverse=True)
-        sizes = np.concatenate(sizes)
-        index = FMIndex(number.ravel() + 1, sizes, len(words) + 1)
-        classes = index.classes(window)
-        lo, _ = index.matched_rows(window, classes)
-        owner = np.repeat(ids, sizes + 1)[index.sa]
-        edge = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]]))
-        least = np.minimum.reduceat(owner, edge)[classes[lo]]
+        symbols, sizes = number.ravel() + 1, np.concatenate(sizes)
+        index = FMIndex(symbols, sizes, len(words) + 1, window=window)
+        least = index.least(ids, *index.window_rows(symbols, sizes))
         cut = np.concatenate([[0], np.cumsum(np.maximum(sizes - window + 1, 0))])
         return pa.RecordBatch.from_arrays(
             [pa.array([x[1] for x in held], pa.binary()),
@@ -191,6 +220,12 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     texts = docs.select(F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NULL_ID)).alias("id"),
                         F.xxhash64(docs["text"]).alias("tid"), docs["text"].alias("text"))
     found = staged(_candidates(texts, window))
+    crowded = staged(found.select("anchor", F.xxhash64("segment").alias("h")).distinct()
+                     .groupBy("anchor").agg(F.count("*").alias("n"))
+                     .where(F.col("n") > ANCHOR_SEGMENTS).select("anchor"))
+    found = found.join(crowded, "anchor", "left_anti").select(found.columns).unionByName(
+        found.join(crowded, "anchor", "left_semi").select(found.columns)
+        .mapInArrow(_single_windows(window), found.schema))
     # Equal segments as one, with their smallest id, before anything else.
     distinct = found.groupBy("anchor", "segment").agg(F.min("id").alias("id"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

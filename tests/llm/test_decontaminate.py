@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from lethe.llm import decontaminate as D
-from lethe.llm.fm_index import FMIndex
+from lethe.llm.fm_index import Borders, FMIndex
 
 
 def words(t):
@@ -92,8 +92,13 @@ def test_fm_index_brute_force():
     seqs = [r.integers(1, 5, r.integers(1, 30)) for _ in range(40)] + [np.ones(25, np.int64)] * 2
     sizes = np.array([len(s) for s in seqs])
     index = FMIndex(np.concatenate(seqs), sizes, 5, sample=4)
-    assert sorted(index.sa) == list(range(index.n))
-    assert (index.locate(np.arange(index.n)) == index.sa).all()
+    located = index.locate(np.arange(index.n))
+    assert sorted(located) == list(range(index.n))
+    ends = index.begin + sizes
+    rest = [tuple(seqs[k][at - index.begin[k]:]) + (0, k) for at in located
+            for k in [int(np.searchsorted(ends, at))]]
+    # A terminator sorts below all words, and by its sequence.
+    assert [x[:x.index(0)] + (0,) for x in rest] == sorted(x[:x.index(0)] + (0,) for x in rest)
     for n in (1, 2, 3, 7):
         phrases = np.unique(np.concatenate([np.lib.stride_tricks.sliding_window_view(s, n) for s in seqs if len(s) >= n]
                                            + [r.integers(1, 5, (50, n))]), axis=0)
@@ -102,8 +107,48 @@ def test_fm_index_brute_force():
             want = sorted(index.begin[k] + i for k, s in enumerate(seqs) for i in range(len(s) - n + 1)
                           if (s[i:i + n] == p).all())
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
-        lo, hi = index.matched_rows(n, index.classes(n))
+        by_window = FMIndex(np.concatenate(seqs), sizes, 5, sample=4, window=n)
+        order = np.array([31, 2, 41, 40, *range(41)])  # streamed: any sequences, repeats too
+        streamed = [seqs[k] for k in order]
+        lo, hi = by_window.window_rows(np.concatenate(streamed), sizes[order])
+        ids = r.permutation(1000)[:len(seqs)]
+        least = by_window.least(ids, lo, hi)
         windows = [(k, i) for k, s in enumerate(seqs) for i in range(len(s) - n + 1)]
-        for (k, i), a, b in zip(windows, lo, hi):
-            same = sorted(index.begin[q] + j for q, j in windows if (seqs[q][j:j + n] == seqs[k][i:i + n]).all())
-            assert sorted(index.sa[a:b].tolist()) == same
+        asked = [(k, i) for k in order for i in range(len(seqs[k]) - n + 1)]
+        assert len(asked) == len(lo)
+        for (k, i), a, b, owner in zip(asked, lo, hi, least):
+            same = [(q, j) for q, j in windows if (seqs[q][j:j + n] == seqs[k][i:i + n]).all()]
+            assert sorted(by_window.locate(np.arange(a, b)).tolist()) == sorted(index.begin[q] + j for q, j in same)
+            assert owner == min(ids[q] for q, _ in same)
+
+
+def test_fm_index_keeps_no_array_of_its_rows():
+    r = np.random.default_rng(1)
+    sizes = np.full(200, 500)
+    index = FMIndex(r.integers(1, 1000, 100_000), sizes, 1000, sample=32, window=50)
+    held = []
+
+    def walk(x):
+        if isinstance(x, np.ndarray):
+            held.append(x)
+        elif isinstance(x, list):
+            [walk(y) for y in x]
+        elif hasattr(x, "__dict__"):
+            [walk(y) for y in vars(x).values()]
+
+    walk(index)
+    # Neither the text nor the suffix array stays: ten bit vectors of a level, two more, and samples.
+    assert max(map(len, held)) <= index.n // 32 + 201
+    assert sum(x.nbytes for x in held) < index.n * 4
+
+
+def test_borders():
+    r = np.random.default_rng(2)
+    for n in (2, 63, 64, 65, 129, 1000):
+        for share in (0.0, 0.01, 0.5, 1.0):
+            flags = r.random(n) < share
+            flags[[0, -1]] = True
+            b, at, pos = Borders(flags), np.flatnonzero(flags), np.arange(n)
+            assert (b.at_or_before(pos) == at[np.searchsorted(at, pos, "right") - 1]).all()
+            assert (b.at_or_after(pos) == at[np.searchsorted(at, pos)]).all()
+            assert (b.rank(pos) == np.cumsum(flags) - flags).all() and (b.get(pos) == flags).all()

@@ -72,6 +72,26 @@ def test_small_shards_and_full_filters(spark, monkeypatch):
     check(spark, corpus(60, 12, 5), 12)
 
 
+def test_crowded_anchors(spark, monkeypatch):
+    monkeypatch.setattr(S, "ANCHOR_SEGMENTS", 1)
+    check(spark, corpus(60, 12, 9), 12)
+    # One passage inside a text of its own in every document.
+    passage = " ".join(f"p{k}" for k in range(20))
+    rows = [(i, " ".join([*(f"{j % 30}a{k}" for k in range(i % 13)), passage, *(f"{j % 7}b{k}" for k in range(9))]))
+            for i, j in enumerate(random.Random(4).sample(range(400), 300))]
+    check(spark, rows, 12)
+
+
+def test_distinct_windows_of_a_text():
+    texts = ["a b a b a b c d", "a b a b", "", "x y z a b"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    w = S.Windows(data, np.cumsum([0, *map(len, texts)]), 2)
+    want = sorted(g for t in texts for g in {tuple(t.split()[k:k + 2]) for k in range(len(t.split()) - 1)})
+    of = {tuple(bytes(data[w.starts[i]:w.ends[i + 1]]).decode().split()): h for i, h in zip(w.at, w.hash)}
+    assert sorted(w.distinct(w.hash).tolist()) == sorted(int(of[g]) for g in want)
+    assert len(w.distinct(w.hash, np.zeros(len(w.hash), bool))) == 0
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.dedup_substrings(docs).collect() == []
