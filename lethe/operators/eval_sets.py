@@ -82,9 +82,10 @@ def sample_exemplar_ids(ids: DataFrame, model_id: str, id_col: str = "id",
 
 def few_shot_lookup(flat_mcq: DataFrame, chosen: DataFrame) -> DataFrame:
     """First image-text and first text question of each chosen person
-    (persons without a question file drop out)."""
+    (persons without a question file drop out).  ``chosen`` is a sample of
+    k <= 2 ids, so it is broadcast."""
     return (flat_mcq.where(F.col("question_idx") == 1)
-            .join(chosen, "id")
+            .join(F.broadcast(chosen), "id")
             .select("id", "_h", "kind", "Question", "Options", "Correct_Answer"))
 
 
