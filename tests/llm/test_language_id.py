@@ -1,5 +1,6 @@
 """Language ID: held-out accuracy, calibration, what it may learn from, edge rows."""
 
+import math
 import random
 
 import numpy as np
@@ -87,3 +88,86 @@ def test_every_language_is_learnt(spark):
     held = [x for x in L.identify(docs, model).collect() if x.held_out]
     assert np.mean([x.lang_pred == truth[x.doc_id] for x in held]) > 0.95
     assert {x.lang_pred for x in L.identify(docs, model).collect()} == set(model.languages)
+
+
+def brute_features(text):
+    """Counts of hashed 1- to 3-grams of letters, a blank before the text and after each word."""
+    padded = " "
+    for c in text.lower():
+        if c.isalpha():
+            padded += c
+        elif padded[-1] != " ":
+            padded += " "
+    if padded[-1] != " " and not text[-1].isalpha():
+        padded += " "
+    counts = {}
+    for n in (1, 2, 3):
+        for i in range(len(padded) - n + 1):
+            h = 0
+            for k in range(n):
+                h = (h * 0x01000193 + ord(padded[i + k]) + k + 1) % 2**32
+            x = h * 0x9E3779B1 % 2**32
+            f = (x ^ (x >> 15)) % L.DIMENSIONS
+            counts[f] = counts.get(f, 0) + 1
+    return counts
+
+
+def brute_vector(counts, idf):
+    v = {f: (1 + math.log(c)) * idf[f] for f, c in counts.items()}
+    norm = math.sqrt(sum(x * x for x in v.values()))
+    return {f: x / norm for f, x in v.items()}
+
+
+def test_features_one_by_one():
+    for text in ("Aé b1c  dd", "ka, mu lo", "x", " aa-bb ", "ß.É"):
+        at, count = L.features(text)
+        assert dict(zip(at.tolist(), count.tolist())) == brute_features(text)
+
+
+def test_training_by_the_textbook_loop():
+    """Follow the regularised leader, a coordinate at a time, and prediction by its model."""
+    rows = [(lang, t) for _, t, lang in corpus(70, 3)]
+    idf = np.random.default_rng(5).uniform(1, 3, L.DIMENSIONS)
+    model = L.train([(lang, *L.features(t)) for lang, t in rows], idf)
+    langs, seen, used = sorted(SYLLABLES), {}, []
+    for lang, t in rows:
+        seen[lang] = seen.get(lang, 0) + 1
+        if seen[lang] % 5:
+            used.append((lang, t))
+    z, n = {}, {}
+
+    def weight(key):
+        if abs(z.get(key, 0.0)) <= L.L1:
+            return 0.0
+        return -(z[key] - math.copysign(L.L1, z[key])) / ((L.BETA + math.sqrt(n[key])) / L.ALPHA + L.L2)
+
+    def probabilities(x, heat=1.0):
+        s = [sum(weight((f, k)) * v for f, v in x.items()) / heat for k in langs]
+        e = [math.exp(v - max(s)) for v in s]
+        return [v / sum(e) for v in e]
+
+    for _ in range(L.EPOCHS):
+        for lang, t in used:
+            x = brute_vector(brute_features(t), idf) | {"bias": 1.0}
+            p = probabilities(x)
+            for k, q in zip(langs, p):
+                for f, v in x.items():
+                    g = v * (q - (k == lang))
+                    key, old = (f, k), n.get((f, k), 0.0)
+                    w = weight(key)
+                    n[key] = old + g * g
+                    z[key] = z.get(key, 0.0) + g - (math.sqrt(n[key]) - math.sqrt(old)) / L.ALPHA * w
+    for k, lang in enumerate(langs):
+        assert math.isclose(model.bias[k], weight(("bias", lang)), abs_tol=1e-9)
+        assert np.allclose(model.weights[:, k], [weight((f, lang)) for f in range(L.DIMENSIONS)], atol=1e-9)
+    for _, t in rows:
+        p = probabilities(brute_vector(brute_features(t), idf) | {"bias": 1.0}, model.temperature)
+        lang, score = model.predict(t)
+        assert lang == langs[p.index(max(p))] and math.isclose(score, max(p), abs_tol=1e-7)
+    # No temperature of a fine grid is better on the rows kept for it.
+    probe = [(langs.index(x), L.features(t)) for x, t in rows if (x, t) not in used]
+
+    def loss(heat):
+        return -sum(math.log(L.softmax(model.logits(*f) / heat)[k]) for k, f in probe)
+
+    assert loss(model.temperature) <= min(loss(h) for h in np.geomspace(0.05, 20, 200)) + 1e-6

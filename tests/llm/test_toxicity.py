@@ -142,3 +142,35 @@ def test_a_label_of_long_texts_only_is_learnt(spark, monkeypatch):
     held = [r for r in T.score_toxicity(docs.distinct(), model).withColumn("out", T.held_out(F.col("doc_id"))).collect() if r.out]
     y = {i: t for i, _, t in rows}
     assert np.mean([r.predicted == y[r.doc_id] for r in held]) > 0.95
+
+
+def test_machine_is_the_minimum_of_its_loss():
+    """The weights of a plain descent of the squared hinge loss, sample by sample."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(60, 4))
+    y = np.where(x @ [1.0, -2.0, 0.5, 0.0] + r.normal(size=60) > 0.3, 1.0, -1.0)
+    weight = np.where(y > 0, 1.5, 0.7)
+    got = T.fit_machine(x, y, weight, cost=0.8)
+    w = [0.0] * 5
+    for _ in range(4000):
+        g = [w[0], w[1], w[2], w[3], 1e-6 * w[4]]
+        for row, label, c in zip(x.tolist(), y.tolist(), weight.tolist()):
+            row = [*row, 1.0]
+            short = 1 - label * sum(a * b for a, b in zip(row, w))
+            if short > 0:
+                for k in range(5):
+                    g[k] -= 0.8 * c * short * label * row[k]
+        w = [a - 0.004 * b for a, b in zip(w, g)]
+    assert np.allclose(got, w, atol=1e-5)
+
+
+def test_landmark_features_give_the_kernel():
+    """The Nyström map: products of the landmarks' features are their kernel by its definition."""
+    words = [b"^idiot", b"^moron", b"scumb", b"^trash", b"diots"]
+    marks = T.Landmarks(words)
+    k = np.array([[brute_kernel(a, b, T.ORDER, T.DECAY) for b in words] for a in words])
+    k = k / np.sqrt(np.outer(np.diag(k), np.diag(k)))
+    assert np.allclose(marks.between(), k, rtol=1e-4, atol=1e-6)
+    values, vectors = np.linalg.eigh(marks.between())
+    features = marks.between() @ (vectors / np.sqrt(values)) @ vectors.T
+    assert np.allclose(features @ features.T, k, atol=1e-4)
