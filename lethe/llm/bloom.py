@@ -144,6 +144,7 @@ def twice_seen(rows: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray],
         if block is not None and twice.any():
             yield row()
 
-    merged = (rows.mapInArrow(part, _SCHEMA).repartition(max(1, min(64, bits // BLOCK_BITS)), "block")
+    # A task for each block, so what one reads does not grow with the array.
+    merged = (rows.mapInArrow(part, _SCHEMA).repartition(max(1, bits // BLOCK_BITS), "block")
               .sortWithinPartitions("block").mapInArrow(merge, _SCHEMA))
     return Twice(bits, {r["block"]: bytes(r["twice"]) for r in merged.collect()})
