@@ -22,12 +22,16 @@ from pyspark.sql import types as T
 
 from lethe.functions.text import extract_response, option_letter, py_split
 from lethe.operators.lcs import lcs_lengths
+from lethe.session import short_batches
 
 # BLEU-4 with uniform weights and "method 1" smoothing.
 BLEU_MAX_N = 4
 BLEU_EPSILON = 0.1
 # ROUGE orders reported besides ROUGE-L.
 ROUGE_NS = (1, 2)
+# Tokens that are counted at once, besides the last row's: some working arrays
+# of numbers are as long.
+PART_TOKENS = 1 << 18
 
 
 def score_mcq(df: DataFrame, text_col: str = "generated_text", options_col: str = "Options",
@@ -120,21 +124,35 @@ def _counts_udf(with_lcs: bool):
 
     @F.arrow_udf(T.StructType([T.StructField(f, T.LongType()) for f in names]))
     def counts(br: pa.Array, bh: pa.Array, rr: pa.Array, rh: pa.Array) -> pa.Array:
-        out = {}
-        for (p, ns), refs, hyps in zip(_ORDERS, (br, rr), (bh, rh)):
-            token, ref_at, hyp_at = numbered(refs, hyps)
-            num = _clipped(token, ref_at, hyp_at, ns)
-            for n in ns:
-                out[f"{p}{n}_num"] = num[n]
-                out[f"{p}{n}_hyp"] = np.maximum(np.diff(hyp_at) - n + 1, 0)
-                out[f"{p}{n}_ref"] = np.maximum(np.diff(ref_at) - n + 1, 0)
-        if with_lcs:
-            out["lcs"] = lcs_lengths(token[:ref_at[-1]], ref_at, token[ref_at[-1]:], hyp_at)
-        return pa.StructArray.from_arrays([pa.array(out[f], pa.int64()) for f in names], names)
+        return counted([br, bh, rr, rh], names)
 
     return counts
 
 
+def counted(lists: Sequence[pa.Array], names: Sequence[str]) -> pa.Array:
+    """The counts of a batch (references and predictions for BLEU, then for
+    ROUGE), in parts of about PART_TOKENS tokens."""
+    size = sum(pc.fill_null(pc.list_value_length(x), 0).to_numpy().astype(np.int64) for x in lists)
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // PART_TOKENS)) + 1
+    ends = [0, *cuts.tolist(), len(size)]
+    return pa.concat_arrays([_counted([x.slice(a, b - a) for x in lists], names) for a, b in zip(ends, ends[1:])])
+
+
+def _counted(lists: Sequence[pa.Array], names: Sequence[str]) -> pa.Array:
+    br, bh, rr, rh = lists
+    out = {}
+    for (p, ns), refs, hyps in zip(_ORDERS, (br, rr), (bh, rh)):
+        token, ref_at, hyp_at = numbered(refs, hyps)
+        num = _clipped(token, ref_at, hyp_at, ns)
+        for n in ns:
+            out[f"{p}{n}_num"] = num[n]
+            out[f"{p}{n}_hyp"] = np.maximum(np.diff(hyp_at) - n + 1, 0)
+            out[f"{p}{n}_ref"] = np.maximum(np.diff(ref_at) - n + 1, 0)
+    if "lcs" in names:
+        out["lcs"] = lcs_lengths(token[:ref_at[-1]], ref_at, token[ref_at[-1]:], hyp_at)
+    return pa.StructArray.from_arrays([pa.array(out[f], pa.int64()) for f in names], names)
+
+
 def bleu_expr(prefix: str = "b") -> Column:
     """Sentence BLEU-4 from per-order counts ``{prefix}{n}_num/_hyp/_ref``."""
     num1 = F.coalesce(F.col(f"{prefix}1_num"), F.lit(0))
@@ -170,6 +188,7 @@ def text_scores(df: DataFrame, key: str, ref_col: str, hyp_col: str,
     (and ``rougeL``) between reference ``ref_col`` and prediction
     ``hyp_col``.  Row-local: no n-gram is exploded or shuffled.
     ``key`` identifies a row for callers; it is not needed here."""
+    short_batches(df.sparkSession)
     base = (df.withColumn("_bt_ref", py_split(ref_col)).withColumn("_bt_hyp", py_split(hyp_col))
             .withColumn("_rt_ref", rouge_tokens(ref_col)).withColumn("_rt_hyp", rouge_tokens(hyp_col)))
     if stem:
