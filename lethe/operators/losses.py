@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from lethe.functions.arrays import let
 from lethe.operators.positions import running_totals
 
 # Logits handled at once by the KL function.
@@ -148,12 +149,15 @@ def answer_loss_expr(labels: Column, position_loss: Column, operation: str = "gd
     negates.  A sequence without answer tokens contributes 0."""
     if operation not in ("ga", "gd"):
         raise ValueError(f"operation {operation!r}: expected 'ga' (ascent) or 'gd' (descent)")
-    nxt = F.slice(labels, 2, F.greatest(F.size(labels) - 1, F.lit(0)))
-    w = F.transform(nxt, lambda y: F.when(y != IGNORE_INDEX, F.lit(1.0)).otherwise(F.lit(0.0)))
-    num = F.aggregate(F.zip_with(w, position_loss, lambda a, b: a * F.coalesce(b, F.lit(0.0))),
-                      F.lit(0.0), lambda s, t: s + t)
-    den = F.aggregate(w, F.lit(0.0), lambda s, t: s + t)
-    val = F.when(den > 0, num / den).otherwise(F.lit(0.0))
+    add = lambda s, t: s + t
+
+    def mean(w):
+        num = F.aggregate(F.zip_with(w, position_loss, lambda a, b: a * F.coalesce(b, F.lit(0.0))), F.lit(0.0), add)
+        return let(F.aggregate(w, F.lit(0.0), add), lambda den: F.when(den > 0, num / den).otherwise(F.lit(0.0)))
+
+    # Labels and weights, expressions over whole sequences, are evaluated once.
+    nxt = let(labels, lambda y: F.slice(y, 2, F.greatest(F.size(y) - 1, F.lit(0))))
+    val = let(F.transform(nxt, lambda y: F.when(y != IGNORE_INDEX, F.lit(1.0)).otherwise(F.lit(0.0))), mean)
     return -val if operation == "ga" else val
 
 
