@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from lethe import schemas
 from lethe.functions.text import last_path_segment
+from lethe.operators.positions import join_null_safe
 from lethe.sources.checked import bad_documents, checked_documents, good_documents, write_quarantine
 from lethe.sources.listing import folder_files
 from lethe.sources.versions import overwrite, read_version
@@ -115,23 +116,27 @@ def read_split(spark: SparkSession, root: str) -> DataFrame:
 
 def write_id_lists(split: DataFrame, root: str, ids_per_file: int = 1_000_000) -> None:
     """The ids of each (ratio, set) as JSON array documents under
-    ``root/ratio=p/set=s``.  A set is cut into hash chunks of about
-    ``ids_per_file`` ids, one array per file, so no single task collects
+    ``root/ratio=p/set=s``.  Each set is cut into hash chunks of about
+    ``ids_per_file`` of its ids, one array per file, so no single task collects
     a whole set (the retain set holds almost every id); ``read_id_list``
     reads the folder back as one list.  Ids are sorted inside a file; a null
     id is a JSON ``null``; an id is there as often as its rows."""
-    n = split.groupBy("ratio", "set").count().agg(F.max("count")).first()[0] or 0
-    chunks = max(1, -(-int(n) // int(ids_per_file)))
+    # A row per ratio and set: a small set has fewer files than a large one.
+    sizes = split.groupBy("ratio", "set").agg(F.expr(f"(count(*) - 1) div {int(ids_per_file)} + 1").alias("_chunks"))
     # Rows of one id are counted, then dealt out again in steps, so an id (or
     # null) of very many rows does not fill one chunk.
     step = min(int(ids_per_file), 1 << 16)
-    dealt = (split.groupBy("ratio", "set", "id").agg(F.count(F.lit(1)).alias("_n"))
+    dealt = (join_null_safe(split.groupBy("ratio", "set", "id").agg(F.count(F.lit(1)).alias("_n")),
+                            F.broadcast(sizes), ["ratio", "set"])
              .withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {step}"))))
-             .withColumn("_chunk", F.pmod(F.xxhash64("id", "_k"), F.lit(chunks))))
+             .withColumn("_chunk", F.pmod(F.xxhash64("id", "_k"), F.col("_chunks"))))
     copies = F.array_repeat(F.struct("id"), F.least(F.lit(step), F.col("_n") - F.col("_k") * step).cast("int"))
-    (dealt.groupBy("ratio", "set", "_chunk")
+    # Few bytes, but very many files: the number of tasks is given, so that it
+    # does not shrink to a few writers.
+    writers = int(split.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (dealt.repartition(writers, "ratio", "set", "_chunk").groupBy("ratio", "set", "_chunk")
      .agg(F.to_json(F.transform(F.array_sort(F.flatten(F.collect_list(copies))), lambda s: s["id"])).alias("value"))
-     .repartition("ratio", "set", "_chunk").drop("_chunk")
+     .drop("_chunk")
      .write.option("maxRecordsPerFile", 1)  # one array per file
      .partitionBy("ratio", "set").mode("overwrite").text(root))
 
